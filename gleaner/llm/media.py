@@ -4,7 +4,8 @@
 either byte order), decodes strips or tiles (none, PackBits, LZW, deflate),
 undoes predictors 2 and 3 and emits one row per page.  ``store`` writes the
 bytes of a text as a lossless grey TIFF, ``summaries`` computes features from
-the pages that were read back.
+the pages that were read back.  A text's pages stay in one worker: no pixels
+move between tasks.
 
 Edge cases.  A null or malformed file gives one row with page 0, no pixels and
 the reason in ``error``; if a later directory is malformed the pages before it
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -299,7 +300,7 @@ def payload_of(text: str | None) -> bytes:
     return data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The rows in blocks of about ``most`` bytes of a binary column."""
     for batch in batches:
         held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // most
@@ -333,32 +334,37 @@ def _read(media: bytes | None) -> Iterator[dict]:
         yield {"page": page, "error": f"{type(e).__name__}: {e}"}
 
 
-def pages(files: DataFrame, *, media_col: str = "media") -> DataFrame:
+def pages(files: DataFrame, *, media_col: str = "media", pixels: bool = True, summary: Callable[[bytes, list[dict]], dict] | None = None, summary_ddl: str = "") -> DataFrame:
     """The columns of files, and one row per page of each file (PAGE_DDL)
-    after them, in place of columns of the same names.  The pages of a file
-    stay together, in their order; the media column stays with a file's first
-    page only."""
+    after them, in place of columns of the same names.  The media column stays
+    with a file's first page only.
+
+    pixels: whether the pixels come along.  summary: of a file and all its
+    pages, the values of summary_ddl; they stand in the row of the last page.
+    """
     package_on_workers(files.sparkSession)
-    own = {x.split()[0].lower() for x in PAGE_DDL.split(", ")}
+    page_schema, more = T.StructType.fromDDL(PAGE_DDL), T.StructType.fromDDL(summary_ddl) if summary else T.StructType()
+    fields = [f for f in page_schema if pixels or f.name != "pixels"] + list(more)
+    own = {f.name.lower() for f in fields}
     rows = files.select(*[files[c] for c in files.columns if c.lower() not in own])
-    schema = T.StructType.fromDDL(PAGE_DDL)
-    kinds = to_arrow_schema(schema)
+    kinds = list(to_arrow_schema(T.StructType(fields)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _blocks([batch], media_col):
-                found, at = [], []
-                for k, media in enumerate(part.column(media_col)):
-                    own_pages = list(_read(media.as_py()))
-                    found += own_pages
-                    at += [k] * len(own_pages)
-                taken = part.take(pa.array(at))
-                made = [pa.array([x.get(f.name) for x in found], f.type) for f in kinds]
-                first = pc.equal(made[0], 0)
-                kept = [pc.if_else(first, c, pa.scalar(None, c.type)) if n == media_col else c for n, c in zip(taken.schema.names, taken.columns)]
-                yield pa.RecordBatch.from_arrays(kept + made, names=taken.schema.names + schema.names)
-
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields + schema.fields))
+        for part in _blocks(batches, media_col):
+            found, at = [], []
+            for k, media in enumerate(part.column(media_col)):
+                media = media.as_py()
+                own_pages = list(_read(media))
+                if summary:
+                    own_pages[-1].update(summary(media, own_pages))
+                found += own_pages
+                at += [k] * len(own_pages)
+            taken = part.take(pa.array(at))
+            made = [pa.array([x.get(f.name) for x in found], f.type) for f in kinds]
+            kept = [pc.if_else(pc.equal(made[0], 0), c, pa.scalar(None, c.type)) if n == media_col else c for n, c in zip(taken.schema.names, taken.columns)]
+            yield pa.RecordBatch.from_arrays(kept + made, names=taken.schema.names + [f.name for f in kinds])
+
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + fields))
 
 
 def feature(pixels: bytes, width: int = 64) -> str:
@@ -376,40 +382,28 @@ def feature(pixels: bytes, width: int = 64) -> str:
     return f"rows={len(grey)};mean={total // n};var={squares // n - (total // n) ** 2};ahash={bits}"
 
 
-def summaries(read: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """One row per file of the rows that pages() gives for stored texts: the
-    digests and the feature of the bytes read back."""
-    package_on_workers(read.sparkSession)
-    kind = read.schema[id_col].dataType.simpleString()
-    ddl = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    rows = read.select(*input_columns(read, page="page", id=id_col, n_bytes="n_bytes", media="media", error="error", pixels="pixels"))
+SUMMARY_DDL = "last boolean, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts, kinds = None, [], None
-
-        def closed() -> tuple:
-            if head[4] or None in parts:
-                raise ValueError(f"a stored file can't be read: {head[4]}")
-            payload = b"".join(parts)
-            return (head[1], head[2], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(head[3]), hashlib.sha256(head[3]).hexdigest(), feature(payload))
-
-        def made(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-        for batch in batches:
-            kinds = kinds or [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            out = []
-            for row in zip(*(c for c in batch.columns)):
-                page, doc_id, n_bytes, media, error, pixels = (x.as_py() for x in row)
-                if page == 0:
-                    if head:
-                        out.append(closed())
-                    head, parts = (page, doc_id, n_bytes, media, error), []
-                parts.append(pixels)
-            if out:
-                yield made(out)
-        if head:
-            yield made([closed()])
-
-    names = [x.split()[0] for x in ddl.split(", ")]
-    return rows.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
+
+def summarised(media: bytes | None, found: list[dict]) -> dict:
+    """Digests and the feature of the bytes that were read back from a file."""
+    if found[-1]["error"]:
+        return {"last": True}
+    payload = b"".join(p["pixels"] for p in found)
+    return {
+        "last": True,
+        "payload_bytes": len(payload),
+        "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "tail_crc32": zlib.crc32(payload[-64:]),
+        "media_bytes": len(media),
+        "media_sha256": hashlib.sha256(media).hexdigest(),
+        "feature": feature(payload),
+    }
+
+
+def summaries(files: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """One row per file that store() wrote: its columns but the media, and
+    those of SUMMARY_DDL but ``last``, from the pages that were read back."""
+    read = pages(files, media_col=media_col, pixels=False, summary=summarised, summary_ddl=SUMMARY_DDL).where("last")
+    own = [c for c in files.columns if c != media_col and c in read.columns]
+    return read.select(*own, *T.StructType.fromDDL(SUMMARY_DDL).names[1:])

@@ -47,7 +47,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.summaries(media.pages(media.store(table(spark, sf_dir, "documents"))))
+    return media.summaries(media.store(table(spark, sf_dir, "documents")))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,10 +240,10 @@ def test_tiff_query(spark, sf_dir, docs):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == __import__("hashlib").sha256(payload).hexdigest()
-    odd = media.summaries(media.pages(media.store(frame(spark)))).collect()
+    odd = media.summaries(media.store(frame(spark))).collect()
     assert Counter(r.doc_id for r in odd) == Counter(i for i, _ in ODD)
     assert len({(r.media_sha256, r.feature) for r in odd if r.doc_id in (1, 2)}) == 1
-    assert media.summaries(media.pages(media.store(empty(spark)))).count() == 0
+    assert media.summaries(media.store(empty(spark))).count() == 0
 
 
 # 7: near-dedup
