@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, input_columns, lowered
+from ._common import SPACE, input_columns, lowered, pinned
 
 
 def key(line: Column) -> Column:
@@ -51,13 +51,14 @@ def dedup_lines(
     lines = rows.where("id is not null").select("id", "digest", line).select("id", "digest", "line.at", "line.key")
     lines = lines.where(F.length("key") >= min_chars).select("id", "digest", "at", F.unhex(F.md5("key")).alias("hash"))
     counted = lines.groupBy("hash", "id").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n"), F.max("id").alias("keeper"))
-    frequent = counted.where(F.col("n") >= min_docs).select("hash", "keeper")
+    # Written first, so that Spark can split a frequent hash in the join.
+    frequent = pinned(counted.where(F.col("n") >= min_docs).select("hash", "keeper"))
     places = lines.join(frequent, "hash").where("id <> keeper").groupBy("id", "digest").agg(F.array_sort(F.collect_set("at")).alias("drop"))
     # A flag for each line up to the last one to drop, "1" to drop: looked up
     # by position, so a long text costs no more than its length.
     gaps = F.transform("drop", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i == 0, -1).otherwise(F.get("drop", i - 1)) - 1), F.lit("1")))
     flags = places.select(F.col("id").alias("of"), F.col("digest").alias("of_digest"), F.split(F.array_join(gaps, ""), "").alias("flags"), F.size("drop").alias("n"))
-    joined = rows.join(flags, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    joined = rows.join(flags.hint("merge"), (F.col("id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("flags", i), F.lit("0")) != "1")
     text = F.when(F.col("n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = [
