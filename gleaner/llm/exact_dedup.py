@@ -78,10 +78,11 @@ def identities(docs: DataFrame, *, block: int = 8192, id_col: str = "doc_id", te
 
 def dedup(docs: DataFrame, *, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = identities(docs, block=block, id_col=id_col, text_col=text_col)
+    # Written first, so that Spark can split a large group in the join.
+    rows = pinned(identities(docs, block=block, id_col=id_col, text_col=text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     groups = rows.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    out = rows.join(groups, ["level", "name"])
+    out = rows.join(pinned(groups), ["level", "name"])
     return out.select(
         F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.col("sha256").alias("text_sha256")
     )
