@@ -22,6 +22,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from ._common import input_columns, package_on_workers, read_file
 
 #: Characters of text handled at once.
-BLOCK_CHARS = 4_000_000
-#: Chunks whose ids are remembered in a worker.
+BLOCK_CHARS = 2_000_000
+#: Chunks whose ids a worker remembers.
 CACHE_CHUNKS = 400_000
 #: Code points from here on stand for added tokens in the symbol table.
 _ADDED = 0x200
@@ -164,39 +165,60 @@ class PairIndex:
             listed(np.concatenate([left[left >= 0], at[right]]))
 
 
+class _Places(dict):
+    """A place for every chunk; a chunk that is asked for first gets the next."""
+
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self)
+        return place
+
+
 class Chunks:
     """Ids of whole texts, from the ids of their distinct chunks.
 
     encode: gives all ids of a list of chunks, and each chunk's number of ids.
+    The first ``limit`` chunks are remembered, later ones for their block.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_CHUNKS):
         self._encode, self._limit = encode, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self._place: dict[str, int] = {}
+        self._place = _Places()
         self._ids = np.empty(0, np.uint32)
         self._start = np.zeros(1, np.int64)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's end."""
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self._place) > self._limit:
-            self._reset()
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self._place))
-        if new:
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        place, flat, start = self._place, self._ids, self._start
+        chunks = " ".join(texts).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        last = np.cumsum([1 + sum(map(x.count, " \n\t\r")) for x in texts]) - 1
+        known = len(place)
+        at = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
+        if new := list(islice(place, known, None)) if len(place) > known else []:
             ids, counts = self._encode(new)
-            self._place.update(zip(new, range(len(self._place), len(self._place) + len(new))))
-            self._start = np.append(self._start, self._start[-1] + np.cumsum(counts))
-            self._ids = np.append(self._ids, ids.astype(np.uint32))
-        n = sum(map(len, split))
-        at = np.fromiter((k for chunks in split for k in map(self._place.__getitem__, chunks)), np.int64, n)
-        counts = self._start[at + 1] - self._start[at]
+            start = np.append(start, start[-1] + np.cumsum(counts))
+            flat = np.append(flat, ids.astype(np.uint32))
+            keep = max(0, min(len(new), self._limit - known))
+            for chunk in new[keep:]:
+                del place[chunk]
+            if keep:
+                self._start, self._ids = start[: known + keep + 1].copy(), flat[: start[known + keep]].copy()
+        counts = start[at + 1] - start[at]
         ends = np.cumsum(counts)
-        take = np.arange(ends[-1] if n else 0) + np.repeat(self._start[at] - ends + counts, counts)
-        last = np.cumsum([len(chunks) for chunks in split]) - 1
-        return self._ids[take], ends[last]
+        take = np.arange(ends[-1]) + np.repeat(start[at] - ends + counts, counts)
+        return flat[take], ends[last]
+
+
+_codecs: dict[tuple, Chunks] = {}
+
+
+def codec(kind: str, file: str, encoder: Callable[[str], Callable]) -> Chunks:
+    """A worker's codec of a kind for a file, shared by its tasks."""
+    key = (kind, hash(file))
+    if key not in _codecs:
+        _codecs[key] = Chunks(encoder(file))
+    return _codecs[key]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -218,9 +240,9 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(*input_columns(docs, id=id_col, text=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Chunks(PairIndex(file.value).encode)
+        own = codec("pair index", file.value, lambda x: PairIndex(x).encode)
         for rows_of, texts in blocks(batches):
-            ids, ends = codec.ids(texts)
+            ids, ends = own.ids(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([rows_of.column("id"), lists], names=["id", "ids"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import input_columns, package_on_workers, pinned, read_file
-from .bpe import Chunks, blocks
+from .bpe import blocks, codec
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("bin", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(MEMBER))])
@@ -73,11 +73,30 @@ def _library(file: str):
     library.no_truncation()
     library.no_padding()
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def one_by_one(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [library.encode(x, add_special_tokens=False).ids for x in chunks]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
 
+    # A word that stands between chunks, if it is one id: a whole list is then
+    # encoded in one call.  Lists with a chunk that holds it are encoded singly.
+    between = library.encode("\0", add_special_tokens=False).ids
+
+    def together(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = " \0 ".join(chunks)
+        if len(between) != 1 or text.count("\0") != len(chunks) - 1:
+            return one_by_one(chunks)
+        ids = np.array(library.encode(text, add_special_tokens=False).ids, np.int64)
+        ends = np.append(np.flatnonzero(ids == between[0]), len(ids))
+        if len(ends) != len(chunks):
+            return one_by_one(chunks)
+        return ids[ids != between[0]], np.diff(np.append(-1, ends)) - 1
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [together(chunks[k : k + 500]) for k in range(0, len(chunks), 500)]
+        ids, counts = zip(*parts) if parts else ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        return np.concatenate(ids), np.concatenate(counts)
+
     return encode
 
 
@@ -123,15 +142,15 @@ def pack(
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId()
-        codec = Chunks(_library(file.value))
+        own = codec("library", file.value, _library)
         doc_ids: list[int | None] = []
         parts: list[tuple[int, int, int, int]] = []
         for rows_of, texts in blocks(batches):
-            ids, ends = codec.ids(texts)
+            ids, ends = own.ids(texts)
             for doc_id, begin, end in zip(rows_of.column("id").to_pylist(), np.append(0, ends).tolist(), ends.tolist()):
-                own = pieces_of(np.append(ids[begin:end], np.uint32(end_id)), capacity)
-                doc_ids += [doc_id] * len(own)
-                parts += own
+                cut = pieces_of(np.append(ids[begin:end], np.uint32(end_id)), capacity)
+                doc_ids += [doc_id] * len(cut)
+                parts += cut
         if not parts:
             return
         cols = np.asarray(parts, np.int64).T
