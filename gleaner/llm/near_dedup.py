@@ -119,7 +119,7 @@ def _pivot_links(members: DataFrame, large: DataFrame, words: int, percent: int)
     order = lambda k: F.xxhash64("v", F.lit(k))
     chosen = members.join(large, "cluster", "left_semi").groupBy("cluster").agg(*[F.min(F.struct(order(k).alias("o"), "v")).getField("v").alias(f"p{k}") for k in range(PIVOTS)])
     chosen = chosen.select("cluster", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
-    pivots = pinned(chosen.join(members.select(F.col("v").alias("p"), F.col("text").alias("p_text")), "p"))
+    pivots = chosen.join(members.select(F.col("v").alias("p"), F.col("text").alias("p_text")), "p")
     pairs = members.select("cluster", "v", "text").join(pivots, "cluster").where("v <> p").select("v", "text", "p", "p_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +146,10 @@ def links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFr
     """
     clusters = pinned(components(_candidates(reps)))
     clustered = clusters.select("v", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("v"), F.col("root").alias("cluster")).distinct())
-    keys = pinned(reps.select("v", "id", "h", "n").join(clustered, "v"))
+    keys = reps.select("v", "id", "h", "n").join(clustered, "v")
     # One text for each key, though rows may repeat.
-    found = texts.join(keys, ["id", "h"]).select("v", "n", "cluster", "text").groupBy("v", "n", "cluster").agg(F.any_value("text").alias("text"))
+    # Keys grow with the input, so the same join is asked for at every size.
+    found = texts.join(keys.hint("merge"), ["id", "h"]).select("v", "n", "cluster", "text").groupBy("v", "n", "cluster").agg(F.any_value("text").alias("text"))
     members = pinned(found)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
@@ -165,7 +166,7 @@ def links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFr
     sides = by_comp.join(main, "cluster", "left").groupBy("cluster", "main").agg(
         *[F.coalesce(F.ceil(F.greatest(F.sum(F.when(is_main == k, F.col("docs"))) / BLOCK_DOCS, F.sum(F.when(is_main == k, F.col("shingles"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int").alias(f"b{k}") for k in (0, 1)]
     )
-    dealt = members.join(sides, "cluster").withColumn("side", is_main)
+    dealt = members.join(pinned(sides), "cluster").withColumn("side", is_main)
     own = F.pmod(F.xxhash64("v", F.lit(9)), F.greatest(F.when(F.col("side") == 1, F.col("b1")).otherwise(F.col("b0")), F.lit(1))).cast("int")
     dealt = dealt.withColumn("own", own)
     # A member of the rest meets every block of the rest (each two blocks
@@ -200,11 +201,13 @@ def classes(
     usable = feats.where("n > 0 and id is not null")
     first = usable.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("k"), F.min(F.struct("n", "bands")).alias("f"))
     reps = pinned(first.select("digest", "k.id", "k.h", "f.n", "f.bands").withColumn("v", F.monotonically_increasing_id()))
-    keyed = usable.select("id", "digest").distinct().join(reps.select("v", "digest"), "digest").select("v", "id")
+    edges = links(reps.drop("digest"), texts.where("id is not null"), words, percent)
     # Classes that have an id in common (rows that repeat it) are linked.
-    several = keyed.groupBy("id").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    same_id = keyed.join(several, "id").where("v <> b").select(F.col("v").alias("a"), "b")
-    edges = links(reps.drop("digest"), texts.where("id is not null"), words, percent).unionByName(same_id)
+    several = usable.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
+    if not several.isEmpty():
+        keyed = usable.join(several, "id").select("id", "digest").distinct().join(reps.select("v", "digest"), "digest")
+        least_of = keyed.groupBy("id").agg(F.min("v").alias("b"))
+        edges = edges.unionByName(keyed.join(least_of, "id").where("v <> b").select(F.col("v").alias("a"), "b"))
     roots = _rooted(reps.select("v", "digest", "id"), components(edges), "root")
     least = roots.groupBy("root").agg(F.min("id").alias("component"))
     of_digest = roots.join(least, "root").select("digest", "component")
