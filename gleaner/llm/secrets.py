@@ -210,7 +210,7 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str
     if found is None:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
     else:
-        rows = rows.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").drop("of")
+        rows = rows.join(found.withColumnRenamed("id", "of").hint("merge"), F.col("id") == F.col("of"), "left").drop("of")
     none = F.array().cast(SPANS)
     parts = []
     for order, rule in enumerate(rules):
