@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +85,21 @@ def package_on_workers(spark: SparkSession) -> None:
     parts = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, parts)])
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and then the worker gives its free memory back to the system: it
+    stays alive for later tasks, beside other workers."""
+
+    @functools.wraps(run)
+    def and_release(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return and_release

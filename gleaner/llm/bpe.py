@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, package_on_workers, read_file
+from ._common import input_columns, package_on_workers, read_file, released
 
 #: Characters of text handled at once.
 BLOCK_CHARS = 2_000_000
-#: Chunks whose ids a worker remembers.
+#: Chunks whose ids a task remembers.
 CACHE_CHUNKS = 400_000
 #: Code points from here on stand for added tokens in the symbol table.
 _ADDED = 0x200
@@ -210,27 +210,16 @@ class Chunks:
         return flat[take], ends[last]
 
 
-_codecs: dict[tuple, Chunks] = {}
-
-
-def codec(kind: str, file: str, encoder: Callable[[str], Callable]) -> Chunks:
-    """A worker's codec of a kind for a file, shared by its tasks."""
-    key = (kind, hash(file))
-    if key not in _codecs:
-        _codecs[key] = Chunks(encoder(file))
-    return _codecs[key]
-
-
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The rows in blocks of about BLOCK_CHARS characters, with their texts."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
-        begin = held = 0
-        for k, text in enumerate(texts):
-            held += len(text)
-            if held >= BLOCK_CHARS or k == len(texts) - 1:
-                yield batch.slice(begin, k + 1 - begin), texts[begin : k + 1]
-                begin, held = k + 1, 0
+        begin, held, texts = 0, 0, []
+        for k, text in enumerate(batch.column(column)):
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
+            if held >= BLOCK_CHARS or k == len(batch) - 1:
+                yield batch.slice(begin, k + 1 - begin), texts
+                begin, held, texts = k + 1, 0, []
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,14 +229,14 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(*input_columns(docs, id=id_col, text=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec("pair index", file.value, lambda x: PairIndex(x).encode)
+        own = Chunks(PairIndex(file.value).encode)
         for rows_of, texts in blocks(batches):
             ids, ends = own.ids(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([rows_of.column("id"), lists], names=["id", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

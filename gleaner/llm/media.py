@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import input_columns, package_on_workers
+from ._common import input_columns, package_on_workers, released
 
 # Fixed values of the TIFF 6.0 and BigTIFF formats.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -364,7 +364,7 @@ def pages(files: DataFrame, *, media_col: str = "media", pixels: bool = True, su
             kept = [pc.if_else(pc.equal(made[0], 0), c, pa.scalar(None, c.type)) if n == media_col else c for n, c in zip(taken.schema.names, taken.columns)]
             yield pa.RecordBatch.from_arrays(kept + made, names=taken.schema.names + [f.name for f in kinds])
 
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields + fields))
+    return rows.mapInArrow(released(run), T.StructType(rows.schema.fields + fields))
 
 
 def feature(pixels: bytes, width: int = 64) -> str:

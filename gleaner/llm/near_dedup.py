@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, package_on_workers, pinned
+from ._common import input_columns, package_on_workers, pinned, released
 from .components import components
 from .shingles import Circulant, digest, jaccard_at_least, shingle_set
 
@@ -66,7 +66,7 @@ def features(rows: DataFrame, words: int, rows_of_band: int, bands: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "n", "digest", "bands"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, n long, digest binary, bands array<long>")
+    return rows.select("id", "h", "text").mapInArrow(released(run), f"id {kind}, h long, n long, digest binary, bands array<long>")
 
 
 def _forest(batch: pa.Table, words: int, percent: int) -> pa.Table:
@@ -136,7 +136,7 @@ def _pivot_links(members: DataFrame, large: DataFrame, words: int, percent: int)
             a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(released(run), "a long, b long")
 
 
 def links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

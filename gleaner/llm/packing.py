@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, package_on_workers, pinned, read_file
-from .bpe import blocks, codec
+from ._common import input_columns, package_on_workers, pinned, read_file, released
+from .bpe import Chunks, blocks
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("bin", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(MEMBER))])
@@ -142,7 +142,7 @@ def pack(
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId()
-        own = codec("library", file.value, _library)
+        own = Chunks(_library(file.value))
         doc_ids: list[int | None] = []
         parts: list[tuple[int, int, int, int]] = []
         for rows_of, texts in blocks(batches):
@@ -177,7 +177,7 @@ def pack(
 
         return run
 
-    level = pinned(rows.mapInArrow(leaf, BIN_DDL))
+    level = pinned(rows.mapInArrow(released(leaf), BIN_DDL))
     levels = [level]
     while nodes > 1:
         nodes = -(-nodes // fan_in)

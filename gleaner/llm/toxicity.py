@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import input_columns, package_on_workers
+from ._common import input_columns, package_on_workers, released
 
 #: Lengths of the n-grams, in characters.
 NGRAMS = (3, 4, 5)
@@ -119,7 +119,7 @@ def fit(
         yield pd.DataFrame({"b": at, "n0": of[0, at], "n1": of[1, at]})
         yield pd.DataFrame({"b": [-1], "n0": rows_of[:1], "n1": rows_of[1:]})
 
-    partial = rows.mapInPandas(counted, "b long, n0 long, n1 long")
+    partial = rows.mapInPandas(released(counted), "b long, n0 long, n1 long")
     counts = partial.groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("b < 0 or n0 + n1 >= 4").toPandas()
     totals = counts[counts["b"] < 0]
     n0, n1 = (int(totals[c].sum()) for c in ("n0", "n1"))
@@ -148,7 +148,7 @@ def fit(
                 made.append(np.packbits(bits).tobytes())
             yield pd.DataFrame({"y": batch["y"], "bits": made})
 
-    got = rows.mapInPandas(bitmaps, "y int, bits binary").toPandas()
+    got = rows.mapInPandas(released(bitmaps), "y int, bits binary").toPandas()
     got = got.sort_values(["y", "bits"], kind="stable")  # the order rows come in doesn't matter
     y = got["y"].to_numpy(np.float64)
     ends, cols = [0], []
@@ -182,9 +182,13 @@ def scorer(df: DataFrame, model: Model):
     package_on_workers(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sent.value.score(x) for x in texts], dtype="float64")
+
     @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(x) for x in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(of_texts)(batches)
 
     return lambda text: scored(F.coalesce(text, F.lit("")))
 
