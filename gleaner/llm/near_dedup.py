@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, package_on_workers, pinned, released
+from ._common import input_columns, package_on_workers, pinned, released, small_batches
 from .components import components
 from .shingles import Circulant, digest, jaccard_at_least, shingle_set
 
@@ -197,7 +197,8 @@ def classes(
     row's key, h the hash of its text."""
     package_on_workers(docs.sparkSession)
     texts = docs.select(*input_columns(docs, id=id_col, text=text_col)).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
-    feats = pinned(features(texts, words, rows, bands_for(percent, rows, miss)))
+    with small_batches(docs.sparkSession):
+        feats = pinned(features(texts, words, rows, bands_for(percent, rows, miss)))
     usable = feats.where("n > 0 and id is not null")
     first = usable.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("k"), F.min(F.struct("n", "bands")).alias("f"))
     reps = pinned(first.select("digest", "k.id", "k.h", "f.n", "f.bands").withColumn("v", F.monotonically_increasing_id()))

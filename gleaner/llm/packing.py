@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, package_on_workers, pinned, read_file, released
+from ._common import input_columns, package_on_workers, pinned, read_file, released, small_batches
 from .bpe import Chunks, blocks
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -177,7 +177,8 @@ def pack(
 
         return run
 
-    level = pinned(rows.mapInArrow(released(leaf), BIN_DDL))
+    with small_batches(spark):
+        level = pinned(rows.mapInArrow(released(leaf), BIN_DDL))
     levels = [level]
     while nodes > 1:
         nodes = -(-nodes // fan_in)

@@ -164,8 +164,9 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     wanted = [(r, k, g, len(s)) for r, q in queries.items() for k, s in enumerate(q) for g in sorted(s)]
     if not wanted:
         return None
-    schema = "kind string, alternative int, gram string, need int"
-    asked = F.broadcast(texts.sparkSession.createDataFrame(wanted, schema))  # as large as the rules
+    names = ("kind", "alternative", "gram", "need")
+    asked = texts.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, w)]) for w in wanted])))
+    asked = F.broadcast(asked)  # as large as the rules
     met = postings(texts, sorted({g for _, _, g, _ in wanted})).join(asked, "gram")
     # Rows that repeat an id repeat its postings.
     counted = met.groupBy("id", "kind", "alternative", "need").agg(F.collect_set("gram").alias("grams"))
