@@ -90,7 +90,7 @@ def hubs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     both = pairs.select(F.col("a").alias("id"), F.col("path_a").alias("doc_path"), F.col("path_b").alias("other"), "similarity")
     both = both.unionByName(pairs.select(F.col("b").alias("id"), F.col("path_b").alias("doc_path"), F.col("path_a").alias("other"), "similarity"))
     docs = chunks.where("embedding is not null").agg(F.countDistinct("doc_path").alias("docs"))  # one row
-    stats = both.groupBy("id", "doc_path").agg(F.countDistinct("other").alias("reach"), F.round(F.avg("similarity"), 6).alias("strength")).crossJoin(F.broadcast(docs))
+    stats = both.groupBy("id", "doc_path").agg(F.countDistinct("other").alias("reach"), (F.round(F.sum(F.round(F.col("similarity") * 1e6).cast("long")) / F.count(F.lit(1))) / 1e6).alias("strength")).crossJoin(F.broadcast(docs))
     score = F.col("reach") / F.greatest(F.col("docs") - 1, F.lit(1)) * (0.4 + 0.6 * F.col("strength"))
     rows = stats.select("id", "doc_path", "reach", "strength", F.round(score, 6).alias("score"))
     best = Window.partitionBy("doc_path").orderBy(F.desc("score"), "id")

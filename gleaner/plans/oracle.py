@@ -116,7 +116,7 @@ SELECT * FROM s ORDER BY score DESC, a, b LIMIT 50""",
 SELECT id, doc_path, round(mean, 6) AS avg_similarity, round((1 - mean) * (0.5 + 0.5 * least(len / 400, 1.0)), 6) AS score FROM m
 QUALIFY row_number() OVER (PARTITION BY doc_path ORDER BY score DESC, id) = 1""",
     "hub_connectivity": f"""WITH {_VEC}, {_pairs(0.3)}, d AS (SELECT a AS id, b AS o, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs),
-s AS (SELECT d.id, x.doc_path, count(DISTINCT y.doc_path) AS reach, round(avg(similarity), 6) AS strength FROM d JOIN vec x ON d.id = x.id JOIN vec y ON o = y.id WHERE x.doc_path <> y.doc_path GROUP BY ALL),
+s AS (SELECT d.id, x.doc_path, count(DISTINCT y.doc_path) AS reach, round(sum(round(similarity * 1e6)::BIGINT) / count(*)) / 1e6 AS strength FROM d JOIN vec x ON d.id = x.id JOIN vec y ON o = y.id WHERE x.doc_path <> y.doc_path GROUP BY ALL),
 t AS (SELECT id, doc_path, reach, strength, round(reach / (SELECT count(DISTINCT doc_path) - 1 FROM vec) * (0.4 + 0.6 * strength), 6) AS score FROM s)
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_path ORDER BY score DESC, id) = 1""",
     "contradiction_candidates": f"""WITH {_VEC}, {_pairs(0.3, 0.45)}, {_MENT}, c AS ({_COOC.format(dist=_dist('px', 'py'), seed=3, k=30)})

@@ -2,7 +2,8 @@
 
 Files are read as binary rows, decoded as UTF-8 with replacement characters,
 and split by the rule of their suffix: Markdown by headings, JSON by keys or
-items, everything else by blank lines.
+items, everything else by blank lines.  Spark's reader leaves out files of no
+bytes; they would have no chunk.
 """
 
 from __future__ import annotations
@@ -52,27 +53,29 @@ def paragraphs(stem: Column, text: Column) -> Column:
     return F.transform(kept, lambda p: F.struct(stem.alias("heading"), p.alias("text")))
 
 
-@F.pandas_udf("array<struct<heading: string, text: string>>")
-def json_sections(stems: pd.Series, texts: pd.Series) -> pd.Series:
+def _json_parts(stem: str, text: str) -> list[dict]:
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return [{"heading": stem, "text": text}]
+    shown = lambda v: v if isinstance(v, str) else json.dumps(v, indent=2, ensure_ascii=False)
+    if isinstance(data, dict):
+        return [{"heading": k, "text": shown(v)} for k, v in data.items()]
+    if not isinstance(data, list):
+        return [{"heading": stem, "text": str(data)}]
+    heads = [next((str(item[c]) for c in ("name", "id", "title") if c in item), "") if isinstance(item, dict) else "" for item in data]
+    return [{"heading": head or f"item_{k}", "text": shown(item)} for k, (head, item) in enumerate(zip(heads, data))]
+
+
+def json_sections(stem: Column, text: Column) -> Column:
     """Sections of a JSON file; Python keeps the order of keys and numbers as
     they are written."""
 
-    def shown(value) -> str:
-        return value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False)
-
-    def sections(stem: str, text: str) -> list[dict]:
-        try:
-            data = json.loads(text)
-        except ValueError:
-            return [{"heading": stem, "text": text}]
-        if isinstance(data, dict):
-            return [{"heading": k, "text": shown(v)} for k, v in data.items()]
-        if not isinstance(data, list):
-            return [{"heading": stem, "text": str(data)}]
-        named = lambda k, item: next((str(item[c]) for c in ("name", "id", "title") if c in item), f"item_{k}") if isinstance(item, dict) else f"item_{k}"
-        return [{"heading": named(k, item), "text": shown(item)} for k, item in enumerate(data)]
-
-    return pd.Series([sections(s, t) for s, t in zip(stems, texts)])
+    @F.pandas_udf("array<struct<heading: string, text: string>>")
+    def of(stems: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_json_parts(s, t) for s, t in zip(stems, texts)])
+
+    return of(stem, text)
 
 
 def sections(files: DataFrame, corpus: str) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import arm_name, clamped
 
-SCHEMA = T.StructType.fromDDL("corpus string, mode string, strategy string, action string, score double, weight double, insight_id string, timestamp string")
+SCHEMA = "corpus string, mode string, strategy string, action string, score double, weight double, insight_id string, timestamp string"
 
 
 def log(spark: SparkSession, path: str) -> DataFrame:
