@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,24 @@ from pyspark.sql.window import Window
 from ..functions.columns import content_id, stripped
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: parts of a lambda aren't shared."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _end(text: Column, n: Column, stop: Column, most: int) -> Column:
+    """Where a window that reaches to ``stop`` ends."""
+    look = stop - most // 5
+
+    def broken(tail: Column) -> Column:
+        line, sentence = F.instr(tail, F.lit("\n")), F.instr(tail, F.lit(" ."))
+        return F.when(line > 0, stop - line).when(sentence > 0, stop - sentence - 1).otherwise(-1)
+
+    tail = F.reverse(F.substring(text, look + 1, F.lit(most // 5)))
+    cut = _let(_let(tail, broken), lambda found: F.when(found > look, found + 1).otherwise(stop))
+    return F.when(stop < n, cut).otherwise(stop)
+
+
 def windows(text: Column, most: int = 2000, overlap: int = 200) -> Column:
     """The chunks of one section, an array of texts.
 
@@ -24,15 +44,11 @@ def windows(text: Column, most: int = 2000, overlap: int = 200) -> Column:
     steps = F.sequence(F.lit(0), F.floor(n / (most - most // 5 - overlap)).cast("int") + 1)
 
     def cut(done: Column, _: Column) -> Column:
-        stop = F.least(done["at"] + most, n)
-        look = stop - most // 5
-        tail = F.reverse(F.substring(text, look + 1, F.lit(most // 5)))
-        line, sentence = F.instr(tail, F.lit("\n")), F.instr(tail, F.lit(" ."))
-        found = F.when(line > 0, stop - line).when(sentence > 0, stop - sentence - 1).otherwise(-1)
-        end = F.when((stop < n) & (found > look), found + 1).otherwise(stop)
-        part = stripped(F.substring(text, done["at"] + 1, end - done["at"]))
-        more = F.struct(F.when(end < n, end - overlap).otherwise(n).cast("int").alias("at"), F.when(part == "", done["out"]).otherwise(F.concat(done["out"], F.array(part))).alias("out"))
-        return F.when(done["at"] < n, more).otherwise(done)
+        return F.when(done["at"] >= n, done).otherwise(_let(F.least(done["at"] + most, n), lambda stop: _let(_end(text, n, stop, most), lambda end: put(done, end))))
+
+    def put(done: Column, end: Column) -> Column:
+        after = F.when(end < n, end - overlap).otherwise(n).cast("int").alias("at")
+        return _let(stripped(F.substring(text, done["at"] + 1, end - done["at"])), lambda part: F.struct(after, F.when(part == "", done["out"]).otherwise(F.concat(done["out"], F.array(part))).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     blank = stripped(text) == ""
