@@ -210,6 +210,17 @@ class Chunks:
         return flat[take], ends[last]
 
 
+_kept: dict[tuple, Chunks] = {}
+
+
+def kept(kind: str, file: str, encoder: Callable[[str], Callable], limit: int) -> Chunks:
+    """A worker's chunks for a file, which its later tasks use too."""
+    key = (kind, hash(file), limit)
+    if key not in _kept:
+        _kept[key] = Chunks(encoder(file), limit)
+    return _kept[key]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The rows in blocks of about BLOCK_CHARS characters, with their texts."""
     for batch in batches:
