@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import pinned
+
 
 def _first(rows: DataFrame, group: list[str], n: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
@@ -81,13 +83,14 @@ def sources_of(insights: DataFrame, sources: DataFrame, chunks: DataFrame) -> Da
 def ancestors(nodes: DataFrame, most: int = 100) -> DataFrame:
     """node, ancestor, hops of a forest (id, parent), each node its own at 0.
 
-    One join for each level; levels are bounded by the depth of the trees.
+    One join for each level, written out, so no level is computed twice; levels
+    are bounded by the depth of the trees.
     """
     edges = nodes.select(F.col("id").alias("of"), F.col("parent").alias("up"))
     level = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("hops"))
     out = level
     for k in range(1, most + 1):
-        level = level.join(edges, level["ancestor"] == edges["of"]).where("up is not null").select("node", F.col("up").alias("ancestor"), F.lit(k).alias("hops"))
+        level = pinned(level.join(edges, level["ancestor"] == edges["of"]).where("up is not null").select("node", F.col("up").alias("ancestor"), F.lit(k).alias("hops")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import clamped, content_id, entity_id, stripped, type_name
+from ..sources.staging import pinned
 
 EVIDENCE_CHARS = 500
 
@@ -76,14 +77,17 @@ def resolve(names: DataFrame, rows: DataFrame) -> DataFrame:
     in the chunk's scope as written, then in lower case; then by the only
     entity of the document with that name; of several by the one that shares
     most chunks with the other entities of this chunk (smallest id on a tie)."""
+    # What several joins read is written once, not computed for each.
+    rows = pinned(rows.drop("description"))
     local, wide = name_scope(rows)
+    local = pinned(local)
     asked = names.select("document", "chunk_id", "name").distinct()
     exact = local.select("document", "chunk_id", F.col("key").alias("name"), F.col("entity_id").alias("exact"))
     lower = local.select("document", "chunk_id", F.col("key").alias("low"), F.col("entity_id").alias("lower"))
     out = asked.withColumn("low", F.lower("name")).join(exact, ["document", "chunk_id", "name"], "left").join(lower, ["document", "chunk_id", "low"], "left")
-    out = out.withColumn("found", F.coalesce("exact", "lower")).select("document", "chunk_id", "name", "low", "found")
+    out = pinned(out.withColumn("found", F.coalesce("exact", "lower")).select("document", "chunk_id", "name", "low", "found"))
     cands = out.where("found is null").join(wide.select("document", F.col("key").alias("low"), F.col("entity_id").alias("cand")), ["document", "low"])
-    counted = cands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document", "chunk_id", "name")))
+    counted = pinned(cands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document", "chunk_id", "name"))))
     only = counted.where("n = 1").select("document", "chunk_id", "name", F.col("cand").alias("wide"))
     chunks = rows.select("document", "entity_id", "chunk_id").distinct()
     near = local.select("document", "chunk_id", F.col("entity_id").alias("near")).distinct()
@@ -112,6 +116,7 @@ def relations(extractions: DataFrame, rows: DataFrame, types: list[str]) -> Data
     raw = extractions.select("document", "chunk_ord", "chunk_id", F.posexplode("relations").alias("place", "r"))
     raw = raw.select("document", "chunk_ord", "chunk_id", "place", stripped(F.col("r.source")).alias("source"), stripped(F.col("r.target")).alias("target"), type_name(F.col("r.type")).alias("type"), F.left(F.coalesce("r.evidence", F.lit("")), F.lit(EVIDENCE_CHARS)).alias("evidence"), clamped(F.coalesce("r.confidence", F.lit(0.5))).alias("confidence"))
     raw = raw.where((F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "") & F.col("type").isin(*types))
+    raw = pinned(raw)  # read for the names, and again for the claims
     names = raw.select("document", "chunk_id", F.col("source").alias("name")).unionByName(raw.select("document", "chunk_id", F.col("target").alias("name")))
     known = resolve(names, rows)
     end = lambda c: known.select("document", "chunk_id", F.col("name").alias(c), F.col("entity_id").alias(f"{c}_id"))

@@ -129,8 +129,8 @@ m AS (SELECT l_partkey AS entity, count(DISTINCT l_orderkey) AS mentions FROM li
 SELECT entity, p_type AS type, incoming, coalesce(mentions, 0) AS mentions, round(least(0.6 + 0.4 * (incoming - coalesce(mentions, 0)) / greatest(incoming, 1), 1.0), 6) AS score
 FROM i JOIN part ON entity = p_partkey LEFT JOIN m USING (entity) WHERE incoming >= 2 AND coalesce(mentions, 0) < incoming ORDER BY score DESC, incoming DESC, entity LIMIT 15""",
     "entity_neighbors": f"WITH {_REL}, {_SEEN}, {_near(5)} SELECT * FROM near WHERE seed IN (SELECT p_partkey FROM part)",
-    "chunks_for_entity": f"WITH {_MENT} SELECT entity, chunk, doc FROM ment JOIN part ON entity = p_partkey WHERE p_size < 5",
-    "entities_for_chunk": f"WITH {_MENT} SELECT chunk, entity FROM ment JOIN orders ON chunk = o_orderkey WHERE o_orderstatus = 'P'",
+    "chunks_for_entity": f"WITH {_MENT} SELECT entity, chunk, doc FROM ment JOIN part ON entity = p_partkey",
+    "entities_for_chunk": f"WITH {_MENT} SELECT chunk, entity FROM ment JOIN orders ON chunk = o_orderkey",
     "follow_refs": f"""WITH {_MENT}, {_REL}, {_SEEN}, {_near(3)}, seeds AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'),
 own AS (SELECT chunk, entity FROM ment WHERE chunk IN (SELECT id FROM seeds) QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY entity) <= 2),
 there AS (SELECT entity, chunk FROM ment QUALIFY row_number() OVER (PARTITION BY entity ORDER BY doc, chunk) <= 2)
@@ -191,7 +191,7 @@ SELECT document, source_id, target_id, left(sha256(source_id || ':GOES_WITH:' ||
 n AS (SELECT p_partkey AS id, p_name || ' n' AS name, repeat('n', p_size % 4) AS d FROM part WHERE p_partkey % 2 = 0)
 SELECT id, coalesce(o.name, n.name) AS name, CASE WHEN o.id IS NULL OR length(n.d) > length(o.d) THEN n.d ELSE o.d END AS description,
   CASE WHEN o.id IS NULL THEN 'n,both' WHEN n.id IS NULL THEN 'o,both' ELSE 'o,both,n' END AS aliases FROM o FULL JOIN n USING (id)""",
-    "keyed_merge_relation": f"""WITH {_REL}, r AS (SELECT source || ':' || type || ':' || target AS id, * FROM rel WHERE source >= -20),
+    "keyed_merge_relation": f"""WITH {_REL}, r AS (SELECT source || ':' || type || ':' || target AS id, * FROM rel),
 o AS (SELECT * FROM r WHERE target % 3 = 0), n AS (SELECT * FROM r WHERE target % 2 = 0 AND target % 4 = 0)
 SELECT coalesce(o.id, n.id) AS id, greatest(coalesce(o.confidence, 0.05), CASE WHEN n.id IS NULL THEN o.confidence ELSE 0.05 END) AS confidence, CASE WHEN o.id IS NULL THEN 'later' ELSE 'quote' END AS evidence,
   CASE WHEN o.id IS NULL THEN 'x,' || n.type WHEN n.id IS NULL THEN o.type ELSE o.type || ',x' END AS source_chunks FROM o FULL JOIN n ON o.id = n.id""",

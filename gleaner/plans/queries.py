@@ -129,10 +129,6 @@ def entity_gaps(s, d):
     return discover.entity_gaps(incoming, lines, kinds)
 
 
-def _seeds(s, d, every: int = 50, column: str = "p_partkey", name: str = "part"):
-    return T.table(s, d, name).where(F.col(column) % every == 0).select(F.col(column).alias("id"))
-
-
 @query
 def entity_neighbors(s, d):
     return graph.neighbors(T.relations(s, d), T.table(s, d, "part").select(F.col("p_partkey").alias("id")), 5)
@@ -140,16 +136,17 @@ def entity_neighbors(s, d):
 
 @query
 def chunks_for_entity(s, d):
-    return graph.chunks_of(T.mentions(s, d), T.table(s, d, "part").where("p_size < 5").select(F.col("p_partkey").alias("id")))
+    return graph.chunks_of(T.mentions(s, d), T.table(s, d, "part").select(F.col("p_partkey").alias("id")))
 
 
 @query
 def entities_for_chunk(s, d):
-    return graph.entities_of(T.mentions(s, d), T.table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")))
+    return graph.entities_of(T.mentions(s, d), T.table(s, d, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 @query
 def follow_refs(s, d):
+    # The seeds themselves aren't found, so they are one status of three.
     return graph.hops(T.mentions(s, d), T.relations(s, d), T.table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")))
 
 
@@ -337,7 +334,7 @@ def keyed_merge_entity(s, d):
 
 @query
 def keyed_merge_relation(s, d):
-    r = T.relations(s, d).where("source >= -20").select(F.concat_ws(":", "source", "type", "target").alias("id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type", F.col("confidence"), F.lit("quote").alias("evidence"), F.array(F.col("type")).alias("source_chunks"))
+    r = T.relations(s, d).select(F.concat_ws(":", "source", "type", "target").alias("id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type", F.col("confidence"), F.lit("quote").alias("evidence"), F.array(F.col("type")).alias("source_chunks"))
     new = r.where("target_id % 2 = 0").withColumn("confidence", F.lit(0.05)).withColumn("evidence", F.lit("later")).withColumn("source_chunks", F.array(F.lit("x"), F.col("type")))
     ends = T.table(s, d, "part").select(F.col("p_partkey").alias("id")).where("id % 4 = 0").unionByName(T.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id")))
     out = store.merge_relations(r.where("target_id % 3 = 0"), new, ends)
