@@ -6,48 +6,20 @@ import ctypes
 import functools
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import pinned, shared_dir  # noqa: F401
+
 #: White space of all contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent (local tests) a temporary folder is made once
-    and set as the checkpoint directory.
-    """
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        sc.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pinned-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_columns(df: DataFrame, **names: str) -> list[Column]:
     """The named columns under the operator's own names; all others stay out,
     so none of them can clash."""
@@ -107,13 +79,19 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """While this lasts, Python workers get so many rows at once.  For whole
-    texts the usual 10,000 take much memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """While this lasts, a setting of the session has another value."""
     before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While this lasts, Python workers get so many rows at once.  For whole
+    texts the usual 10,000 take much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    return setting(spark, name, min(rows, before) if before > 0 else rows)

@@ -21,22 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import input_columns, pinned
+from ._common import input_columns, pinned, setting
 
 
-def shard(docs: DataFrame, *, shards: int = 8, bucket_bytes: int = 16 << 20, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, size, shard, slot (gapless in its shard) of every row."""
+def shard(docs: DataFrame, *, shards: int = 8, bucket_bytes: int = 16 << 20, max_tasks: int = 20_000, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, size, shard, slot (gapless in its shard) of every row.
+
+    max_tasks: neighbouring buckets share a task where there are more, since
+    what the driver holds for a shuffle grows with its tasks.
+    """
     rows = docs.select(*input_columns(docs, id=id_col, text=text_col))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     total = rows.select(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     scattered = rows.select(F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), F.struct(place.alias("place"), "id", "text", size.alias("size")).alias("record"))
-    # One bucket, one partition: the shuffle's generator starts from the seed
-    # and the partition, and the records come to it in order.
-    gathered = scattered.repartitionById(buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
+    # The shuffle's generator starts from the seed and the partition, and the
+    # buckets and their records come to it in order.  The sort that brings
+    # them there spills, so a task holds one bucket at a time.
+    per_task = -(-buckets // max_tasks)
+    tasks = -(-buckets // per_task)
+    gathered = scattered.withColumn("task", F.floor(F.col("bucket") / per_task).cast("int")).repartitionById(tasks, "task")
+    gathered = gathered.groupBy("task", "bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
     shuffled = gathered.select("bucket", F.shuffle("records", seed).alias("records"))
-    dealt = pinned(shuffled.select("bucket", F.posexplode("records").alias("at", "r")).select("bucket", "at", F.col("r.id").alias("id"), F.col("r.text").alias("text"), F.col("r.size").alias("size")))
+    dealt = shuffled.select("bucket", F.posexplode("records").alias("at", "r")).select("bucket", "at", F.col("r.id").alias("id"), F.col("r.text").alias("text"), F.col("r.size").alias("size"))
+    with setting(docs.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        dealt = pinned(dealt)
     counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row for each bucket of bucket_bytes.
     before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

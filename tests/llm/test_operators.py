@@ -302,6 +302,9 @@ def test_sharding(spark, sf_dir, docs, tmp_path):
     small = sharding.shard(frame(spark), shards=3, bucket_bytes=2000)
     check_shards(ODD, small.collect(), 3)
     assert sorted(map(str, small.collect())) == sorted(map(str, sharding.shard(frame(spark), shards=3, bucket_bytes=2000).collect()))
+    few = lambda: sharding.shard(frame(spark), shards=3, bucket_bytes=2000, max_tasks=2).collect()
+    check_shards(ODD, few(), 3)
+    assert sorted(map(str, few())) == sorted(map(str, few()))
     assert sharding.shard(empty(spark)).count() == 0
     sharding.write(small, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
