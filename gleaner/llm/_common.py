@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import pinned, shared_dir  # noqa: F401
+from ..sources.staging import pinned  # noqa: F401  (for the operators)
 
 #: White space of all contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
@@ -47,10 +47,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def package_on_workers(spark: SparkSession) -> None:
     """Lets Python workers of a local master import this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
