@@ -184,13 +184,14 @@ class Engine:
         if strategy == "contradiction":
             if not self.completer:
                 return []
-            near = [(r.similarity, ids[r.a], ids[r.b]) for r in discover.similar_pairs(numbered, threshold, 0.85).collect()]
-            near += [(r.score, r.a, r.b) for r in discover.cooccurrences(self.mentions(), 30, seed).collect()]
+            # Pairs of one entity go first: at 0.85 they are never below similar pairs.
+            near = sorted((0.85, r.a, r.b) for r in discover.cooccurrences(self.mentions(), 30, seed).collect())
+            near += [(r.similarity, ids[r.a], ids[r.b]) for r in discover.cross_document_pairs(numbered, threshold, 0.85).orderBy(F.desc("similarity"), "a", "b").limit(30).collect()]
             text = {r.id: (r.doc_path, r.text) for r in self.read("chunk").where(F.col("id").isin([i for f in near for i in f[1:]])).select("id", "doc_path", "text").collect()}
             seen = set()
-            for score, a, b in sorted(near, key=lambda f: (-f[0], f[1:]))[:30]:
+            for score, a, b in near[:30]:
                 pair = tuple(sorted((text[a][0], text[b][0])))
-                if pair in seen or pair[0] == pair[1]:
+                if pair in seen:
                     continue
                 verdict = models.parsed(self.completer.complete('Do these contradict each other? JSON: {"contradicts", "why"}', f"{text[a][1][:800]}\n--\n{text[b][1][:800]}"))
                 if isinstance(verdict, dict) and verdict.get("contradicts"):

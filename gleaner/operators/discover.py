@@ -54,6 +54,11 @@ def _with_sides(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where("path_a <> path_b")
 
 
+def cross_document_pairs(chunks: DataFrame, threshold: float = THRESHOLD, most: float = 1.0) -> DataFrame:
+    """a, b, similarity of the similar pairs whose chunks have different paths (doc_path)."""
+    return _with_sides(similar_pairs(chunks, threshold, most), chunks).select("a", "b", "similarity")
+
+
 def bridges(chunks: DataFrame, threshold: float = THRESHOLD, k: int | None = 10) -> DataFrame:
     """Similar chunks of different documents, the best of each pair of documents."""
     rows = _with_sides(similar_pairs(chunks, threshold), chunks)
