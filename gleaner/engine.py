@@ -126,6 +126,9 @@ class Engine:
     def relations(self) -> DataFrame:
         return self.read("relation").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", "confidence")
 
+    def _ids(self, ids) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id string")
+
     def _numbered(self, rows: DataFrame) -> tuple[DataFrame, dict[int, str]]:
         """A bounded sample under numbers, as similar_pairs takes them."""
         names = [r[0] for r in rows.select("id").orderBy("id").collect()]
@@ -154,11 +157,14 @@ class Engine:
             kinds = self.read("entity").select(F.col("id").alias("entity"), F.col("entity_type").alias("type"))
             found = discover.entity_gaps(self.relations().select(F.col("target").alias("entity")), self.mentions(), kinds, quota).collect()
             named = names(found)
-            out = [{"score": r.score, "text": f"{named[r.entity]} is referred to {r.incoming} times and mentioned {r.mentions} times", "sources": []} for r in found]
+            five = F.slice(F.array_sort(F.collect_set("chunk")), 1, 5).alias("chunks")
+            places = {r.entity: r.chunks for r in graph.chunks_of(self.mentions(), self._ids(r.entity for r in found)).groupBy("entity").agg(five).collect()}
+            out = [{"score": r.score, "text": f"{named[r.entity]} is referred to {r.incoming} times and mentioned {r.mentions} times", "sources": places.get(r.entity, [])} for r in found]
             if self.completer and len(out) < k:
-                texts = "\n--\n".join(r.text[:300] for r in sample.select("text").collect())
+                drawn = sample.select("id", "text").collect()
+                texts = "\n--\n".join(r.text[:300] for r in drawn)
                 gaps = models.parsed(self.completer.complete('Name what these passages leave open, as JSON: [{"gap", "score"}]', texts)) or []
-                out += [{"score": max(0.0, min(1.0, float(g.get("score", 0.5)))), "text": g["gap"], "sources": []} for g in gaps if isinstance(g, dict) and g.get("gap")][: k - len(out)]
+                out += [{"score": max(0.0, min(1.0, float(g.get("score", 0.5)))), "text": g["gap"], "sources": [r.id for r in drawn[:5]]} for g in gaps if isinstance(g, dict) and g.get("gap")][: k - len(out)]
             return out[:k]
         numbered, ids = self._numbered(sample)
         if strategy == "bridge":
@@ -219,6 +225,37 @@ class Engine:
         except (TypeError, KeyError, ValueError, OSError):
             return "unsupported", 0.0
 
+    def _contexts(self, found: list[dict]) -> list[tuple[list[str], list[str]]]:
+        """What each finding (id, embedding, sources) is judged on: evidence and
+        insights like it.  Evidence is the texts of its source chunks or source
+        insights, the chunks' entities (5 a chunk, 10) and the relations of these
+        (3 an entity, 10)."""
+        sources = sorted({s for f in found for s in f["sources"]})
+        texts = {r.id: r.text for r in self.read("chunk").where(F.col("id").isin(sources)).select("id", "text").collect()}
+        texts |= {r.id: f"{r.strategy}: {r.text}" for r in self.read("insight").where(F.col("id").isin(sources)).select("id", "strategy", "text").collect()}
+        entity = self.read("entity")
+        first = F.slice(F.array_sort(F.collect_set("entity")), 1, 5)
+        own = graph.entities_of(self.mentions(), self._ids(sources)).groupBy("chunk").agg(first.alias("first")).select("chunk", F.explode("first").alias("id")).join(entity.select("id", "name", "entity_type"), "id")
+        of: dict[str, list] = {}
+        for r in own.orderBy("chunk", "id").collect():
+            of.setdefault(r.chunk, []).append(r)
+        end = lambda k: entity.select(F.col("id").alias(f"{k}_id"), F.col("name").alias(k))
+        near = graph.neighbors(self.relations(), self._ids({r.id for rows in of.values() for r in rows}), 3).join(end("from"), "from_id").join(end("to"), "to_id")
+        hops: dict[str, list[str]] = {}
+        for r in near.select("seed", "confidence", "other", C.hop(F.col("from"), F.col("type"), F.col("to")).alias("hop")).orderBy("seed", F.desc("confidence"), "other", "hop").collect():
+            hops.setdefault(r.seed, []).append(r.hop)
+        out = []
+        for f in found:
+            named, paths = {}, {}
+            for r in (r for s in f["sources"] for r in of.get(s, [])):
+                if r.name.lower() not in named:
+                    named[r.name.lower()] = f"{r.name} ({r.entity_type})"
+                    paths |= dict.fromkeys(hops.get(r.id, []))
+            lines = [", ".join(list(named.values())[:10]), "\n".join(list(paths)[:10])]
+            like = search.vector_top_k(self.read("insight").where(~F.col("id").isin([f["id"], *f["sources"]])), f["embedding"], 3).where(F.col("score") >= discover.THRESHOLD)
+            out.append(([texts[s] for s in f["sources"] if s in texts] + [x for x in lines if x], [r.text for r in like.orderBy(F.desc("score"), "id").select("text", "score", "id").collect()]))
+        return out
+
     def explore(self, corpus: str = "", strategy: str | None = None, k: int = 10, evaluate: bool = True, ground: bool = False, persist: bool = True, output: str | None = None, threshold: float = discover.THRESHOLD, seed: int | None = None) -> list[dict]:
         """One cycle: pick, find, judge, ground, keep, log."""
         corpus = self.resolve_corpus(corpus)
@@ -226,21 +263,22 @@ class Engine:
         found = self.candidates(arm, corpus, k, threshold, seed or 0)
         self._artifact(output, "candidates", found)
         log = []
-        for f in found:
-            f |= {"strategy": arm, "layer": f.get("layer", 1), "corpus_id": corpus, "created_at": now()}
+        keyed = self.spark.createDataFrame([(i, arm, ",".join(sorted(f["sources"])), f["text"]) for i, f in enumerate(found)], "i int, s string, src string, t string")
+        ids = {r.i: r.id for r in keyed.select("i", content_id(F.col("s"), F.col("src"), F.col("t")).alias("id")).collect()}
+        vectors = self.embedder.embed([f["text"] for f in found]) if found else []
+        for i, f in enumerate(found):
+            f |= {"id": ids[i], "embedding": vectors[i], "strategy": arm, "layer": f.get("layer", 1), "corpus_id": corpus, "created_at": now()}
+        contexts = self._contexts(found) if evaluate and found else [([], [])] * len(found)
+        for f, (evidence, like) in zip(found, contexts):
             if evaluate:
-                texts = [r.text for r in self.read("chunk").where(F.col("id").isin(f["sources"])).select("text").collect()]
-                f["score"] = self.referee.evaluate(arm, f["text"], texts)
+                # Insights that are there already bear on what is new; they are no evidence.
+                f["score"] = self.referee.evaluate("\n".join([arm, *(f"Found already: {x}" for x in like)]), f["text"], evidence)
             f["grounding"], sure = self.grounded(f) if ground and f["layer"] == 1 else (None, 0.0)
             if f["grounding"] == "contradict" and sure >= 0.7:
                 f["dropped"] = True
         self._artifact(output, "evaluated", found)
         kept = [f for f in found if not f.get("dropped")]
-        keyed = self.spark.createDataFrame([(i, f["strategy"], ",".join(sorted(f["sources"])), f["text"]) for i, f in enumerate(kept)], "i int, s string, src string, t string")
-        ids = {r.i: r.id for r in keyed.select("i", content_id(F.col("s"), F.col("src"), F.col("t")).alias("id")).collect()}
-        vectors = self.embedder.embed([f["text"] for f in kept]) if kept else []
-        for i, f in enumerate(kept):
-            f |= {"id": ids[i], "embedding": vectors[i]}
+        for f in kept:
             weight = (1.0 if evaluate else 0.5) * (0.5 if f["grounding"] == "unsupported" else 1.0)
             log.append({"corpus": corpus, "mode": "insight", "arm": arm, "score": f["score"] * weight, "insight_id": f["id"]})
         if persist and kept:
