@@ -6,7 +6,8 @@ logistic regression learns weights for these scaled features.
 
 The classifier is fitted on a bounded sample of labelled rows
 (``max_per_class`` rows of each class, lowest seeded hash of the id first);
-scoring reads every row and every whole text.
+scoring reads every row and every whole text.  The share of the classes comes
+from all labels: the intercept is corrected for what the sample leaves out.
 
 Edge cases.  Null text counts as empty.  Empty texts, and texts shorter than
 the shortest n-gram, get the intercept's probability.  Rows that repeat are
@@ -74,10 +75,14 @@ class Model:
         return 1.0 / (1.0 + np.exp(-z)) if z > -700 else 0.0
 
 
-def sample(labels: DataFrame, max_per_class: int, id_col: str, label_col: str, seed: int) -> DataFrame:
-    """At most max_per_class labelled ids of each class: id, y."""
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """The ids that can be learned from, each once: id, y."""
     one = labels.select(*input_columns(labels, id=id_col, y=label_col)).where("id is not null and y in (0, 1)")
-    one = one.groupBy("id").agg(F.max("y").alias("y"))
+    return one.groupBy("id").agg(F.max("y").alias("y"))
+
+
+def sample(one: DataFrame, max_per_class: int, seed: int) -> DataFrame:
+    """At most max_per_class labelled ids (id, y) of each class."""
     rank = F.xxhash64("id", F.lit(seed))
     picked = [one.where(f"y = {k}").orderBy(rank, "id").limit(max_per_class) for k in (0, 1)]
     return picked[0].unionByName(picked[1])
@@ -104,7 +109,11 @@ def fit(
     """
     spark = docs.sparkSession
     package_on_workers(spark)
-    ids = sample(labels, max_per_class, id_col, label_col, seed)
+    one = labelled(labels, id_col, label_col)
+    ids = sample(one, max_per_class, seed)
+    # Labels for each one that is in the sample, of each class.
+    drawn = {int(r.y): max(1.0, r.n / max_per_class) for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight0, weight1 = drawn.get(0, 1.0), drawn.get(1, 1.0)
     # 2 * max_per_class rows of two numbers: a bound that doesn't grow.
     rows = docs.select(*input_columns(docs, id=id_col, text=text_col)).join(F.broadcast(ids), "id").select("text", F.col("y").cast("int").alias("y"))
 
@@ -125,7 +134,7 @@ def fit(
     n0, n1 = (int(totals[c].sum()) for c in ("n0", "n1"))
     empty = np.zeros(BUCKETS, np.float32)
     if not n0 or not n1:
-        p = (n1 + 1) / (n0 + n1 + 2)
+        p = (n1 * weight1 + 1) / (n0 * weight0 + n1 * weight1 + 2)
         return Model(empty, float(np.log(p / (1 - p))))
     counts = counts[counts["b"] >= 0].sort_values("b")
     c0, c1, at = (counts[c].to_numpy(np.float64) for c in ("n0", "n1", "b"))
@@ -158,7 +167,7 @@ def fit(
     w, b = _logistic(np.concatenate(cols), np.asarray(ends), y, ratio, l2)
     weights = empty
     weights[at[best].astype(np.int64)] = w * ratio
-    return Model(weights, b)
+    return Model(weights, b + float(np.log(weight1 / weight0)))
 
 
 def _logistic(cols: np.ndarray, ends: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, rounds: int = 150) -> tuple[np.ndarray, float]:
