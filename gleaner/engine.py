@@ -182,7 +182,7 @@ class Engine:
             found = discover.outliers(numbered).orderBy(F.desc("score"), "id").limit(k).collect() if len(ids) >= 5 else []
             return [{"score": r.score, "text": f"{r.doc_path} stands apart (mean similarity {r.avg_similarity})", "sources": [ids[r.id]]} for r in found]
         if strategy == "hub":
-            found = discover.entity_hubs(self.mentions(), k=max(1, quota)).collect() if quota else []
+            found = discover.entity_hubs(self.mentions()).orderBy(F.desc("docs"), "entity").limit(quota).collect() if quota else []
             named = names(found)
             out = [{"score": r.score, "text": f"{named[r.entity]} spans {r.docs} documents", "sources": [r.sample_chunk]} for r in found]
             more = discover.hubs(numbered, threshold).orderBy(F.desc("score"), "id").limit(k - len(out)).collect() if len(ids) >= 5 else []

@@ -75,3 +75,11 @@ def test_links_between_findings_are_judged_on_the_findings(spark, tmp_path):
     (found,) = engine.explore("", "meta", 2)
     assert found["sources"] == ["p", "q"] and found["score"] > 0
     assert engine.referee.calls == [("meta\nFound already: text r", found["text"], ["bridge: text p", "hub: text q"])]
+
+
+def test_scores_of_hubs_do_not_depend_on_the_quota(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "d"))
+    engine._put("chunk", [chunk(f"k{i}", f"{i}.md", [1.0, float(i)]) for i in range(8)])
+    engine._put("entity", [{"id": e, "name": e, "entity_type": "THING"} for e in "ef"])
+    engine._put("mention", [{"id": f"{e}{i}", "chunk_id": f"k{i}", "entity_id": e} for e, r in (("e", range(4)), ("f", range(5, 8))) for i in r])
+    assert [round(f["score"], 6) for f in engine.candidates("hub", k=2, threshold=2.0)] == [round(1.5 * 4 / 7, 6)]
