@@ -80,31 +80,46 @@ def sources_of(insights: DataFrame, sources: DataFrame, chunks: DataFrame) -> Da
     return rows.select("id", "score", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
 
 
-def ancestors(nodes: DataFrame, most: int = 100) -> DataFrame:
-    """node, ancestor, hops of a forest (id, parent), each node its own at 0.
-
-    One join for each level, written out, so no level is computed twice; levels
-    are bounded by the depth of the trees.
-    """
-    edges = nodes.select(F.col("id").alias("of"), F.col("parent").alias("up"))
-    level = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("hops"))
-    out = level
-    for k in range(1, most + 1):
-        level = pinned(level.join(edges, level["ancestor"] == edges["of"]).where("up is not null").select("node", F.col("up").alias("ancestor"), F.lit(k).alias("hops")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"a tree is deeper than {most}")
+def _jumps(nodes: DataFrame):
+    """hops, and of, up, n of the ways that many hops up a forest (id, parent),
+    for 1, 2, 4 ... hops until there are none; n counts rows that repeat.  Each
+    is no longer than the nodes, and is written out.  A cycle raises ValueError."""
+    count, hops = nodes.count(), 1
+    ways = pinned(nodes.where("parent is not null").groupBy(F.col("id").alias("of"), F.col("parent").alias("up")).agg(F.count(F.lit(1)).alias("n")))
+    while not ways.isEmpty():
+        if hops > count:
+            raise ValueError("a tree has a cycle")
+        yield hops, ways
+        on = ways.select(F.col("of").alias("up"), F.col("up").alias("top"), F.col("n").alias("m"))
+        ways = pinned(ways.join(on, "up").groupBy("of", F.col("top").alias("up")).agg(F.sum(F.col("n") * F.col("m")).alias("n")))
+        hops *= 2
+
+
+def ancestors(nodes: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """node, ancestor, hops of a forest (id, parent), each node its own at 0;
+    of the nodes in among (id) only, if it is given."""
+    start = nodes if among is None else nodes.join(F.broadcast(among.select("id")), "id", "left_semi")
+    out = start.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("n"))
+    for k, ways in _jumps(nodes):
+        far = out.join(ways.withColumnRenamed("n", "m"), F.col("ancestor") == F.col("of"))
+        out = pinned(out.unionByName(far.select("node", F.col("up").alias("ancestor"), (F.col("hops") + k).alias("hops"), (F.col("n") * F.col("m")).alias("n"))))
+    return out.select("node", "ancestor", "hops", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def rollup(nodes: DataFrame, scores: DataFrame) -> DataFrame:
-    """id, visits, total: the scores (id, score) of each node and all below it."""
-    up = ancestors(nodes).join(scores.withColumnRenamed("id", "node"), "node")
-    return up.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("visits"), F.round(F.sum("score"), 6).alias("total"))
+    """id, visits, total: the scores (id, score) of each node and all below it.
+
+    Sums are carried up, not pairs of nodes: twice the hops each round.
+    """
+    out = nodes.join(scores, "id").groupBy("id").agg(F.count(F.lit(1)).alias("visits"), F.sum("score").alias("total"))
+    for _, ways in _jumps(nodes):
+        up = out.join(ways, F.col("id") == F.col("of")).select(F.col("up").alias("id"), (F.col("visits") * F.col("n")).alias("visits"), (F.col("total") * F.col("n")).alias("total"))
+        out = pinned(out.unionByName(up).groupBy("id").agg(F.sum("visits").alias("visits"), F.sum("total").alias("total")))
+    return out.select("id", "visits", F.round("total", 6).alias("total"))
 
 
 def best_path(nodes: DataFrame, scores: DataFrame) -> DataFrame:
     """The path from the root to the node of the highest score: step, id."""
-    best = scores.orderBy(F.desc("score"), "id").limit(1).select(F.col("id").alias("node"))
-    path = ancestors(nodes).join(F.broadcast(best), "node")  # one row
+    best = scores.orderBy(F.desc("score"), "id").limit(1)  # one row
+    path = ancestors(nodes, best)
     return path.select((F.max("hops").over(Window.partitionBy("node")) - F.col("hops")).alias("step"), F.col("ancestor").alias("id"))
