@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import input_columns, lowered
 
-#: Suffixes of two parts under which names are registered; others have one.
+#: Suffixes of two parts under which names are registered, where no others are
+#: given; under all the rest one part is the suffix.
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 
 
@@ -46,16 +47,16 @@ def path(url: Column) -> Column:
     return F.when(at > 0, F.substring(rest, at, F.length(rest))).otherwise("")
 
 
-def suffix(host: Column) -> Column:
+def suffix(host: Column, two_part: tuple[str, ...] = TWO_PART_SUFFIXES) -> Column:
     """The last part of a host, or its last two."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*two_part), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain(host: Column) -> Column:
+def domain(host: Column, two_part: tuple[str, ...] = TWO_PART_SUFFIXES) -> Column:
     """The registered domain: the suffix and one part more."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*two_part), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
@@ -74,13 +75,13 @@ def rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Col
     return which, verdict
 
 
-def reputation(pages: DataFrame, strength: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputation(pages: DataFrame, strength: float, two_part: tuple[str, ...] = TWO_PART_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of host, domain, suffix and all: their posterior's a and b.
 
     pages: host, bad (0, 1, or null without a label).
     """
     labelled = pages.where("bad is not null").groupBy("host").agg(F.sum("bad").alias("k"), F.count("bad").alias("n"))
-    labelled = labelled.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    labelled = labelled.withColumns({"domain": domain(F.col("host"), two_part), "suffix": suffix(F.col("host"), two_part)})
     total = labelled.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     top = total.select((F.col("k") + 1.0).alias("a0"), (F.col("n") - F.col("k") + 1.0).alias("b0"))
     mean = lambda x: F.col(f"a{x}") / (F.col(f"a{x}") + F.col(f"b{x}"))
@@ -105,17 +106,23 @@ def judge(
     url_col: str = "url",
     outcome_id: str = "page_id",
     outcome_col: str = "bad",
+    two_part: tuple[str, ...] = TWO_PART_SUFFIXES,
 ) -> DataFrame:
     """id, host, path, rule, verdict, bound (lower bound of the rate of bad
-    pages) of every page; outcomes: id and 0 or 1."""
+    pages) of every page; outcomes: id and 0 or 1.
+
+    two_part: the suffixes of two parts, from a public-suffix list, at most 20,000.
+    """
+    if len(two_part) > 20_000:
+        raise ValueError("at most 20,000 suffixes")
     rows = pages.select(*input_columns(pages, id=id_col, url=url_col))
     rows = rows.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     known = outcomes.select(*input_columns(outcomes, of=outcome_id, bad=outcome_col)).where("of is not null and bad is not null")
     known = known.groupBy("of").agg(F.max("bad").alias("bad"))
     labelled = rows.join(known, rows["id"] == known["of"]).select("host", "bad")
-    hosts, domains, suffixes, top = reputation(labelled, strength)
+    hosts, domains, suffixes, top = reputation(labelled, strength, two_part)
     # Hosts are far fewer than pages: each is judged once.
-    seen = rows.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    seen = rows.select("host").distinct().withColumns({"domain": domain(F.col("host"), two_part), "suffix": suffix(F.col("host"), two_part)})
     seen = seen.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left").crossJoin(F.broadcast(top))
     a, b = F.coalesce("a3", "a2", "a1", "a0"), F.coalesce("b3", "b2", "b1", "b0")
     mean = a / (a + b)
