@@ -24,6 +24,12 @@ from pyspark.sql import functions as F
 from ._common import input_columns, pinned
 
 
+#: Stands for the neighbour that the last block of an odd number lacks; no name
+#: is equal to it: names are 0 and up, those of blocks that were looked up whole
+#: -2 and down.
+NONE = -1
+
+
 def normalised(text: Column) -> Column:
     """The text with each run of white space as one space; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t-\\r]+", " ")
@@ -52,7 +58,7 @@ def identities(docs: DataFrame, *, block: int = 8192, id_col: str = "doc_id", te
     named = places.join(names, "h")
     if not shared.isEmpty():
         # Hashes that several blocks have: these blocks are looked up whole.
-        again = _named(hashed.join(shared, "h", "left_semi")).select("h", "block", (-1 - F.col("name")).alias("name"))
+        again = _named(hashed.join(shared, "h", "left_semi")).select("h", "block", (NONE - 1 - F.col("name")).alias("name"))
         whole = blocks.withColumn("h", F.xxhash64("block")).join(again, ["h", "block"]).select("row", "at", "name")
         whole = places.join(shared, "h", "left_semi").join(whole, ["row", "at"])
         named = named.join(shared, "h", "left_anti").select("row", "n", "at", "name").unionByName(whole.select("row", "n", "at", "name"))
@@ -70,7 +76,7 @@ def identities(docs: DataFrame, *, block: int = 8192, id_col: str = "doc_id", te
         pairs = named.groupBy("row", F.floor(F.col("at") / 2).alias("at"), F.ceil(F.col("n") / 2).alias("n")).agg(
             F.min(F.struct("at", "name")).alias("x"), F.when(F.count(F.lit(1)) == 2, F.max(F.struct("at", "name"))).alias("y")
         )
-        pairs = pinned(pairs.select("row", "n", "at", F.col("x.name").alias("a"), F.coalesce("y.name", F.lit(-1)).alias("b")))
+        pairs = pinned(pairs.select("row", "n", "at", F.col("x.name").alias("a"), F.coalesce("y.name", F.lit(NONE)).alias("b")))
         new = pinned(_named(pairs.select("a", "b")))
         named = pinned(pairs.join(new, ["a", "b"]).select("row", "n", "at", "name"))
     return base.select("row", "id", "sha256").join(found, "row")
