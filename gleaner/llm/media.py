@@ -8,9 +8,11 @@ the pages that were read back.  A text's pages stay in one worker: no pixels
 move between tasks.
 
 Edge cases.  A null or malformed file gives one row with page 0, no pixels and
-the reason in ``error``; if a later directory is malformed the pages before it
-stay and one row names the error.  A directory that was seen before ends the
-walk.  Null text is stored as empty text, which is one row of zero bytes.
+the reason in ``error``; if a later directory, or the way to it, is malformed
+the pages before it stay and one row names the error.  Malformed are sizes of
+zero or less, and pages that claim more than their packed bytes can hold.  A
+directory that was seen before ends the walk.  Null text is stored as empty
+text, which is one row of zero bytes.
 Long payloads are dealt over pages of ``page_rows`` rows.  Rows that repeat
 and tables without rows need no special treatment.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,8 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-TYPE_SIZES = {2: 1, 5: 8, 7: 1, 10: 8, 11: 4, 12: 8}
+#: No compression makes more than so many bytes of one.
+MOST_PACKED = 4096
 
 PAGE_DDL = "page int, width int, height int, bits int, samples int, compression int, predictor int, pixels binary, error string"
 
@@ -211,8 +214,8 @@ def walk(data: bytes) -> Iterator[dict]:
             if struct.calcsize(fmt) > (8 if big else 4):
                 place = struct.unpack_from(order + size_kind, data, place)[0]
             tags[tag] = list(struct.unpack_from(fmt, data, place))
-        at = struct.unpack_from(order + size_kind, data, at + n * entry)[0]
         yield _page(data, tags, order)
+        at = struct.unpack_from(order + size_kind, data, at + n * entry)[0]
 
 
 def _page(data: bytes, tags: dict[int, list[int]], order: str) -> dict:
@@ -222,6 +225,8 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> dict:
     bits, compression, predictor = all_bits[0], one(COMPRESSION, 1), one(PREDICTOR, 1)
     if len(set(all_bits)) > 1:
         raise ValueError("samples differ in size")
+    if min(width, height, samples, bits) < 1:
+        raise ValueError("a page without pixels")
     separate = one(PLANAR, 1) == 2 and samples > 1
     planes, per = (samples, 1) if separate else (1, samples)
     if tiled := TILE_OFFSETS in tags:
@@ -230,6 +235,8 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> dict:
     else:
         across, down = width, min(one(ROWS_PER_STRIP, height), height)
         offsets, sizes = tags[STRIP_OFFSETS], tags.get(STRIP_BYTES, [len(data)] * len(tags[STRIP_OFFSETS]))
+    if min(across, down) < 1 or min(*offsets, *sizes, 0) < 0:
+        raise ValueError("strips or tiles without pixels")
     columns, lines = -(-width // across), -(-height // down)
     if len(offsets) != columns * lines * planes or len(sizes) != len(offsets):
         raise ValueError("the number of strips or tiles is wrong")
@@ -237,6 +244,8 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> dict:
         step, count = -(-across * per // 8), 8
     else:
         step, count = across * per * _kind(bits, order).itemsize, bits
+    if columns * lines * min(down, height) * step * planes > MOST_PACKED * sum(min(x, len(data)) for x in sizes):
+        raise ValueError("a page larger than its strips or tiles can hold")
     out = np.zeros((planes, height, width, per), _kind(count, "<"))
     for k, (offset, size) in enumerate(zip(offsets, sizes)):
         plane, cell = divmod(k, columns * lines)
@@ -321,6 +330,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def _read(media: bytes | None) -> Iterator[dict]:
+    """A file's rows, as PAGE_DDL."""
     page = 0
     try:
         if media is None:
@@ -330,41 +340,48 @@ def _read(media: bytes | None) -> Iterator[dict]:
             page += 1
         if not page:
             raise ValueError("no page")
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
-        yield {"page": page, "error": f"{type(e).__name__}: {e}"}
+    except (ValueError, KeyError, IndexError, ArithmeticError, struct.error, zlib.error, MemoryError) as e:
+        yield {"page": page, "pixels": None, "error": f"{type(e).__name__}: {e}"}
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch], media_col: str, fields: list[pa.Field], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The columns of files and one row per page after them, in batches of
+    about ``most`` bytes of pixels."""
+
+    def rows(part: pa.RecordBatch, at: list[int], found: list[dict]) -> pa.RecordBatch:
+        every, first = pa.array(at), pa.array([k if p["page"] == 0 else None for k, p in zip(at, found)], pa.int64())
+        own = [c.take(first if n == media_col else every) for n, c in zip(part.schema.names, part.columns)]
+        made = [pa.array([p.get(f.name) for p in found], f.type) for f in fields]
+        return pa.RecordBatch.from_arrays(own + made, names=part.schema.names + [f.name for f in fields])
+
+    for part in _blocks(batches, media_col):
+        at, found, held = [], [], 0
+        for k, media in enumerate(part.column(media_col)):
+            for page in _read(media.as_py()):
+                at.append(k)
+                found.append(page)
+                held += len(page["pixels"] or b"")
+                if held >= most:
+                    yield rows(part, at, found)
+                    at, found, held = [], [], 0
+        if found:
+            yield rows(part, at, found)
+
+
+def _without(files: DataFrame, ddl: str) -> DataFrame:
+    """files without the columns that ddl names."""
+    own = {n.lower() for n in T.StructType.fromDDL(ddl).names}
+    return files.select(*[files[c] for c in files.columns if c.lower() not in own])
 
 
-def pages(files: DataFrame, *, media_col: str = "media", pixels: bool = True, summary: Callable[[bytes, list[dict]], dict] | None = None, summary_ddl: str = "") -> DataFrame:
+def pages(files: DataFrame, *, media_col: str = "media") -> DataFrame:
     """The columns of files, and one row per page of each file (PAGE_DDL)
     after them, in place of columns of the same names.  The media column stays
-    with a file's first page only.
-
-    pixels: whether the pixels come along.  summary: of a file and all its
-    pages, the values of summary_ddl; they stand in the row of the last page.
-    """
+    with a file's first page only."""
     package_on_workers(files.sparkSession)
-    page_schema, more = T.StructType.fromDDL(PAGE_DDL), T.StructType.fromDDL(summary_ddl) if summary else T.StructType()
-    fields = [f for f in page_schema if pixels or f.name != "pixels"] + list(more)
-    own = {f.name.lower() for f in fields}
-    rows = files.select(*[files[c] for c in files.columns if c.lower() not in own])
-    kinds = list(to_arrow_schema(T.StructType(fields)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _blocks(batches, media_col):
-            found, at = [], []
-            for k, media in enumerate(part.column(media_col)):
-                media = media.as_py()
-                own_pages = list(_read(media))
-                if summary:
-                    own_pages[-1].update(summary(media, own_pages))
-                found += own_pages
-                at += [k] * len(own_pages)
-            taken = part.take(pa.array(at))
-            made = [pa.array([x.get(f.name) for x in found], f.type) for f in kinds]
-            kept = [pc.if_else(pc.equal(made[0], 0), c, pa.scalar(None, c.type)) if n == media_col else c for n, c in zip(taken.schema.names, taken.columns)]
-            yield pa.RecordBatch.from_arrays(kept + made, names=taken.schema.names + [f.name for f in kinds])
-
-    return rows.mapInArrow(released(run), T.StructType(rows.schema.fields + fields))
+    rows, made = _without(files, PAGE_DDL), T.StructType.fromDDL(PAGE_DDL)
+    fields = list(to_arrow_schema(made))
+    return rows.mapInArrow(released(lambda batches: _page_rows(batches, media_col, fields)), T.StructType(rows.schema.fields + made.fields))
 
 
 def feature(pixels: bytes, width: int = 64) -> str:
@@ -382,28 +399,55 @@ def feature(pixels: bytes, width: int = 64) -> str:
     return f"rows={len(grey)};mean={total // n};var={squares // n - (total // n) ** 2};ahash={bits}"
 
 
-SUMMARY_DDL = "last boolean, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SUMMARY_DDL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def summarised(media: bytes | None, found: list[dict]) -> dict:
-    """Digests and the feature of the bytes that were read back from a file."""
-    if found[-1]["error"]:
-        return {"last": True}
-    payload = b"".join(p["pixels"] for p in found)
+def summarised(rows: list[dict], media_col: str) -> dict:
+    """SUMMARY_DDL of a file's page rows; without values if one is malformed or
+    isn't of the form that store() writes."""
+    width = rows[0].get("width")
+    if any(r["error"] or r["width"] != width or width % 8 or (r["bits"], r["samples"]) != (8, 1) for r in rows):
+        return {}
+    media, payload = rows[0][media_col], b"".join(r["pixels"] for r in rows)
     return {
-        "last": True,
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-64:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": feature(payload),
+        "feature": feature(payload, width),
     }
 
 
+def _folded(batches: Iterator[pa.RecordBatch], media_col: str, own: list[str], schema: pa.Schema, most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """One row per file from its page rows, which follow each other."""
+    file: list[dict] = []
+    made: list[dict] = []
+
+    def close() -> None:
+        if file:
+            made.append({c: file[0][c] for c in own} | summarised(file, media_col))
+            file.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["page"] == 0:
+                close()
+            file.append(row)
+        if len(made) >= most:
+            yield pa.RecordBatch.from_pylist(made, schema)
+            made.clear()
+    close()
+    if made:
+        yield pa.RecordBatch.from_pylist(made, schema)
+
+
 def summaries(files: DataFrame, *, media_col: str = "media") -> DataFrame:
     """One row per file that store() wrote: its columns but the media, and
-    those of SUMMARY_DDL but ``last``, from the pages that were read back."""
-    read = pages(files, media_col=media_col, pixels=False, summary=summarised, summary_ddl=SUMMARY_DDL).where("last")
-    own = [c for c in files.columns if c != media_col and c in read.columns]
-    return read.select(*own, *T.StructType.fromDDL(SUMMARY_DDL).names[1:])
+    SUMMARY_DDL of its page rows.  These are read and folded in one worker."""
+    package_on_workers(files.sparkSession)
+    rows, fields = _without(_without(files, PAGE_DDL), SUMMARY_DDL), list(to_arrow_schema(T.StructType.fromDDL(PAGE_DDL)))
+    own = [f for f in rows.schema.fields if f.name != media_col]
+    made = T.StructType(own + T.StructType.fromDDL(SUMMARY_DDL).fields)
+    names, schema = [f.name for f in own], to_arrow_schema(made)
+    return rows.mapInArrow(released(lambda batches: _folded(_page_rows(batches, media_col, fields), media_col, names, schema)), made)

@@ -1,7 +1,9 @@
 """Every operator against a brute-force version, on a table and on odd rows."""
 
+import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,6 +196,13 @@ def test_exact_when_hashes_meet(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(3)))
     rows = [(k, "block" * (k % 7) + str(k % 11)) for k in range(60)]
     check_exact(rows, exact_dedup.dedup(frame(spark, rows), block=8).collect())
+    # Three blocks, and the same with a fourth one: names of blocks that were
+    # looked up whole are none of those that stand for a missing neighbour.
+    parts = ["aaaaaaaa", "bbbbbbbb", "cccccccc", "dddddddd"]
+    rows = [(10 * k + j, "".join(parts[i] for i in order)) for k, order in enumerate([(0, 1, 2), (0, 1, 2, 3), (1, 2, 0), (1, 2, 0, 3), (3, 2, 1), (3, 2, 1, 0), (2,), (2, 0)]) for j in range(2)]
+    for hashes in (1, 2, 3):
+        monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c, m=hashes: F.pmod(real(*c), F.lit(m)))
+        check_exact(rows, exact_dedup.dedup(frame(spark, rows), block=8).collect())
 
 
 # 6: TIFF
@@ -231,6 +240,87 @@ def test_tiff_odd_files(spark):
     assert count[(3, False)] == 1
 
 
+def tiff(tags: dict[int, tuple[int, ...]], data: bytes, more: bytes = b"\0\0\0\0", kind: int = 4) -> bytes:
+    """A little-endian file of one directory; offsets in tags count from 8."""
+    at, lists = 8 + len(data), b""
+    ends = at + 2 + 12 * len(tags) + 4
+    out = struct.pack("<2sHI", b"II", 42, at) + data + struct.pack("<H", len(tags))
+    for tag, values in sorted(tags.items()):
+        if len(values) > 1:
+            out += struct.pack("<HHII", tag, kind, len(values), ends + len(lists))
+            lists += struct.pack(f"<{len(values)}I", *values)
+        else:
+            out += struct.pack("<HHII", tag, kind, 1, values[0])
+    return out + more + lists
+
+
+def test_codes_from_the_formats_descriptions():
+    # The examples that the descriptions of the codes give.
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    plain = bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+    assert media.unpack_bits(packed, len(plain)) == plain
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    lzw = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert media.unpack_lzw(lzw, 10) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+def test_files_that_another_writer_made():
+    lzw = int("".join(f"{c:09b}" for c in [256, 7, 258, 8, 8, 258, 6, 6, 257]).ljust(88, "0"), 2).to_bytes(11, "big")
+    strip = tiff({256: (3,), 257: (3,), 258: (8,), 259: (5,), 262: (1,), 273: (8,), 277: (1,), 278: (3,), 279: (len(lzw),)}, lzw)
+    assert next(media.walk(strip))["pixels"] == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    # Four tiles of 16 x 16 for 20 x 18 pixels: the rest of a tile is no pixel.
+    image = np.arange(20 * 18, dtype=np.uint8).reshape(18, 20)
+    data, offsets = b"", []
+    for y in (0, 16):
+        for x in (0, 16):
+            offsets.append(8 + len(data))
+            tile = np.full((16, 16), 255, np.uint8)
+            part = image[y : y + 16, x : x + 16]
+            tile[: part.shape[0], : part.shape[1]] = part
+            data += zlib.compress(tile.tobytes())
+    sizes = [b - a for a, b in zip(offsets, [*offsets[1:], 8 + len(data)])]
+    tags = {256: (20,), 257: (18,), 258: (8,), 259: (8,), 262: (1,), 277: (1,), 322: (16,), 323: (16,), 324: tuple(offsets), 325: tuple(sizes)}
+    assert next(media.walk(tiff(tags, data)))["pixels"] == image.tobytes()
+
+
+def test_malformed_pages_are_rows_with_the_reason(spark):
+    good = {256: (4,), 257: (4,), 258: (8,), 259: (1,), 273: (8,), 277: (1,), 278: (4,), 279: (16,)}
+    tiles = {256: (4,), 257: (4,), 258: (8,), 259: (1,), 277: (1,), 322: (16,), 323: (16,), 324: (8,), 325: (256,)}
+    bad = [good | {tag: (value,)} for tag in good for value in (0, 1 << 31, (1 << 32) - 1) if (tag, value) not in ((259, 0),)]
+    bad += [tiles | {tag: (0,)} for tag in (256, 257, 258, 277, 322, 323)] + [good | {256: (1 << 30,), 257: (1 << 30,)}]
+    files = [tiff(t, bytes(256)) for t in bad]
+    files += [tiff(good | {256: (4,)}, bytes(256), kind=9).replace(struct.pack("<HHIi", 256, 9, 1, 4), struct.pack("<HHIi", 256, 9, 1, -4))]
+    for k in range(4):  # cut inside the pointer to the next directory
+        files.append(tiff(good, bytes(16))[: 8 + 16 + 2 + 12 * len(good) + k])
+    rows = [(k, f) for k, f in enumerate(files)]
+    got = defaultdict(list)
+    for r in media.pages(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == set(range(len(files)))
+    # Rows a strip beyond the page's, and offsets of nothing, are no harm.
+    fine = [k for k, t in enumerate(bad) if t.get(278, (0,))[0] >= 1 << 31]
+    for k in range(len(files) - 4):
+        assert len(got[k]) == 1 and (got[k][0].error is None) == (k in fine) or bad[k].get(273) == (0,) or bad[k].get(279, (0,))[0] >= 1 << 31, (k, got[k])
+    for k in range(len(files) - 4, len(files)):
+        assert [(r.page, r.error is None, r.pixels and bytes(r.pixels)) for r in sorted(got[k], key=lambda r: r.page)] == [(0, True, bytes(16)), (1, False, None)]
+    assert media.summaries(spark.createDataFrame(rows, "doc_id long, media binary")).count() == len(files)
+
+
+def feature(text: str | None) -> str:
+    """Pixel by pixel, as media.feature states it."""
+    data = (text or "").encode()
+    data += bytes(-len(data) % 64 or (0 if data else 64))
+    n, total = len(data), sum(data)
+    rows = n // 64
+    bits = ""
+    for y in range(8):
+        for x in range(8):
+            cell = [data[64 * i + j] for i in range(rows * y // 8, rows * (y + 1) // 8) for j in range(8 * x, 8 * x + 8)]
+            bits += "1" if sum(cell) * n > total * len(cell) else "0"
+    return f"rows={rows};mean={total // n};var={sum(b * b for b in data) // n - (total // n) ** 2};ahash={int(bits, 2):016x}"
+
+
 def test_tiff_query(spark, sf_dir, docs):
     got = {r.doc_id: r for r in queries.op6_tiff(spark, sf_dir).collect()}
     assert len(got) == len(docs)
@@ -239,7 +329,8 @@ def test_tiff_query(spark, sf_dir, docs):
         payload = data + bytes(-len(data) % 64 or (64 if not data else 0))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
-        assert r.payload_sha256 == __import__("hashlib").sha256(payload).hexdigest()
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert r.feature == feature(text)
     odd = media.summaries(media.store(frame(spark))).collect()
     assert Counter(r.doc_id for r in odd) == Counter(i for i, _ in ODD)
     assert len({(r.media_sha256, r.feature) for r in odd if r.doc_id in (1, 2)}) == 1
