@@ -4,33 +4,85 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables of each scope that is open, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (local tests) a temporary folder is made once
-    and set as the checkpoint directory.
+    Where the setting is absent and the master is local (tests) a temporary
+    folder is made once and set as the checkpoint directory; on a cluster that
+    is an error, since no executor sees another's folders.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         sc.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there.
 
-    The files go when the driver's JVM ends.
+    The files go with the scope, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _at(spark, path)
+    files.deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pinned_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that pinned() gave; others stay as they are."""
+    path = getattr(df, "_pinned_at", None)
+    if path:
+        where, files = _at(df.sparkSession, path)
+        files.delete(where, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that were pinned within it, but those put into the
+    list; these belong to the scope around it then.  What is handed out must be
+    one of the tables kept, not a plan that still reads another."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        made = _scopes.pop()
+        stay = {getattr(df, "_pinned_at", None) for df in kept}
+        for path in made:
+            if path in stay:
+                if _scopes:
+                    _scopes[-1].append(path)
+                continue
+            where, files = _at(spark, path)
+            files.delete(where, True)
