@@ -4,8 +4,8 @@ In every round each partition first contracts its own edges to stars.  Then
 the larger neighbours of each vertex are hung on its smallest one (large star)
 and the smaller ones too (small star); the edges end as one star for each
 component around its smallest vertex.  A vertex with very many edges is
-aggregated before the shuffle, and its edges are split by Spark's skew
-handling of the joins.
+aggregated before the shuffle; both sides of a join are written tables, so
+Spark's skew handling can split its edges.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import package_on_workers, pinned
+from ..sources.staging import drop
+from ._common import package_on_workers, pinned, scope
 
 
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,13 +55,19 @@ def components(edges: DataFrame) -> DataFrame:
     """v, root for every vertex of edges (a, b; longs) but the roots
     themselves; root is the smallest vertex of the component."""
     package_on_workers(edges.sparkSession)
+    spark = edges.sparkSession
     edges = pinned(edges.where("a <> b").select("a", "b").mapInArrow(contracted, "a long, b long").distinct())
     while not _stars(edges):
-        edges = edges.mapInArrow(contracted, "a long, b long")
-        both = pinned(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = pinned(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = pinned(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before = edges
+        # A round's tables go when the next edges are written.
+        with scope(spark) as kept:
+            both = edges.mapInArrow(contracted, "a long, b long")
+            both = pinned(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+            least = pinned(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+            large = pinned(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+            least = pinned(large.groupBy("a").agg(F.min("b").alias("m")))
+            small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = pinned(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+            kept.append(edges)
+        drop(before)
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))

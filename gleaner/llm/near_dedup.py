@@ -1,23 +1,26 @@
 """MinHash near-dedup with circulant signatures.
 
-1. Each text becomes the set of its distinct word shingles.  Equal sets form a
-   class with one representative; the rest works on representatives.
+1. Each text becomes the set of its distinct word shingles.  Texts of the same
+   words form a class with one representative; the rest works on these.
 2. Circulant MinHash: two permutations, one circularly shifted, give all
    coordinates of a signature.  Bands of ``rows`` coordinates are buckets; the
    number of bands follows from the threshold, so that a pair at the threshold
    shares no bucket with a probability of ``miss`` at most.
 3. Representatives that share buckets, directly or through others, form a
-   cluster.  Within it every pair that isn't known to be in one component is
-   confirmed on the full sets.  A cluster larger than a block is first thinned
-   out: all its members are compared with a few pivots, and the largest
-   component that this gives needs no comparison within itself.  The rest is
-   compared with all members, block by block; a block holds a bounded number
-   of documents and shingles, so no task holds a cluster.
+   cluster.  Within it every pair that shares a bucket and isn't known to be in
+   one component is confirmed on the full sets.  A cluster larger than a block
+   is first thinned out: all its members are compared with a few pivots, and the
+   largest component that this gives needs no comparison within itself.  The
+   rest is compared block by block; a text goes to the blocks that hold one
+   it shares a bucket with.  A block holds a bounded number of documents and
+   shingles, so no task holds a cluster.
 4. Components of the confirmed links; a document's component is the smallest
    id that can be reached.
 
 Pairs are never written out: a block gives a spanning forest of its links.
-A set is compared by 64-bit hashes of its shingles.
+Hashes only choose what is compared: sizes of sets are counted, and links are
+confirmed, on numbers that stand for one shingle each; texts are one class if
+a 128-bit cryptographic hash of their words is the same.
 
 Edge cases.  Null and empty texts, and texts without words, have an empty set
 and are linked with nothing.  Texts of fewer words than a shingle are one
@@ -33,15 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import input_columns, package_on_workers, pinned, released, small_batches
 from .components import components
-from .shingles import Circulant, digest, jaccard_at_least, shingle_set
+from .shingles import Circulant, digest, shingles, split
 
-#: Documents and shingles of a block.
-BLOCK_DOCS = 512
+#: Documents and shingles of a block: two blocks are a task's share of a cluster.
+BLOCK_DOCS = 144
 BLOCK_SHINGLES = 1 << 20
 #: Members of a large cluster that all others are compared with.
 PIVOTS = 3
@@ -56,48 +60,62 @@ def features(rows: DataFrame, words: int, rows_of_band: int, bands: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = Circulant(rows_of_band * bands)
-        for batch in batches:
-            n, digests, found = [], [], []
-            for text in batch.column("text"):
-                shingles = shingle_set(text.as_py(), words)
-                n.append(len(shingles))
-                digests.append(digest(shingles))
-                found.append(minhash.bands(shingles, rows_of_band) if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "n", "digest", "bands"])
+        for part in blocks(batches):
+            texts = [split(x.as_py()) for x in part.column("text")]
+            sets, hashes = shingles(texts, words)
+            found = [minhash.bands(h, rows_of_band) if len(h) else None for h in hashes]
+            n = pa.array(list(map(len, sets)), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), n, pa.array(list(map(digest, texts)), pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "n", "digest", "bands"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "h", "text").mapInArrow(released(run), f"id {kind}, h long, n long, digest binary, bands array<long>")
 
 
+def blocks(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about ``most`` bytes of text."""
+    for batch in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(batch)]
+        yield from (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x)
+
+
 def _forest(batch: pa.Table, words: int, percent: int) -> pa.Table:
-    """Links between members of a block pair that aren't in one component yet:
-    a spanning forest.  side 0 is compared with all, side 1 just with side 0."""
-    v, side = batch["v"].to_numpy(), batch["side"].to_numpy()
+    """Links between members that share a bucket and aren't in one component
+    yet: a spanning forest.  side 0 is compared with all, side 1 just with side
+    0; where blocks x and y of side 0 meet, just members of both."""
+    v, side, own = (batch[c].to_numpy() for c in ("v", "side", "own"))
     order = np.lexsort((v, side))
-    v, side = v[order], side[order]
-    sets = [shingle_set(x, words) for x in batch["text"].take(pa.array(order)).to_pylist()]
+    v, side, own = v[order], side[order], own[order]
+    across = batch["kind"][0].as_py() == 0 and batch["x"][0].as_py() != batch["y"][0].as_py()
+    texts = batch["text"].take(pa.array(order))
+    sets = shingles([split(x.as_py()) for x in texts], words)[0]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    # Components so far, as places in this block.
+    bands = np.stack(batch["bands"].take(pa.array(order)).combine_chunks().to_numpy(zero_copy_only=False))
+    # Components so far, as places in this block, and dense numbers of shingles.
     comp = np.unique(batch["comp"].to_numpy()[order], return_inverse=True)[1]
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
-    starts = np.cumsum(size) - size
-    has = np.zeros(codes.max(initial=0) + 1, np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    has = np.zeros(codes.max(initial=0) + 1, np.bool_)
     links = []
-    for i in range(len(v)):
-        if side[i]:
-            break
-        own = codes[starts[i] : starts[i] + size[i]]
-        later = np.arange(len(v)) > i
-        fits = later & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-        if not fits.any():
+    for i in range(int((side == 0).sum())):
+        fits = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        fits[: i + 1] = False
+        if across:
+            fits &= own != own[i]
+        near = np.flatnonzero(fits)
+        near = near[(bands[near] == bands[i]).any(axis=1)]
+        if not len(near):
             continue
-        has[own] = 1
-        both = np.add.reduceat(has[codes], starts)
-        has[own] = 0
-        for j in np.flatnonzero(fits & (100 * both >= percent * (size + size[i] - both))).tolist():
-            if comp[j] != comp[i]:
+        mine = codes[ends[i] - size[i] : ends[i]]
+        has[mine] = True
+        for j in near.tolist():
+            if comp[j] == comp[i]:  # by a link that was just found
+                continue
+            both = int(np.count_nonzero(has[codes[ends[j] - size[j] : ends[j]]]))
+            if 100 * both >= percent * (size[j] + size[i] - both):
                 links.append((v[i], v[j]))
                 comp[comp == comp[j]] = comp[i]
+        has[mine] = False
     a, b = zip(*links) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -106,7 +124,8 @@ def _candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) from each representative to the least one of its buckets."""
     buckets = reps.where("n > 0").select("v", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("v").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "b")
-    return buckets.join(shared, "bucket").where("v <> b").select(F.col("v").alias("a"), "b").distinct()
+    # Written first, so that Spark can split a large bucket in the join.
+    return buckets.join(pinned(shared), "bucket").where("v <> b").select(F.col("v").alias("a"), "b").distinct()
 
 
 def _rooted(vertices: DataFrame, stars: DataFrame, name: str) -> DataFrame:
@@ -114,29 +133,56 @@ def _rooted(vertices: DataFrame, stars: DataFrame, name: str) -> DataFrame:
     return vertices.join(stars.withColumnRenamed("root", name), "v", "left").withColumn(name, F.coalesce(name, "v"))
 
 
-def _pivot_links(members: DataFrame, large: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links of the members of large clusters with their pivots."""
-    order = lambda k: F.xxhash64("v", F.lit(k))
-    chosen = members.join(large, "cluster", "left_semi").groupBy("cluster").agg(*[F.min(F.struct(order(k).alias("o"), "v")).getField("v").alias(f"p{k}") for k in range(PIVOTS)])
-    chosen = chosen.select("cluster", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
-    pivots = chosen.join(members.select(F.col("v").alias("p"), F.col("text").alias("p_text")), "p")
-    pairs = members.select("cluster", "v", "text").join(pivots, "cluster").where("v <> p").select("v", "text", "p", "p_text")
+#: What _forest gets of each member of a meeting.
+MEETING = ["cluster", "x", "y", "kind", "v", "n", "comp", "side", "own", "bands", "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            links = []
-            for v, text, p, p_text in zip(*batch.columns):
-                if p.as_py() not in known:
-                    if len(known) >= 16:
-                        known.clear()
-                    known[p.as_py()] = shingle_set(p_text.as_py(), words)
-                if jaccard_at_least(shingle_set(text.as_py(), words), known[p.as_py()], percent):
-                    links.append((v.as_py(), p.as_py()))
-            a, b = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return pairs.mapInArrow(released(run), "a long, b long")
+
+def _met(meetings: DataFrame, words: int, percent: int) -> DataFrame:
+    return meetings.select(*MEETING).groupBy("cluster", "x", "y", "kind").applyInArrow(lambda t: _forest(t, words, percent), "a long, b long")
+
+
+def _blocks_of(docs: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(docs / BLOCK_DOCS, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("v", F.lit(9)), F.greatest(blocks, F.lit(1))).cast("int")
+
+
+def _with_pivots(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Meetings of the blocks of large clusters (cluster, blocks) with pivots."""
+    dealt = members.join(large, "cluster")
+    order = lambda k: F.xxhash64("v", F.lit(k))
+    drawn = [F.min(F.struct(order(k).alias("o"), "v")).getField("v").alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = dealt.groupBy("cluster", "blocks").agg(*drawn)
+    chosen = chosen.select("blocks", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("v"))
+    pivots = members.join(pinned(chosen), "v").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    rest = dealt.withColumn("y", _dealt(F.col("blocks"))).withColumn("side", F.lit(1))
+    return rest.unionByName(pivots).select("*", F.lit(-1).alias("x"), F.lit(1).alias("kind"), F.col("v").alias("comp"), F.col("y").alias("own"))
+
+
+def _rest_of_large(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Meetings of what pivots left in large clusters: each two blocks of the
+    rest (kind 0), and each block of the rest with that of the main component
+    (kind 1).  members: with their component so far."""
+    members = members.join(large, "cluster", "left_semi")
+    by_comp = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    main = by_comp.groupBy("cluster").agg(F.max(F.struct("docs", "comp")).getField("comp").alias("main"))
+    both = by_comp.join(main, "cluster").withColumn("side", (F.col("comp") == F.col("main")).cast("int"))
+    sides = both.groupBy("cluster", "main", "side").agg(_blocks_of(F.sum("docs"), F.sum("shingles")).alias("blocks"))
+    side = (F.col("comp") == F.col("main")).cast("int")
+    dealt = members.join(pinned(sides.groupBy("cluster", "main").pivot("side", [0, 1]).agg(F.max("blocks"))), "cluster").withColumn("side", side)
+    dealt = pinned(dealt.withColumn("own", _dealt(F.when(F.col("side") == 1, F.col("1")).otherwise(F.col("0")))).drop("main", "0", "1"))
+    # A member goes to the blocks of the rest that have one of its buckets.
+    held = pinned(dealt.where("side = 0").select(F.explode("bands").alias("bucket"), F.col("own").alias("to")).distinct())
+    asked = dealt.select("v", "side", "own", F.explode("bands").alias("bucket")).join(held, "bucket").select("v", "side", "own", "to").distinct()
+    asked = pinned(asked.select("v", F.when(F.col("side") == 1, F.col("to")).otherwise(F.least("own", "to")).alias("x"), F.when(F.col("side") == 1, F.col("own")).otherwise(F.greatest("own", "to")).alias("y"), F.col("side").alias("kind")).distinct())
+    met = dealt.join(asked, "v")
+    # A block of the rest meets each block of the main component that comes to it.
+    main_blocks = asked.where("kind = 1").select("x", "y", "v").join(dealt.select("v", "cluster"), "v").select("cluster", "x", "y").distinct()
+    others = dealt.where("side = 0").join(pinned(main_blocks).withColumnRenamed("x", "own"), ["cluster", "own"])
+    others = others.select("*", F.col("own").alias("x"), F.lit(1).alias("kind"))
+    return met.unionByName(others.select(*met.columns))
 
 
 def links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -146,41 +192,21 @@ def links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFr
     """
     clusters = pinned(components(_candidates(reps)))
     clustered = clusters.select("v", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("v"), F.col("root").alias("cluster")).distinct())
-    keys = reps.select("v", "id", "h", "n").join(clustered, "v")
+    keys = reps.select("v", "id", "h", "n", "bands").join(clustered, "v")
     # One text for each key, though rows may repeat.
     # Keys grow with the input, so the same join is asked for at every size.
-    found = texts.join(keys.hint("merge"), ["id", "h"]).select("v", "n", "cluster", "text").groupBy("v", "n", "cluster").agg(F.any_value("text").alias("text"))
+    found = texts.join(keys.hint("merge"), ["id", "h"]).groupBy("v", "n", "cluster").agg(F.any_value("text").alias("text"), F.any_value("bands").alias("bands"))
     members = pinned(found)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    large = pinned(sizes.where(blocks > 1).select("cluster"))
-    known = None
-    members = members.withColumn("comp", F.col("v"))
-    if not large.isEmpty():
-        known = pinned(_pivot_links(members, large, words, percent))
-        members = _rooted(members.drop("comp"), components(known), "comp")
-    # The largest component of each large cluster is its main one.
-    by_comp = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    main = by_comp.join(large, "cluster", "left_semi").groupBy("cluster").agg(F.max(F.struct("docs", "comp")).getField("comp").alias("main"))
-    is_main = F.col("comp").eqNullSafe(F.col("main")).cast("int")
-    sides = by_comp.join(main, "cluster", "left").groupBy("cluster", "main").agg(
-        *[F.coalesce(F.ceil(F.greatest(F.sum(F.when(is_main == k, F.col("docs"))) / BLOCK_DOCS, F.sum(F.when(is_main == k, F.col("shingles"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int").alias(f"b{k}") for k in (0, 1)]
-    )
-    dealt = members.join(pinned(sides), "cluster").withColumn("side", is_main)
-    own = F.pmod(F.xxhash64("v", F.lit(9)), F.greatest(F.when(F.col("side") == 1, F.col("b1")).otherwise(F.col("b0")), F.lit(1))).cast("int")
-    dealt = dealt.withColumn("own", own)
-    # A member of the rest meets every block of the rest (each two blocks
-    # once) and every block of the main component; side 0 is compared there.
-    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("array()").cast("array<int>"))
-    rest = F.concat(
-        F.transform(to(F.col("b0")), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y"), F.lit(0).alias("kind"))),
-        F.transform(to(F.col("b1")), lambda k: F.struct(F.col("own").alias("x"), k.alias("y"), F.lit(1).alias("kind"))),
-    )
-    of_main = F.transform(to(F.col("b0")), lambda k: F.struct(k.alias("x"), F.col("own").alias("y"), F.lit(1).alias("kind")))
-    meets = dealt.select("cluster", "v", "comp", "side", "text", F.explode(F.when(F.col("side") == 1, of_main).otherwise(rest)).alias("m"))
-    meets = meets.select("cluster", "m.x", "m.y", "m.kind", "v", "comp", "side", "text")
-    confirmed = meets.groupBy("cluster", "x", "y", "kind").applyInArrow(lambda t: _forest(t, words, percent), "a long, b long")
-    return confirmed if known is None else confirmed.unionByName(known)
+    large = pinned(sizes.select("cluster", _blocks_of(F.col("docs"), F.col("shingles")).alias("blocks")).where("blocks > 1"))
+    zero = F.lit(0)
+    small = members.join(large, "cluster", "left_anti").select("*", zero.alias("x"), zero.alias("y"), zero.alias("kind"), zero.alias("side"), zero.alias("own"), F.col("v").alias("comp"))
+    confirmed = _met(small, words, percent)
+    if large.isEmpty():
+        return confirmed
+    known = pinned(_met(_with_pivots(members, large), words, percent))
+    rest = _rest_of_large(_rooted(members, components(known), "comp"), large)
+    return confirmed.unionByName(known).unionByName(_met(rest, words, percent))
 
 
 def classes(
@@ -210,7 +236,7 @@ def classes(
         least_of = keyed.groupBy("id").agg(F.min("v").alias("b"))
         edges = edges.unionByName(keyed.join(least_of, "id").where("v <> b").select(F.col("v").alias("a"), "b"))
     roots = _rooted(reps.select("v", "digest", "id"), components(edges), "root")
-    least = roots.groupBy("root").agg(F.min("id").alias("component"))
+    least = pinned(roots.groupBy("root").agg(F.min("id").alias("component")))
     of_digest = roots.join(least, "root").select("digest", "component")
     out = feats.join(of_digest.withColumn("some", F.lit(True)), (feats["digest"] == of_digest["digest"]) & (feats["n"] > 0) & feats["id"].isNotNull(), "left")
     component = F.coalesce("component", feats["id"])

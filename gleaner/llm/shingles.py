@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 
 #: Places of the permutations.
 PLACES = 1 << 20
-_BASE = np.uint64(0x2545F4914F6CDD1D | 1)
-_SPACES = np.zeros(256, np.bool_)
-_SPACES[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of words whose hashes a worker remembers.
+REMEMBERED = 32 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -23,53 +20,77 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _to_power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << n.bit_length())
-        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z in lower case."""
-    data = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    if not len(data):
-        return np.empty(0, np.uint64)
-    space = _SPACES[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
-    start, end = edges[::2], edges[1::2]
-    up, down = _to_power(len(data) + 1)
-    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64))
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of all shingles, sorted.  A text of fewer words is
-    one shingle; a text without words has none."""
-    h = word_hashes(text)
-    if not len(h):
-        return h
-    n = min(words, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+class _Hashes(dict):
+    """A cryptographic hash of 64 bits of every word that is asked for."""
 
+    held = 0
 
-def digest(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self.held += len(word) + 128
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = len(word) + 128
+        self[word] = h
+        return h
 
 
-def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * common shingles >= percent * all shingles."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+class _Numbers(dict):
+    """A number for every word, from 0 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+_hashes = _Hashes()
+
+
+def split(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case.  bytes.split() knows the same
+    white space as the contracts, and bytes.lower() changes nothing but A-Z."""
+    return (text or "").encode().lower().split()
+
+
+def digest(words: list[bytes]) -> bytes:
+    """The same for the same words in the same order only."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def shingles(texts: list[list[bytes]], words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text (its words) the distinct shingles, sorted, and 64-bit
+    hashes of them.  A text of fewer words is one shingle; without words it has
+    none.
+
+    Shingles are numbers that, within one call, stand for the same words and no
+    others: equal numbers are equal shingles, not just equal hashes.
+    """
+    # No word is empty, so a filled-up text is equal to no longer one.
+    filled = [t + [b""] * (words - len(t)) if 0 < len(t) < words else t for t in texts]
+    numbers = _Numbers()
+    lengths = np.fromiter(map(len, filled), np.int64, len(filled))
+    total = int(lengths.sum())
+    if not total:
+        return [np.empty(0, np.int64) for _ in texts], [np.empty(0, np.uint64) for _ in texts]
+    codes = np.fromiter(map(numbers.__getitem__, chain.from_iterable(filled)), np.int64, total)
+    own = np.fromiter(map(_hashes.__getitem__, numbers), np.uint64, len(numbers))
+    m = total - words + 1
+    out, size = codes[:m], len(numbers)
+    h = np.zeros(m, np.uint64)
+    for k in range(words):
+        at = codes[k : k + m]
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[at])
+        if k:
+            if size * len(numbers) >= 1 << 62:
+                out = np.unique(out, return_inverse=True)[1]
+                size = int(out.max()) + 1
+            out, size = out * len(numbers) + at, size * len(numbers)
+    sets, hashes = [], []
+    for begin, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+        end = begin + max(0, n - words + 1)
+        sets.append(np.unique(out[begin:end]))
+        hashes.append(np.unique(h[begin:end]))
+    return sets, hashes
 
 
 class Circulant:
