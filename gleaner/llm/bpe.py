@@ -8,12 +8,16 @@ only the lists of the pairs that the merges make are updated.
 
 Results equal those of the tokenizers library for the given file: its
 normalizer, pre-tokenizer and added tokens are read from the file; truncation
-and padding aren't applied.
+and padding aren't applied.  Files whose words may cross white space, or that
+have other parts than are known here, raise ValueError.
+
+The index covers a block of the partition at a time (about BLOCK_CHARS
+characters), so that memory doesn't grow with the partition.
 
 Edge cases.  Null texts count as empty; empty texts have no ids, and no ids
 decode to an empty text; null ids decode to null.  Rows that repeat, tables
 without rows, and texts of any length need no special treatment: memory holds
-a block of rows, its new chunks and a bounded cache.
+a block of rows, its new chunks and a cache of at most CACHE_BYTES.
 """
 
 from __future__ import annotations
@@ -33,20 +37,66 @@ from ._common import input_columns, package_on_workers, read_file, released
 
 #: Characters of text handled at once.
 BLOCK_CHARS = 2_000_000
-#: Chunks whose ids a task remembers.
-CACHE_CHUNKS = 400_000
+#: Bytes that a task remembers of chunks and their ids.
+CACHE_BYTES = 96 << 20
+#: Bytes that a remembered chunk takes beside its characters and ids.
+ENTRY_BYTES = 240
 #: Code points from here on stand for added tokens in the symbol table.
 _ADDED = 0x200
 
 
+# Fixed value: the expression of words that the known files have.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Normalizers that change each run between white space by itself.
+NORMALIZERS = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+
+
+def _steps(spec: dict | None, inner: str) -> list[dict]:
+    if not spec:
+        return []
+    return [x for part in spec[inner] for x in _steps(part, inner)] if spec["type"] == "Sequence" else [spec]
+
+
+def checked(file: str) -> dict:
+    """A file's content, if its texts can be encoded chunk by chunk."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(file)
+    for step in _steps(spec.get("normalizer"), "normalizers"):
+        spaces = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        if step["type"] not in NORMALIZERS and not spaces:
+            raise ValueError(f"the normalizer {step['type']} isn't read")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
+        raise ValueError("added tokens must stand for themselves, wherever they are")
+    pre = Tokenizer.from_str(file).pre_tokenizer
+    words = lambda text: [w for w, _ in pre.pre_tokenize_str(text)]
+    if not pre or any(words(f"{a}{c}{b}") != words(a) + words(b) for c in " \n\t\r" for a in ("ab", "1", "!", "'", "é") for b in ("cd", "2", "?", "s", "ü")):
+        raise ValueError("words may cross white space")
+    return spec
+
+
+def _plain_words(spec: dict) -> Callable[[str], str] | None:
+    """What a run of ASCII letters becomes, if it is always one word."""
+    known = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+    whole = all(
+        s["type"] in known or s["type"] == "ByteLevel" and not s["add_prefix_space"] or s["type"] == "Split" and s["pattern"] == {"Regex": WORDS} and s["behavior"] == "Removed" and s["invert"]
+        for s in _steps(spec["pre_tokenizer"], "pretokenizers")
+    )
+    if not whole or any(t["content"].isascii() and t["content"].isalpha() for t in spec["added_tokens"]):
+        return None
+    lower = any(s["type"] == "Lowercase" for s in _steps(spec.get("normalizer"), "normalizers"))
+    return str.lower if lower else str
+
+
 class PairIndex:
     """Encodes chunks with the merges of a tokenizers BPE file."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(file)
+        spec = checked(file)
         model = spec["model"]
+        self._plain = _plain_words(spec)
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("dropout") or model.get("unk_token"):
             raise ValueError("only plain BPE files with a full base alphabet are read")
         library = Tokenizer.from_str(file)
@@ -86,8 +136,8 @@ class PairIndex:
             self._inner[_ADDED + k] = self._last[_ADDED + k] = i
 
     def _words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
+        if self._plain and chunk.isascii() and chunk.isalpha():
+            return [self._plain(chunk)]
         if self._find_added and (parts := self._find_added.split(chunk))[1:]:
             return [w for k, part in enumerate(parts) if part for w in ([self._added[part]] if k % 2 else self._words(part))]
         return [w for w, _ in self._pre(self._normalize(chunk))]
@@ -177,11 +227,12 @@ class Chunks:
     """Ids of whole texts, from the ids of their distinct chunks.
 
     encode: gives all ids of a list of chunks, and each chunk's number of ids.
-    The first ``limit`` chunks are remembered, later ones for their block.
+    The first chunks are remembered, as many as ``limit`` bytes hold, later
+    ones for their block.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_CHUNKS):
-        self._encode, self._limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_BYTES):
+        self._encode, self._left = encode, limit
         self._place = _Places()
         self._ids = np.empty(0, np.uint32)
         self._start = np.zeros(1, np.int64)
@@ -199,10 +250,12 @@ class Chunks:
             ids, counts = self._encode(new)
             start = np.append(start, start[-1] + np.cumsum(counts))
             flat = np.append(flat, ids.astype(np.uint32))
-            keep = max(0, min(len(new), self._limit - known))
+            held = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 4 * counts + ENTRY_BYTES)
+            keep = int(np.searchsorted(held, self._left, "right"))
             for chunk in new[keep:]:
                 del place[chunk]
             if keep:
+                self._left -= int(held[keep - 1])
                 self._start, self._ids = start[: known + keep + 1].copy(), flat[: start[known + keep]].copy()
         counts = start[at + 1] - start[at]
         ends = np.cumsum(counts)
@@ -214,7 +267,7 @@ _kept: dict[tuple, Chunks] = {}
 
 
 def kept(kind: str, file: str, encoder: Callable[[str], Callable], limit: int) -> Chunks:
-    """A worker's chunks for a file, which its later tasks use too."""
+    """A worker's chunks for a file, which its later tasks use too; limit: bytes."""
     key = (kind, hash(file), limit)
     if key not in _kept:
         _kept[key] = Chunks(encoder(file), limit)

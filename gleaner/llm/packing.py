@@ -8,7 +8,9 @@ packed best-fit again, as items, until one partition is left.
 A node hands on at most ``carry`` bins, those with the most room: of two bins
 that are at most half full best-fit makes one, so a node has one such bin at
 most, and the others only serve to take in small bins of other nodes.  What it
-doesn't hand on is a finished sequence; no row is lost.
+doesn't hand on is a finished sequence; no row is lost.  Without ``carry`` all
+underfull bins go up, which is the method to the letter; the last node then has
+to hold as many of them as there are.
 
 Edge cases.  Null text counts as empty: one piece that holds the end id only.
 Texts longer than the capacity are cut into pieces of the capacity, the last
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import input_columns, package_on_workers, pinned, read_file, released, small_batches
-from .bpe import Chunks, blocks, kept
+from .bpe import Chunks, blocks, checked, kept
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("bin", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("done", pa.bool_()), ("members", pa.list_(MEMBER))])
@@ -69,6 +71,7 @@ def _library(file: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    checked(file)
     library = Tokenizer.from_str(file)
     library.no_truncation()
     library.no_padding()
@@ -114,10 +117,10 @@ def _bins(rows: list[np.ndarray], bin_of: np.ndarray, ids: np.ndarray, node: int
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(filled), node), pa.int64()), pa.array(filled), pa.array(done), members], schema=BIN)
 
 
-def _finished(filled: np.ndarray, capacity: int, slack: int, carry: int, last: bool) -> np.ndarray:
+def _finished(filled: np.ndarray, capacity: int, slack: int, carry: int | None, last: bool = False) -> np.ndarray:
     """Nearly full bins, and those beyond the ``carry`` with the most room."""
     done = (filled >= capacity - slack) | last
-    return done | (np.argsort(np.argsort(filled, kind="stable"), kind="stable") >= carry)
+    return done if carry is None else done | (np.argsort(np.argsort(filled, kind="stable"), kind="stable") >= carry)
 
 
 def pack(
@@ -128,7 +131,7 @@ def pack(
     end_id: int = 1,
     slack: int = 8,
     fan_in: int = 16,
-    carry: int = 1024,
+    carry: int | None = 1024,
     reuse: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -136,14 +139,14 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset.  path: a tokenizers file; ids: an integer column.
 
-    reuse: so many chunks' ids stay in a worker for its later tasks, which is
-    faster and takes about 250 bytes each; 0: every task starts afresh.
+    carry: None hands on every underfull bin.  reuse: so many bytes of chunks
+    and ids stay in a worker for its later tasks, which is faster; 0: every task
+    starts afresh.
     """
     spark = docs.sparkSession
     package_on_workers(spark)
     file = spark.sparkContext.broadcast(read_file(path))
     rows = docs.select(*input_columns(docs, id=id_col, text=text_col)).select(F.col("id").cast("long").alias("id"), "text")
-    nodes = rows.rdd.getNumPartitions()
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId()
@@ -161,7 +164,7 @@ def pack(
         cols = np.asarray(parts, np.int64).T
         bin_of, offset, filled = best_fit(cols[2], capacity)
         ids = np.int64(node << 31) + np.arange(len(filled))
-        yield _bins([np.asarray(doc_ids, object), *cols, offset], bin_of, ids, node, filled, _finished(filled, capacity, slack, carry, nodes == 1))
+        yield _bins([np.asarray(doc_ids, object), *cols, offset], bin_of, ids, node, filled, _finished(filled, capacity, slack, carry))
 
     def merge(last: bool):
         def run(table: pa.Table) -> pa.Table:
@@ -185,7 +188,8 @@ def pack(
     with small_batches(spark):
         level = pinned(rows.mapInArrow(released(leaf), BIN_DDL))
     levels = [level]
-    while nodes > 1:
+    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
+    while len(levels) == 1 or nodes > 1:
         nodes = -(-nodes // fan_in)
         open_bins = level.where("not done").withColumn("node", F.floor(F.col("node") / fan_in))
         level = pinned(open_bins.groupBy("node").applyInArrow(merge(nodes == 1), BIN_DDL))
