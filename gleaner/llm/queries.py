@@ -115,23 +115,35 @@ WITH split AS (
 parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM split),
+bare AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*\z', ''), '\.+\z', '') AS site FROM parts),
 named AS (
-  SELECT *, string_split(host, '.') AS p,
-         array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') AS two FROM parts),
+  SELECT *, string_split(site, '.') AS p, regexp_matches(site, '^([0-9]{1,3}(\.[0-9]{1,3}){3}\z|\[)') AS address,
+         array_to_string(string_split(site, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') AS two FROM bare),
 levels AS (
-  SELECT page_id, host, path, array_to_string(CASE WHEN two THEN p[-3:] ELSE p[-2:] END, '.') AS domain,
-         array_to_string(CASE WHEN two THEN p[-2:] ELSE p[-1:] END, '.') AS suffix FROM named),
+  SELECT page_id, host, path, site, CASE WHEN address THEN site ELSE array_to_string(CASE WHEN two THEN p[-3:] ELSE p[-2:] END, '.') END AS domain,
+         CASE WHEN address THEN '[]' ELSE array_to_string(CASE WHEN two THEN p[-2:] ELSE p[-1:] END, '.') END AS suffix FROM named),
 outcome AS (
-  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0.0 END) AS bad
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
   FROM labels GROUP BY doc_id),
-known AS (SELECT l.*, bad FROM levels l JOIN outcome USING (page_id) WHERE bad IS NOT NULL),
-top AS (SELECT coalesce(sum(bad), 0) + 1.0 AS a, count(*) - coalesce(sum(bad), 0) + 1.0 AS b FROM known),
-s AS (SELECT suffix, 20.0 * any_value(a / (a + b)) + sum(bad) AS a1, 20.0 * any_value(b / (a + b)) + count(*) - sum(bad) AS b1 FROM known, top GROUP BY suffix),
-d AS (SELECT domain, 20.0 * any_value(a1 / (a1 + b1)) + sum(bad) AS a2, 20.0 * any_value(b1 / (a1 + b1)) + count(*) - sum(bad) AS b2 FROM known JOIN s USING (suffix) GROUP BY domain),
-h AS (SELECT host, 20.0 * any_value(a2 / (a2 + b2)) + sum(bad) AS a3, 20.0 * any_value(b2 / (a2 + b2)) + count(*) - sum(bad) AS b3 FROM known JOIN d USING (domain) GROUP BY host),
+known AS (SELECT l.*, bad::DOUBLE AS bad FROM levels l JOIN outcome USING (page_id) WHERE bad IS NOT NULL),
+top AS (SELECT coalesce(sum(bad), 0) + 1.0::DOUBLE AS a, count(*) - coalesce(sum(bad), 0) + 1.0::DOUBLE AS b FROM known),
+-- For each level: outcomes with the mean and the weight of the level above, the correlation, the posterior.
+s0 AS (SELECT suffix, sum(bad) AS k, count(*)::DOUBLE AS n, any_value(a / (a + b)) AS m, any_value(a + b) AS w FROM known, top WHERE site <> '' GROUP BY suffix),
+sr AS (SELECT CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN
+  greatest(0.0001, least(0.5, sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)))) ELSE 1.0 / 21 END AS r FROM s0),
+s AS (SELECT suffix, k + m * t AS a, n - k + (1 - m) * t AS b FROM (SELECT *, 1 / least(0.99, r + 1 / (w + 1)) - 1 AS t FROM s0, sr)),
+d0 AS (SELECT domain, sum(bad) AS k, count(*)::DOUBLE AS n, any_value(a / (a + b)) AS m, any_value(a + b) AS w FROM known JOIN s USING (suffix) WHERE site <> '' GROUP BY domain),
+dr AS (SELECT CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN
+  greatest(0.0001, least(0.5, sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)))) ELSE 1.0 / 21 END AS r FROM d0),
+d AS (SELECT domain, k + m * t AS a, n - k + (1 - m) * t AS b FROM (SELECT *, 1 / least(0.99, r + 1 / (w + 1)) - 1 AS t FROM d0, dr)),
+h0 AS (SELECT site, sum(bad) AS k, count(*)::DOUBLE AS n, any_value(a / (a + b)) AS m, any_value(a + b) AS w FROM known JOIN d USING (domain) WHERE site <> '' GROUP BY site),
+hr AS (SELECT CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN
+  greatest(0.0001, least(0.5, sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)))) ELSE 1.0 / 21 END AS r FROM h0),
+h AS (SELECT site, k + m * t AS a, n - k + (1 - m) * t AS b FROM (SELECT *, 1 / least(0.99, r + 1 / (w + 1)) - 1 AS t FROM h0, hr)),
 judged AS (
-  SELECT l.*, coalesce(a3, a2, a1, top.a) AS a, coalesce(b3, b2, b1, top.b) AS b
-  FROM levels l LEFT JOIN h USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix), top),
+  SELECT l.*, coalesce(h.a, d.a, s.a, top.a) AS a, coalesce(h.b, d.b, s.b, top.b) AS b
+  FROM levels l LEFT JOIN h USING (site) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix), top),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
