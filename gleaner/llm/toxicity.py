@@ -96,16 +96,19 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_per_class: int = 3000,
-    features: int = 16384,
+    features: int | None = 16384,
+    min_rows: int = 4,
     smoothing: float = 1.0,
     l2: float = 1.0,
     seed: int = 7,
 ) -> Model:
-    """Learns from labelled rows; bounds: 2 * max_per_class rows, and of all
-    buckets the ``features`` whose log-count ratio is the surest.
+    """Learns from labelled rows; bounds: 2 * max_per_class rows, and of the
+    buckets that min_rows of them have the ``features`` whose log-count ratio is
+    the surest; None takes all of them (with min_rows 1, all there are).
 
     The driver gets a count for each bucket (BUCKETS at most) and a bitmap of
-    ``features`` bits for each sampled row, however long the texts are.
+    ``features`` bits for each sampled row (of BUCKETS bits, 128 KB, for None),
+    however long the texts are.
     """
     spark = docs.sparkSession
     package_on_workers(spark)
@@ -129,7 +132,7 @@ def fit(
         yield pd.DataFrame({"b": [-1], "n0": rows_of[:1], "n1": rows_of[1:]})
 
     partial = rows.mapInPandas(released(counted), "b long, n0 long, n1 long")
-    counts = partial.groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("b < 0 or n0 + n1 >= 4").toPandas()
+    counts = partial.groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where((F.col("b") < 0) | (F.col("n0") + F.col("n1") >= min_rows)).toPandas()
     totals = counts[counts["b"] < 0]
     n0, n1 = (int(totals[c].sum()) for c in ("n0", "n1"))
     empty = np.zeros(BUCKETS, np.float32)
