@@ -7,7 +7,8 @@ seeded Fisher-Yates shuffle (Spark's ``shuffle``) and deals the records out to
 the shards in turn, the buckets one after the other: counts of shards differ by
 one at most (the law ``rows``).  ``write`` puts the shards into folders.
 
-The same input, in the same files, and the same seed give the same shards.
+The same input, in the same files, with the same parameters gives the same
+shards.
 
 Edge cases.  Null text has size 1 and no text to check; null ids are dealt like
 others; rows that repeat are rows of their own.  More shards than rows leave
@@ -24,11 +25,17 @@ from pyspark.sql.window import Window
 from ._common import input_columns, pinned, setting
 
 
+#: Buckets whose counts are summed up in one task.
+GROUP = 4096
+
+
 def shard(docs: DataFrame, *, shards: int = 8, bucket_bytes: int = 16 << 20, max_tasks: int = 20_000, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text, size, shard, slot (gapless in its shard) of every row.
 
     max_tasks: neighbouring buckets share a task where there are more, since
-    what the driver holds for a shuffle grows with its tasks.
+    what the driver holds for a shuffle grows with its tasks.  The shuffles of
+    buckets that share a task draw from one generator in turn, so the order is
+    one of its own for each choice of bucket_bytes and max_tasks.
     """
     rows = docs.select(*input_columns(docs, id=id_col, text=text_col))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -47,12 +54,16 @@ def shard(docs: DataFrame, *, shards: int = 8, bucket_bytes: int = 16 << 20, max
     dealt = shuffled.select("bucket", F.posexplode("records").alias("at", "r")).select("bucket", "at", F.col("r.id").alias("id"), F.col("r.text").alias("text"), F.col("r.size").alias("size"))
     with setting(docs.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
         dealt = pinned(dealt)
-    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    # One row for each bucket of bucket_bytes.
-    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col("bucket").alias("of"), F.coalesce(before, F.lit(0)).alias("start"))
+    # Records before each bucket: first over groups of buckets, then within one,
+    # so no task sees a row for every bucket.
+    counts = dealt.groupBy(F.floor(F.col("bucket") / GROUP).alias("group"), "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = pinned(counts)
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier(Window.orderBy("group")).alias("first"))
+    starts = counts.withColumn("inner", earlier(Window.partitionBy("group").orderBy("bucket"))).join(groups, "group")
+    starts = pinned(starts.select(F.col("bucket").alias("of"), (F.col("first") + F.col("inner")).alias("start")))
     number = F.col("start") + F.col("at")
-    out = dealt.join(F.broadcast(starts) if buckets <= 100_000 else starts, F.col("bucket") == F.col("of"))
+    out = dealt.join(starts, F.col("bucket") == F.col("of"))
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "size", F.pmod(number, F.lit(shards)).cast("int").alias("shard"), F.floor(number / shards).alias("slot"))
 
 
