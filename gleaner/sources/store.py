@@ -1,11 +1,14 @@
 """Keyed tables: merges that give the same result when they are repeated.
 
 A table is a folder of versions; a merge writes the next one and then names it
-in the file CURRENT, so a reader never sees half a merge.
+in a file CURRENT, so a reader never sees half a merge.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,10 @@ def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _in_order(column: str):
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(column).alias("v")))), lambda x: x["v"])))
+    """All values of a list column in order, each once; a null list holds none."""
+    empty = F.array().cast("array<string>")
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.coalesce(F.col(column), empty).alias("v")))), lambda x: x["v"])
+    return F.array_distinct(F.flatten(lists))
 
 
 def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -83,16 +89,37 @@ class Table:
 
     def version(self) -> int:
         """0 before the first write."""
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._at("."))] if self._fs.exists(self._at(".")) else []
+        found = [x.getPath().getName() for x in self._fs.listStatus(self._at("."))] if self._fs.exists(self._at(".")) else []
         return max([int(n[8:]) for n in found if n.startswith("CURRENT.")], default=0)
 
+    def _folder(self, v: int) -> str:
+        """The folder of a version; empty if its writer died at the last step."""
+        if not self._fs.exists(self._at(f"CURRENT.{v}")):
+            return ""
+        stream = self._fs.open(self._at(f"CURRENT.{v}"))
+        try:
+            return self._spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return self._spark.read.parquet(f"{self._path}/v{v}") if v else None
+        for v in range(self.version(), 0, -1):
+            if folder := self._folder(v):
+                return self._spark.read.parquet(f"{self._path}/{folder}")
+        return None
 
     def write(self, rows: DataFrame) -> int:
-        """Writes the next version, then names it."""
+        """Writes a folder of its own, then names it as the next version.  Of
+        two writers that began from one version the later one fails: its rows
+        lack what the other has written."""
         v = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self._path}/v{v}")
-        self._fs.create(self._at(f"CURRENT.{v}"), False).close()
+        folder = f"v{v}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self._path}/{folder}")
+        try:
+            named = self._fs.create(self._at(f"CURRENT.{v}"), False)
+        except Py4JJavaError as e:
+            self._fs.delete(self._at(folder), True)
+            raise RuntimeError(f"another writer has made version {v} of {self._path}") from e
+        named.write(bytearray(folder.encode()))
+        named.close()
         return v
