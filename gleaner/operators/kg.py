@@ -53,51 +53,81 @@ def mentions(rows: DataFrame) -> DataFrame:
     return out.withColumn("id", content_id(F.col("chunk_id"), F.col("entity_id")))
 
 
-def name_scope(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """local: document, chunk_id, key, entity_id, by which a chunk's own
-    relations name entities (its names and the aliases gathered up to it; the
-    last claim wins); wide: document, key, entity_id over all its chunks."""
-    so_far = Window.partitionBy("document", "entity_id").orderBy("chunk_ord", "place").rowsBetween(Window.unboundedPreceding, 0)
-    canon = F.first("name").over(so_far)
-    known = F.array_distinct(F.flatten(F.collect_list("aliases").over(so_far)))
-    claims = rows.select("document", "chunk_ord", "chunk_id", "place", "entity_id", F.concat(F.array(canon), known).alias("names"))
-    claims = claims.select("document", "chunk_ord", "chunk_id", "place", "entity_id", F.posexplode("names").alias("n", "name"))
-    # A name also counts in lower case.
-    claims = claims.select("document", "chunk_ord", "chunk_id", "place", "entity_id", "n", F.explode(F.array_distinct(F.array("name", F.lower("name")))).alias("key"))
-    # If a chunk id comes twice its last scope holds.
+def _known(rows: DataFrame) -> DataFrame:
+    """document, entity_id, known: an entity's names in a document (its first
+    name, and all aliases), each as written and in lower case, with the place
+    from which it counts."""
+    name = lambda n, canon: F.struct(F.lit(canon).alias("canon"), n.alias("name"))
+    named = rows.select("document", "entity_id", F.struct("chunk_ord", "place").alias("at"), F.explode(F.concat(F.array(name(F.col("name"), True)), F.transform("aliases", lambda a: name(a, False)))).alias("n"))
+    first = named.groupBy("document", "entity_id", "n").agg(F.min("at").alias("first"))
+    got = first.groupBy("document", "entity_id").agg(F.collect_list(F.struct("first", "n")).alias("all"))
+    # Of the names an entity is extracted by, the first one counts.
+    canon = F.array_min(F.filter("all", lambda x: x["n"]["canon"]))
+    kept = F.concat(F.filter("all", lambda x: ~x["n"]["canon"]), F.array(canon))
+    both = F.flatten(F.transform(kept, lambda x: F.transform(F.array_distinct(F.array(x["n"]["name"], F.lower(x["n"]["name"]))), lambda key: F.struct(x["first"].alias("first"), key.alias("key")))))
+    return got.select("document", "entity_id", both.alias("known"))
+
+
+def scopes(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """document, chunk_id, scope: array<struct<place, entity_id, keys>> by place,
+    by which a chunk's own relations name its entities: keys are the names that
+    are known up to the chunk.  If a chunk id comes twice its last scope holds."""
+    at = rows.groupBy("document", "chunk_id", "entity_id").agg(F.max(F.struct("chunk_ord", "place")).alias("at"))
+    keys = F.transform(F.filter("known", lambda k: k["first"] <= F.col("at")), lambda k: k["key"])
+    named = at.join(known, ["document", "entity_id"]).select("document", "chunk_id", F.struct("at", "entity_id", keys.alias("keys")).alias("x"))
+    got = named.groupBy("document", "chunk_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    last = F.filter("xs", lambda x: x["at"]["chunk_ord"] == F.element_at("xs", -1)["at"]["chunk_ord"])
+    return got.select("document", "chunk_id", F.transform(last, lambda x: F.struct(x["at"]["place"].alias("place"), x["entity_id"].alias("entity_id"), x["keys"].alias("keys"))).alias("scope"))
+
+
+def _in_scope(scope: Column, name: Column) -> Column:
+    """The entity that a name stands for in a scope: as written, then in lower
+    case; of several the last one.  Null if there is none."""
+
+    def last(key: Column) -> Column:
+        found = F.filter(scope, lambda e: F.array_contains(e["keys"], key))
+        return F.get(found, F.size(found) - 1)["entity_id"]
+
+    return F.coalesce(last(name), last(F.lower(name)))
+
+
+def _in_document(names: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """document, chunk_id, name, entity_id of names that no chunk's scope has:
+    the only entity of the document with that name; of several the one that
+    shares most chunks with the entities of this chunk (smallest id on a tie)."""
+    by_key = known.select("document", F.col("entity_id").alias("cand"), F.explode(F.array_distinct(F.transform("known", lambda k: k["key"]))).alias("low")).where(F.col("low") == F.lower("low"))
+    cands = pinned(names.withColumn("low", F.lower("name")).join(by_key, ["document", "low"]).select("document", "chunk_id", "name", "cand"))
+    counted = cands.groupBy("document", "chunk_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("cand").alias("only"))
+    only = counted.where("n = 1").select("document", "chunk_id", "name", F.col("only").alias("entity_id"))
+    several = cands.join(counted.where("n > 1").select("document", "chunk_id", "name"), ["document", "chunk_id", "name"])
+    if several.isEmpty():
+        return only
+    chunks = pinned(rows.groupBy("document", "chunk_id", "entity_id").agg(F.max("chunk_ord").alias("ord")))
     last = Window.partitionBy("document", "chunk_id")
-    now = claims.withColumn("last_ord", F.max("chunk_ord").over(last)).where("chunk_ord = last_ord")
-    local = now.groupBy("document", "chunk_id", "key").agg(F.max_by("entity_id", F.struct("place", "n")).alias("entity_id"))
-    wide = claims.where(F.col("key") == F.lower("key")).select("document", "key", "entity_id").distinct()
-    return local, wide
+    near = chunks.withColumn("last", F.max("ord").over(last)).where("ord = last").select("document", "chunk_id", F.col("entity_id").alias("near"))
+    met = pinned(several.join(near, ["document", "chunk_id"]).where("near <> cand"))
+    # Chunks that two entities share are counted once for each two, not for
+    # each name that asks for them.
+    of = lambda c: chunks.select("document", F.col("entity_id").alias(c), F.col("chunk_id").alias("shared"))
+    shared = met.select("document", "cand", "near").distinct().join(of("cand"), ["document", "cand"]).join(of("near"), ["document", "near", "shared"])
+    shared = shared.groupBy("document", "cand", "near").agg(F.count(F.lit(1)).alias("n"))
+    scored = met.join(pinned(shared), ["document", "cand", "near"]).groupBy("document", "chunk_id", "name", "cand").agg(F.sum("n").alias("overlap"))
+    best = scored.groupBy("document", "chunk_id", "name").agg(F.min_by("cand", F.struct(-F.col("overlap"), "cand")).alias("entity_id"))
+    return only.unionByName(best)
 
 
 def resolve(names: DataFrame, rows: DataFrame) -> DataFrame:
     """document, chunk_id, name, entity_id for the names that can be resolved:
-    in the chunk's scope as written, then in lower case; then by the only
-    entity of the document with that name; of several by the one that shares
-    most chunks with the other entities of this chunk (smallest id on a tie)."""
-    # What several joins read is written once, not computed for each.
+    in the chunk's scope, or else in the document (see _in_scope, _in_document)."""
+    # What several steps read is written once, not computed for each.
     rows = pinned(rows.drop("description"))
-    local, wide = name_scope(rows)
-    local = pinned(local)
-    asked = names.select("document", "chunk_id", "name").distinct()
-    exact = local.select("document", "chunk_id", F.col("key").alias("name"), F.col("entity_id").alias("exact"))
-    lower = local.select("document", "chunk_id", F.col("key").alias("low"), F.col("entity_id").alias("lower"))
-    out = asked.withColumn("low", F.lower("name")).join(exact, ["document", "chunk_id", "name"], "left").join(lower, ["document", "chunk_id", "low"], "left")
-    out = pinned(out.withColumn("found", F.coalesce("exact", "lower")).select("document", "chunk_id", "name", "low", "found"))
-    cands = out.where("found is null").join(wide.select("document", F.col("key").alias("low"), F.col("entity_id").alias("cand")), ["document", "low"])
-    counted = pinned(cands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document", "chunk_id", "name"))))
-    only = counted.where("n = 1").select("document", "chunk_id", "name", F.col("cand").alias("wide"))
-    chunks = rows.select("document", "entity_id", "chunk_id").distinct()
-    near = local.select("document", "chunk_id", F.col("entity_id").alias("near")).distinct()
-    of = lambda c, name: chunks.select("document", F.col("entity_id").alias(c), F.col("chunk_id").alias(name))
-    several = counted.where("n > 1").join(near, ["document", "chunk_id"]).where("near <> cand")
-    several = several.join(of("cand", "shared"), ["document", "cand"]).join(of("near", "shared"), ["document", "near", "shared"])
-    scored = several.groupBy("document", "chunk_id", "name", "cand").agg(F.count(F.lit(1)).alias("overlap"))
-    best = scored.groupBy("document", "chunk_id", "name").agg(F.min_by("cand", F.struct(-F.col("overlap"), "cand")).alias("best"))
-    out = out.join(only, ["document", "chunk_id", "name"], "left").join(best, ["document", "chunk_id", "name"], "left")
-    return out.select("document", "chunk_id", "name", F.coalesce("found", "wide", "best").alias("entity_id")).where("entity_id is not null")
+    known = pinned(_known(rows))
+    asked = names.groupBy("document", "chunk_id").agg(F.collect_set("name").alias("names"))
+    found = asked.join(scopes(rows, known), ["document", "chunk_id"], "left")
+    pairs = F.transform("names", lambda n: F.struct(n.alias("name"), _in_scope(F.col("scope"), n).alias("entity_id")))
+    found = pinned(found.select("document", "chunk_id", F.inline(pairs)))
+    rest = found.where("entity_id is null").drop("entity_id")
+    return found.where("entity_id is not null").unionByName(_in_document(rest, rows, known))
 
 
 def evidence_fold(quotes: Column) -> Column:
@@ -113,13 +143,22 @@ def evidence_fold(quotes: Column) -> Column:
 
 def relations(extractions: DataFrame, rows: DataFrame, types: list[str]) -> DataFrame:
     """One row per document and claim (source, type, target)."""
-    raw = extractions.select("document", "chunk_ord", "chunk_id", F.posexplode("relations").alias("place", "r"))
-    raw = raw.select("document", "chunk_ord", "chunk_id", "place", stripped(F.col("r.source")).alias("source"), stripped(F.col("r.target")).alias("target"), type_name(F.col("r.type")).alias("type"), F.left(F.coalesce("r.evidence", F.lit("")), F.lit(EVIDENCE_CHARS)).alias("evidence"), clamped(F.coalesce("r.confidence", F.lit(0.5))).alias("confidence"))
-    raw = raw.where((F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "") & F.col("type").isin(*types))
-    raw = pinned(raw)  # read for the names, and again for the claims
-    names = raw.select("document", "chunk_id", F.col("source").alias("name")).unionByName(raw.select("document", "chunk_id", F.col("target").alias("name")))
-    known = resolve(names, rows)
-    end = lambda c: known.select("document", "chunk_id", F.col("name").alias(c), F.col("entity_id").alias(f"{c}_id"))
-    raw = raw.join(end("source"), ["document", "chunk_id", "source"]).join(end("target"), ["document", "chunk_id", "target"])
+    rows = pinned(rows.drop("description"))
+    known = pinned(_known(rows))
+    claim = lambda r: F.struct(stripped(r["source"]).alias("source"), stripped(r["target"]).alias("target"), type_name(r["type"]).alias("type"), F.left(F.coalesce(r["evidence"], F.lit("")), F.lit(EVIDENCE_CHARS)).alias("evidence"), clamped(F.coalesce(r["confidence"], F.lit(0.5))).alias("confidence"))
+    usable = lambda c: (F.coalesce(c["source"], F.lit("")) != "") & (F.coalesce(c["target"], F.lit("")) != "") & F.coalesce(c["type"].isin(*types), F.lit(False))
+    # Ends are looked up in a chunk's own row.
+    made = extractions.select("document", "chunk_ord", "chunk_id", F.transform("relations", lambda r, i: F.struct(i.alias("place"), claim(r).alias("c"))).alias("rs"))
+    made = made.withColumn("rs", F.filter("rs", lambda r: usable(r["c"]))).where(F.size("rs") > 0).join(scopes(rows, known), ["document", "chunk_id"], "left")
+    ends = F.transform("rs", lambda r: F.struct(r["place"].alias("place"), r["c"].alias("c"), _in_scope(F.col("scope"), r["c"]["source"]).alias("source_id"), _in_scope(F.col("scope"), r["c"]["target"]).alias("target_id")))
+    raw = pinned(made.select("document", "chunk_ord", "chunk_id", F.inline(ends)).select("document", "chunk_ord", "chunk_id", "place", "c.*", "source_id", "target_id"))
+    done = raw.where("source_id is not null and target_id is not null")
+    open_ = raw.where("source_id is null or target_id is null")
+    lost = open_.where("source_id is null").select("document", "chunk_id", F.col("source").alias("name")).unionByName(open_.where("target_id is null").select("document", "chunk_id", F.col("target").alias("name"))).distinct()
+    wide = _in_document(lost, rows, known)
+    end = lambda c: wide.select("document", "chunk_id", F.col("name").alias(c), F.col("entity_id").alias(f"{c}_wide"))
+    for c in ("source", "target"):
+        open_ = open_.join(end(c), ["document", "chunk_id", c], "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", f"{c}_wide")).where(f"{c}_id is not null")
+    raw = done.unionByName(open_.select(*done.columns))
     out = raw.groupBy("document", "source_id", "type", "target_id").agg(F.array_distinct(_ordered("chunk_id")).alias("source_chunks"), F.max("confidence").alias("confidence"), evidence_fold(_ordered("evidence")).alias("evidence"))
     return out.withColumn("id", content_id(F.col("source_id"), F.col("type"), F.col("target_id")))

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import kg
 
@@ -79,6 +82,51 @@ def test_last_claim_wins_and_repeated_chunk_ids(spark):
     assert len(m) == 1
 
 
+def resolved(chunks):
+    """(chunk, name, entity) by going through a document's chunks in order."""
+    known, scope, of = {}, [], {}
+    for at, (entities, _) in enumerate(chunks):
+        own = {}
+        for name, kind, _, aliases in entities:
+            key = (kind, name.lower())
+            held = known.setdefault(key, [name])
+            held += [a for a in aliases if a not in held]
+            of.setdefault(key, set()).add(at)
+            for n in held:
+                own[n] = own[n.lower()] = key
+        scope.append(own)
+    out = set()
+    for at, (_, relations) in enumerate(chunks):
+        for name in {n for r in relations for n in r[:2]}:
+            found = scope[at].get(name) or scope[at].get(name.lower())
+            if not found:
+                cands = [k for k, held in known.items() if name.lower() in {n.lower() for n in held}]
+                near = set(scope[at].values())
+                score = {c: sum(len(of[c] & of[n]) for n in near - {c}) for c in cands}
+                best = [c for c in cands if score[c] and score[c] == max(score.values())]
+                found = cands[0] if len(cands) == 1 else best
+            out.add((f"ch{at}", name, tuple(sorted(found)) if isinstance(found, list) else (found,)))
+    return out
+
+
+def test_names_go_as_if_chunk_by_chunk(spark):
+    rng = random.Random(2)
+    words = ["Al", "al", "Bo", "BO", "Cy", "Di", "Ed", "ed"]
+    for _ in range(8):
+        chunks = [([ent(rng.choice(words), rng.choice(TYPES[:2]), aliases=rng.sample(words, rng.randrange(3))) for _ in range(rng.randrange(4))], [rel(rng.choice(words), rng.choice(words)) for _ in range(3)]) for _ in range(7)]
+        x = spark.createDataFrame([("d", i, f"ch{i}", e, r) for i, (e, r) in enumerate(chunks)], DDL)
+        rows = kg.entity_rows(x, "c1", TYPES)
+        keys = {r.entity_id: (r.type, r.name.lower()) for r in rows.collect()}
+        names = x.select("document", "chunk_id", F.explode("relations").alias("r"))
+        names = names.select("document", "chunk_id", F.col("r.source").alias("name")).unionByName(names.select("document", "chunk_id", F.col("r.target").alias("name")))
+        got = {(r.chunk_id, r.name): keys[r.entity_id] for r in kg.resolve(names, rows).collect()}
+        for chunk, name, ways in resolved(chunks):
+            ways = [w for w in ways if w]
+            assert got.get((chunk, name)) in ways if ways else (chunk, name) not in got, (chunk, name, ways)
+        claims = {(got[f"ch{i}", a], got[f"ch{i}", b]) for i, (_, r) in enumerate(chunks) for a, b, *_ in r if (f"ch{i}", a) in got and (f"ch{i}", b) in got}
+        assert {(keys[r.source_id], keys[r.target_id]) for r in kg.relations(x, rows, RELS).collect()} == claims
+
+
 @pytest.mark.parametrize("bad", [rel(None, "A"), rel("A", " "), rel("A", "A", "?")])
 def test_bad_relations(spark, bad):
     assert fold(spark, ([ent("A")], [bad]))[2] == []
