@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 NOISE_PATTERNS = ("docs/diffs/*", "*.json", ".history/*", ".lh/*", ".venv/*", "node_modules/*", "__pycache__/*", "dist/*", "build/*", ".git/*")
 # Entity types that stand for code, and tokens of such types.
 CODE_TYPES = ("MODULE", "COMPONENT", "METHOD", "FUNCTION", "CLASS", "INSIGHT_ENGINE", "KNOWLEDGE_GRAPH", "EXTRACTION_PIPELINE", "REASONING_STRATEGY", "ONTOLOGY")
+# Failures of calls that pass by themselves.
+PASSING_STATUS = (429, 500, 502, 503, 504)
+PASSING_KINDS = ("timeout", "connect", "read")
 CODE_TOKENS = ("MODULE", "COMPONENT", "METHOD", "FUNCTION", "CLASS", "ENGINE", "PIPELINE", "ALGORITHM")
 #: White space at the ends, as Python's strip sees it.
 ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -107,7 +110,8 @@ def arm_name(strategy: Column) -> Column:
 
 
 def escaped_query(text: Column) -> Column:
-    """A text query with the special characters of the query syntax escaped."""
+    """A text query with the special characters of the query syntax escaped, for
+    stores that have one; search.bm25 takes plain words."""
     return F.regexp_replace(text, r'([+\-!(){}\[\]^"~*?:\\/&|])', r"\\$1")
 
 
@@ -134,7 +138,17 @@ def last_n(items: Column, n: int) -> Column:
 
 def transient(status: Column, kind: Column) -> Column:
     """Whether a failed call is worth another try."""
-    return F.coalesce(status.isin(429, 500, 502, 503, 504), F.lit(False)) | F.coalesce(kind.isin("timeout", "connect", "read"), F.lit(False))
+    return F.coalesce(status.isin(*PASSING_STATUS), F.lit(False)) | F.coalesce(kind.isin(*PASSING_KINDS), F.lit(False))
+
+
+def shortened(text: Column, n: int) -> Column:
+    """The first n characters, as reports and prompts hold them; null is empty."""
+    return F.left(F.coalesce(text, F.lit("")), F.lit(n))
+
+
+def contradicted(layer: Column, verdict: Column, confidence: Column) -> Column:
+    """Whether a finding of the first layer goes, since its source refutes it."""
+    return F.coalesce((layer == 1) & (verdict == "contradict") & (confidence >= 0.7), F.lit(False))
 
 
 def tokens(text: Column) -> Column:

@@ -6,18 +6,92 @@ import hashlib
 import json
 import math
 import re
+import time
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions.columns import PASSING_KINDS, PASSING_STATUS, embedding_text
+
+
+class Transient(Exception):
+    """A call that failed for now, whatever the reason."""
+
+
+def failure(e: BaseException) -> tuple[int | None, str]:
+    """The status and the kind of a failed call.
+
+    Clients of many libraries are understood: a status may be an attribute of
+    the error or of its response, and kinds are told by the error's types.
+    """
+    for holder in (e, getattr(e, "response", None)):
+        for name in ("status", "status_code", "code"):
+            if isinstance(status := getattr(holder, name, None), int):
+                return status, "status"
+    names = " ".join(t.__name__.lower() for t in type(e).__mro__[:-1])
+    if isinstance(e, TimeoutError) or "timeout" in names:
+        return None, "timeout"
+    if isinstance(e, ConnectionResetError) or "readerror" in names:
+        return None, "read"
+    if isinstance(e, (ConnectionError, Transient)) or "connecterror" in names:
+        return None, "connect"
+    reason = getattr(e, "reason", None)  # what a wrapped error was
+    return failure(reason) if isinstance(reason, BaseException) else (None, "other")
+
+
+def passing(e: BaseException) -> bool:
+    """Whether a failed call is worth another try."""
+    status, kind = failure(e)
+    return status in PASSING_STATUS or kind in PASSING_KINDS
+
+
+def tried(call: Callable, attempts: int = 3, wait: float = 1.0):
+    """call(), again after 1, 2, 4 ... times ``wait`` seconds if it fails for
+    now; the last failure is raised, as are those that stay."""
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            if n == attempts - 1 or not passing(e):
+                raise
+            time.sleep(wait * 2**n)
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class Paced:
+    """An embedder that is asked for ``size`` texts at a time, with a pause
+    between, and again as long as it fails for now."""
+
+    def __init__(self, embedder: Embedder, size: int = 20, pause: float = 1.0, attempts: int = 6):
+        self.embedder, self.size, self.pause, self.attempts = embedder, size, pause, attempts
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for k in range(0, len(texts), self.size):
+            if k:
+                time.sleep(self.pause)
+            part = texts[k : k + self.size]
+            out += tried(lambda: self.embedder.embed(part), self.attempts, self.pause)
+        return out
+
+
+class BulkEmbedder(Protocol):
+    """A service that embeds a file of requests by and by (see sources.bulk)."""
+
+    def submit(self, requests: str) -> str: ...
+
+    def state(self, job: str) -> str: ...
+
+    def results(self, job: str) -> str: ...
+
+
 class Completer(Protocol):
     def complete(self, system: str, user: str) -> str: ...
 
@@ -58,9 +132,9 @@ def embedding(text: Column, embedder: Embedder) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed([t if t and t.strip() else " " for t in texts]))
+        return pd.Series(embedder.embed(list(texts)))
 
-    return embed(text)
+    return embed(embedding_text(text))
 
 
 def parsed(text: str):
@@ -75,7 +149,11 @@ def parsed(text: str):
     return None
 
 
-def scores_in(text: str, keys: tuple[str, ...] = ("novelty", "relevance", "actionability")) -> dict[str, float]:
+# What a referee scores.
+SCORES = ("novelty", "relevance", "actionability")
+
+
+def scores_in(text: str, keys: tuple[str, ...] = SCORES) -> dict[str, float]:
     """Scores from a referee's answer, clamped; 0.5 for those it leaves out."""
     data = parsed(text)
     found = data if isinstance(data, dict) else {k: m[1] for k in keys if (m := re.search(rf'"{k}"\s*:\s*([\d.]+)', text))}

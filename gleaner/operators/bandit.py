@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import clamped, uct
+from ..functions.columns import clamped, hash_order, uct
 
 
-def posteriors(log: DataFrame, arms: DataFrame) -> DataFrame:
-    """Beta posterior of every arm (arm) from a log (arm, score, weight)."""
+def posteriors(log: DataFrame, arms: DataFrame, mode: str = "pseudo_count") -> DataFrame:
+    """Beta posterior of every arm (arm) from a log (arm, score, weight); with
+    the mode "bernoulli" from whole wins and losses (see there)."""
+    if mode not in ("pseudo_count", "bernoulli"):
+        raise ValueError("mode is pseudo_count or bernoulli")
     s = clamped(F.col("score"))
-    sums = log.groupBy("arm").agg(F.sum(s * F.col("weight")).alias("won"), F.sum((1 - s) * F.col("weight")).alias("lost"))
+    sums = bernoulli(log) if mode == "bernoulli" else log.groupBy("arm").agg(F.sum(s * F.col("weight")).alias("won"), F.sum((1 - s) * F.col("weight")).alias("lost"))
     rows = arms.join(sums, "arm", "left").fillna(0.0, ["won", "lost"])
     rows = rows.select("arm", (1 + F.col("won")).alias("a"), (1 + F.col("lost")).alias("b"))
     return rows.select("arm", F.round("a", 6).alias("alpha"), F.round("b", 6).alias("beta"), F.round(F.col("a") / (F.col("a") + F.col("b")), 6).alias("mean"), F.round(F.col("a") + F.col("b") - 2, 6).alias("observations"))
@@ -22,10 +25,12 @@ def posteriors(log: DataFrame, arms: DataFrame) -> DataFrame:
 
 def bernoulli(log: DataFrame, seed: int = 0) -> DataFrame:
     """arm, won, lost: each score as the probability of a win, drawn from a
-    hash of seed and event (id), so that a replay draws the same."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
+    hash of seed and event (id), so that a replay draws the same.  weight (1
+    where it is absent): what an event counts."""
+    u = F.conv(F.left(hash_order(seed, F.col("id")), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
     won = (u < clamped(F.col("score"))).cast("int")
-    return log.groupBy("arm").agg(F.sum(won).alias("won"), F.sum(1 - won).alias("lost"))
+    weight = F.col("weight") if "weight" in log.columns else F.lit(1)
+    return log.groupBy("arm").agg(F.sum(won * weight).alias("won"), F.sum((1 - won) * weight).alias("lost"))
 
 
 def running(log: DataFrame) -> DataFrame:

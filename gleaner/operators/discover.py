@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bridge_score, dot, entity_bridge_score, gap_kept, gap_score, hash_order, noisy, path_distance
+from ..functions.columns import NOISE_PATTERNS, bridge_score, dot, entity_bridge_score, gap_kept, gap_score, hash_order, noisy, path_distance
 
 THRESHOLD = 0.65
 
 
-def sampled(chunks: DataFrame, raw: int, final: int, seed: int = 0, least_chars: int = 80) -> DataFrame:
+def sampled(chunks: DataFrame, raw: int, final: int, seed: int = 0, least_chars: int = 80, noise: tuple[str, ...] = NOISE_PATTERNS) -> DataFrame:
     """A reproducible sample: of ``raw`` chunks in hash order, the first
     ``final`` whose path (doc_path) is no noise and whose text is long enough."""
     drawn = chunks.where("embedding is not null").withColumn("o", hash_order(seed, F.col("id"))).orderBy("o").limit(raw)
-    return drawn.where(~noisy(F.col("doc_path")) & (F.length("text") >= least_chars)).orderBy("o").limit(final).drop("o")
+    return drawn.where(~noisy(F.col("doc_path"), noise) & (F.length("text") >= least_chars)).orderBy("o").limit(final).drop("o")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, most: float = 1.0, block: int = 1024) -> DataFrame:
@@ -103,16 +105,29 @@ def hubs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def cooccurrences(mentions: DataFrame, k: int | None = 50, seed: int = 0) -> DataFrame:
-    """Chunks of different documents that mention one entity, k of them in
-    hash order, with the bridge score.  mentions: chunk, doc, path, entity."""
+    """Chunks of different documents that mention one entity, k of them drawn
+    at random, with the bridge score.  mentions: chunk, doc, path, entity.
+
+    An entity's pairs aren't all made: a document takes part with one chunk, and
+    the first documents in hash order make at least k pairs among them.  Each of
+    these stands for as many as the entity has, and the draw goes by that
+    weight.  Without k all pairs of chunks come out.
+    """
     m = mentions.select("chunk", "doc", "path", "entity").distinct()
-    counts = m.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
+    counts = m.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc").alias("docs"))
+    if k is not None:
+        most = math.ceil(0.5 + math.sqrt(0.25 + 2 * k))  # so many make k pairs
+        order = hash_order(seed, F.concat_ws(":", "entity", "chunk"))
+        m = m.withColumn("o", order).groupBy("entity", "doc").agg(F.min(F.struct("o", "chunk", "path")).alias("x")).select("entity", "doc", "x.*")
+        m = m.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("o"))).where(F.col("r") <= most).drop("o", "r")
     other = m.select(F.col("chunk").alias("chunk_b"), F.col("doc").alias("doc_b"), F.col("path").alias("path_b"), "entity")
-    pairs = m.join(other, "entity").where("chunk < chunk_b and doc <> doc_b")
+    pairs = m.join(other, "entity").where("chunk < chunk_b and doc <> doc_b").join(counts, "entity")
     if k is not None:
-        order = hash_order(seed, F.concat_ws(":", "entity", "chunk", "chunk_b"))
-        pairs = pairs.orderBy(order, "entity", "chunk", "chunk_b").limit(k)
-    pairs = pairs.join(counts, "entity")
+        # The k smallest of -ln(u) / weight are a draw by weight.
+        u = (F.conv(F.left(hash_order(seed, F.concat_ws(":", "entity", "chunk", "chunk_b")), F.lit(13)), 16, 10).cast("double") + 1) / float(1 << 52)
+        held = F.least(F.col("docs"), F.lit(most))
+        weight = F.col("docs") * (F.col("docs") - 1) / (held * (held - 1))
+        pairs = pairs.withColumn("key", -F.ln(u) / weight).orderBy("key", "entity", "chunk", "chunk_b").limit(k)
     score = entity_bridge_score(path_distance(F.col("path"), F.col("path_b")), F.col("mentions"))
     return pairs.select("entity", F.col("chunk").alias("a"), F.col("chunk_b").alias("b"), "mentions", F.round(score, 6).alias("score"))
 

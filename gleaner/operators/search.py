@@ -27,6 +27,15 @@ def vector_top_k(chunks: DataFrame, query: list[float], k: int = 10, keep: Colum
     return top if keep is None or mode == "pre" else top.where(keep)
 
 
+def insight_top_k(insights: DataFrame, query: list[float], k: int = 5, corpus: str = "") -> DataFrame:
+    """id, text, strategy, score (the stored one), layer, similarity of the k
+    nearest insights; those of other corpora are left out of these."""
+    keep = F.col("corpus_id") == corpus if corpus else None
+    rows = insights.withColumnRenamed("score", "stored")
+    top = vector_top_k(rows, query, k, keep)
+    return top.select("id", "text", "strategy", F.col("stored").alias("score"), "layer", F.col("score").alias("similarity"))
+
+
 def bm25(docs: DataFrame, query: str, k: int | None = 10) -> DataFrame:
     """id, score of the documents (id, text) that hold a word of the query.
 

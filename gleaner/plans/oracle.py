@@ -81,8 +81,13 @@ def _top(query: list[float], k: int, where: str = "true") -> str:
 _POSTERIOR = """SELECT arm, round(1 + won, 6) AS alpha, round(1 + lost, 6) AS beta, round((1 + won) / (2 + won + lost), 6) AS mean, round(won + lost, 6) AS observations
 FROM (SELECT arm, coalesce(sum(greatest(0.0, least(1.0, score)) * weight), 0.0) AS won, coalesce(sum((1 - greatest(0.0, least(1.0, score))) * weight), 0.0) AS lost FROM arms LEFT JOIN {} USING (arm) GROUP BY arm)"""
 _COOC = """SELECT entity, a, b, mentions, round(0.7 * (0.5 + 0.5 * {dist}) * (0.5 + 0.5 * least(mentions / 10, 1.0)), 6) AS score FROM (
-  SELECT x.entity, x.chunk AS a, y.chunk AS b, x.path AS px, y.path AS py FROM ment x JOIN ment y ON x.entity = y.entity AND x.chunk < y.chunk AND x.doc <> y.doc
-  ORDER BY sha256('{seed}:' || x.entity || ':' || x.chunk || ':' || y.chunk) LIMIT {k}) JOIN (SELECT entity, count(*) AS mentions FROM ment GROUP BY 1) USING (entity)"""
+  WITH one AS (SELECT entity, doc, arg_min(chunk, h) AS chunk, arg_min(path, h) AS path, min(h) AS h FROM (SELECT *, sha256('{seed}:' || entity || ':' || chunk) AS h FROM ment) GROUP BY entity, doc),
+  few AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY entity ORDER BY h) <= {most}),
+  n AS (SELECT entity, count(*) AS mentions, count(DISTINCT doc)::DOUBLE AS docs FROM ment GROUP BY entity)
+  SELECT entity, x.chunk AS a, y.chunk AS b, x.path AS px, y.path AS py, mentions,
+    -ln((('0x' || left(sha256('{seed}:' || entity || ':' || x.chunk || ':' || y.chunk), 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) * (least(docs, {most}) * (least(docs, {most}) - 1)) / (docs * (docs - 1)) AS key
+  FROM few x JOIN few y USING (entity) JOIN n USING (entity) WHERE x.chunk < y.chunk AND x.doc <> y.doc
+  ORDER BY key, entity, a, b LIMIT {k})"""
 _SEEN = "both_ AS (SELECT source AS seed, target AS other, type, confidence, source AS from_id, target AS to_id FROM rel UNION ALL SELECT target, source, type, confidence, source, target FROM rel WHERE source <> target)"
 
 
@@ -119,9 +124,10 @@ QUALIFY row_number() OVER (PARTITION BY doc_path ORDER BY score DESC, id) = 1"""
 s AS (SELECT d.id, x.doc_path, count(DISTINCT y.doc_path) AS reach, round(sum(round(similarity * 1e6)::BIGINT) / count(*)) / 1e6 AS strength FROM d JOIN vec x ON d.id = x.id JOIN vec y ON o = y.id WHERE x.doc_path <> y.doc_path GROUP BY ALL),
 t AS (SELECT id, doc_path, reach, strength, round(reach / (SELECT count(DISTINCT doc_path) - 1 FROM vec) * (0.4 + 0.6 * strength), 6) AS score FROM s)
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_path ORDER BY score DESC, id) = 1""",
-    "contradiction_candidates": f"""WITH {_VEC}, {_pairs(0.3, 0.45)}, {_MENT}, c AS ({_COOC.format(dist=_dist('px', 'py'), seed=3, k=30)})
-SELECT a, b, similarity AS score, 'embedding' AS source FROM pairs UNION ALL SELECT a, b, score, 'entity' FROM c ORDER BY score DESC, a, b, source LIMIT 30""",
-    "entity_cooccurrence_bridge": f"WITH {_MENT} " + _COOC.format(dist=_dist("px", "py"), seed=1, k=50),
+    "contradiction_candidates": f"""WITH {_VEC}, {_pairs(0.3, 0.45)}, {_MENT}, c AS ({_COOC.format(dist=_dist('px', 'py'), seed=3, k=20, most=7)}),
+e AS (SELECT a, b, similarity FROM pairs JOIN vec x ON a = x.id JOIN vec y ON b = y.id WHERE x.doc_path <> y.doc_path)
+SELECT a, b, similarity::DOUBLE AS score, 'embedding' AS source FROM e UNION ALL SELECT a, b, 0.85::DOUBLE, 'entity' FROM c ORDER BY score DESC, a, b, source LIMIT 30""",
+    "entity_cooccurrence_bridge": f"WITH {_MENT} " + _COOC.format(dist=_dist("px", "py"), seed=1, k=50, most=11),
     "entity_hubs": f"""WITH {_MENT}, top AS (SELECT entity, count(DISTINCT doc) AS docs, min(chunk) AS sample_chunk FROM ment GROUP BY 1 HAVING docs >= 3 ORDER BY docs DESC, entity LIMIT 20)
 SELECT entity, docs, sample_chunk, round(least(1.5 * docs / (SELECT count(DISTINCT doc) FROM ment WHERE entity IN (SELECT entity FROM top)), 1.0), 6) AS score FROM top""",
     "entity_gaps": f"""WITH {_REL}, i AS (SELECT target AS entity, count(*) AS incoming FROM rel GROUP BY 1),
@@ -187,14 +193,13 @@ c AS (SELECT document, source_id, target_id, string_agg(ord, ',' ORDER BY ord) A
 e AS (SELECT document, source_id, target_id, string_agg(evidence, ' || ' ORDER BY ord, place) AS evidence FROM (SELECT document, source_id, target_id, evidence, ord, place FROM claim QUALIFY row_number() OVER (PARTITION BY document, source_id, target_id, evidence ORDER BY ord, place) = 1) GROUP BY ALL),
 m AS (SELECT document, source_id, target_id, max(confidence) AS confidence FROM claim GROUP BY ALL)
 SELECT document, source_id, target_id, left(sha256(source_id || ':GOES_WITH:' || target_id), 20) AS id, source_chunks, round(confidence, 6) AS confidence, evidence FROM m JOIN c USING (document, source_id, target_id) JOIN e USING (document, source_id, target_id)""",
-    "keyed_merge_entity": """WITH o AS (SELECT p_partkey AS id, p_name || ' o' AS name, repeat('o', p_size % 3) AS d FROM part WHERE p_partkey % 3 <> 0),
-n AS (SELECT p_partkey AS id, p_name || ' n' AS name, repeat('n', p_size % 4) AS d FROM part WHERE p_partkey % 2 = 0)
+    "keyed_merge_entity": """WITH o AS (SELECT p_partkey AS id, p_name || ' o' AS name, repeat('o', p_size % 3) AS d FROM part WHERE p_partkey % 3 IN (1, 2)),
+n AS (SELECT p_partkey AS id, p_name || ' n' AS name, repeat('n', p_size % 4) AS d FROM part WHERE p_partkey % 3 IN (0, 2))
 SELECT id, coalesce(o.name, n.name) AS name, CASE WHEN o.id IS NULL OR length(n.d) > length(o.d) THEN n.d ELSE o.d END AS description,
-  CASE WHEN o.id IS NULL THEN 'n,both' WHEN n.id IS NULL THEN 'o,both' ELSE 'o,both,n' END AS aliases FROM o FULL JOIN n USING (id)""",
-    "keyed_merge_relation": f"""WITH {_REL}, r AS (SELECT source || ':' || type || ':' || target AS id, * FROM rel),
-o AS (SELECT * FROM r WHERE target % 3 = 0), n AS (SELECT * FROM r WHERE target % 2 = 0 AND target % 4 = 0)
-SELECT coalesce(o.id, n.id) AS id, greatest(coalesce(o.confidence, 0.05), CASE WHEN n.id IS NULL THEN o.confidence ELSE 0.05 END) AS confidence, CASE WHEN o.id IS NULL THEN 'later' ELSE 'quote' END AS evidence,
-  CASE WHEN o.id IS NULL THEN 'x,' || n.type WHEN n.id IS NULL THEN o.type ELSE o.type || ',x' END AS source_chunks FROM o FULL JOIN n ON o.id = n.id""",
+  CASE WHEN id % 5 = 0 THEN '' WHEN o.id IS NULL THEN 'n,both' WHEN n.id IS NULL THEN 'o,both' ELSE 'o,both,n' END AS aliases FROM o FULL JOIN n USING (id)""",
+    "keyed_merge_relation": f"""WITH {_REL}, r AS (SELECT source || ':' || type || ':' || target AS id, rel.*, p_size FROM rel JOIN part ON target = p_partkey)
+SELECT id, CASE WHEN target % 3 = 0 OR target % 3 = 2 AND p_size <> 7 AND confidence < 0.05 THEN 0.05 ELSE confidence END AS confidence, CASE WHEN target % 3 = 0 THEN 'later' ELSE 'quote' END AS evidence,
+  CASE WHEN target % 3 = 0 THEN 'x,' || type WHEN target % 3 = 1 OR p_size = 7 THEN type ELSE type || ',x' END AS source_chunks FROM r WHERE target % 3 <> 0 OR p_size <> 7""",
     "update_by_key": "SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, (SELECT min(o_orderstatus) FROM orders WHERE o_custkey = c_custkey)) AS layer, c_name FROM customer",
     "last_write_and_insert_only": """WITH n AS (SELECT p_partkey AS id, upper(p_name) AS p_name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT -p_partkey, p_name FROM part WHERE p_partkey < 10 AND p_partkey % 3 <> 0 OR p_partkey IN (3, 6, 9)
   UNION ALL SELECT 0, p_name FROM part WHERE p_partkey = 0)
@@ -205,4 +210,47 @@ UNION ALL SELECT p_partkey, p_name, 'insert' FROM part UNION ALL SELECT id, p_na
     "top_insights_per_strategy": f"WITH {_INS} SELECT id, strategy, score, row_number() OVER (PARTITION BY strategy ORDER BY score DESC, id) AS place FROM ins QUALIFY place <= 20",
     "last_evidence": "SELECT o_custkey AS insight, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS last FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 3) GROUP BY 1",
     "typed_keys": "SELECT vec_id, ['chunk', 'insight', 'entity'][vec_id % 3 + 1] AS kind, vec_id || ':x' AS key FROM embeddings",
+    "node_lookup": """WITH n AS (SELECT doc_id AS id, 'chunk' AS label, length(text) AS n_chars FROM documents UNION ALL SELECT p_partkey, 'entity', length(p_name) FROM part)
+SELECT o_orderkey AS asked, id, label, n_chars FROM orders JOIN n ON id = o_custkey""",
+    "corpus_or_unscoped": f"WITH {_INS} SELECT id, strategy FROM ins WHERE id % 4 <> 1",
+    "insight_browse": f"""WITH {_INS} SELECT id, any_value(score) AS score, coalesce(string_agg(DISTINCT o_orderpriority || '/' || o_orderstatus, ';' ORDER BY o_orderpriority || '/' || o_orderstatus), '') AS paths
+FROM ins LEFT JOIN orders ON o_custkey = id WHERE id % 4 = 1 GROUP BY id""",
+    "insight_vector_topk": f"""WITH {_INS}, top AS (SELECT id, strategy, score, round({_cos('e', f'{_Q}::DOUBLE[]')}, 6) AS similarity FROM ins ORDER BY similarity DESC, id LIMIT 40)
+SELECT id, strategy, score, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 6 = 5 THEN 2 ELSE 1 END AS layer, similarity FROM top WHERE id % 4 = 0""",
+    "insight_sample": f"""WITH {_INS}, drawn AS (SELECT * FROM ins WHERE id % 6 BETWEEN 1 AND 4 ORDER BY sha256('5:' || id) LIMIT 50)
+SELECT id, any_value(strategy) AS strategy, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS sources FROM drawn LEFT JOIN orders ON o_custkey = id GROUP BY id""",
+    "missing_embeddings": "SELECT vec_id AS id, vec_id % 450 AS n_chars FROM embeddings WHERE vec_id % 4 = 0 ORDER BY vec_id LIMIT 100",
+    "follow_links": """WITH turn AS (SELECT conv_id * 1000 + turn AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, conv_id FROM conversations),
+next AS (SELECT DISTINCT a.node AS seed, 'next' AS how, b.node AS found FROM turn a JOIN turn b ON a.conv_id = b.conv_id AND b.n IN (a.n + 1, a.n + 2)),
+src AS (SELECT c_custkey AS seed, 'source' AS how, o_orderkey AS found FROM customer JOIN orders ON o_custkey = c_custkey
+  UNION SELECT node, 'source', o_orderkey FROM turn JOIN orders ON o_custkey = node)
+SELECT * FROM next QUALIFY row_number() OVER (PARTITION BY seed ORDER BY found) <= 2 UNION ALL SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY seed ORDER BY found) <= 3""",
+    "evaluation_context": f"""WITH {_MENT}, {_REL}, {_SEEN}, {_near(3)},
+ent AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'Type ' ELSE 'type ' END || p_type AS name, p_brand AS kind FROM part UNION ALL SELECT -s_suppkey, s_name, 'UNKNOWN' FROM supplier),
+src AS (SELECT o_custkey AS id, o_orderkey AS chunk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, left(o_orderpriority || ' ' || o_orderstatus, 8) AS text FROM orders QUALIFY place <= 5),
+own AS (SELECT chunk, entity FROM ment QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY entity) <= 5),
+named AS (SELECT src.id, place, entity, name, kind FROM src JOIN own USING (chunk) JOIN ent ON ent.id = entity QUALIFY row_number() OVER (PARTITION BY src.id, lower(name) ORDER BY place, entity) = 1),
+kinds AS (SELECT id, string_agg(name || ' (' || kind || ')', ';' ORDER BY place, entity) AS entities FROM (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, entity) <= 10) GROUP BY id),
+ways AS (SELECT named.id, place, entity, -confidence AS unsure, other, type, named.name || ' -[' || type || ']-> ' || ent.name AS path FROM named JOIN near ON seed = entity JOIN ent ON ent.id = other),
+paths AS (SELECT id, string_agg(path, ';' ORDER BY place, entity, unsure, other, type, path) AS paths FROM (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, entity, unsure, other, type, path) <= 10) GROUP BY id),
+texts AS (SELECT id, string_agg(text, ';' ORDER BY place) AS texts FROM src GROUP BY id)
+SELECT id, texts, coalesce(entities, '') AS entities, coalesce(paths, '') AS paths FROM texts LEFT JOIN kinds USING (id) LEFT JOIN paths USING (id)""",
+    "evidence_texts": """SELECT node, place - 1 AS place, id, text FROM (SELECT o_custkey AS node, o_orderkey AS id, left(o_orderpriority || ' ' || o_orderstatus, 6) AS text,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE place > n - 5""",
+    "two_channel_quota": """WITH a AS (SELECT 1 AS channel, -s_suppkey AS id, s_acctbal AS score FROM supplier WHERE s_acctbal > 9000 ORDER BY score DESC, id LIMIT 20),
+b AS (SELECT 2 AS channel, c_custkey AS id, c_acctbal AS score FROM customer ORDER BY score DESC, id)
+SELECT * FROM a UNION ALL SELECT * FROM b QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 41 - (SELECT count(*) FROM a)""",
+    "budgeted_work": "SELECT doc_id AS id, lang || '/' || source AS path, (SELECT greatest(count(*) - 123, 0) FROM documents) AS remaining FROM documents ORDER BY path, id LIMIT 123",
+    "text_forms": r"""WITH t AS (SELECT *, CASE p_size % 3 WHEN 0 THEN ' ' WHEN 1 THEN p_name END AS blank FROM part)
+SELECT p_partkey AS id, p_type || ' \(\+' || p_brand || '\) ' || p_size AS escaped, CASE WHEN p_size % 3 = 1 THEN p_name ELSE ' ' END AS to_embed, p_name || ': ' || p_type AS entity,
+  CASE WHEN p_size % 3 = 2 THEN p_brand || '_other' ELSE p_brand END AS arm, left(coalesce(blank, ''), 4) AS short, p_name || ' -[' || replace(replace(upper(p_type), ' ', '_'), '-', '_') || ']-> ' || p_brand AS hop FROM t""",
+    "transient_errors": "SELECT event_id, event_id % 8 BETWEEN 2 AND 6 OR user_id % 5 < 3 AS again FROM events",
+    "grounding_filter": f"""WITH {_INS} SELECT id, ['support', 'contradict', 'unsupported'][id % 3 + 1] AS verdict, round(CASE WHEN id % 3 = 2 THEN score / 2 ELSE score END, 6) AS reward
+FROM ins WHERE NOT (id % 6 BETWEEN 1 AND 4 AND id % 3 = 1 AND id % 11 >= 7)""",
+    "bandit_bernoulli": f"""WITH {_EVENTS}, {_ARMS}, win AS (SELECT arm, CASE WHEN ('0x' || left(sha256('0:' || id), 13))::BIGINT / 4503599627370496.0::DOUBLE < {_CLAMP} THEN 1.0::DOUBLE ELSE 0.0 END AS score, 1.0::DOUBLE AS weight FROM log) """ + _POSTERIOR.format("win"),
+    "reward_stream_posteriors": f"WITH {_EVENTS} SELECT arm, round(1 + sum({_CLAMP}), 6) AS alpha, round(1 + sum(1 - {_CLAMP}), 6) AS beta FROM log GROUP BY arm",
+    "known_sources": "SELECT DISTINCT l_suppkey AS insight, l_partkey AS source FROM lineitem JOIN part ON l_partkey = p_partkey AND p_size > 25",
+    "update_overwrite": """SELECT c_custkey AS id, CASE WHEN n.id IS NULL THEN c_mktsegment ELSE n.s END AS description, coalesce(n.stamp, '') AS stamp, c_name
+FROM customer LEFT JOIN (SELECT o_custkey AS id, nullif(max(o_orderstatus), 'P') AS s, strftime(max(o_orderdate), '%Y-%m-%d') AS stamp FROM orders GROUP BY 1) n ON n.id = c_custkey""",
+    "bulk_results": "SELECT ['chunk', 'insight', 'entity'][vec_id % 3 + 1] AS kind, vec_id || ':x' AS id, 4 AS n, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 7 > 0 AND vec_id % 5 > 0 AND vec_id % 11 > 0",
 }

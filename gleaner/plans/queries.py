@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import bandit, chunks, discover, graph, kg, search
-from ..sources import store
+from ..operators import bandit, browse, chunks, discover, graph, kg, search
+from ..sources import bulk, store
+from ..sources.staging import shared_dir
+from ..streaming import rewards
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,8 +108,10 @@ def hub_connectivity(s, d):
 
 @query
 def contradiction_candidates(s, d):
-    near = discover.similar_pairs(T.vectors(s, d), NEAR, 0.45).select("a", "b", F.col("similarity").alias("score"), F.lit("embedding").alias("source"))
-    shared = discover.cooccurrences(T.mentions(s, d), 30, seed=3).select("a", "b", "score", F.lit("entity").alias("source"))
+    """Pairs of one entity have the score 0.85; similar pairs are of two documents."""
+    near = discover.cross_document_pairs(T.vectors(s, d), NEAR, 0.45).orderBy(F.desc("similarity"), "a", "b").limit(30)
+    near = near.select("a", "b", F.col("similarity").alias("score"), F.lit("embedding").alias("source"))
+    shared = discover.cooccurrences(T.mentions(s, d), 20, seed=3).select("a", "b", F.lit(0.85).alias("score"), F.lit("entity").alias("source"))
     return near.unionByName(shared).orderBy(F.desc("score"), "a", "b", "source").limit(30)
 
 
@@ -328,16 +332,21 @@ def relation_fold(s, d):
 def keyed_merge_entity(s, d):
     part = T.table(s, d, "part")
     rows = lambda k: part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(f" {k}")).alias("name"), F.repeat(F.lit(k), (F.col("p_size") % (3 if k == "o" else 4)).cast("int")).alias("description"), F.array(F.lit(k), F.lit("both")).alias("aliases"))
-    out = store.merge_entities(rows("o").where("id % 3 <> 0"), rows("n").where("id % 2 = 0"))
+    # Each part is on one side at least, some are on both; lists may be null.
+    lists = F.when(F.col("id") % 5 > 0, F.col("aliases")).alias("aliases")
+    old, new = (x.select("id", "name", "description", lists) for x in (rows("o").where("id % 3 <> 0"), rows("n").where("id % 3 <> 1")))
+    out = store.merge_entities(old, new)
     return out.select("id", "name", "description", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query
 def keyed_merge_relation(s, d):
     r = T.relations(s, d).select(F.concat_ws(":", "source", "type", "target").alias("id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type", F.col("confidence"), F.lit("quote").alias("evidence"), F.array(F.col("type")).alias("source_chunks"))
-    new = r.where("target_id % 2 = 0").withColumn("confidence", F.lit(0.05)).withColumn("evidence", F.lit("later")).withColumn("source_chunks", F.array(F.lit("x"), F.col("type")))
-    ends = T.table(s, d, "part").select(F.col("p_partkey").alias("id")).where("id % 4 = 0").unionByName(T.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id")))
-    out = store.merge_relations(r.where("target_id % 3 = 0"), new, ends)
+    # Each relation is on one side at least, some are on both.
+    new = r.where("target_id % 3 <> 1").withColumn("confidence", F.lit(0.05)).withColumn("evidence", F.lit("later")).withColumn("source_chunks", F.array(F.lit("x"), F.col("type")))
+    # Parts of one size aren't known as ends, so new relations of theirs stay out.
+    ends = T.table(s, d, "part").where("p_size <> 7").select(F.col("p_partkey").alias("id")).unionByName(T.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id")))
+    out = store.merge_relations(r.where("target_id % 3 <> 0"), new, ends)
     return out.select("id", "confidence", "evidence", F.array_join("source_chunks", ",").alias("source_chunks"))
 
 
@@ -389,3 +398,161 @@ def typed_keys(s, d):
     key = F.concat(F.element_at(F.array(*map(F.lit, ("chunk", "insight", "entity"))), (F.col("vec_id") % 3 + 1).cast("int")), F.lit(":"), F.col("vec_id").cast("string"), F.lit(":x"))
     parts = F.split(key, ":", 2)
     return T.table(s, d, "embeddings").select("vec_id", parts[0].alias("kind"), parts[1].alias("key"))
+
+
+# Listings and look-ups
+
+
+def _insights(s, d):
+    """Vectors as findings of two corpora and two layers, some without either."""
+    text = F.concat(F.lit("finding "), F.col("id").cast("string"))
+    corpus = F.element_at(F.array(F.lit("c1"), F.lit("c2"), F.lit(""), F.lit(None).cast("string")), (F.col("id") % 4 + 1).cast("int"))
+    return T.insights(s, d).withColumns({"text": text, "corpus_id": corpus, "layer": F.when(F.col("id") % 6 > 0, (F.col("id") % 6 > 4).cast("int") + 1)})
+
+
+@query
+def node_lookup(s, d):
+    found = browse.nodes(chunk=T.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), entity=T.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+    asked = T.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("asked"))
+    return browse.by_ids(found, asked).select("asked", "id", "label", F.length("text").alias("n_chars"))
+
+
+@query
+def corpus_or_unscoped(s, d):
+    return browse.in_corpus(_insights(s, d), "c1", or_none=True).select("id", "strategy")
+
+
+@query
+def insight_browse(s, d):
+    rows = browse.chosen(_insights(s, d), corpus_id="c2", strategy="")
+    chunk_paths = T.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.col("o_orderpriority"), F.lit("/"), F.col("o_orderstatus")).alias("path"))
+    return graph.sources_of(rows, _derived(s, d), chunk_paths).select("id", "score", F.array_join("paths", ";").alias("paths"))
+
+
+@query
+def insight_vector_topk(s, d):
+    return search.insight_top_k(_insights(s, d), _query_vector(), 40, "c1").select("id", "strategy", "score", "layer", "similarity")
+
+
+@query
+def insight_sample(s, d):
+    sources = _derived(s, d).withColumnRenamed("chunk", "source")
+    out = browse.sampled_insights(_insights(s, d), sources, 50, 1, seed=5)
+    return out.select("id", "strategy", F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def missing_embeddings(s, d):
+    rows = T.vectors(s, d).withColumn("embedding", F.when(F.col("id") % 4 > 0, F.col("embedding")))
+    return browse.to_embed(rows, limit=100).select("id", F.length("text").alias("n_chars"))
+
+
+@query
+def follow_links(s, d):
+    turns = T.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), "conv_id", "turn")
+    # Two ways on from each turn: to the next one, and to the one after that.
+    links = chunks.next_links(turns, "conv_id", "turn", "node")
+    far = links.join(links.select(F.col("id").alias("next_id"), F.col("next_id").alias("after")), "next_id").select("id", F.col("after").alias("next_id"))
+    seeds = turns.select(F.col("node").alias("id")).unionByName(T.table(s, d, "customer").select(F.col("c_custkey").alias("id")))
+    return browse.follow(seeds, links.unionByName(far), _derived(s, d).withColumnRenamed("chunk", "source"))
+
+
+@query
+def evaluation_context(s, d):
+    found = _derived(s, d).groupBy(F.col("insight").alias("id")).agg(F.array_sort(F.collect_list("chunk")).alias("sources"))
+    texts = T.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
+    names = T.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_size") % 2 == 0, "Type ").otherwise("type "), F.col("p_type")).alias("name"), F.col("p_brand").alias("entity_type"))
+    names = names.unionByName(T.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("entity_type")))
+    out = browse.contexts(found, texts, T.mentions(s, d), T.relations(s, d), names, chars=8)
+    return out.select("id", *[F.array_join(c, ";").alias(c) for c in ("texts", "entities", "paths")])
+
+
+@query
+def evidence_texts(s, d):
+    held = _derived(s, d).groupBy(F.col("insight").alias("node")).agg(F.array_sort(F.collect_list("chunk")).alias("ids"))
+    texts = T.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
+    return browse.evidence_texts(held, texts, 5, 6)
+
+
+@query
+def two_channel_quota(s, d):
+    first = T.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_acctbal").alias("score")).where("score > 9000")
+    second = T.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    return browse.quota(first, second, 41)
+
+
+@query
+def budgeted_work(s, d):
+    pending = T.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("path"))
+    first, remaining = browse.budgeted(pending, 123, "path", "id")
+    return first.crossJoin(F.broadcast(remaining))  # one row
+
+
+@query
+def text_forms(s, d):
+    part = T.table(s, d, "part")
+    raw = F.concat(F.col("p_type"), F.lit(" (+"), F.col("p_brand"), F.lit(") "), F.col("p_size").cast("string"))
+    blank = F.when(F.col("p_size") % 3 == 0, " ").when(F.col("p_size") % 3 == 1, F.col("p_name"))
+    arm = F.concat(F.col("p_brand"), F.element_at(F.array(F.lit("_discovery"), F.lit("_detection"), F.lit("_other")), (F.col("p_size") % 3 + 1).cast("int")))
+    return part.select(F.col("p_partkey").alias("id"), C.escaped_query(raw).alias("escaped"), C.embedding_text(blank).alias("to_embed"), C.entity_text(F.col("p_name"), F.col("p_type")).alias("entity"), C.arm_name(arm).alias("arm"), C.shortened(blank, 4).alias("short"), C.hop(F.col("p_name"), C.type_name(F.col("p_type")), F.col("p_brand")).alias("hop"))
+
+
+@query
+def transient_errors(s, d):
+    e = T.table(s, d, "events")
+    code = F.element_at(F.array(*[F.lit(x).cast("int") for x in (200, 404, 429, 500, 502, 503, 504, None)]), (F.col("event_id") % 8 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("timeout", "connect", "read", "status", "other"))), (F.col("user_id") % 5 + 1).cast("int"))
+    return e.select("event_id", C.transient(code, kind).alias("again"))
+
+
+@query
+def grounding_filter(s, d):
+    rows = _insights(s, d)
+    verdict = F.element_at(F.array(*map(F.lit, ("support", "contradict", "unsupported"))), (F.col("id") % 3 + 1).cast("int"))
+    rows = rows.withColumns({"verdict": verdict, "sure": (F.col("id") % 11) / 10})
+    kept = rows.where(~C.contradicted(F.col("layer"), F.col("verdict"), F.col("sure")))
+    reward = bandit.discounted(F.col("score"), F.lit(True), F.col("verdict") != "unsupported")
+    return kept.select("id", "verdict", F.round(reward, 6).alias("reward"))
+
+
+@query
+def bandit_bernoulli(s, d):
+    return bandit.posteriors(T.rewards(s, d), _arms(s), "bernoulli")
+
+
+@query
+def reward_stream_posteriors(s, d):
+    """The posteriors of a log that is read as a stream, all there is of it."""
+    import uuid
+
+    # A pattern may name a file; a path without one has to be a folder.
+    events = s.readStream.schema(T.table(s, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    log = events.select(F.lit("c").alias("corpus"), F.concat("event_type", F.lit("_discovery")).alias("strategy"), (F.col("value") / 100).alias("score"), F.lit(1.0).alias("weight"))
+    key = uuid.uuid4().hex
+    out = rewards.refresh(log, f"{shared_dir(s)}/stream-{key}", f"posteriors_{key}")
+    return out.select("arm", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"))
+
+
+@query
+def known_sources(s, d):
+    """Edges from insights to chunks, without those whose chunk isn't known."""
+    edges = T.table(s, d, "lineitem").select(F.col("l_suppkey").alias("insight"), F.col("l_partkey").alias("source")).distinct()
+    return store.known(edges, "source", T.table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"))).select("insight", "source")
+
+
+@query
+def update_overwrite(s, d):
+    old = T.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("description"), F.lit("").alias("stamp"), "c_name")
+    new = T.table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.nullif(F.max("o_orderstatus"), F.lit("P")).alias("description"), F.max(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("stamp"))
+    return store.update(old, new)
+
+
+@query
+def bulk_results(s, d):
+    """Result lines of a bulk job, some of which can't be used."""
+    e = T.table(s, d, "embeddings").select(F.element_at(F.array(*map(F.lit, ("chunk", "insight", "entity"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("kind"), "vec_id", F.slice("embedding", 1, 4).alias("e"))
+    key = F.when(F.col("vec_id") % 7 > 0, F.concat_ws(":", "kind", F.col("vec_id").cast("string"), F.lit("x")))
+    values = F.when(F.col("vec_id") % 5 > 0, F.col("e")).otherwise(F.array().cast("array<float>"))
+    line = F.to_json(F.struct(key.alias("key"), F.struct(F.array(F.struct(values.alias("values"))).alias("embeddings")).alias("response")))
+    out = bulk.results(e.select(F.when(F.col("vec_id") % 11 > 0, line).otherwise(F.left(line, F.lit(30))).alias("value")))
+    return out.select("kind", "id", F.size("embedding").alias("n"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
