@@ -24,11 +24,11 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(flag, type=type(value), default=value)
 
     command("ingest", path=str, name=str, description="")
-    command("explore", corpus="", max=5, cycles=1, strategy="", no_eval=False, dry_run=False, no_persist=False, output_dir="")
+    command("explore", corpus="", max=5, cycles=1, strategy="", no_eval=False, dry_run=False, no_persist=False, output_dir="", ground=False)
     command("answer", query=str, iterations=20, depth=5, feedback=False, corpus="")
     command("bandit", corpus="")
     command("embed-insights")
-    command("re-embed", corpus=str, include_insights=False, include_entities=False, force=False)
+    command("re-embed", corpus=str, include_insights=False, include_entities=False, force=False, batch_api=False, poll=30)
     command("ontology", corpus=str, output="")
     command("extract", corpus=str, ontology="", limit=0)
     command("rate", insight_id=str, rating=float)
@@ -45,17 +45,20 @@ def run(engine, a: argparse.Namespace):
     if a.command == "ingest":
         return engine.ingest(a.path, a.name, a.description)
     if a.command == "explore":
-        cycles = [engine.explore(a.corpus, a.strategy or None, a.max, not a.no_eval, persist=not (a.dry_run or a.no_persist), output=a.output_dir or None) for _ in range(a.cycles)]
+        cycles = [engine.explore(a.corpus, a.strategy or None, a.max, not a.no_eval, a.ground or None, persist=not (a.dry_run or a.no_persist), output=a.output_dir or None) for _ in range(a.cycles)]
         return [{k: v for k, v in f.items() if k != "embedding"} for c in cycles for f in c]
     if a.command == "answer":
         return engine.answer(a.query, a.iterations, a.depth, corpus=a.corpus, feedback=a.feedback)
     if a.command == "bandit":
         return engine.posteriors(engine.resolve_corpus(a.corpus))
     if a.command == "embed-insights":
-        return {"embedded": engine.reembed("insight")}
+        return engine.embed_insights()
     if a.command == "re-embed":
         names = ["chunk", *["insight"] * a.include_insights, *["entity"] * a.include_entities]
-        return {n: engine.reembed(n, not a.force) for n in names}
+        corpus = engine.resolve_corpus(a.corpus)
+        if a.batch_api:
+            return engine.reembed_in_bulk(names, corpus, poll=a.poll)
+        return {n: engine.reembed(n, not a.force, corpus) for n in names}
     if a.command == "ontology":
         made = engine.ontology(engine.resolve_corpus(a.corpus)).to_json()
         if a.output:

@@ -9,17 +9,22 @@ import re
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from . import actions as registry
 from . import models
 from .functions import columns as C
 from .functions.columns import content_id
 from .ontology import Ontology, generated
-from .operators import bandit, chunks, discover, graph, kg, search
-from .sources import files
-from .sources.store import Table, insert_only, last_write, merge_entities, merge_relations, update
+from .operators import bandit, browse, chunks, discover, graph, kg, search
+from .settings import Settings
+from .sources import bulk, files
+from .sources.staging import scope
+from .sources.store import Table, insert_only, known, last_write, merge_entities, merge_relations, require, update
 
 SCHEMAS = {
     "corpus": "id string, name string, description string, source_path string, created_at string",
@@ -32,10 +37,12 @@ SCHEMAS = {
     "relation": "id string, source_id string, target_id string, type string, evidence string, confidence double, source_chunks array<string>",
     "extraction_done": "id string",
     "reasoning_node": "id string, tree_id string, query string, answer string, action string, parent_id string, evidence_ids array<string>, visits int, total double, depth int, created_at string",
+    "node_evidence": "node string, evidence string",
     "reward": "corpus string, mode string, arm string, score double, weight double, insight_id string, at string",
 }
 STRATEGIES = ("bridge", "outlier", "hub", "meta", "contradiction", "gap")
-ACTIONS = ("search", "follow_ref", "entity_walk", "challenge", "synthesize")
+#: Of the files that hold a bandit's state.
+SNAPSHOT_VERSION = 1
 #: What the plan of a query may begin with.
 QUERY_NODES = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Filter", "UnresolvedHaving", "Distinct", "Union", "Except", "Intersect", "UnresolvedWith", "CTE", "UnresolvedInlineTable", "LocalRelation", "SubqueryAlias", "Offset", "WithWindowDefinition", "OneRowRelation")
 PAYLOAD = "entities array<struct<name: string, type: string, description: string, aliases: array<string>>>, relations array<struct<source: string, target: string, type: string, evidence: string, confidence: double>>"
@@ -46,9 +53,26 @@ def now() -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: models.Embedder | None = None, completer: models.Completer | None = None, referee: models.Referee | None = None):
+    """settings: see there.  actions: of the answer search, by default
+    actions.DEFAULT.  reward_log: a folder for all rewards, in place of one for
+    each corpus below root."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        embedder: models.Embedder | None = None,
+        completer: models.Completer | None = None,
+        referee: models.Referee | None = None,
+        settings: Settings | None = None,
+        actions: tuple[registry.Action, ...] = registry.DEFAULT,
+        reward_log: str | None = None,
+    ):
         self.spark, self.root = spark, root.rstrip("/")
-        self.embedder, self.completer, self.referee = embedder or models.HashEmbedder(), completer, referee or models.OverlapReferee()
+        self.settings = settings or Settings.from_env()
+        self.embedder, self.completer, self.referee = embedder or models.HashEmbedder(self.settings.embed_size), completer, referee or models.OverlapReferee()
+        self.actions = {a.name: a for a in actions}
+        self._reward_log = reward_log
 
     # Tables
 
@@ -56,9 +80,13 @@ class Engine:
         found = Table(self.spark, f"{self.root}/{name}").read()
         return self.spark.createDataFrame([], SCHEMAS[name]) if found is None else found
 
-    def _write(self, name: str, rows: DataFrame) -> None:
+    def _write(self, name: str, rows: DataFrame) -> int:
+        """Writes a table's next version; its number of rows."""
         schema = T.StructType.fromDDL(SCHEMAS[name])
-        Table(self.spark, f"{self.root}/{name}").write(rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
+        counted = Observation()
+        full = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        Table(self.spark, f"{self.root}/{name}").write(full.observe(counted, F.count(F.lit(1)).alias("rows")))
+        return counted.get["rows"]
 
     def _rows(self, name: str, rows: list[dict]) -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS[name])
@@ -67,20 +95,89 @@ class Engine:
     def _put(self, name: str, rows: list[dict]) -> None:
         self._write(name, last_write(self.read(name), self._rows(name, rows)))
 
+    def ids(self, ids) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id string")
+
+    def nodes(self) -> DataFrame:
+        """id, label, text of whatever can be evidence."""
+        return browse.nodes(chunk=self.read("chunk"), insight=self.read("insight"))
+
+    def _file(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    # Rewards: a log for each corpus, and a snapshot of the state that it gives
+
+    def _state(self, corpus: str) -> str:
+        return self._reward_log or f"{self.root}/state/{corpus or 'none'}/rewards"
+
     def log(self, rows: list[dict]) -> None:
-        """Appends to the reward log."""
-        if rows:
-            self._rows("reward", [{"weight": 1.0, "at": now()} | r for r in rows]).coalesce(1).write.mode("append").json(f"{self.root}/rewards")
+        """Appends to the reward logs; snapshots that are there move along."""
+        rows = [{"weight": 1.0, "at": now()} | r for r in rows]
+        for corpus in sorted({r.get("corpus") or "" for r in rows}):
+            own = [r for r in rows if (r.get("corpus") or "") == corpus]
+            held = self._snapshot(corpus)
+            self._rows("reward", own).coalesce(1).write.mode("append").json(self._state(corpus))
+            if held is not None:
+                # An arm that isn't there yet starts where all do.
+                for r in self._counted(self._rows("reward", own)).collect():
+                    arm = held.setdefault(r.arm, [1.0, 1.0])
+                    arm[0] += r.won
+                    arm[1] += r.lost
+                self._keep_snapshot(corpus, held)
 
     def rewards(self, mode: str = "insight", corpus: str = "") -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS["reward"])
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/rewards")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        where, fs = self._file(self._state(corpus))
+        if not fs.exists(where):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{self.root}/rewards")
+        rows = self.spark.read.schema(schema).option("mode", "DROPMALFORMED").json(self._state(corpus))
         return rows.where((F.col("mode") == mode) & (F.coalesce("corpus", F.lit("")) == corpus)).withColumn("arm", C.arm_name(F.col("arm")))
 
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        """arm, won, lost of the rewards that strategies get."""
+        rows = rows.where("mode = 'insight'").withColumn("arm", C.arm_name(F.col("arm"))).withColumn("id", F.concat_ws(":", "at", "insight_id", "arm"))
+        if self.settings.bandit_mode == "bernoulli":
+            return bandit.bernoulli(rows)
+        s = C.clamped(F.coalesce("score", F.lit(0.5)))
+        return rows.groupBy("arm").agg(F.sum(s * F.col("weight")).alias("won"), F.sum((1 - s) * F.col("weight")).alias("lost"))
+
+    def _snapshot(self, corpus: str) -> dict[str, list[float]] | None:
+        """alpha and beta by arm; None if there is no snapshot, if it can't be
+        read, or if it is of another version or mode."""
+        where, fs = self._file(f"{self._state(corpus)}.snapshot.{corpus or 'none'}.json")
+        if not fs.exists(where):
+            return None
+        stream = fs.open(where)
+        try:
+            data = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            if (data["version"], data["mode"]) != (SNAPSHOT_VERSION, self.settings.bandit_mode):
+                return None
+            return {arm: [float(a), float(b)] for arm, (a, b) in data["arms"].items()}
+        except (ValueError, KeyError, TypeError, AttributeError, Py4JJavaError):
+            return None
+        finally:
+            stream.close()
+
+    def _keep_snapshot(self, corpus: str, arms: dict[str, list[float]]) -> None:
+        where, fs = self._file(f"{self._state(corpus)}.snapshot.{corpus or 'none'}.json")
+        out = fs.create(where, True)
+        out.write(bytearray(json.dumps({"version": SNAPSHOT_VERSION, "mode": self.settings.bandit_mode, "arms": arms, "updated_at": now()}).encode()))
+        out.close()
+
+    def posteriors(self, corpus: str = "", replay: bool = False) -> list[dict]:
+        """The strategies' posteriors: from the snapshot, or else (or if asked
+        for) from the whole log, which makes a snapshot."""
+        held = None if replay else self._snapshot(corpus)
+        if held is None:
+            held = {r.arm: [1 + r.won, 1 + r.lost] for r in self._counted(self.rewards("insight", corpus)).collect()}
+            self._keep_snapshot(corpus, held)
+        out = []
+        for arm in STRATEGIES:
+            a, b = held.get(arm, (1.0, 1.0))
+            out.append({"arm": arm, "alpha": round(a, 6), "beta": round(b, 6), "mean": round(a / (a + b), 6), "observations": round(a + b - 2, 6)})
+        return out
+
     # Ingest
 
     def resolve_corpus(self, ref: str) -> str:
@@ -98,25 +195,50 @@ class Engine:
         old = self.read("document")
         found = files.scan(self.spark, path, old.where(F.col("corpus_id") == corpus)).withColumn("id", content_id(F.lit(corpus), F.col("path")))
         docs = found.select("id", F.lit(corpus).alias("corpus_id"), "path", F.col("stem").alias("title"), "content_hash", F.lit(now()).alias("ingested_at"))
-        made = chunks.chunk(files.sections(found, corpus)).join(docs.select(F.col("id").alias("document_id"), "path", "corpus_id"), "document_id")
+        made = chunks.chunk(files.sections(found, corpus), self.settings.chunk_chars, self.settings.chunk_overlap).join(docs.select(F.col("id").alias("document_id"), "path", "corpus_id"), "document_id")
         made = made.withColumnRenamed("path", "doc_path").withColumn("embedding", models.embedding(F.col("text"), self.embedder))
         # A file that has changed loses the chunks of its old content.
         kept = self.read("chunk").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-        self._write("chunk", kept.unionByName(made.select(*kept.columns)))
-        counts = {"documents": docs.count(), "chunks": self.read("chunk").count()}
-        self._write("document", last_write(old, docs.select(*old.columns)))
+        counts = {"chunks": self._write("chunk", kept.unionByName(made.select(*kept.columns))), "documents": docs.count()}
+        self._write("document", last_write(old, require(docs.select(*old.columns), "corpus_id", self.read("corpus"))))
         return counts
 
-    def reembed(self, name: str, missing_only: bool = True) -> int:
-        """Embeds the rows of chunk, insight or entity that lack a vector, or all."""
+    def texts_to_embed(self, name: str, missing_only: bool = True, corpus: str = "") -> DataFrame:
+        """id, text, embedding of the rows of chunk, insight or entity that lack
+        a vector, or of all, by id; of a corpus, insights of none too."""
         rows = self.read(name)
+        rows = browse.in_corpus(rows, corpus, or_none=name == "insight") if corpus else rows
         text = C.entity_text(F.col("name"), F.coalesce("description", F.lit(""))) if name == "entity" else F.col("text")
-        todo = rows.where("embedding is null") if missing_only else rows
+        return browse.to_embed(rows.select("id", text.alias("text"), "embedding"), missing_only)
+
+    def reembed(self, name: str, missing_only: bool = True, corpus: str = "") -> int:
+        """Embeds what texts_to_embed names; the number of rows."""
+        todo = self.texts_to_embed(name, missing_only, corpus)
         n = todo.count()
         if n:
-            self._write(name, update(rows, todo.select("id", models.embedding(text, self.embedder).alias("embedding"))))
+            self._write(name, update(self.read(name), todo.select("id", models.embedding(F.col("text"), self.embedder).alias("embedding"))))
         return n
 
+    def reembed_in_bulk(self, names: list[str], corpus: str = "", service: models.BulkEmbedder | None = None, poll: float = 30.0) -> dict[str, int]:
+        """Embeds all rows by one job of a service (by default a stand-in)."""
+        service = service or bulk.LocalBulk(self.spark, self.embedder)
+        tables = {n: self.texts_to_embed(n, False, corpus) for n in names}
+        got = bulk.run(self.spark, f"{self.root}/bulk/{now().replace(':', '')}", tables, service, self.settings.embed_size, poll)
+        counts = {r.kind: r.n for r in got.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for n in names:
+            if counts.get(n):
+                self._write(n, update(self.read(n), got.where(F.col("kind") == n).select("id", "embedding").dropDuplicates(["id"])))
+        return {n: counts.get(n, 0) for n in names}
+
+    def embed_insights(self, layer: int = 1) -> dict[str, int]:
+        """Gives insights without a layer this one, and vectors to those without."""
+        rows = self.read("insight")
+        missing = rows.where("layer is null").select("id", F.lit(layer).alias("layer"))
+        n = missing.count()
+        if n:
+            self._write("insight", update(rows, missing, only_null=True))
+        return {"layers": n, "embedded": self.reembed("insight")}
+
     # Explore
 
     def mentions(self) -> DataFrame:
@@ -126,9 +248,6 @@ class Engine:
     def relations(self) -> DataFrame:
         return self.read("relation").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", "confidence")
 
-    def _ids(self, ids) -> DataFrame:
-        return self.spark.createDataFrame([(i,) for i in ids], "id string")
-
     def _numbered(self, rows: DataFrame) -> tuple[DataFrame, dict[int, str]]:
         """A bounded sample under numbers, as similar_pairs takes them."""
         names = [r[0] for r in rows.select("id").orderBy("id").collect()]
@@ -143,7 +262,7 @@ class Engine:
         quota = max(0, k // 2)
         names = lambda found: {r.id: r.name for r in self.read("entity").select("id", "name").where(F.col("id").isin([f.entity for f in found])).collect()}
         if strategy == "meta":
-            first = self.read("insight").where("layer = 1 and embedding is not null").withColumn("o", C.hash_order(seed, F.col("id"))).orderBy("o").limit(60)
+            first = browse.sampled_insights(self.read("insight").where("embedding is not null"), self.read("insight_source"), 60, 1, seed).drop("sources")
             done = {tuple(r) for r in discover.bridged_pairs(self.read("insight_source"), first).collect()}
             numbered, ids = self._numbered(first)
             none = self.spark.createDataFrame([], "a long, b long")
@@ -151,14 +270,14 @@ class Engine:
             items = [{"pair": tuple(sorted((r.strategy_a, r.strategy_b))), "score": r.score, "sources": [ids[r.a], ids[r.b]]} for r in found]
             items = [x for x in items if tuple(sorted(x["sources"])) not in done]
             return [{"score": x["score"], "layer": 2, "sources": x["sources"], "text": f"Two findings meet: {' and '.join(x['pair'])}"} for x in discover.spread_picks(items, k)]
-        sample = discover.sampled(rows, raw, final, seed)
+        sample = discover.sampled(rows, raw, final, seed, noise=self.settings.noise_patterns)
         out = []
         if strategy == "gap":
             kinds = self.read("entity").select(F.col("id").alias("entity"), F.col("entity_type").alias("type"))
             found = discover.entity_gaps(self.relations().select(F.col("target").alias("entity")), self.mentions(), kinds, quota).collect()
             named = names(found)
             five = F.slice(F.array_sort(F.collect_set("chunk")), 1, 5).alias("chunks")
-            places = {r.entity: r.chunks for r in graph.chunks_of(self.mentions(), self._ids(r.entity for r in found)).groupBy("entity").agg(five).collect()}
+            places = {r.entity: r.chunks for r in graph.chunks_of(self.mentions(), self.ids(r.entity for r in found)).groupBy("entity").agg(five).collect()}
             out = [{"score": r.score, "text": f"{named[r.entity]} is referred to {r.incoming} times and mentioned {r.mentions} times", "sources": places.get(r.entity, [])} for r in found]
             if self.completer and len(out) < k:
                 drawn = sample.select("id", "text").collect()
@@ -208,10 +327,6 @@ class Engine:
             return out
         raise ValueError(f"unknown strategy: {strategy}")
 
-    def posteriors(self, corpus: str = "") -> list[dict]:
-        arms = self.spark.range(1).select(F.explode(F.array(*map(F.lit, STRATEGIES))).alias("arm"))
-        return [r.asDict() for r in bandit.posteriors(self.rewards("insight", corpus), arms).collect()]
-
     def grounded(self, finding: dict) -> tuple[str, float]:
         """Verdict and confidence of a finding on its first source chunk; what
         can't be judged is unsupported."""
@@ -228,38 +343,35 @@ class Engine:
     def _contexts(self, found: list[dict]) -> list[tuple[list[str], list[str]]]:
         """What each finding (id, embedding, sources) is judged on: evidence and
         insights like it.  Evidence is the texts of its source chunks or source
-        insights, the chunks' entities (5 a chunk, 10) and the relations of these
-        (3 an entity, 10)."""
-        sources = sorted({s for f in found for s in f["sources"]})
-        texts = {r.id: r.text for r in self.read("chunk").where(F.col("id").isin(sources)).select("id", "text").collect()}
-        texts |= {r.id: f"{r.strategy}: {r.text}" for r in self.read("insight").where(F.col("id").isin(sources)).select("id", "strategy", "text").collect()}
-        entity = self.read("entity")
-        first = F.slice(F.array_sort(F.collect_set("entity")), 1, 5)
-        own = graph.entities_of(self.mentions(), self._ids(sources)).groupBy("chunk").agg(first.alias("first")).select("chunk", F.explode("first").alias("id")).join(entity.select("id", "name", "entity_type"), "id")
-        of: dict[str, list] = {}
-        for r in own.orderBy("chunk", "id").collect():
-            of.setdefault(r.chunk, []).append(r)
-        end = lambda k: entity.select(F.col("id").alias(f"{k}_id"), F.col("name").alias(k))
-        near = graph.neighbors(self.relations(), self._ids({r.id for rows in of.values() for r in rows}), 3).join(end("from"), "from_id").join(end("to"), "to_id")
-        hops: dict[str, list[str]] = {}
-        for r in near.select("seed", "confidence", "other", C.hop(F.col("from"), F.col("type"), F.col("to")).alias("hop")).orderBy("seed", F.desc("confidence"), "other", "hop").collect():
-            hops.setdefault(r.seed, []).append(r.hop)
+        insights, the chunks' entities and the relations of these."""
+        asked = self.spark.createDataFrame([(f["id"], f["sources"]) for f in found], "id string, sources array<string>")
+        told = F.when(F.col("label") == "insight", F.concat("strategy", F.lit(": "), "text")).otherwise(F.col("text"))
+        texts = self.nodes().join(self.read("insight").select("id", "strategy"), "id", "left").select("id", told.alias("text"))
+        around = {r.id: r for r in browse.contexts(asked, texts, self.mentions(), self.relations(), self.read("entity")).collect()}
         out = []
         for f in found:
-            named, paths = {}, {}
-            for r in (r for s in f["sources"] for r in of.get(s, [])):
-                if r.name.lower() not in named:
-                    named[r.name.lower()] = f"{r.name} ({r.entity_type})"
-                    paths |= dict.fromkeys(hops.get(r.id, []))
-            lines = [", ".join(list(named.values())[:10]), "\n".join(list(paths)[:10])]
-            like = search.vector_top_k(self.read("insight").where(~F.col("id").isin([f["id"], *f["sources"]])), f["embedding"], 3).where(F.col("score") >= discover.THRESHOLD)
-            out.append(([texts[s] for s in f["sources"] if s in texts] + [x for x in lines if x], [r.text for r in like.orderBy(F.desc("score"), "id").select("text", "score", "id").collect()]))
+            r = around[f["id"]]
+            like = search.insight_top_k(self.read("insight").where(~F.col("id").isin([f["id"], *f["sources"]])), f["embedding"], 3).where(F.col("similarity") >= discover.THRESHOLD)
+            lines = [x for x in (", ".join(r.entities), "\n".join(r.paths)) if x]
+            out.append((r.texts + lines, [x.text for x in like.orderBy(F.desc("similarity"), "id").select(C.shortened(F.col("text"), 300).alias("text"), "similarity", "id").collect()]))
         return out
 
-    def explore(self, corpus: str = "", strategy: str | None = None, k: int = 10, evaluate: bool = True, ground: bool = False, persist: bool = True, output: str | None = None, threshold: float = discover.THRESHOLD, seed: int | None = None) -> list[dict]:
-        """One cycle: pick, find, judge, ground, keep, log."""
+    def _rewritten(self, finding: dict, arm: str) -> str:
+        """A finding's text with the model's explanation before it; the text
+        itself if the model fails."""
+        try:
+            told = self.settings.told("Explain in two or three sentences what this finding means and why it matters.")
+            return f"[{arm}] {self.completer.complete(told, finding['text'])}\n\n---\n{finding['text']}"
+        except Exception:  # whatever the client raises, the finding stays as it is
+            return finding["text"]
+
+    def explore(self, corpus: str = "", strategy: str | None = None, k: int = 10, evaluate: bool = True, ground: bool | None = None, persist: bool = True, output: str | None = None, threshold: float = discover.THRESHOLD, seed: int | None = None) -> list[dict]:
+        """One cycle: pick, find, rewrite, judge, ground, keep, log.
+
+        ground: None goes by the settings."""
+        ground = self.settings.grounding if ground is None else ground
         corpus = self.resolve_corpus(corpus)
-        arm = strategy or bandit.thompson(self.posteriors(corpus), seed=seed)
+        arm = strategy or bandit.thompson(self.posteriors(corpus), set(self.settings.disabled_strategies), seed)
         found = self.candidates(arm, corpus, k, threshold, seed or 0)
         self._artifact(output, "candidates", found)
         log = []
@@ -271,23 +383,31 @@ class Engine:
         contexts = self._contexts(found) if evaluate and found else [([], [])] * len(found)
         for f, (evidence, like) in zip(found, contexts):
             if evaluate:
+                if self.completer:
+                    f["text"] = self._rewritten(f, arm)
                 # Insights that are there already bear on what is new; they are no evidence.
-                f["score"] = self.referee.evaluate("\n".join([arm, *(f"Found already: {x}" for x in like)]), f["text"], evidence)
-            f["grounding"], sure = self.grounded(f) if ground and f["layer"] == 1 else (None, 0.0)
-            if f["grounding"] == "contradict" and sure >= 0.7:
-                f["dropped"] = True
+                try:
+                    f["score"] = self.referee.evaluate("\n".join([arm, *(f"Found already: {x}" for x in like)]), f["text"], evidence)
+                except Exception as e:  # the candidate's own score stays
+                    f["error"] = str(e)
+            f["grounding"], f["sure"] = self.grounded(f) if ground and f["layer"] == 1 else (None, 0.0)
         self._artifact(output, "evaluated", found)
-        kept = [f for f in found if not f.get("dropped")]
-        for f in kept:
+        if found:
+            judged = self.spark.createDataFrame([(f["id"], f["layer"], f["grounding"], f["sure"]) for f in found], "id string, layer int, verdict string, sure double")
+            gone = {r.id for r in judged.where(C.contradicted(F.col("layer"), F.col("verdict"), F.col("sure"))).collect()}
+            log += [{"corpus": corpus, "mode": "dropped_grounding", "arm": arm, "score": 0.0, "insight_id": i} for i in sorted(gone)]
+            found = [f for f in found if f["id"] not in gone]
+        for f in found:
             weight = (1.0 if evaluate else 0.5) * (0.5 if f["grounding"] == "unsupported" else 1.0)
             log.append({"corpus": corpus, "mode": "insight", "arm": arm, "score": f["score"] * weight, "insight_id": f["id"]})
-        if persist and kept:
-            self._put("insight", kept)
-            edges = self.spark.createDataFrame([(f["id"], s) for f in kept for s in f["sources"]], "insight string, source string")
-            self._write("insight_source", self.read("insight_source").unionByName(edges).distinct())
+        if persist and found:
+            self._put("insight", found)
+            # Sources that aren't there have no edge.
+            edges = self.spark.createDataFrame([(f["id"], s) for f in found for s in f["sources"]], "insight string, source string")
+            self._write("insight_source", self.read("insight_source").unionByName(known(edges, "source", self.nodes()).select("insight", "source")).distinct())
         self.log(log)
-        self._artifact(output, "insights", kept)
-        return kept
+        self._artifact(output, "insights", found)
+        return found
 
     def _artifact(self, folder: str | None, stage: str, rows: list[dict]) -> None:
         if folder and rows:
@@ -307,89 +427,128 @@ class Engine:
     # Extract
 
     def ontology(self, corpus: str) -> Ontology:
-        rows = self.read("insight").where(F.coalesce("corpus_id", F.lit("")).isin(corpus, ""))
+        rows = browse.in_corpus(self.read("insight"), corpus, or_none=True)
+        best = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), "id"))
         findings: dict[str, list[dict]] = {}
-        for r in rows.orderBy("strategy", F.desc("score"), "id").select("strategy", "text", "score", "layer").collect():
+        for r in rows.withColumn("place", best).where("place <= 20").orderBy("strategy", "place").select("strategy", "text", "score", "layer").collect():
             findings.setdefault(r.strategy, []).append(r.asDict())
-        return generated(corpus, {k: v[:20] for k, v in findings.items()}, self.completer)
+        return generated(corpus, findings, self.completer)
 
     def extract(self, corpus: str, ontology: Ontology, limit: int = 0) -> dict:
-        """Entities, mentions and relations of all chunks that aren't done.  A
-        chunk whose call fails for now is tried again the next time."""
+        """Entities, mentions and relations of all chunks that aren't done.
+
+        A call that fails for now is made again a few times; if it still fails
+        the chunk stays, and is worked on the next time.  Other failures mark
+        the chunk as done, so that it isn't tried for ever."""
+        if not self.completer:
+            raise ValueError("extraction needs a completer")
         pending = self.read("chunk").where(F.col("corpus_id") == corpus).join(self.read("extraction_done"), "id", "left_anti").orderBy("doc_path", "position")
         pending = pending.limit(limit) if limit else pending
-        completer, told = self.completer, ontology.instructions()
+        completer, told = self.completer, self.settings.told(ontology.instructions())
+        attempts, wait = self.settings.attempts, self.settings.wait
+
+        def one(path: str, text: str) -> tuple:
+            try:
+                data = models.parsed(models.tried(lambda: completer.complete(told, f"From {path}:\n\n{text}"), attempts, wait))
+                return json.dumps(data if isinstance(data, dict) else {}), None, None, None
+            except Exception as e:  # told apart below
+                return "{}", *models.failure(e), f"{type(e).__name__}: {e}"
 
         def call(frames):
             for frame in frames:
-                out = []
-                for text in frame["text"]:
-                    try:
-                        data = models.parsed(completer.complete(told, text))
-                        out.append((json.dumps(data if isinstance(data, dict) else {}), "done"))
-                    except (TimeoutError, ConnectionError):
-                        out.append(("{}", "again"))
-                    except Exception as e:  # a chunk that can't be read is marked, not tried for ever
-                        out.append(("{}", f"failed: {e}"))
-                yield pd.DataFrame({"id": frame["id"], "document_id": frame["document_id"], "position": frame["position"], "payload": [x for x, _ in out], "status": [x for _, x in out]})
-
-        answers = pending.select("id", "document_id", "position", "text").mapInPandas(call, "id string, document_id string, position int, payload string, status string")
+                made = pd.DataFrame([one(p, t) for p, t in zip(frame["doc_path"], frame["text"])], columns=["payload", "code", "kind", "error"])
+                yield pd.concat([frame[["id", "document_id", "position"]].reset_index(drop=True), made.astype({"code": "Int32"})], axis=1)
+
+        answers = pending.select("id", "document_id", "position", "doc_path", "text").mapInPandas(call, "id string, document_id string, position int, payload string, code int, kind string, error string")
         path = f"{self.root}/extractions/{now().replace(':', '')}"
         answers.write.parquet(path)
-        answers = self.spark.read.parquet(path)
+        status = F.when(F.col("error").isNull(), "done").when(C.transient(F.col("code"), F.col("kind")), "again").otherwise("failed")
+        answers = self.spark.read.parquet(path).withColumn("status", status)
+        with scope(self.spark):  # what the folds write for themselves goes
+            entities, relations = self._fold(corpus, ontology, answers)
+        counts = {r.status: r.n for r in answers.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {"chunks": sum(counts.values()), "errors": counts.get("failed", 0), "again": counts.get("again", 0), "entities": entities, "relations": relations}
+
+    def _fold(self, corpus: str, ontology: Ontology, answers: DataFrame) -> tuple[int, int]:
+        """Merges what the answers hold, and marks their chunks; the number of
+        entities and of relations that there are then."""
         x = answers.withColumn("p", F.from_json("payload", PAYLOAD)).select(F.col("document_id").alias("document"), F.col("position").alias("chunk_ord"), F.col("id").alias("chunk_id"), "p.entities", "p.relations")
         rows = kg.entity_rows(x, corpus, [c.name for c in ontology.classes])
-        made = kg.entities(rows, corpus).withColumn("_n", F.lit(1))
+        made = kg.entities(rows, corpus)
         schema = T.StructType.fromDDL(SCHEMAS["entity"])
         full = lambda df, s: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in s])
         # An entity of several documents comes several times: folded first.
-        one = made.groupBy("id").agg(*[F.min_by(c, "document").alias(c) for c in ("corpus_id", "name", "entity_type")], F.max_by("description", F.struct(F.length("description"), "description")).alias("description"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
-        self._write("entity", merge_entities(self.read("entity"), full(one, schema)))
-        self._write("mention", insert_only(self.read("mention"), full(kg.mentions(rows).withColumn("created_at", F.lit(now())), T.StructType.fromDDL(SCHEMAS["mention"]))))
+        one_of = made.groupBy("id").agg(*[F.min_by(c, "document").alias(c) for c in ("corpus_id", "name", "entity_type")], F.max_by("description", F.struct(F.length("description"), "description")).alias("description"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
+        entities = self._write("entity", merge_entities(self.read("entity"), full(one_of, schema)))
+        told_of = full(kg.mentions(rows).withColumn("created_at", F.lit(now())), T.StructType.fromDDL(SCHEMAS["mention"]))
+        told_of = require(require(told_of, "chunk_id", self.read("chunk")), "entity_id", self.read("entity"))
+        self._write("mention", insert_only(self.read("mention"), told_of.select(*self.read("mention").columns)))
         claims = kg.relations(x, rows, [r.name for r in ontology.relations])
         claims = claims.groupBy("id", "source_id", "target_id", "type").agg(F.min_by("evidence", "document").alias("evidence"), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.collect_list("source_chunks"))).alias("source_chunks"))
-        self._write("relation", merge_relations(self.read("relation"), claims.select(*self.read("relation").columns), self.read("entity")))
+        relations = self._write("relation", merge_relations(self.read("relation"), claims.select(*self.read("relation").columns), self.read("entity")))
         self._write("extraction_done", insert_only(self.read("extraction_done"), answers.where("status <> 'again'").select("id")))
-        counts = {r.s: r.n for r in answers.groupBy(F.substring_index("status", ":", 1).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        return {"chunks": sum(counts.values()), "errors": counts.get("failed", 0), "again": counts.get("again", 0), "entities": self.read("entity").count(), "relations": self.read("relation").count()}
+        return entities, relations
 
-    def synthesize(self, corpus: str, limit: int = 0, budget: int = 500) -> dict:
+    def synthesize(self, corpus: str, limit: int = 0, budget: int | None = None) -> dict:
         """One description and alias list for each entity with new mentions,
-        from the model or else from the mentions, and a new vector."""
+        from the model or else from the mentions, and a new vector.
+
+        A prompt holds a bounded number of mentions; an entity with more is
+        merged part by part, and the parts like mentions."""
+        budget = self.settings.synthesis_budget if budget is None else budget
         own = self.read("entity").where(F.col("corpus_id") == corpus)
         seen = self.read("mention").select(F.col("entity_id").alias("entity"), F.col("created_at").alias("at"))
         todo = graph.dirty(own, seen).orderBy("id")
         todo = todo.limit(limit) if limit else todo
         total = todo.count()
-        told = self.read("mention").groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "name_as_extracted", "description", "aliases"))).alias("ms"))
-        work = own.select("id", "name", "entity_type").join(todo.select("id").limit(budget), "id").join(told, "id")
-        completer = self.completer
-
-        def merge(frames):
-            for frame in frames:
-                out = []
-                for name, kind, ms in zip(frame["name"], frame["entity_type"], frame["ms"]):
-                    try:
-                        got = models.parsed(completer.complete('Merge these mentions. JSON: {"description", "aliases"}', f"{name} ({kind})\n" + "\n".join(f"- {m['name_as_extracted']}: {m['description']}" for m in ms))) if completer else None
-                        got = got if isinstance(got, dict) else {}
-                        text = (got.get("description") or "").strip() or max((m["description"] or "" for m in ms), key=len)
-                        names = [a.strip() for a in got.get("aliases") or [] if isinstance(a, str) and a.strip()] or list(dict.fromkeys(a for m in ms for a in m["aliases"]))
-                        out.append((text, names, None))
-                    except Exception as e:  # one entity that fails doesn't stop the others
-                        out.append((None, None, str(e)))
-                yield pd.DataFrame({"id": frame["id"], "description": [o[0] for o in out], "aliases": [o[1] for o in out], "error": [o[2] for o in out]})
-
-        done = work.mapInPandas(merge, "id string, description string, aliases array<string>, error string")
-        path = f"{self.root}/syntheses/{now().replace(':', '')}"
-        done.write.parquet(path)
-        done = self.spark.read.parquet(path)
-        good = done.where("error is null").select("id", "description", "aliases", F.lit(now()).alias("synthesized_at"))
+        picked = todo.select("id").limit(budget)
+        ms = self.read("mention").select(F.col("entity_id").alias("id"), F.col("chunk_id").alias("key"), "name_as_extracted", "description", "aliases").join(picked, "id")
+        folder, rounds = f"{self.root}/syntheses/{now().replace(':', '')}", 0
+        finished = None
+        while True:
+            parts = ms.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / self.settings.prompt_mentions).cast("int").alias("parts"))
+            part = F.pmod(F.xxhash64("key", F.lit(rounds)), F.col("parts")).cast("int").alias("part")
+            dealt = ms.join(parts, "id").select("*", part).groupBy("id", "part", "parts").agg(F.array_sort(F.collect_list(F.struct("key", "name_as_extracted", "description", "aliases"))).alias("ms"))
+            path = f"{folder}/{rounds}"
+            self._merged(dealt.join(own.select("id", "name", "entity_type"), "id")).write.parquet(path)
+            done = self.spark.read.parquet(path)
+            last = done.where("parts = 1 or error is not null")
+            finished = last if finished is None else finished.unionByName(last)
+            ms = done.where("parts > 1 and error is null").select("id", F.concat(F.lit("part "), F.col("part")).alias("key"), F.col("name").alias("name_as_extracted"), "description", "aliases")
+            rounds += 1
+            if ms.isEmpty():
+                break
+        bad = finished.where("error is not null").select("id").distinct()
+        good = finished.where("error is null").join(bad, "id", "left_anti").select("id", "description", "aliases", F.lit(now()).alias("synthesized_at"))
         n = good.count()
         if n:
             rows = good.join(own.select("id", "name"), "id")
             vectors = models.embedding(C.entity_text(F.col("name"), F.col("description")), self.embedder)
             self._write("entity", update(self.read("entity"), rows.withColumn("embedding", vectors).drop("name")))
-        return {"dirty_total": total, "synthesized": n, "errors": done.where("error is not null").count(), "embedded": n, "remaining": total - n if total > budget else 0}
+        return {"dirty_total": total, "synthesized": n, "errors": bad.count(), "embedded": n, "remaining": total - n if total > budget else 0}
+
+    def _merged(self, dealt: DataFrame) -> DataFrame:
+        """One description and alias list for each row of mentions (ms)."""
+        completer, attempts, wait = self.completer, self.settings.attempts, self.settings.wait
+        told = self.settings.told('Merge these mentions. JSON: {"description", "aliases"}')
+
+        def one(name: str, kind: str, ms: list) -> tuple:
+            try:
+                lines = f"{name} ({kind})\n" + "\n".join(f"- {m['name_as_extracted']}: {m['description']}" for m in ms)
+                got = models.parsed(models.tried(lambda: completer.complete(told, lines), attempts, wait)) if completer else None
+                got = got if isinstance(got, dict) else {}
+                text = (got.get("description") or "").strip() or max((m["description"] or "" for m in ms), key=len)
+                names = [a.strip() for a in got.get("aliases") or [] if isinstance(a, str) and a.strip()] or list(dict.fromkeys(a for m in ms for a in (m["aliases"] if m["aliases"] is not None else [])))
+                return text, names, None
+            except Exception as e:  # one entity that fails doesn't stop the others
+                return None, None, str(e)
+
+        def merge(frames):
+            for frame in frames:
+                made = [one(*x) for x in zip(frame["name"], frame["entity_type"], frame["ms"])]
+                yield pd.DataFrame({"id": frame["id"], "part": frame["part"], "parts": frame["parts"], "name": frame["name"], "description": [m[0] for m in made], "aliases": [m[1] for m in made], "error": [m[2] for m in made]})
+
+        return dealt.select("id", "part", "parts", "name", "entity_type", "ms").mapInPandas(merge, "id string, part int, parts int, name string, description string, aliases array<string>, error string")
 
     # Tools
 
@@ -423,9 +582,7 @@ class Engine:
 
     def insights(self, corpus: str = "", strategy: str = "", limit: int = 10) -> list[dict]:
         corpus = self.resolve_corpus(corpus)
-        rows = self.read("insight")
-        rows = rows.where(F.col("corpus_id") == corpus) if corpus else rows
-        rows = rows.where(F.col("strategy") == strategy) if strategy else rows
+        rows = browse.chosen(self.read("insight"), corpus_id=corpus, strategy=strategy)
         paths = self.read("chunk").select("id", F.col("doc_path").alias("path"))
         out = graph.sources_of(rows, self.read("insight_source").withColumnRenamed("source", "chunk"), paths).select("id", "paths")
         return [r.asDict() for r in rows.drop("embedding").join(out, "id").orderBy(F.desc("score"), "id").limit(limit).collect()]
@@ -451,56 +608,22 @@ class Engine:
 
     # Answer
 
-    def _evidence(self, action: str, node: dict) -> list[str]:
-        held = node["evidence_ids"]
-        ids = lambda xs: self.spark.createDataFrame([(x,) for x in xs], "id string")
-        if action == "search":
-            vector = self.embedder.embed([node["query"]])[0]
-            rows = self.read("chunk")
-            top = self.entity_search(node["query"], 5)
-            of = graph.chunks_of(self.mentions(), ids([t["id"] for t in top])).select(F.col("chunk").alias("id"), F.lit(0.8).alias("score")) if top else ids([]).withColumn("score", F.lit(0.8))
-            channels = {1: search.vector_top_k(rows, vector, 8), 2: search.bm25(rows.select("id", "text"), node["query"], 8), 3: search.vector_top_k(self.read("insight"), vector, 5), 4: of}
-            if not held and self.completer:
-                facets = models.parsed(self.completer.complete("Up to four search queries for this question, as a JSON list.", node["query"]))
-                for f in [x for x in facets if isinstance(x, str)][:4] if isinstance(facets, list) else []:
-                    more = search.vector_top_k(rows, self.embedder.embed([f])[0], 5).select("id", "score")
-                    channels[5] = channels[5].unionByName(more) if 5 in channels else more
-            found = [r.id for r in search.fuse(channels, seen=held).collect()]
-        elif action == "follow_ref":
-            recent = held[-3:]
-            after = chunks.next_links(self.read("chunk"), "document_id", "position", "id").where(F.col("id").isin(recent)).select("next_id")
-            src = self.read("insight_source").where(F.col("insight").isin(recent)).select("source")
-            far = graph.hops(self.mentions(), self.relations(), ids(recent)).select("found") if recent else None
-            found = [r[0] for df in (after, src, far) if df is not None for r in df.collect()]
-        else:
-            top = [t["id"] for t in self.entity_search(node["query"], 5)[:3]]
-            found = [r.chunk for r in graph.walk(self.mentions(), self.relations(), ids(top)).orderBy("step", "entity", "chunk").collect()] if top else []
-        return list(dict.fromkeys(x for x in found if x and x not in held))
-
-    def _texts(self, ids: list[str], n: int, chars: int) -> list[str]:
-        last = ids[-n:]
-        both = self.read("chunk").select("id", "text").unionByName(self.read("insight").select("id", "text")).where(F.col("id").isin(last))
-        text = {r.id: r.text for r in both.collect()}
-        return [text[i][:chars] for i in last if i in text]
+    def texts(self, ids: list[str], n: int, chars: int) -> list[str]:
+        """Of the last n ids the beginnings of the texts, in their order."""
+        held = self.spark.createDataFrame([("", ids)], "node string, ids array<string>")
+        return [r.text for r in browse.evidence_texts(held, self.nodes(), n, chars).orderBy("place").collect()]
 
     def _expanded(self, action: str, node: dict) -> dict | None:
-        child = {"query": node["query"], "answer": node["answer"], "evidence_ids": list(node["evidence_ids"]), "action": action, "challenge": node.get("challenge", "")}
-        if action in ("search", "follow_ref", "entity_walk"):
-            more = self._evidence(action, node) if action != "follow_ref" or node["evidence_ids"] else []
-            child["evidence_ids"] += more
-            return child if more else None
-        texts = self._texts(node["evidence_ids"], 10, 500)
-        if action == "synthesize":
-            child["answer"] = self.completer.complete("Answer the question from the evidence.", f"{node['query']}\n{child['challenge']}\n" + "\n--\n".join(texts)) if self.completer else " ".join(texts)[:800]
-            return child if texts else None
-        if not node["answer"] or not self.completer:
-            return None
-        child["challenge"] = self.completer.complete("Name the weakest point of this answer.", f"{node['query']}\n{node['answer']}")
-        return child
+        same = {"query": node["query"], "answer": node["answer"], "evidence_ids": list(node["evidence_ids"]), "challenge": node.get("challenge", "")}
+        made = self.actions[action].expand(self, same)
+        return same | made | {"action": action} if made else None
 
-    def answer(self, query: str, iterations: int = 20, depth: int = 5, c: float = 1.41, corpus: str = "", feedback: bool = False) -> dict:
+    def answer(self, query: str, iterations: int | None = None, depth: int | None = None, c: float | None = None, corpus: str = "", feedback: bool = False) -> dict:
         """A bounded tree search: select by UCT, expand by UCB1 over actions,
-        judge, and carry the score up."""
+        judge, and carry the score up.  What isn't given is as in the settings."""
+        given = lambda x, default: default if x is None else x
+        iterations, depth, c = given(iterations, self.settings.answer_iterations), given(depth, self.settings.answer_depth), given(c, self.settings.uct)
+        names = list(self.actions)
         corpus = self.resolve_corpus(corpus)
         tree = content_id(F.lit(query), F.lit(now()), length=16)
         tree = self.spark.range(1).select(tree).first()[0]
@@ -509,8 +632,8 @@ class Engine:
         root = new(0, None, 0, query=query, answer="", evidence_ids=[], action="root")
         nodes = {root["id"]: root}
         past = {r.arm: r for r in self.rewards("answer_action", corpus).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s")).collect()}
-        visits = {a: past[a].n if a in past else 0 for a in ACTIONS}
-        total = {a: past[a].s if a in past else 0.0 for a in ACTIONS}
+        visits = {a: past[a].n if a in past else 0 for a in names}
+        total = {a: past[a].s if a in past else 0.0 for a in names}
         log, best, best_score = [], root, 0.0
         for _ in range(iterations):
             node = root
@@ -522,14 +645,14 @@ class Engine:
                     break
                 node = max(children, key=lambda x: x["total"] / x["visits"] + c * math.sqrt(math.log(max(node["visits"], 1)) / x["visits"]))
             if node["depth"] < depth:
-                if not node["evidence_ids"]:
+                if not node["evidence_ids"] and "search" in names:
                     first = "search"
-                elif not node["answer"]:
+                elif not node["answer"] and "synthesize" in names:
                     first = "synthesize"
                 else:
                     n = max(1, sum(visits.values()))
-                    first = max(ACTIONS, key=lambda a: math.inf if not visits[a] else total[a] / visits[a] + c * math.sqrt(math.log(n) / visits[a]))
-                for action in [first, *[a for a in ACTIONS if a != first]]:
+                    first = max(names, key=lambda a: math.inf if not visits[a] else total[a] / visits[a] + c * math.sqrt(math.log(n) / visits[a]))
+                for action in [first, *[a for a in names if a != first]]:
                     made = self._expanded(action, node)
                     if made:
                         child = new(len(nodes), node["id"], node["depth"] + 1, **made)
@@ -537,7 +660,7 @@ class Engine:
                         node["children"].append(child["id"])
                         node = child
                         break
-            score = self.referee.evaluate(query, node["answer"], self._texts(node["evidence_ids"], 5, 300)) if node["answer"] else 0.1
+            score = self.referee.evaluate(query, node["answer"], self.texts(node["evidence_ids"], 5, 300)) if node["answer"] else 0.1
             up = node
             while up:
                 up["visits"] += 1
@@ -550,6 +673,9 @@ class Engine:
             if score > best_score:
                 best, best_score = node, score
         self._put("reasoning_node", list(nodes.values()))
+        # Evidence that isn't there has no edge.
+        used = self.spark.createDataFrame([(n["id"], e) for n in nodes.values() for e in n["evidence_ids"]], "node string, evidence string")
+        self._write("node_evidence", self.read("node_evidence").unionByName(known(used, "evidence", self.nodes()).select("node", "evidence")).distinct())
         self.log([*log, {"corpus": corpus, "mode": "answer", "arm": "answer", "score": best_score}])
         rewarded = self.feedback(best["evidence_ids"], best_score) if feedback else 0
         path, at = [], best
@@ -562,6 +688,6 @@ class Engine:
         """Rewards the strategies of the insights that an answer rests on."""
         if score < 0.5 or not evidence:
             return 0
-        rows = self.read("insight").where(F.col("id").isin(evidence)).select("id", "strategy", "corpus_id").collect()
+        rows = browse.by_ids(self.read("insight"), self.ids(evidence)).select("id", "strategy", "corpus_id").collect()
         self.log([{"corpus": r.corpus_id, "mode": "insight", "arm": r.strategy, "score": 0.3 * score, "insight_id": r.id} for r in rows])
         return len(rows)

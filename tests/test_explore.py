@@ -63,7 +63,7 @@ def test_gaps_have_sources_and_are_judged_on_their_context(spark, tmp_path):
     assert {r.score for r in engine.rewards().collect()} == {f["score"] for f in found}
     question, _, evidence = engine.referee.calls[0]
     assert question == "gap" and evidence[:5] == [LONG + f"k{i}" for i in range(5)]
-    assert evidence[5] == "Passage (THING)" and evidence[6].split("\n") == [f"X -[{t}]-> Passage" for t in "ABC"]
+    assert evidence[5] == "Passage (THING)" and evidence[6].split("\n") == [f"Passage -[{t}]-> X" for t in "ABC"]
     # A finding that comes again isn't held against itself.
     assert engine.explore("", "gap", 1) and all(found[0]["text"] not in q for q, *_ in engine.referee.calls)
 
