@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import line_dedup, near_dedup, packing, secrets, toxicity
-from gleaner.llm._common import pinned, table, tokenizer_path
+from gleaner.llm._common import pinned, scope, table, tokenizer_path
+from gleaner.sources.staging import drop
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,10 +72,15 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = pinned(docs)
-    return docs
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        # A stage's own tables go when its result is written, and so does the
+        # result of the stage before it.
+        before = docs
+        with scope(spark) as kept:
+            docs = pinned(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        drop(before)
 
 
 #: The classifier, the signatures and the tokenizer have no SQL form.
