@@ -18,8 +18,7 @@ text.  Rows without id are searched with every rule.  No rows, no rows.
 from __future__ import annotations
 
 import re
-import re._constants as sre
-import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,33 +82,130 @@ def _all(parts: list[Query]) -> Query:
     return _either([out])
 
 
+class _Parser:
+    """Reads an expression as far as trigrams need it: literals, classes,
+    groups, alternatives and repeats.  A node is (kind, value, least, most):
+    "one" of a list of characters (None: any), or a "group" of branches, which
+    are lists of nodes.  Whatever else is in an expression raises ValueError.
+    """
+
+    CLASSES = "dDwWsS"
+
+    def __init__(self, pattern: str):
+        self._text, self._at = pattern, 0
+
+    def parse(self) -> list[list[tuple]]:
+        out = self._branches()
+        if self._at < len(self._text):
+            raise ValueError(f"can't read {self._text!r} at {self._at}")
+        return out
+
+    def _peek(self) -> str:
+        return self._text[self._at : self._at + 1]
+
+    def _take(self, n: int = 1) -> str:
+        part = self._text[self._at : self._at + n]
+        if len(part) < n:
+            raise ValueError(f"{self._text!r} ends too early")
+        self._at += n
+        return part
+
+    def _branches(self) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[]]
+        while (c := self._peek()) and c != ")":
+            if c == "|":
+                self._take()
+                out.append([])
+            else:
+                out[-1].append(self._repeated(self._atom()))
+        return out
+
+    def _atom(self) -> tuple[str, object]:
+        c = self._take()
+        if c == "(":
+            if self._peek() == "?":
+                if self._take(2) != "?:":
+                    raise ValueError("groups have no options but ?:")
+            inner = self._branches()
+            if self._take() != ")":
+                raise ValueError("a group doesn't end")
+            return "group", inner
+        if c == "[":
+            return "one", self._class()
+        if c == ".":
+            return "one", None
+        if c == "\\":
+            return "one", self._escape()
+        if c in "^$*+?{":
+            raise ValueError(f"{c} isn't read here")
+        return "one", [c]
+
+    def _escape(self) -> list[str] | None:
+        c = self._take()
+        if c == "x":
+            return [chr(int(self._take(2), 16))]
+        if c in self.CLASSES:
+            return None
+        if c.isalnum():
+            raise ValueError(f"\\{c} isn't read")
+        return [c]
+
+    def _class(self) -> list[str] | None:
+        """Its characters; None for those of ranges, classes and complements."""
+        found: list[str] | None = []
+        if self._peek() == "^":
+            found = None
+        first = True
+        while first or self._peek() != "]":
+            first, c = False, self._take()
+            one = self._escape() if c == "\\" else [c]
+            if self._peek() == "-" and self._text[self._at + 1 : self._at + 2] not in ("]", ""):
+                self._take()
+                end = self._take()
+                if end == "\\":
+                    self._escape()
+                one = None
+            found = None if found is None or one is None else found + one
+        self._take()
+        return found
+
+    def _repeated(self, atom: tuple[str, object]) -> tuple:
+        c, least, most = self._peek(), 1, 1
+        if c and c in "*+?":
+            self._take()
+            least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[c]
+        elif c == "{":
+            found = re.compile(r"\{(\d*)(,?)(\d*)\}").match(self._text, self._at)
+            if not found:
+                raise ValueError("a repeat that can't be read")
+            self._take(len(found[0]))
+            least = int(found[1] or 0)
+            most = least if not found[2] else int(found[3]) if found[3] else None
+        if (least, most) != (1, 1) and self._peek() in ("?", "+"):
+            self._take()  # how it is searched for doesn't matter
+        return *atom, least, most
+
+
 def _strings(node: tuple) -> list[str] | None:
-    """All strings that a part of an expression stands for, if they are few."""
-    kind, value = node
-    if kind is sre.LITERAL:
-        return [chr(value).lower()]
-    if kind is sre.IN and all(k is sre.LITERAL for k, _ in value) and len(value) <= 8:
-        return sorted({chr(c).lower() for _, c in value})
-    if kind is sre.SUBPATTERN:
-        return _listed(value[3])
-    if kind is sre.BRANCH:
-        parts = [_listed(x) for x in value[1]]
-        return None if None in parts else sorted({s for x in parts for s in x})
-    if kind is sre.MAX_REPEAT and value[1] <= 4:
-        one = _listed(value[2])
-        if one is None:
+    """All strings that a node stands for (in lower case), if they are few."""
+    kind, value, least, most = node
+    if kind == "one":
+        one = sorted({c.lower() for c in value}) if value is not None and len(value) <= 8 else None
+    else:
+        parts = [_listed(x) for x in value]
+        one = None if None in parts else sorted({s for x in parts for s in x})
+    if one is None or most is None or most > 4:
+        return None
+    out, power = [], [""]
+    for n in range(most + 1):
+        out += power if n >= least else []
+        power = [x + y for x in power for y in one]
+        if len(power) > _LISTED:
             return None
-        out, power = [], [""]
-        for n in range(value[1] + 1):
-            out += power if n >= value[0] else []
-            power = [x + y for x in power for y in one]
-            if len(power) > _LISTED:
-                return None
-        return sorted(set(out))
-    return None
+    return sorted(set(out))
 
 
-def _listed(nodes) -> list[str] | None:
+def _listed(nodes: list[tuple]) -> list[str] | None:
     out = [""]
     for node in nodes:
         part = _strings(node)
@@ -119,7 +215,7 @@ def _listed(nodes) -> list[str] | None:
     return out
 
 
-def _query(nodes) -> Query:
+def _query(nodes: list[tuple]) -> Query:
     """Parts with few strings are joined as long as they are; what stands
     between them ends a run of strings."""
     parts, run = [], [""]
@@ -134,20 +230,16 @@ def _query(nodes) -> Query:
             continue
         close()
         run = [""]
-        kind, value = node
-        if kind is sre.SUBPATTERN:
-            parts.append(_query(value[3]))
-        elif kind is sre.BRANCH:
-            parts.append(_either([_query(x) for x in value[1]]))
-        elif kind is sre.MAX_REPEAT and value[0] >= 1:
-            parts.append(_query(value[2]))
+        kind, value, least, _ = node
+        if kind == "group" and least >= 1:
+            parts.append(_either([_query(x) for x in value]))
     close()
     return _all(parts)
 
 
 def trigram_query(pattern: str) -> Query:
     """Trigrams (in lower case) that a match of the expression must contain."""
-    return _query(parser.parse(pattern))
+    return _either([_query(x) for x in _Parser(pattern).parse()])
 
 
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
@@ -173,14 +265,14 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     return counted.where(F.size("grams") == F.col("need")).groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _running(lengths: Column) -> Column:
-    """The sum before each element.  Sums of blocks of 256 come first, so the
-    work stays near the length for very many elements."""
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / 256).cast("int")), lambda b: add(F.slice(lengths, b * 256 + 1, F.lit(256))))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What comes of 0 and the values before each element.  Blocks of 256 come
+    first, so the work stays near the length for very many elements."""
+    every = lambda xs: F.aggregate(xs, F.lit(0), add)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 256).cast("int")), lambda b: every(F.slice(values, b * 256 + 1, F.lit(256))))
+    before = F.aggregate(blocks, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(add(F.element_at(s, -1), x))))
     at = lambda i: F.get(before, F.floor(i / 256).cast("int"))
-    return F.transform(lengths, lambda _, i: at(i) + add(F.slice(lengths, i - i % 256 + 1, i % 256)))
+    return F.transform(values, lambda _, i: add(at(i), every(F.slice(values, i - i % 256 + 1, i % 256))))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -192,7 +284,7 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     sized = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
     both = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.coalesce(a, F.lit(0)) + b)
-    rows = F.transform(F.arrays_zip(_running(both).alias("before"), both.alias("both"), found.alias("chars"), sized.alias("sized")), lambda x: F.struct((x["before"] + x["both"] - x["chars"]).alias("start"), F.lit(order).alias("order"), (x["before"] + x["both"]).alias("end"), F.lit(rule.kind).alias("kind"), x["sized"].alias("sized")))
+    rows = F.transform(F.arrays_zip(_running(both, lambda x, y: x + y).alias("before"), both.alias("both"), found.alias("chars"), sized.alias("sized")), lambda x: F.struct((x["before"] + x["both"] - x["chars"]).alias("start"), F.lit(order).alias("order"), (x["before"] + x["both"]).alias("end"), F.lit(rule.kind).alias("kind"), x["sized"].alias("sized")))
     kept = F.filter(rows, lambda x: x["sized"] >= rule.least_chars)
     return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))
 
@@ -241,13 +333,11 @@ def joined(spans: Column, kinds: list[str]) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with a mark in place of each span; spans come by start."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("parts"))
-
-    def put(done: Column, span: Column) -> Column:
-        more = F.array(F.substring(text, done["end"] + 1, F.greatest(span["start"] - done["end"], F.lit(0))), F.lit(mark))
-        added = F.struct(span["end"].alias("end"), F.concat(done["parts"], more).alias("parts"))
-        return F.when(span["end"] > done["end"], added).otherwise(done)
-
-    cut = F.aggregate(spans, start, put, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["end"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(cut)
+    """The text with a mark in place of each span, or of what it has beyond the
+    spans before it; spans come by start."""
+    ends = F.transform(spans, lambda s: s["end"])
+    reached = F.arrays_zip(spans.alias("span"), _running(ends, lambda x, y: F.greatest(x, y)).alias("before"))
+    kept = F.filter(reached, lambda x: x["span"]["end"] > x["before"])
+    parts = F.transform(kept, lambda x: F.concat(F.substring(text, x["before"] + 1, F.greatest(x["span"]["start"] - x["before"], F.lit(0))), F.lit(mark)))
+    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), rest))
