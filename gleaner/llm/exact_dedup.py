@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, pinned
+from ._common import input_columns, pinned, scope
 
 
 #: Stands for the neighbour that the last block of an odd number lacks; no name
@@ -85,7 +85,10 @@ def identities(docs: DataFrame, *, block: int = 8192, id_col: str = "doc_id", te
 def dedup(docs: DataFrame, *, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 of every row."""
     # Written first, so that Spark can split a large group in the join.
-    rows = pinned(identities(docs, block=block, id_col=id_col, text_col=text_col))
+    # What named the texts goes when they have their names.
+    with scope(docs.sparkSession) as kept:
+        rows = pinned(identities(docs, block=block, id_col=id_col, text_col=text_col))
+        kept.append(rows)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     groups = rows.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
     out = rows.join(pinned(groups), ["level", "name"])
