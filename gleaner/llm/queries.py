@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, media, near_dedup, packing, secrets, sharding, toxicity, url_filter
-from ._common import table, tokenizer_path
+from ._common import pinned, small_batches, table, tokenizer_path
 
 #: Rules of op9.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -36,12 +36,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     shown = F.col("ids").cast("string")  # "[1, 2]", with no string for each id
     joined = F.replace(F.substring(shown, F.lit(2), F.length(shown) - 2), F.lit(", "), F.lit(" "))
-    return rows.select(
+    digests = rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+    with small_batches(spark):  # texts, ids and texts again go through workers
+        return pinned(digests)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
