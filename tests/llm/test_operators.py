@@ -114,7 +114,7 @@ def test_toxicity_scores_gram_by_gram(spark, sf_dir, docs):
 
 
 def test_toxicity_with_all_features(spark):
-    rows = [(k, ("you are an idiot" if k % 2 else "a calm day") + f" number {k % 5}") for k in range(40)]
+    rows = [(k, ("you are an idiot" if k % 2 else "a calm day") + f" number {k % 5} {k * 7919}") for k in range(40)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     fit = lambda **kw: toxicity.fit(frame(spark, rows), labels, **kw)
     every, few = fit(features=None, min_rows=1), fit(features=20)
