@@ -40,15 +40,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_columns, package_on_workers, pinned, released, small_batches
+from ._common import input_columns, package_on_workers, pinned, released, scope, small_batches
 from .components import components
 from .shingles import Circulant, digest, shingles, split
 
 #: Documents and shingles of a block: two blocks are a task's share of a cluster.
 BLOCK_DOCS = 144
 BLOCK_SHINGLES = 1 << 20
-#: Members of a large cluster that all others are compared with.
+#: Members of a large cluster that all others are compared with, and documents
+#: that a block has for that.
 PIVOTS = 3
+PIVOT_DOCS = 48
 
 
 def bands_for(percent: int, rows: int, miss: float) -> int:
@@ -141,47 +143,53 @@ def _met(meetings: DataFrame, words: int, percent: int) -> DataFrame:
     return meetings.select(*MEETING).groupBy("cluster", "x", "y", "kind").applyInArrow(lambda t: _forest(t, words, percent), "a long, b long")
 
 
-def _blocks_of(docs: Column, shingles: Column) -> Column:
-    return F.ceil(F.greatest(docs / BLOCK_DOCS, shingles / BLOCK_SHINGLES)).cast("int")
+def _blocks_of(docs: Column, shingles: Column, most: int | None = None) -> Column:
+    return F.ceil(F.greatest(docs / (most or BLOCK_DOCS), shingles / BLOCK_SHINGLES)).cast("int")
 
 
 def _dealt(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("v", F.lit(9)), F.greatest(blocks, F.lit(1))).cast("int")
 
 
-def _with_pivots(members: DataFrame, large: DataFrame) -> DataFrame:
-    """Meetings of the blocks of large clusters (cluster, blocks) with pivots."""
-    dealt = members.join(large, "cluster")
-    order = lambda k: F.xxhash64("v", F.lit(k))
-    drawn = [F.min(F.struct(order(k).alias("o"), "v")).getField("v").alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = dealt.groupBy("cluster", "blocks").agg(*drawn)
-    chosen = chosen.select("blocks", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("v"))
-    pivots = members.join(pinned(chosen), "v").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    rest = dealt.withColumn("y", _dealt(F.col("blocks"))).withColumn("side", F.lit(1))
-    return rest.unionByName(pivots).select("*", F.lit(-1).alias("x"), F.lit(1).alias("kind"), F.col("v").alias("comp"), F.col("y").alias("own"))
-
-
-def _rest_of_large(members: DataFrame, large: DataFrame) -> DataFrame:
-    """Meetings of what pivots left in large clusters: each two blocks of the
-    rest (kind 0), and each block of the rest with that of the main component
-    (kind 1).  members: with their component so far."""
-    members = members.join(large, "cluster", "left_semi")
-    by_comp = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    main = by_comp.groupBy("cluster").agg(F.max(F.struct("docs", "comp")).getField("comp").alias("main"))
-    both = by_comp.join(main, "cluster").withColumn("side", (F.col("comp") == F.col("main")).cast("int"))
-    sides = both.groupBy("cluster", "main", "side").agg(_blocks_of(F.sum("docs"), F.sum("shingles")).alias("blocks"))
-    side = (F.col("comp") == F.col("main")).cast("int")
-    dealt = members.join(pinned(sides.groupBy("cluster", "main").pivot("side", [0, 1]).agg(F.max("blocks"))), "cluster").withColumn("side", side)
-    dealt = pinned(dealt.withColumn("own", _dealt(F.when(F.col("side") == 1, F.col("1")).otherwise(F.col("0")))).drop("main", "0", "1"))
+def _main(held: DataFrame) -> DataFrame:
+    """held (v, cluster, n, comp) with main: whether a member is in the largest
+    component of its cluster."""
+    sizes = held.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("docs"))
+    largest = pinned(sizes.groupBy("cluster").agg(F.max(F.struct("docs", "comp")).getField("comp").alias("largest")))
+    return pinned(held.join(largest, "cluster").select("v", "cluster", "n", "comp", (F.col("comp") == F.col("largest")).alias("main")))
+
+
+def _with_pivots(rest: DataFrame, drawn_from: DataFrame, turn: int) -> DataFrame:
+    """Meetings (without texts) of blocks of rest with a few pivots of the same
+    cluster, which are drawn anew in each turn."""
+    sizes = pinned(rest.groupBy("cluster").agg(_blocks_of(F.count(F.lit(1)), F.sum("n"), PIVOT_DOCS).alias("blocks")))
+    order = lambda k: F.xxhash64("v", F.lit(turn * PIVOTS + k))
+    drawn = [F.min(F.struct(order(k).alias("o"), "v", "n", "comp")).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = drawn_from.groupBy("cluster").agg(*drawn).join(sizes, "cluster")
+    chosen = chosen.select("cluster", "blocks", F.explode(F.array_distinct(F.transform(F.array(*[f"p{k}" for k in range(PIVOTS)]), lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), p["comp"].alias("comp"))))).alias("p"))
+    pivots = chosen.select("cluster", "p.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(0).alias("side"))
+    dealt = rest.join(sizes, "cluster").select("cluster", "v", "n", "comp", _dealt(F.col("blocks")).alias("y"), F.lit(1).alias("side"))
+    return dealt.unionByName(pivots).select("*", F.lit(-1).alias("x"), F.lit(1).alias("kind"), F.col("y").alias("own"))
+
+
+def _rest_of_large(held: DataFrame, bands: DataFrame) -> DataFrame:
+    """Meetings (without texts) of what pivots left: each two blocks of the rest
+    (kind 0), and each block of the rest with those of the main component (kind
+    1).  held: v, cluster, n, comp, main; bands: v, bands."""
+    sizes = held.groupBy("cluster").agg(*[_blocks_of(F.sum(F.when(F.col("main") == k, 1).otherwise(0)), F.sum(F.when(F.col("main") == k, F.col("n")).otherwise(0))).alias(f"b{int(k)}") for k in (False, True)])
+    dealt = held.join(pinned(sizes.where("b0 > 0")), "cluster").withColumn("side", F.col("main").cast("int"))
+    dealt = pinned(dealt.withColumn("own", _dealt(F.when(F.col("main"), F.col("b1")).otherwise(F.col("b0")))).select("v", "cluster", "n", "comp", "side", "own"))
     # A member goes to the blocks of the rest that have one of its buckets.
-    held = pinned(dealt.where("side = 0").select(F.explode("bands").alias("bucket"), F.col("own").alias("to")).distinct())
-    asked = dealt.select("v", "side", "own", F.explode("bands").alias("bucket")).join(held, "bucket").select("v", "side", "own", "to").distinct()
-    asked = pinned(asked.select("v", F.when(F.col("side") == 1, F.col("to")).otherwise(F.least("own", "to")).alias("x"), F.when(F.col("side") == 1, F.col("own")).otherwise(F.greatest("own", "to")).alias("y"), F.col("side").alias("kind")).distinct())
-    met = dealt.join(asked, "v")
+    buckets = dealt.join(bands, "v").select("v", "side", "own", F.explode("bands").alias("bucket"))
+    to = pinned(buckets.where("side = 0").groupBy("bucket").agg(F.collect_set("own").alias("to")))
+    asked = buckets.select("v", "bucket").join(to, "bucket").groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+    met = dealt.join(asked, "v").withColumn("to", F.explode("to"))
+    x = F.when(F.col("side") == 1, F.col("to")).otherwise(F.least("own", "to"))
+    y = F.when(F.col("side") == 1, F.col("own")).otherwise(F.greatest("own", "to"))
+    met = pinned(met.withColumns({"x": x, "y": y, "kind": F.col("side")}).drop("to"))
     # A block of the rest meets each block of the main component that comes to it.
-    main_blocks = asked.where("kind = 1").select("x", "y", "v").join(dealt.select("v", "cluster"), "v").select("cluster", "x", "y").distinct()
-    others = dealt.where("side = 0").join(pinned(main_blocks).withColumnRenamed("x", "own"), ["cluster", "own"])
-    others = others.select("*", F.col("own").alias("x"), F.lit(1).alias("kind"))
+    main_blocks = pinned(met.where("kind = 1").select("cluster", F.col("x").alias("own"), "y").distinct())
+    others = dealt.where("side = 0").join(main_blocks, ["cluster", "own"]).withColumns({"x": F.col("own"), "kind": F.lit(1)})
     return met.unionByName(others.select(*met.columns))
 
 
@@ -197,16 +205,31 @@ def links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFr
     # Keys grow with the input, so the same join is asked for at every size.
     found = texts.join(keys.hint("merge"), ["id", "h"]).groupBy("v", "n", "cluster").agg(F.any_value("text").alias("text"), F.any_value("bands").alias("bands"))
     members = pinned(found)
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    large = pinned(sizes.select("cluster", _blocks_of(F.col("docs"), F.col("shingles")).alias("blocks")).where("blocks > 1"))
+    sizes = members.groupBy("cluster").agg(_blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    large = pinned(sizes.where("blocks > 1").select("cluster"))
     zero = F.lit(0)
     small = members.join(large, "cluster", "left_anti").select("*", zero.alias("x"), zero.alias("y"), zero.alias("kind"), zero.alias("side"), zero.alias("own"), F.col("v").alias("comp"))
     confirmed = _met(small, words, percent)
     if large.isEmpty():
         return confirmed
-    known = pinned(_met(_with_pivots(members, large), words, percent))
-    rest = _rest_of_large(_rooted(members, components(known), "comp"), large)
-    return confirmed.unionByName(known).unionByName(_met(rest, words, percent))
+    content = members.select("v", "text", "bands")
+    start = pinned(members.select("v", "cluster", "n").join(large, "cluster", "left_semi"))
+    everyone = start.withColumn("comp", F.col("v"))
+    known = pinned(_met(_with_pivots(everyone, everyone, 0).join(content, "v"), words, percent))
+    left, turn = start.count(), 1
+    while True:
+        held = _main(_rooted(start, components(known), "comp"))
+        rest = held.where("not main")
+        before, left = left, rest.count()
+        if not left:
+            return confirmed.unionByName(known)
+        if 2 * left > before:
+            break
+        # As long as pivots halve the rest, others of the main component are tried.
+        more = pinned(_met(_with_pivots(rest, held.where("main"), turn).join(content, "v"), words, percent))
+        known, turn = pinned(known.unionByName(more)), turn + 1
+    met = _rest_of_large(held, members.select("v", "bands"))
+    return confirmed.unionByName(known).unionByName(_met(met.join(content, "v"), words, percent))
 
 
 def classes(
@@ -222,6 +245,14 @@ def classes(
     """id, h, n_shingles, component_id, kept of every row; (id, h) is the
     row's key, h the hash of its text."""
     package_on_workers(docs.sparkSession)
+    # Only the result stays; texts, sets and rounds go when it is written.
+    with scope(docs.sparkSession) as kept:
+        out = pinned(_classes(docs, words, percent, rows, miss, id_col, text_col))
+        kept.append(out)
+    return out
+
+
+def _classes(docs: DataFrame, words: int, percent: int, rows: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(*input_columns(docs, id=id_col, text=text_col)).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     with small_batches(docs.sparkSession):
         feats = pinned(features(texts, words, rows, bands_for(percent, rows, miss)))
