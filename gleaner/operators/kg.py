@@ -69,26 +69,25 @@ def _known(rows: DataFrame) -> DataFrame:
 
 
 def scopes(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """document, chunk_id, scope: array<struct<place, entity_id, keys>> by place,
-    by which a chunk's own relations name its entities: keys are the names that
-    are known up to the chunk.  If a chunk id comes twice its last scope holds."""
+    """document, chunk_id, scope: struct<keys, ids>, by which a chunk's own
+    relations name its entities: at each place a name that is known up to the
+    chunk and its entity, those of later entities first.  If a chunk id comes
+    twice its last scope holds."""
     at = rows.groupBy("document", "chunk_id", "entity_id").agg(F.max(F.struct("chunk_ord", "place")).alias("at"))
     keys = F.transform(F.filter("known", lambda k: k["first"] <= F.col("at")), lambda k: k["key"])
     named = at.join(known, ["document", "entity_id"]).select("document", "chunk_id", F.struct("at", "entity_id", keys.alias("keys")).alias("x"))
     got = named.groupBy("document", "chunk_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    last = F.filter("xs", lambda x: x["at"]["chunk_ord"] == F.element_at("xs", -1)["at"]["chunk_ord"])
-    return got.select("document", "chunk_id", F.transform(last, lambda x: F.struct(x["at"]["place"].alias("place"), x["entity_id"].alias("entity_id"), x["keys"].alias("keys"))).alias("scope"))
+    last = F.reverse(F.filter("xs", lambda x: x["at"]["chunk_ord"] == F.element_at("xs", -1)["at"]["chunk_ord"]))
+    got = got.select("document", "chunk_id", last.alias("xs"))
+    ids = F.flatten(F.transform("xs", lambda x: F.array_repeat(x["entity_id"], F.size(x["keys"]))))
+    return got.select("document", "chunk_id", F.struct(F.flatten(F.transform("xs", lambda x: x["keys"])).alias("keys"), ids.alias("ids")).alias("scope"))
 
 
 def _in_scope(scope: Column, name: Column) -> Column:
     """The entity that a name stands for in a scope: as written, then in lower
     case; of several the last one.  Null if there is none."""
-
-    def last(key: Column) -> Column:
-        found = F.filter(scope, lambda e: F.array_contains(e["keys"], key))
-        return F.get(found, F.size(found) - 1)["entity_id"]
-
-    return F.coalesce(last(name), last(F.lower(name)))
+    first = lambda key: F.get(scope["ids"], (F.array_position(scope["keys"], key) - 1).cast("int"))
+    return F.coalesce(first(name), first(F.lower(name)))
 
 
 def _in_document(names: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
