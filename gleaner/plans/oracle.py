@@ -230,7 +230,7 @@ ent AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'Type ' ELSE 'type
 src AS (SELECT o_custkey AS id, o_orderkey AS chunk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, left(o_orderpriority || ' ' || o_orderstatus, 8) AS text FROM orders QUALIFY place <= 5),
 own AS (SELECT chunk, entity FROM ment QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY entity) <= 5),
 named AS (SELECT src.id, place, entity, name, kind FROM src JOIN own USING (chunk) JOIN ent ON ent.id = entity QUALIFY row_number() OVER (PARTITION BY src.id, lower(name) ORDER BY place, entity) = 1),
-kinds AS (SELECT id, string_agg(name || ' (' || kind || ')', ';' ORDER BY place, entity) AS entities FROM (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, entity) <= 10) GROUP BY id),
+kinds AS (SELECT id, string_agg(shown, ';' ORDER BY place, entity, shown) AS entities FROM (SELECT *, name || ' (' || kind || ')' AS shown FROM named QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, entity, shown) <= 10) GROUP BY id),
 ways AS (SELECT named.id, place, entity, -confidence AS unsure, other, type, named.name || ' -[' || type || ']-> ' || ent.name AS path FROM named JOIN near ON seed = entity JOIN ent ON ent.id = other),
 paths AS (SELECT id, string_agg(path, ';' ORDER BY place, entity, unsure, other, type, path) AS paths FROM (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, entity, unsure, other, type, path) <= 10) GROUP BY id),
 texts AS (SELECT id, string_agg(text, ';' ORDER BY place) AS texts FROM src GROUP BY id)
