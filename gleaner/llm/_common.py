@@ -19,6 +19,9 @@ from ..sources.staging import is_local, pinned, scope, shared_dir  # noqa: F401
 
 #: White space of all contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
+#: Words of some contracts: runs of letters, digits and whatever isn't ASCII, of
+#: a text whose A-Z are in lower case.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 

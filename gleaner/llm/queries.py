@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, media, near_dedup, packing, secrets, sharding, toxicity, url_filter
+from . import bpe, conversation_repair, exact_dedup, license_scan, line_dedup, media, near_dedup, packing, resampling, secrets, sharding, toxicity, url_filter
 from ._common import pinned, small_batches, table, tokenizer_path
 
 #: Rules of op9.
@@ -80,8 +80,30 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, base), F.sha2(secrets.joined(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans"), every).alias("spans"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    out = resampling.resample(docs, target, percent=10, ngrams=(1, 1), min_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+    return out.drop("rows")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    starts = F.transform(base, lambda p: p["start"])
+    columns = [F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(F.transform(base, lambda p: p["label"])).alias("base_labels")]
+    with small_batches(spark):
+        return pinned(found.select("doc_id", "n_words", *columns, joined(F.col("labels")).alias("labels"), "score"))
+
+
 def queries() -> dict:
     own = [op1_toxicity, op2_best_fit_packing, op3_line_dedup, op4_bpe, op5_exact_dedup, op6_tiff, op7_minhash_near_dedup, op8_sharding, op9_url_filter, op10_secret_scan]
+    own += [op11_importance_resampling, op12_conversation_repair, op13_license_scan]
     return {f.__name__: f for f in own}
 
 
@@ -158,5 +180,105 @@ FROM ruled
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE crc_step(byte, k, c) AS (
+  SELECT b, 0, b FROM range(256) r(b)
+  UNION ALL
+  SELECT byte, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS t FROM crc_step WHERE k = 8),
+word AS (
+  SELECT 0 AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+bytes AS (
+  SELECT w, list_transform(range(1, length(hex(encode(w))) // 2 + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT w FROM word)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM word JOIN hashed USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counts),
+bag AS (
+  SELECT id, count(*) AS n, sum(gain)::BIGINT AS weight FROM word JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN bag ON id = doc_id),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS draw FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= draw THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+_OP12 = r"""
+WITH RECURSIVE crc_step(byte, k, c) AS (
+  SELECT b, 0, b FROM range(256) r(b)
+  UNION ALL
+  SELECT byte, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS t FROM crc_step WHERE k = 8),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b FROM conversations),
+dealt AS (
+  SELECT * EXCLUDE (b, t), xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM dealt, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+line AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, substr(role, 1, 1) AS r FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM line),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+-- From each state (none, system, user, assistant as a letter) to those that up to two insertions reach.
+inserts(q, p, cost, letters) AS (
+  VALUES ('-', '-', 0, ''), ('-', 'u', 5, 'I'), ('-', 'a', 10, 'II'), ('s', 's', 0, ''), ('s', 'u', 5, 'I'), ('s', 'a', 10, 'II'),
+         ('u', 'u', 0, ''), ('u', 'a', 5, 'I'), ('a', 'a', 0, ''), ('a', 'u', 5, 'I')),
+due(q, p) AS (VALUES ('-', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+legal(q, r) AS (VALUES ('-', 's'), ('-', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+edit AS (
+  SELECT conv_id, i, d.q, 'D' AS letter, d.q AS p, 2 AS cost FROM judged, due d
+  UNION ALL
+  SELECT conv_id, i, d.q, 'R', d.p, 1 + CASE WHEN fault IS NULL THEN 0 ELSE 5 END FROM judged, due d WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL
+  SELECT conv_id, i, l.q, 'K', l.r, CASE WHEN fault IS NULL THEN 0 ELSE 5 END FROM judged j JOIN legal l ON l.r = j.r WHERE fault IS NULL OR fault = 'truncated'),
+-- The cheapest way to each state after i rows, then the least letters: nine digits of costs, and the letters.
+way(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, n.p, printf('%09d', n.cost) || n.letters FROM counted, inserts n WHERE n.q = '-'
+  UNION ALL
+  SELECT w.conv_id, e.i, n.p, min(printf('%09d', substr(w.best, 1, 9)::BIGINT + e.cost + n.cost) || substr(w.best, 10) || e.letter || n.letters)
+  FROM way w JOIN edit e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = w.q JOIN inserts n ON n.q = e.p
+  GROUP BY w.conv_id, e.i, n.p),
+solved AS (
+  SELECT c.conv_id, min(best) AS best FROM counted c JOIN way w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n WHERE w.q IN ('-', 'a') GROUP BY c.conv_id),
+-- Letters one by one, with the number of the row that they use and of the turn that they give.
+letter AS (
+  SELECT conv_id, k, substr(best, k + 9, 1) AS e, length(replace(substr(best, 10, k), 'I', '')) AS i, length(replace(substr(best, 10, k), 'D', '')) AS out
+  FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS k FROM solved)),
+opened AS (
+  SELECT l.*, j.role, j.text, max(CASE WHEN e = 'K' AND j.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS has_system
+  FROM letter l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i AND l.e <> 'I' WHERE e <> 'D'),
+shown AS (
+  SELECT conv_id, out, CASE WHEN e = 'K' THEN role WHEN (out - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM opened),
+repaired AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY out) AS whole FROM shown GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(substr(best, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_url_filter": _OP9}
+    return {"op3_line_dedup": _OP3, "op5_exact_dedup": _OP5, "op9_url_filter": _OP9, "op11_importance_resampling": _OP11, "op12_conversation_repair": _OP12}

@@ -18,4 +18,4 @@ def test_query(spark, sf_dir, name):
     rows = [{c: r[k] for k, c in enumerate(columns)} for r in need.fetchall()]
     got = [r.asDict() for r in queries.queries()[name](spark, sf_dir).collect()]
     shown = lambda rows: sorted(str(sorted(r.items())) for r in rows)
-    assert shown(got) == shown(rows) and len(got) > 100
+    assert shown(got) == shown(rows) and len(got) >= 100  # as many as there are conversations
