@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the tables of each scope that is open, the innermost last.
-_scopes: list[list[str]] = []
+#: Paths of the tables of each scope that is open in this thread, the innermost
+#: last: what one thread pins is never part of another thread's scope.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -52,8 +54,8 @@ def pinned(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where, files = _at(spark, path)
     files.deleteOnExit(where)
-    if _scopes:
-        _scopes[-1].append(path)
+    for own in _scopes.get()[-1:]:
+        own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pinned_at = path
     return out
@@ -73,16 +75,17 @@ def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
     list; these belong to the scope around it then.  What is handed out must be
     one of the tables kept, not a plan that still reads another."""
     kept: list[DataFrame] = []
-    _scopes.append([])
+    around, made = _scopes.get(), []
+    token = _scopes.set((*around, made))
     try:
         yield kept
     finally:
-        made = _scopes.pop()
+        _scopes.reset(token)
         stay = {getattr(df, "_pinned_at", None) for df in kept}
         for path in made:
             if path in stay:
-                if _scopes:
-                    _scopes[-1].append(path)
+                for outer in around[-1:]:
+                    outer.append(path)
                 continue
             where, files = _at(spark, path)
             files.delete(where, True)

@@ -1,6 +1,8 @@
 """Intermediate tables: where they are, and when they go."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 
@@ -27,6 +29,32 @@ def test_a_scope_deletes_what_it_does_not_keep(spark):
     assert files(spark) == before
 
 
+def test_a_scope_is_its_threads_own(spark):
+    """A table that another thread pins while a scope is open outlives it."""
+    opened, pinned, closed = Barrier(2), Barrier(2), Barrier(2)
+
+    def holder():
+        with staging.scope(spark):
+            own = staging.pinned(spark.range(2))
+            opened.wait(60)
+            pinned.wait(60)
+        closed.wait(60)
+        return own._pinned_at
+
+    def other():
+        opened.wait(60)
+        out = staging.pinned(spark.range(7))
+        pinned.wait(60)
+        closed.wait(60)
+        return out.count(), out
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.submit(holder), pool.submit(other)
+        gone, (n, out) = first.result(120), second.result(120)
+    assert n == 7 and not os.path.exists(gone.removeprefix("file://"))
+    staging.drop(out)
+
+
 def test_a_failure_deletes_too(spark):
     before = files(spark)
     with pytest.raises(RuntimeError), staging.scope(spark):
