@@ -7,6 +7,7 @@ import functools
 import gc
 import io
 import os
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -101,15 +102,29 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return and_release
 
 
+#: Values that are asked for at the moment, by setting, the last one in force;
+#: the first is what was there before.
+_asked: dict[str, list[tuple[object, str]]] = {}
+_asking = threading.Lock()
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
-    """While this lasts, a setting of the session has another value."""
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(value))
+    """While this lasts, a setting of the session has another value.  Where
+    threads overlap, what was there before comes back with the last of them."""
+    mine = (object(), str(value))
+    with _asking:
+        values = _asked.setdefault(name, [(None, spark.conf.get(name))])
+        values.append(mine)
+        spark.conf.set(name, mine[1])
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _asking:
+            values.remove(mine)
+            spark.conf.set(name, values[-1][1])
+            if len(values) == 1:
+                del _asked[name]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000):
