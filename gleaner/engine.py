@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import random
-import re
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -22,7 +21,7 @@ from .functions.columns import content_id
 from .ontology import Ontology, generated
 from .operators import bandit, browse, chunks, discover, graph, kg, search
 from .settings import Settings
-from .sources import bulk, files
+from .sources import bulk, files, guard
 from .sources.staging import scope
 from .sources.store import Table, insert_only, known, last_write, merge_entities, merge_relations, require, update
 
@@ -43,8 +42,6 @@ SCHEMAS = {
 STRATEGIES = ("bridge", "outlier", "hub", "meta", "contradiction", "gap")
 #: Of the files that hold a bandit's state.
 SNAPSHOT_VERSION = 1
-#: What the plan of a query may begin with.
-QUERY_NODES = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Filter", "UnresolvedHaving", "Distinct", "Union", "Except", "Intersect", "UnresolvedWith", "CTE", "UnresolvedInlineTable", "LocalRelation", "SubqueryAlias", "Offset", "WithWindowDefinition", "OneRowRelation")
 PAYLOAD = "entities array<struct<name: string, type: string, description: string, aliases: array<string>>>, relations array<struct<source: string, target: string, type: string, evidence: string, confidence: double>>"
 
 
@@ -562,17 +559,10 @@ class Engine:
         return [r.asDict() for r in search.bm25(rows.select("id", "text"), query, limit).join(rows.select("id", "doc_path", "text"), "id").orderBy(F.desc("score"), "id").collect()]
 
     def sql(self, text: str, **params) -> list[dict]:
-        """A query over the tables, by name; commands are refused."""
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        # A query's plan has relations below it; whatever else stands at the
-        # top, or inside, does something.
-        shown = plan.toString()
-        top = re.match(r"\W*'?(\w+)", shown)[1]
-        if plan.getClass().getName().rsplit(".", 1)[-1].endswith(("Command", "Statement")) or top not in QUERY_NODES or re.search(r"Command|InsertInto", shown):
-            raise PermissionError("only queries are allowed")
-        for name in SCHEMAS:
-            if name != "reward":
-                self.read(name).createOrReplaceTempView(name)
+        """A query over the tables, by name; whatever else is refused before it
+        is analyzed."""
+        for name in guard.tables_of(self.spark, text, frozenset(SCHEMAS) - {"reward"}):
+            self.read(name).createOrReplaceTempView(name)
         return [r.asDict(recursive=True) for r in self.spark.sql(text, args=params or None).collect()]
 
     def stats(self) -> dict:
