@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -22,8 +23,8 @@ from .ontology import Ontology, generated
 from .operators import bandit, browse, chunks, discover, graph, kg, search
 from .settings import Settings
 from .sources import bulk, files, guard
-from .sources.staging import scope
-from .sources.store import Table, insert_only, known, last_write, merge_entities, merge_relations, require, update
+from .sources.staging import pinned, scope
+from .sources.store import Table, known, merge_entities, merge_relations, require, update
 
 SCHEMAS = {
     "corpus": "id string, name string, description string, source_path string, created_at string",
@@ -39,6 +40,8 @@ SCHEMAS = {
     "node_evidence": "node string, evidence string",
     "reward": "corpus string, mode string, arm string, score double, weight double, insight_id string, at string",
 }
+#: What tells rows apart, where it isn't the id.
+KEYS = {"insight_source": ("insight", "source"), "node_evidence": ("node", "evidence")}
 STRATEGIES = ("bridge", "outlier", "hub", "meta", "contradiction", "gap")
 #: Of the files that hold a bandit's state.
 SNAPSHOT_VERSION = 1
@@ -73,24 +76,48 @@ class Engine:
 
     # Tables
 
-    def read(self, name: str) -> DataFrame:
-        found = Table(self.spark, f"{self.root}/{name}").read()
+    def _table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/{name}", KEYS.get(name, ("id",)), grace=self.settings.retain)
+
+    def _held(self, table: Table, name: str, keys: list[tuple] | None = None) -> DataFrame:
+        found = table.read(keys)
         return self.spark.createDataFrame([], SCHEMAS[name]) if found is None else found
 
-    def _write(self, name: str, rows: DataFrame) -> int:
-        """Writes a table's next version; its number of rows."""
+    def read(self, name: str) -> DataFrame:
+        return self._held(self._table(name), name)
+
+    def _full(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows with all columns of the table, in their types."""
         schema = T.StructType.fromDDL(SCHEMAS[name])
-        counted = Observation()
-        full = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        Table(self.spark, f"{self.root}/{name}").write(full.observe(counted, F.count(F.lit(1)).alias("rows")))
-        return counted.get["rows"]
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+    def _merge(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Writes merge(old, rows) for the old rows that have the keys of rows;
+        the number of rows of the table."""
+        table = self._table(name)
+        old = self._held(table, name)
+        with scope(self.spark):
+            rows = pinned(self._full(name, rows))
+            table.change(self._full(name, merge(old.join(rows.select(*table.key), list(table.key), "left_semi"), rows)))
+        return self.read(name).count()
+
+    def _add(self, name: str, rows: DataFrame) -> None:
+        """Writes the rows whose keys the table doesn't have."""
+        table = self._table(name)
+        old, key = self._held(table, name), list(table.key)
+        table.change(self._full(name, rows).dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+
+    def _set(self, name: str, changes: DataFrame, only_null: bool = False) -> None:
+        """Writes the rows that changes (id and columns) name, changed."""
+        table = self._table(name)
+        table.change(self._full(name, update(self._held(table, name), changes, only_null=only_null, touched=True)))
 
     def _rows(self, name: str, rows: list[dict]) -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS[name])
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
 
     def _put(self, name: str, rows: list[dict]) -> None:
-        self._write(name, last_write(self.read(name), self._rows(name, rows)))
+        self._table(name).change(self._rows(name, rows))
 
     def ids(self, ids) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -195,9 +222,11 @@ class Engine:
         made = chunks.chunk(files.sections(found, corpus), self.settings.chunk_chars, self.settings.chunk_overlap).join(docs.select(F.col("id").alias("document_id"), "path", "corpus_id"), "document_id")
         made = made.withColumnRenamed("path", "doc_path").withColumn("embedding", models.embedding(F.col("text"), self.embedder))
         # A file that has changed loses the chunks of its old content.
-        kept = self.read("chunk").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-        counts = {"chunks": self._write("chunk", kept.unionByName(made.select(*kept.columns))), "documents": docs.count()}
-        self._write("document", last_write(old, require(docs.select(*old.columns), "corpus_id", self.read("corpus"))))
+        table = self._table("chunk")
+        gone = self._held(table, "chunk").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
+        table.change(self._full("chunk", made), gone)
+        counts = {"chunks": self.read("chunk").count(), "documents": docs.count()}
+        self._table("document").change(self._full("document", require(docs.select(*old.columns), "corpus_id", self.read("corpus"))))
         return counts
 
     def texts_to_embed(self, name: str, missing_only: bool = True, corpus: str = "") -> DataFrame:
@@ -213,7 +242,7 @@ class Engine:
         todo = self.texts_to_embed(name, missing_only, corpus)
         n = todo.count()
         if n:
-            self._write(name, update(self.read(name), todo.select("id", models.embedding(F.col("text"), self.embedder).alias("embedding"))))
+            self._set(name, todo.select("id", models.embedding(F.col("text"), self.embedder).alias("embedding")))
         return n
 
     def reembed_in_bulk(self, names: list[str], corpus: str = "", service: models.BulkEmbedder | None = None, poll: float = 30.0) -> dict[str, int]:
@@ -224,7 +253,7 @@ class Engine:
         counts = {r.kind: r.n for r in got.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
         for n in names:
             if counts.get(n):
-                self._write(n, update(self.read(n), got.where(F.col("kind") == n).select("id", "embedding").dropDuplicates(["id"])))
+                self._set(n, got.where(F.col("kind") == n).select("id", "embedding").dropDuplicates(["id"]))
         return {n: counts.get(n, 0) for n in names}
 
     def embed_insights(self, layer: int = 1) -> dict[str, int]:
@@ -233,7 +262,7 @@ class Engine:
         missing = rows.where("layer is null").select("id", F.lit(layer).alias("layer"))
         n = missing.count()
         if n:
-            self._write("insight", update(rows, missing, only_null=True))
+            self._set("insight", missing, only_null=True)
         return {"layers": n, "embedded": self.reembed("insight")}
 
     # Explore
@@ -401,7 +430,7 @@ class Engine:
             self._put("insight", found)
             # Sources that aren't there have no edge.
             edges = self.spark.createDataFrame([(f["id"], s) for f in found for s in f["sources"]], "insight string, source string")
-            self._write("insight_source", self.read("insight_source").unionByName(known(edges, "source", self.nodes()).select("insight", "source")).distinct())
+            self._add("insight_source", known(edges, "source", self.nodes()))
         self.log(log)
         self._artifact(output, "insights", found)
         return found
@@ -413,11 +442,13 @@ class Engine:
 
     def rate(self, insight: str, score: float) -> str | None:
         """A person's score, which counts three times for the strategy."""
-        row = self.read("insight").where(F.col("id") == insight).first()
+        table = self._table("insight")
+        held = self._held(table, "insight", [(insight,)]).where(F.col("id") == insight)
+        row = held.first()
         if not row:
             return None
         score = max(0.0, min(1.0, score))
-        self._write("insight", update(self.read("insight"), self.spark.createDataFrame([(insight, score)], "id string, human_score double")))
+        table.change(self._full("insight", held.withColumn("human_score", F.lit(score))))
         self.log([{"corpus": row.corpus_id, "mode": "insight", "arm": row.strategy, "score": score, "weight": 3.0, "insight_id": insight}])
         return row.strategy
 
@@ -472,18 +503,16 @@ class Engine:
         x = answers.withColumn("p", F.from_json("payload", PAYLOAD)).select(F.col("document_id").alias("document"), F.col("position").alias("chunk_ord"), F.col("id").alias("chunk_id"), "p.entities", "p.relations")
         rows = kg.entity_rows(x, corpus, [c.name for c in ontology.classes])
         made = kg.entities(rows, corpus)
-        schema = T.StructType.fromDDL(SCHEMAS["entity"])
-        full = lambda df, s: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in s])
         # An entity of several documents comes several times: folded first.
         one_of = made.groupBy("id").agg(*[F.min_by(c, "document").alias(c) for c in ("corpus_id", "name", "entity_type")], F.max_by("description", F.struct(F.length("description"), "description")).alias("description"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
-        entities = self._write("entity", merge_entities(self.read("entity"), full(one_of, schema)))
-        told_of = full(kg.mentions(rows).withColumn("created_at", F.lit(now())), T.StructType.fromDDL(SCHEMAS["mention"]))
+        entities = self._merge("entity", one_of, merge_entities)
+        told_of = self._full("mention", kg.mentions(rows).withColumn("created_at", F.lit(now())))
         told_of = require(require(told_of, "chunk_id", self.read("chunk")), "entity_id", self.read("entity"))
-        self._write("mention", insert_only(self.read("mention"), told_of.select(*self.read("mention").columns)))
+        self._add("mention", told_of)
         claims = kg.relations(x, rows, [r.name for r in ontology.relations])
         claims = claims.groupBy("id", "source_id", "target_id", "type").agg(F.min_by("evidence", "document").alias("evidence"), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.collect_list("source_chunks"))).alias("source_chunks"))
-        relations = self._write("relation", merge_relations(self.read("relation"), claims.select(*self.read("relation").columns), self.read("entity")))
-        self._write("extraction_done", insert_only(self.read("extraction_done"), answers.where("status <> 'again'").select("id")))
+        relations = self._merge("relation", claims, lambda old, new: merge_relations(old, new, self.read("entity")))
+        self._add("extraction_done", answers.where("status <> 'again'"))
         return entities, relations
 
     def synthesize(self, corpus: str, limit: int = 0, budget: int | None = None) -> dict:
@@ -521,7 +550,7 @@ class Engine:
         if n:
             rows = good.join(own.select("id", "name"), "id")
             vectors = models.embedding(C.entity_text(F.col("name"), F.col("description")), self.embedder)
-            self._write("entity", update(self.read("entity"), rows.withColumn("embedding", vectors).drop("name")))
+            self._set("entity", rows.withColumn("embedding", vectors).drop("name"))
         return {"dirty_total": total, "synthesized": n, "errors": bad.count(), "embedded": n, "remaining": total - n if total > budget else 0}
 
     def _merged(self, dealt: DataFrame) -> DataFrame:
@@ -665,7 +694,7 @@ class Engine:
         self._put("reasoning_node", list(nodes.values()))
         # Evidence that isn't there has no edge.
         used = self.spark.createDataFrame([(n["id"], e) for n in nodes.values() for e in n["evidence_ids"]], "node string, evidence string")
-        self._write("node_evidence", self.read("node_evidence").unionByName(known(used, "evidence", self.nodes()).select("node", "evidence")).distinct())
+        self._add("node_evidence", known(used, "evidence", self.nodes()))
         self.log([*log, {"corpus": corpus, "mode": "answer", "arm": "answer", "score": best_score}])
         rewarded = self.feedback(best["evidence_ids"], best_score) if feedback else 0
         path, at = [], best

@@ -35,6 +35,8 @@ class Settings:
     answer_depth: int = 5
     answer_iterations: int = 20
     uct: float = 1.41
+    #: Seconds that files of tables stay when newer versions don't need them.
+    retain: float = 3600.0
     #: What the corpus is about, put before every instruction to a model.
     domain: str = ""
 

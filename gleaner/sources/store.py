@@ -1,16 +1,20 @@
 """Keyed tables: merges that give the same result when they are repeated.
 
-A table is a folder of versions; a merge writes the next one and then names it
-in a file CURRENT, so a reader never sees half a merge.
+A table is a folder of files; a writer adds its own and then names them in a
+file CURRENT.<version>, so a reader never sees half a merge.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import type_name
 
@@ -68,58 +72,218 @@ def merge_relations(old: DataFrame, new: DataFrame, entities: DataFrame) -> Data
     return _sides(old, new).groupBy("id").agg(*aggs, F.max("confidence").alias("confidence"), _in_order("source_chunks").alias("source_chunks")).select(*old.columns)
 
 
-def update(old: DataFrame, changes: DataFrame, key: str = "id", only_null: bool = False) -> DataFrame:
+def update(old: DataFrame, changes: DataFrame, key: str = "id", only_null: bool = False, touched: bool = False) -> DataFrame:
     """Sets the columns of changes where the key is known; only_null keeps
-    values that are there."""
+    values that are there.  touched: of old, only the rows that have changes."""
     columns = [c for c in changes.columns if c != key]
     renamed = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
-    rows = old.join(renamed, key, "left")
+    rows = old.join(renamed, key, "inner" if touched else "left")
     value = lambda c: F.coalesce(c, f"_{c}") if only_null else F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c))
     return rows.select(*[value(c).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
-class Table:
-    """A folder of versions of one table."""
+class Folder:
+    """A folder of files that only come and go: each version is a file
+    CURRENT.<version> that says, as JSON, what belongs to it.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path.rstrip("/")
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}")
+    Of two writers that began from one version the later one fails.  What the
+    last ``keep`` versions don't name goes when it is older than ``grace``
+    seconds, so whoever has just read a version can go on with it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2, grace: float = 3600.0):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._keep, self._grace = keep, grace
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._at("x").getFileSystem(conf)
 
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _listed(self) -> list:
+        return list(self._fs.listStatus(self._at("."))) if self._fs.exists(self._at(".")) else []
+
     def version(self) -> int:
         """0 before the first write."""
-        found = [x.getPath().getName() for x in self._fs.listStatus(self._at("."))] if self._fs.exists(self._at(".")) else []
-        return max([int(n[8:]) for n in found if n.startswith("CURRENT.")], default=0)
-
-    def _folder(self, v: int) -> str:
-        """The folder of a version; empty if its writer died at the last step."""
-        if not self._fs.exists(self._at(f"CURRENT.{v}")):
-            return ""
-        stream = self._fs.open(self._at(f"CURRENT.{v}"))
+        names = [x.getPath().getName() for x in self._listed()]
+        return max([int(n[8:]) for n in names if n.startswith("CURRENT.")], default=0)
+
+    def content(self, version: int) -> dict | None:
+        """What a version says; None if it isn't there or if its writer died at
+        the last step."""
+        if not self._fs.exists(self._at(f"CURRENT.{version}")):
+            return None
+        stream = self._fs.open(self._at(f"CURRENT.{version}"))
         try:
-            return self._spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+        if text.startswith("v"):  # once, a version was the name of one folder
+            raise ValueError(f"{self.path} is of an older layout")
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
 
-    def read(self) -> DataFrame | None:
-        for v in range(self.version(), 0, -1):
-            if folder := self._folder(v):
-                return self._spark.read.parquet(f"{self._path}/{folder}")
-        return None
+    def latest(self) -> tuple[int, dict | None]:
+        """The number of the last version, and the last that can be read."""
+        v = last = self.version()
+        while v > 0:
+            if (found := self.content(v)) is not None:
+                return last, found
+            v -= 1
+        return last, None
 
-    def write(self, rows: DataFrame) -> int:
-        """Writes a folder of its own, then names it as the next version.  Of
-        two writers that began from one version the later one fails: its rows
-        lack what the other has written."""
-        v = self.version() + 1
-        folder = f"v{v}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self._path}/{folder}")
+    def commit(self, version: int, content: dict, made: list[str]) -> None:
+        """Names what was made as a version; if there is one already, what was
+        made goes and it is an error."""
         try:
-            named = self._fs.create(self._at(f"CURRENT.{v}"), False)
+            named = self._fs.create(self._at(f"CURRENT.{version}"), False)
         except Py4JJavaError as e:
-            self._fs.delete(self._at(folder), True)
-            raise RuntimeError(f"another writer has made version {v} of {self._path}") from e
-        named.write(bytearray(folder.encode()))
+            for folder in made:
+                self._fs.delete(self._at(folder), True)
+            raise RuntimeError(f"another writer has made version {version} of {self.path}") from e
+        named.write(bytearray(json.dumps(content).encode()))
         named.close()
+        self.clean(version)
+
+    def clean(self, version: int) -> None:
+        """Removes what no version that is kept names."""
+        kept, stay, v = 0, set(), version
+        while v > 0 and kept < self._keep:
+            if (found := self.content(v)) is not None:
+                stay |= {f"CURRENT.{v}", *found["folders"]}
+                kept += 1
+            v -= 1
+        old = time.time() - self._grace
+        for x in self._listed():
+            name = x.getPath().getName()
+            newer = name.startswith("CURRENT.") and int(name[8:]) > v
+            if name not in stay and not newer and x.getModificationTime() / 1000 <= old:
+                self._fs.delete(x.getPath(), True)
+
+    def bytes(self, folders: list[str]) -> int:
+        return sum(self._fs.getContentSummary(self._at(f)).getLength() for f in folders)
+
+    def new(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
+
+    def drop(self, folder: str) -> None:
+        self._fs.delete(self._at(folder), True)
+
+
+#: Column of a table's files: the bucket of a row's key, a folder each.
+BUCKET = "at_bucket"
+#: Columns of change files: whether the row is gone, and since which version.
+GONE, SINCE = "is_gone", "since_version"
+
+
+class Table(Folder):
+    """Rows by key, in a base and in files of changes, merged when they are read.
+
+    A change writes only the rows that it names.  Base and changes lie in
+    buckets by key, so a look-up by key reads one of them.  When the changes are
+    more than ``share`` of the base in bytes, or more than ``most`` folders, the
+    next version is a new base; a byte is so written a bounded number of times.
+
+    key: the columns that tell rows apart; none of them null.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = ("id",), keep: int = 2, grace: float = 3600.0, share: float = 0.25, most: int = 16, bucket_bytes: int = 128 << 20):
+        super().__init__(spark, path, keep, grace)
+        self.key, self._share, self._most, self._bucket_bytes = key, share, most, bucket_bytes
+        self._seen: int | None = None
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(buckets)).cast("int").alias(BUCKET)
+
+    def read(self, keys: list[tuple] | None = None) -> DataFrame | None:
+        """All rows; of the buckets that hold the keys only, if there are some."""
+        self._seen, found = self.latest()
+        return self._rows(found, keys) if found else None
+
+    def _rows(self, found: dict, keys: list[tuple] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(found["schema"])
+        own = None
+        if keys is not None:
+            one = self.spark.createDataFrame(keys, T.StructType([schema[k] for k in self.key]))
+            own = sorted(r[0] for r in one.select(self._bucket(found["buckets"])).distinct().collect())
+        at = lambda df: df if own is None else df.where(F.col(BUCKET).isin(own))
+        base = at(self._part(found["base"], schema))
+        if not found["changes"]:
+            return base.select(*schema.names)
+        wide = T.StructType([*schema.fields, T.StructField(GONE, T.BooleanType()), T.StructField(SINCE, T.LongType())])
+        parts = [at(self._part(f, wide)) for f in found["changes"]]
+        changes = functools.reduce(DataFrame.unionByName, parts)
+        rest = [c for c in schema.names if c not in self.key]
+        last = changes.groupBy(*self.key).agg(F.max_by(F.struct(*rest, GONE), SINCE).alias("last"))
+        here = last.where(f"not last.{GONE}").select(*[F.col(c) if c in self.key else F.col(f"last.{c}").alias(c) for c in schema.names])
+        return base.select(*schema.names).join(changes.select(*self.key).distinct(), list(self.key), "left_anti").select(*schema.names).unionByName(here)
+
+    def _part(self, folder: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{self.path}/{folder}")
+
+    def _written(self, rows: DataFrame, kind: str, buckets: int) -> tuple[str, int]:
+        """A new folder of rows, and how many they are."""
+        counted, folder = Observation(), self.new(kind)
+        rows = rows.withColumn(BUCKET, self._bucket(buckets))
+        rows = rows.repartition(BUCKET) if buckets > 1 else rows
+        rows.observe(counted, F.count(F.lit(1)).alias("n")).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        return folder, counted.get["n"]
+
+    def write(self, rows: DataFrame) -> int:
+        """Replaces all rows; the new version."""
+        v, found = self.version() + 1, self.latest()[1]
+        size = self.bytes(found["folders"]) if found else 0
+        buckets = 1 << max(0, min(12, (size // self._bucket_bytes).bit_length()))
+        base, _ = self._written(rows, "base", buckets)
+        self.commit(v, {"schema": rows.schema.jsonValue(), "buckets": buckets, "base": base, "changes": [], "folders": [base]}, [base])
         return v
+
+    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """Puts rows in place of those with their keys, and takes away those
+        with the keys of gone that aren't in rows; how many rows this writes.
+
+        What the rows were computed from is the version of the last read():
+        if another writer has made one since, it is an error."""
+        last, found = self.latest()
+        v = (last if self._seen is None else self._seen) + 1
+        if not found:
+            if rows is None:
+                return 0
+            base, n = self._written(rows, "base", 1)
+            self.commit(v, {"schema": rows.schema.jsonValue(), "buckets": 1, "base": base, "changes": [], "folders": [base]}, [base])
+            self._seen = v
+            return n
+        schema = T.StructType.fromJson(found["schema"])
+        parts = [] if rows is None else [rows.select(*schema.names).withColumn(GONE, F.lit(False))]
+        if gone is not None:
+            parts.append(gone.select(*[F.col(c) if c in self.key else F.lit(None).cast(schema[c].dataType).alias(c) for c in schema.names], F.lit(True).alias(GONE)))
+        rest = [c for c in schema.names if c not in self.key]
+        one = functools.reduce(DataFrame.unionByName, parts).groupBy(*self.key).agg(F.min_by(F.struct(*rest, GONE), GONE).alias("one"))
+        made = one.select(*[F.col(c) if c in self.key else F.col(f"one.{c}").alias(c) for c in schema.names], f"one.{GONE}", F.lit(v).cast("long").alias(SINCE))
+        folder, n = self._written(made, "change", found["buckets"])
+        if not n:
+            self.drop(folder)
+            return 0
+        now = found | {"changes": [*found["changes"], folder], "folders": [*found["folders"], folder]}
+        self.commit(v, now, [folder])
+        self._seen = v
+        if len(now["changes"]) > self._most or self.bytes(now["changes"]) > self._share * self.bytes([now["base"]]):
+            self.compact()
+        return n
+
+    def compact(self) -> None:
+        """A new base in place of base and changes.  If another writer comes
+        first, that is left to a later change."""
+        last, found = self.latest()
+        if not found or not found["changes"]:
+            return
+        size = self.bytes(found["folders"])
+        buckets = 1 << max(0, min(12, (size // self._bucket_bytes).bit_length()))
+        base, _ = self._written(self._rows(found), "base", buckets)
+        try:
+            self.commit(last + 1, found | {"buckets": buckets, "base": base, "changes": [], "folders": [base]}, [base])
+            self._seen = last + 1
+        except RuntimeError:
+            pass
