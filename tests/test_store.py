@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def test_a_look_up_reads_one_bucket(spark, tmp_path):
     assert table.latest()[1]["buckets"] >= 8
     whole, one = table.read(), table.read([(77,)])
     assert one.where("id = 77").first().name == "77" and whole.count() == 4000 and 0 < one.count() < 4000 / 4
-    assert "PartitionFilters: [at_bucket" in one._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*at_bucket", one._jdf.queryExecution().toString())
 
 
 def test_a_small_change_writes_little(spark, tmp_path):
