@@ -48,7 +48,7 @@ class Search(_Evidence):
         top = engine.entity_search(node["query"], 5)
         of = graph.chunks_of(engine.mentions(), ids(t["id"] for t in top)).select(F.col("chunk").alias("id"), F.lit(0.8).alias("score")) if top else ids([]).withColumn("score", F.lit(0.8))
         near = search.insight_top_k(engine.read("insight"), vector, 5).select("id", F.col("similarity").alias("score"))
-        channels = {1: search.vector_top_k(rows, vector, 8), 2: search.bm25(rows.select("id", "text"), node["query"], 8), 3: near, 4: of}
+        channels = {1: search.vector_top_k(rows, vector, 8), 2: engine.words("chunk", node["query"], 8), 3: near, 4: of}
         if not held and engine.completer:
             told = engine.settings.told("Up to four search queries for this question, as a JSON list.")
             facets = models.parsed(engine.completer.complete(told, node["query"]))

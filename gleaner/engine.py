@@ -25,6 +25,7 @@ from .settings import Settings
 from .sources import bulk, files, guard
 from .sources.staging import pinned, scope
 from .sources.store import Table, known, merge_entities, merge_relations, require, update
+from .sources.text_index import TextIndex
 
 SCHEMAS = {
     "corpus": "id string, name string, description string, source_path string, created_at string",
@@ -42,6 +43,8 @@ SCHEMAS = {
 }
 #: What tells rows apart, where it isn't the id.
 KEYS = {"insight_source": ("insight", "source"), "node_evidence": ("node", "evidence")}
+#: The texts of the tables that have an index of words.
+INDEXED = {"chunk": lambda: F.col("text"), "entity": lambda: C.entity_text(F.col("name"), F.coalesce("description", F.lit("")))}
 STRATEGIES = ("bridge", "outlier", "hub", "meta", "contradiction", "gap")
 #: Of the files that hold a bandit's state.
 SNAPSHOT_VERSION = 1
@@ -91,6 +94,42 @@ class Engine:
         schema = T.StructType.fromDDL(SCHEMAS[name])
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
+    def _index(self, name: str) -> TextIndex:
+        return TextIndex(self.spark, f"{self.root}/index/{name}", grace=self.settings.retain)
+
+    def _change(self, table: Table, name: str, rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Changes a table that was just read, and the index of its texts if
+        there is one that is up to date."""
+        rows = rows if rows is None else self._full(name, rows)
+        before = table.version()
+        index = self._index(name) if name in INDEXED else None
+        if not index or index.of() != before:
+            table.change(rows, gone)
+            return
+        with scope(self.spark):
+            new = pinned(self.spark.createDataFrame([], SCHEMAS[name]) if rows is None else rows)
+            keys = new.select("id") if gone is None else new.select("id").unionByName(gone.select("id")).distinct()
+            shown = lambda df: df.select("id", INDEXED[name]().alias("text"))
+            old = pinned(shown(self._held(table, name).join(keys, "id", "left_semi")))
+            texts = shown(new)
+            same = texts.withColumnRenamed("text", "now").join(old, "id").where(F.col("now").eqNullSafe(F.col("text"))).select("id")
+            table.change(rows and new, gone)
+            after = table.version()
+            added, removed = pinned(texts.join(same, "id", "left_anti")), pinned(old.join(same, "id", "left_anti"))
+            if added.isEmpty() and removed.isEmpty():
+                index.renamed(after)
+            else:
+                index.update(added, removed, after)
+
+    def words(self, name: str, query: str, limit: int) -> DataFrame:
+        """id, score of the texts of a table that match a query best.  The index
+        is built when it is first asked for, or out of date."""
+        table, index = self._table(name), self._index(name)
+        if index.of() != (version := table.version()):
+            rows = self._held(table, name)
+            index.build(rows.select("id", INDEXED[name]().alias("text")), version)
+        return index.search(query, limit)
+
     def _merge(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
         """Writes merge(old, rows) for the old rows that have the keys of rows;
         the number of rows of the table."""
@@ -98,26 +137,26 @@ class Engine:
         old = self._held(table, name)
         with scope(self.spark):
             rows = pinned(self._full(name, rows))
-            table.change(self._full(name, merge(old.join(rows.select(*table.key), list(table.key), "left_semi"), rows)))
+            self._change(table, name, merge(old.join(rows.select(*table.key), list(table.key), "left_semi"), rows))
         return self.read(name).count()
 
     def _add(self, name: str, rows: DataFrame) -> None:
         """Writes the rows whose keys the table doesn't have."""
         table = self._table(name)
         old, key = self._held(table, name), list(table.key)
-        table.change(self._full(name, rows).dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+        self._change(table, name, self._full(name, rows).dropDuplicates(key).join(old.select(*key), key, "left_anti"))
 
     def _set(self, name: str, changes: DataFrame, only_null: bool = False) -> None:
         """Writes the rows that changes (id and columns) name, changed."""
         table = self._table(name)
-        table.change(self._full(name, update(self._held(table, name), changes, only_null=only_null, touched=True)))
+        self._change(table, name, update(self._held(table, name), changes, only_null=only_null, touched=True))
 
     def _rows(self, name: str, rows: list[dict]) -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS[name])
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
 
     def _put(self, name: str, rows: list[dict]) -> None:
-        self._table(name).change(self._rows(name, rows))
+        self._change(self._table(name), name, self._rows(name, rows))
 
     def ids(self, ids) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -224,9 +263,9 @@ class Engine:
         # A file that has changed loses the chunks of its old content.
         table = self._table("chunk")
         gone = self._held(table, "chunk").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
-        table.change(self._full("chunk", made), gone)
+        self._change(table, "chunk", made, gone)
         counts = {"chunks": self.read("chunk").count(), "documents": docs.count()}
-        self._table("document").change(self._full("document", require(docs.select(*old.columns), "corpus_id", self.read("corpus"))))
+        self._change(self._table("document"), "document", require(docs.select(*old.columns), "corpus_id", self.read("corpus")))
         return counts
 
     def texts_to_embed(self, name: str, missing_only: bool = True, corpus: str = "") -> DataFrame:
@@ -448,7 +487,7 @@ class Engine:
         if not row:
             return None
         score = max(0.0, min(1.0, score))
-        table.change(self._full("insight", held.withColumn("human_score", F.lit(score))))
+        self._change(table, "insight", held.withColumn("human_score", F.lit(score)))
         self.log([{"corpus": row.corpus_id, "mode": "insight", "arm": row.strategy, "score": score, "weight": 3.0, "insight_id": insight}])
         return row.strategy
 
@@ -585,7 +624,7 @@ class Engine:
 
     def fulltext(self, query: str, limit: int = 10) -> list[dict]:
         rows = self.read("chunk")
-        return [r.asDict() for r in search.bm25(rows.select("id", "text"), query, limit).join(rows.select("id", "doc_path", "text"), "id").orderBy(F.desc("score"), "id").collect()]
+        return [r.asDict() for r in self.words("chunk", query, limit).join(rows.select("id", "doc_path", "text"), "id").orderBy(F.desc("score"), "id").collect()]
 
     def sql(self, text: str, **params) -> list[dict]:
         """A query over the tables, by name; whatever else is refused before it
@@ -608,7 +647,7 @@ class Engine:
 
     def entity_search(self, query: str, limit: int = 10) -> list[dict]:
         rows = self.read("entity")
-        hits = search.bm25(rows.select("id", C.entity_text(F.col("name"), F.coalesce("description", F.lit(""))).alias("text")), query, limit)
+        hits = self.words("entity", query, limit)
         degree = self.read("mention").groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("mentions"))
         return [r.asDict() for r in hits.join(rows.select("id", "name", "entity_type", "description"), "id").join(degree, "id", "left").fillna(0, ["mentions"]).orderBy(F.desc("score"), "id").collect()]
 
