@@ -44,16 +44,15 @@ class Search(_Evidence):
     def found(self, engine: Engine, node: dict) -> list[str]:
         held, ids = node["evidence_ids"], engine.ids
         vector = engine.embedder.embed([node["query"]])[0]
-        rows = engine.read("chunk")
         top = engine.entity_search(node["query"], 5)
         of = graph.chunks_of(engine.mentions(), ids(t["id"] for t in top)).select(F.col("chunk").alias("id"), F.lit(0.8).alias("score")) if top else ids([]).withColumn("score", F.lit(0.8))
-        near = search.insight_top_k(engine.read("insight"), vector, 5).select("id", F.col("similarity").alias("score"))
-        channels = {1: search.vector_top_k(rows, vector, 8), 2: engine.words("chunk", node["query"], 8), 3: near, 4: of}
+        near = engine.nearest("insight", vector, 5)
+        channels = {1: engine.nearest("chunk", vector, 8), 2: engine.words("chunk", node["query"], 8), 3: near, 4: of}
         if not held and engine.completer:
             told = engine.settings.told("Up to four search queries for this question, as a JSON list.")
             facets = models.parsed(engine.completer.complete(told, node["query"]))
             for f in [x for x in facets if isinstance(x, str)][:4] if isinstance(facets, list) else []:
-                more = search.vector_top_k(rows, engine.embedder.embed([f])[0], 5).select("id", "score")
+                more = engine.nearest("chunk", engine.embedder.embed([f])[0], 5)
                 channels[5] = channels[5].unionByName(more) if 5 in channels else more
         return [r.id for r in search.fuse(channels, seen=held).collect()]
 

@@ -26,6 +26,7 @@ from .sources import bulk, files, guard
 from .sources.staging import pinned, scope
 from .sources.store import Table, known, merge_entities, merge_relations, require, update
 from .sources.text_index import TextIndex
+from .sources.vector_index import VectorIndex
 
 SCHEMAS = {
     "corpus": "id string, name string, description string, source_path string, created_at string",
@@ -43,8 +44,10 @@ SCHEMAS = {
 }
 #: What tells rows apart, where it isn't the id.
 KEYS = {"insight_source": ("insight", "source"), "node_evidence": ("node", "evidence")}
-#: The texts of the tables that have an index of words.
-INDEXED = {"chunk": lambda: F.col("text"), "entity": lambda: C.entity_text(F.col("name"), F.coalesce("description", F.lit("")))}
+#: The texts of the tables that have an index of words, and the tables that
+#: have one of vectors.
+TEXTS = {"chunk": lambda: F.col("text"), "entity": lambda: C.entity_text(F.col("name"), F.coalesce("description", F.lit("")))}
+VECTORS = ("chunk", "insight")
 STRATEGIES = ("bridge", "outlier", "hub", "meta", "contradiction", "gap")
 #: Of the files that hold a bandit's state.
 SNAPSHOT_VERSION = 1
@@ -94,42 +97,57 @@ class Engine:
         schema = T.StructType.fromDDL(SCHEMAS[name])
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
-    def _index(self, name: str) -> TextIndex:
+    def _texts(self, name: str) -> TextIndex:
         return TextIndex(self.spark, f"{self.root}/index/{name}", grace=self.settings.retain)
 
+    def _vectors(self, name: str) -> VectorIndex:
+        return VectorIndex(self.spark, f"{self.root}/vectors/{name}", grace=self.settings.retain)
+
     def _change(self, table: Table, name: str, rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
-        """Changes a table that was just read, and the index of its texts if
-        there is one that is up to date."""
+        """Changes a table that was just read, and those of its indexes that are
+        there and up to date."""
         rows = rows if rows is None else self._full(name, rows)
         before = table.version()
-        index = self._index(name) if name in INDEXED else None
-        if not index or index.of() != before:
+        kept = [(index, shown) for at, make, shown in ((TEXTS, self._texts, "text"), (VECTORS, self._vectors, "embedding")) if name in at and (index := make(name)).of() == before]
+        if not kept:
             table.change(rows, gone)
             return
         with scope(self.spark):
             new = pinned(self.spark.createDataFrame([], SCHEMAS[name]) if rows is None else rows)
             keys = new.select("id") if gone is None else new.select("id").unionByName(gone.select("id")).distinct()
-            shown = lambda df: df.select("id", INDEXED[name]().alias("text"))
-            old = pinned(shown(self._held(table, name).join(keys, "id", "left_semi")))
-            texts = shown(new)
-            same = texts.withColumnRenamed("text", "now").join(old, "id").where(F.col("now").eqNullSafe(F.col("text"))).select("id")
+            old = pinned(self._held(table, name).join(keys, "id", "left_semi"))
             table.change(rows and new, gone)
             after = table.version()
-            added, removed = pinned(texts.join(same, "id", "left_anti")), pinned(old.join(same, "id", "left_anti"))
-            if added.isEmpty() and removed.isEmpty():
-                index.renamed(after)
-            else:
-                index.update(added, removed, after)
+            for index, shown in kept:
+                of = lambda df: df.select("id", (TEXTS[name]() if shown == "text" else F.col(shown)).alias(shown))  # noqa: B023, E731
+                same = of(new).withColumnRenamed(shown, "now").join(of(old), "id").where(F.col("now").eqNullSafe(F.col(shown))).select("id")
+                added, removed = pinned(of(new).join(same, "id", "left_anti")), pinned(of(old).join(same, "id", "left_anti"))
+                if added.isEmpty() and removed.isEmpty():
+                    index.renamed(after)
+                else:
+                    index.update(added, removed, after)
 
     def words(self, name: str, query: str, limit: int) -> DataFrame:
         """id, score of the texts of a table that match a query best.  The index
         is built when it is first asked for, or out of date."""
-        table, index = self._table(name), self._index(name)
+        table, index = self._table(name), self._texts(name)
         if index.of() != (version := table.version()):
-            rows = self._held(table, name)
-            index.build(rows.select("id", INDEXED[name]().alias("text")), version)
+            index.build(self._held(table, name).select("id", TEXTS[name]().alias("text")), version)
         return index.search(query, limit)
 
+    def nearest(self, name: str, vector: list[float], k: int) -> DataFrame:
+        """id, score of the k rows whose vectors are nearest.  A large table has
+        an index, built when it is first asked for or out of date."""
+        table = self._table(name)
+        rows = self._held(table, name).select("id", "embedding")
+        found = table.latest()[1]
+        if not found or table.bytes(found["folders"]) < self.settings.vector_index_bytes:
+            return search.vector_top_k(rows, vector, k).select("id", "score")
+        index = self._vectors(name)
+        if index.of() != (version := table.version()) or index.stale():
+            index.build(rows, version)
+        return index.search(vector, k, self.settings.vector_probes or None).select("id", "score")
+
     def _merge(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
         """Writes merge(old, rows) for the old rows that have the keys of rows;
         the number of rows of the table."""
@@ -619,8 +637,11 @@ class Engine:
 
     def search(self, query: str, limit: int = 10, corpus: str = "") -> list[dict]:
         corpus = self.resolve_corpus(corpus)
-        keep = F.col("corpus_id") == corpus if corpus else None
-        return [r.asDict() for r in search.vector_top_k(self.read("chunk"), self.embedder.embed([query])[0], limit, keep).select("id", "doc_path", "text", "score").collect()]
+        hits = self.nearest("chunk", self.embedder.embed([query])[0], limit).collect()
+        rows = self._held(self._table("chunk"), "chunk", [(r.id,) for r in hits]) if hits else self.read("chunk").limit(0)
+        rows = rows.where(F.col("corpus_id") == corpus) if corpus else rows
+        texts = {r.id: r for r in rows.where(F.col("id").isin([r.id for r in hits])).select("id", "doc_path", "text").collect()}
+        return [texts[r.id].asDict() | {"score": r.score} for r in hits if r.id in texts]
 
     def fulltext(self, query: str, limit: int = 10) -> list[dict]:
         rows = self.read("chunk")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import NOISE_PATTERNS, bridge_score, dot, entity_bridge_score, gap_kept, gap_score, hash_order, noisy, path_distance
+from . import cells
 
 THRESHOLD = 0.65
 
@@ -22,33 +23,71 @@ def sampled(chunks: DataFrame, raw: int, final: int, seed: int = 0, least_chars:
     return drawn.where(~noisy(F.col("doc_path"), noise) & (F.length("text") >= least_chars)).orderBy("o").limit(final).drop("o")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, most: float = 1.0, block: int = 1024) -> DataFrame:
+def _parts(vectors: DataFrame, threshold: float, block: int, cell_rows: int) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """id, e, cell, part of the vectors that can be in a pair, and the pairs of
+    cells (x, y, parts of x, parts of y) that have to be compared."""
+    rows = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = rows.count()
+    if n <= max(block, 2 * cell_rows):
+        sizes, at = {0: n}, rows.withColumn("cell", F.lit(0))
+        pairs = [(0, 0)]
+    else:
+        middle = cells.centres(rows, min(1024, n // cell_rows), n)
+        at = cells.placed(rows, middle)
+        found = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
+        sizes = {r.cell: r.n for r in found if r.cell != cells.NOWHERE or threshold <= 0}
+        kept = np.array(sorted(c for c in sizes if c != cells.NOWHERE), np.int64)
+        radius = {r.cell: r.radius for r in found}
+        x, y = np.nonzero(cells.meeting(middle[kept], np.array([radius[c] for c in kept]), threshold)) if len(kept) else ([], [])
+        pairs = [(int(kept[i]), int(kept[j])) for i, j in zip(x, y) if i <= j]
+        # Vectors without a direction have cosine 0 with all.
+        pairs += [(cells.NOWHERE, c) for c in sorted(sizes)] if cells.NOWHERE in sizes else []
+    parts = {c: max(1, -(-k // block)) for c, k in sizes.items()}
+    shown = F.lit(0) if set(parts.values()) <= {1} else F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]), F.col("cell"))).cast("int")
+    at = at.where(F.col("cell").isin(list(parts))) if parts else at.limit(0)
+    return at.select("id", F.col("embedding").alias("e"), "cell", shown.alias("part")), [(x, y, parts[x], parts[y]) for x, y in pairs]
+
+
+def comparisons(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 1024, cell_rows: int = 256) -> tuple[int, int]:
+    """How many pairs similar_pairs compares, and how many there are."""
+    rows, pairs = _parts(vectors, threshold, block, cell_rows)
+    size = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = vectors.where("embedding is not null").count()
+    return sum(size.get(x, 0) * (size.get(x, 0) - 1) // 2 if x == y else size.get(x, 0) * size.get(y, 0) for x, y, _, _ in pairs), n * (n - 1) // 2
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, most: float = 1.0, block: int = 1024, cell_rows: int = 256) -> DataFrame:
     """a, b, similarity of all pairs a < b of vectors (id long, embedding)
     whose cosine, to six places, is from threshold to most.
 
-    Blocks of vectors meet two by two and are compared as matrices; only the
-    pairs that pass come out.
+    Vectors are dealt to cells by direction; two cells meet only if the angle
+    between their centres, less both radii, allows the threshold.  Cells that
+    meet are compared as matrices, in parts of bounded size; only the pairs
+    that pass come out.  Up to 1024 cells and their pairs are on the driver.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("e"), own.alias("own"))
-    meets = dealt.select("id", "e", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-    meets = meets.select("id", "e", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own")
+    rows, pairs = _parts(vectors, threshold, block, cell_rows)
+    spark = vectors.sparkSession
+    # For each cell the cells that it meets, with its side.
+    sides = [(x, x, y, m, 0) for x, y, _, m in pairs] + [(y, x, y, n, 1) for x, y, n, _ in pairs if x != y] + [(x, x, x, n, 1) for x, y, n, _ in pairs if x == y]
+    meets = spark.createDataFrame(sides, "cell int, x int, y int, parts int, side int")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = rows.join(F.broadcast(meets), "cell").select("id", "e", "x", "y", "side", "part", each)
+    dealt = dealt.withColumn("i", F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("part")))
+    # Within a cell each two parts meet once.
+    dealt = dealt.where("x <> y or i <= j").select("id", "e", "side", "x", "y", "i", "j")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["x"].iloc[0], group["y"].iloc[0]
-        left, right = group[group["own"] == x], group[group["own"] == y]
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        unit = lambda g: (lambda m, s: np.divide(m, s, out=np.zeros_like(m), where=s > 0))(np.stack(g["e"]), np.linalg.norm(np.stack(g["e"]), axis=1, keepdims=True))
-        sims = np.round(unit(left) @ unit(right).T, 6)
+        sims = np.round(cells.units(np.stack(left["e"])) @ cells.units(np.stack(right["e"])).T, 6)
         i, j = np.nonzero((sims >= threshold) & (sims <= most))
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if x == y else np.ones(len(a), bool)
+        within = group["x"].iloc[0] == group["y"].iloc[0] and group["i"].iloc[0] == group["j"].iloc[0]
+        keep = a < b if within else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[i, j][keep]})
 
-    return meets.groupBy("x", "y").applyInPandas(compare, "a long, b long, similarity double")
+    return dealt.groupBy("x", "y", "i", "j").applyInPandas(compare, "a long, b long, similarity double")
 
 
 def _with_sides(pairs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -110,6 +110,9 @@ SELECT id, doc_path FROM q WHERE length(text) >= 80 AND NOT (doc_path GLOB 'docs
     "hash_order_sample": f"""WITH {_VEC}, drawn AS (SELECT *, sha256('7:' || id) AS o FROM vec ORDER BY o LIMIT 240) SELECT id, doc_path FROM drawn WHERE len >= 80 ORDER BY o LIMIT 120""",
     "vector_topk_post_filter": f"WITH {_VEC}, top AS ({_top(_Q, 25)}) SELECT id, score FROM top WHERE starts_with(doc_path, 'd1/')",
     "vector_topk_pre_filter": f"""WITH {_VEC}, top AS ({_top(_Q, 25, "doc_path LIKE 'd1/%'")}) SELECT id, score FROM top""",
+    "vector_index_exact": f"""WITH {_VEC}, top AS ({_top(_Q, 25, "doc_path LIKE 'd1/%'")}) SELECT id, score FROM top""",
+    "vector_neighbors": f"""WITH {_VEC} SELECT query, id, place FROM (SELECT x.id AS query, y.id, row_number() OVER (PARTITION BY x.id ORDER BY round({_cos('x.e', 'y.e')}, 6) DESC, y.id) AS place
+FROM vec x JOIN vec y ON x.id <> y.id WHERE x.id % 50 = 0) WHERE place <= 10""",
     "similarity_pairs_band": f"WITH {_VEC}, {_pairs(0.3, 0.4)} SELECT * FROM pairs",
     "bridge_candidates": f"""WITH {_VEC}, {_pairs(0.3)},
 s AS (SELECT a, b, least(x.doc_path, y.doc_path) AS doc_a, greatest(x.doc_path, y.doc_path) AS doc_b, similarity,
@@ -160,6 +163,7 @@ names AS (SELECT DISTINCT insight, entity FROM first JOIN ment USING (chunk)), h
 SELECT c_custkey AS a, c_custkey + 1 AS b, coalesce((SELECT string_agg(x.entity, ',' ORDER BY x.entity) FROM names x JOIN names y USING (entity) WHERE x.insight = c_custkey AND y.insight = c_custkey + 1), '') AS shared
 FROM customer WHERE c_custkey IN (SELECT insight FROM has) AND c_custkey + 1 IN (SELECT insight FROM has)""",
     "fulltext_bm25": f"WITH {_BM25_DOCS} SELECT id, score FROM bm25",
+    "fulltext_after_updates": f"WITH {_BM25_DOCS} SELECT id, score FROM bm25",
     "entity_fulltext": "WITH " + _bm25("SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part", "STEEL Brand#12 1 7 42") + f", {_MENT}, top AS (SELECT * FROM bm25 ORDER BY score DESC, id LIMIT 20) SELECT id, score, (SELECT count(*) FROM ment WHERE entity = id) AS mentions FROM top",
     "hybrid_fusion": f"""WITH {_VEC}, {_MENT}, {_BM25_DOCS}, c1 AS ({_top(_Q, 8)}), c2 AS (SELECT * FROM bm25 ORDER BY score DESC, id LIMIT 8), c3 AS ({_top(_Q[::-1], 5)}),
 c4 AS (SELECT DISTINCT chunk AS id FROM ment WHERE entity = 7 ORDER BY 1 LIMIT 3), c5 AS ({_top([-x for x in _Q], 5)}),

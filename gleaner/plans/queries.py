@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import bandit, browse, chunks, discover, graph, kg, search
 from ..sources import bulk, store
-from ..sources.staging import shared_dir
+from ..sources.staging import forget_at_end, shared_dir
+from ..sources.text_index import TextIndex
 from ..streaming import rewards
 from . import tables as T
 
@@ -86,6 +88,18 @@ def vector_topk_pre_filter(s, d):
     return search.vector_top_k(T.vectors(s, d), _query_vector(), 25, F.col("doc_path").startswith("d1/"), "pre").select("id", "score")
 
 
+@query
+def vector_index_exact(s, d):
+    keep = F.col("doc_path").startswith("d1/")
+    return T.vector_index(s, d).search(_query_vector(), 25, keep=keep).select("id", "score")
+
+
+@query
+def vector_neighbors(s, d):
+    """The ten nearest others of each vector whose id is divisible by 50."""
+    return T.vector_index(s, d).search_many(T.vectors(s, d).where("id % 50 = 0"), 10).select("query", "id", "place")
+
+
 @query
 def similarity_pairs_band(s, d):
     return discover.similar_pairs(T.vectors(s, d), NEAR, 0.4)
@@ -225,15 +239,35 @@ def shared_entities(s, d):
 WORDS = "the idiot worthless entre nicht para token"
 
 
+def _texts(s, d):
+    return T.text_index(s, d, "documents", T.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query
 def fulltext_bm25(s, d):
-    return search.bm25(T.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), WORDS, None)
+    return _texts(s, d).search(WORDS, None)
+
+
+@query
+def fulltext_after_updates(s, d):
+    """The index of texts of which a third were others, and some weren't there."""
+    docs = T.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    part = F.pmod(F.xxhash64("id"), F.lit(9))
+    before = docs.where(part > 0).withColumn("text", F.when(part < 4, F.concat(F.lit("the idiot "), F.reverse("text"))).otherwise(F.col("text")))
+    gone = docs.select((-1 - F.col("id")).alias("id"), F.lit("token para nicht").alias("text")).where("id % 10 = 0")
+    path = f"{shared_dir(s)}/text-updates-{uuid.uuid4().hex}"
+    index = TextIndex(s, path)
+    forget_at_end(s, path)
+    index.build(before.unionByName(gone))
+    index.update(docs.where(part == 0), gone)
+    index.update(docs.where(part.between(1, 3)), before.where(part.between(1, 3)))
+    return index.search(WORDS, None)
 
 
 @query
 def entity_fulltext(s, d):
     part = T.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    hits = search.bm25(part, "STEEL Brand#12 1 7 42", 20)
+    hits = T.text_index(s, d, "part", part).search("STEEL Brand#12 1 7 42", 20)
     degree = T.mentions(s, d).groupBy(F.col("entity").alias("id")).agg(F.count(F.lit(1)).alias("mentions"))
     return hits.join(degree, "id", "left").fillna(0, ["mentions"])
 
@@ -242,7 +276,7 @@ def entity_fulltext(s, d):
 def hybrid_fusion(s, d):
     e = T.vectors(s, d)
     near = search.vector_top_k(e, _query_vector(), 8).select("id", "score")
-    words = search.bm25(T.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), WORDS, 8)
+    words = _texts(s, d).search(WORDS, 8)
     found = search.vector_top_k(e, _query_vector()[::-1], 5).select("id", "score")
     named = T.mentions(s, d).where("entity = 7").select(F.col("chunk").alias("id"), F.lit(0.0).alias("score")).distinct().orderBy("id").limit(3)
     facet = search.vector_top_k(e, [-x for x in _query_vector()], 5).select("id", "score")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import fingerprint, forget_at_end, shared_dir
+from ..sources.text_index import TextIndex
+from ..sources.vector_index import VectorIndex
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +20,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("corpus"), path.alias("path"), "text")
 
 
+def text_index(spark: SparkSession, sf_dir: str, name: str, texts: DataFrame) -> TextIndex:
+    """The index of texts of a table, kept in the shared folder for as long as
+    the table's files stay as they are and the driver lives."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-{name}-{fingerprint(spark, f'{sf_dir}/{name}.parquet')}")
+    if index.of() is None:
+        index.build(texts)
+        forget_at_end(spark, index.path)
+    return index
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of all vectors, kept like text_index."""
+    index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}")
+    if index.of() is None:
+        index.build(vectors(spark, sf_dir).select("id", "embedding", "doc_path"))
+        forget_at_end(spark, index.path)
+    return index
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, embedding, doc_path (dNN/f.md from the label), text (of 0 to 449 letters)."""
     path = F.concat(F.lit("d"), (F.col("label") % 3).cast("string"), F.lit("/f"), F.col("label").cast("string"), F.lit(".md"))

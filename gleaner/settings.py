@@ -35,6 +35,10 @@ class Settings:
     answer_depth: int = 5
     answer_iterations: int = 20
     uct: float = 1.41
+    #: Bytes from which a table's vectors have an index, and how many of its cells
+    #: a search reads (0: as many as the exact result needs).
+    vector_index_bytes: int = 64 << 20
+    vector_probes: int = 0
     #: Seconds that files of tables stay when newer versions don't need them.
     retain: float = 3600.0
     #: What the corpus is about, put before every instruction to a model.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,24 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver's JVM ends."""
+    where, files = _at(spark, path)
+    files.deleteOnExit(where)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What changes whenever a file at the path, or below it, does."""
+    where, files = _at(spark, path)
+    found, todo = [], [files.getFileStatus(where)]
+    while todo:
+        at = todo.pop()
+        found.append(f"{at.getPath()} {at.getLen()} {at.getModificationTime()}")
+        if at.isDirectory():
+            todo += list(files.listStatus(at.getPath()))
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there.
 
@@ -52,8 +71,7 @@ def pinned(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where, files = _at(spark, path)
-    files.deleteOnExit(where)
+    forget_at_end(spark, path)
     for own in _scopes.get()[-1:]:
         own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
