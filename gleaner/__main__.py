@@ -91,13 +91,18 @@ def serve(engine, lines=sys.stdin, out=sys.stdout) -> None:
         print(json.dumps(reply, default=str, ensure_ascii=False), file=out, flush=True)
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
+    from . import models
     from .engine import Engine
+    from .settings import Settings
 
-    a = parser().parse_args()
-    engine = Engine(SparkSession.builder.appName("gleaner").config("spark.sql.session.timeZone", "UTC").getOrCreate(), a.root)
+    a, settings = parser().parse_args(argv), Settings.from_env()
+    spark = SparkSession.builder.appName("gleaner").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    completer = models.made_by(settings.completer)
+    referee = models.FallbackReferee(models.DebateReferee(completer), models.OverlapReferee()) if completer else None
+    engine = Engine(spark, a.root, models.made_by(settings.embedder), completer, referee, settings)
     if a.command == "serve":
         serve(engine)
     else:

@@ -50,7 +50,7 @@ class Search(_Evidence):
         channels = {1: engine.nearest("chunk", vector, 8), 2: engine.words("chunk", node["query"], 8), 3: near, 4: of}
         if not held and engine.completer:
             told = engine.settings.told("Up to four search queries for this question, as a JSON list.")
-            facets = models.parsed(engine.completer.complete(told, node["query"]))
+            facets = models.parsed(models.json_from(engine.completer, told, node["query"]))
             for f in [x for x in facets if isinstance(x, str)][:4] if isinstance(facets, list) else []:
                 more = engine.nearest("chunk", engine.embedder.embed([f])[0], 5)
                 channels[5] = channels[5].unionByName(more) if 5 in channels else more

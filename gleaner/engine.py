@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import random
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from .ontology import Ontology, generated
 from .operators import bandit, browse, chunks, discover, graph, kg, search
 from .settings import Settings
 from .sources import bulk, files, guard
+from .sources.ledger import Ledger
 from .sources.staging import pinned, scope
 from .sources.store import Table, known, merge_entities, merge_relations, require, update
 from .sources.text_index import TextIndex
@@ -58,6 +59,13 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+def _merged_answer(text: str) -> tuple[str, list[str]]:
+    got = models.parsed(text)
+    got = got if isinstance(got, dict) else {}
+    names = got.get("aliases")
+    return str(got.get("description") or "").strip(), [a.strip() for a in names if isinstance(a, str) and a.strip()] if isinstance(names, list) else []
+
+
 class Engine:
     """settings: see there.  actions: of the answer search, by default
     actions.DEFAULT.  reward_log: a folder for all rewards, in place of one for
@@ -77,6 +85,8 @@ class Engine:
         self.spark, self.root = spark, root.rstrip("/")
         self.settings = settings or Settings.from_env()
         self.embedder, self.completer, self.referee = embedder or models.HashEmbedder(self.settings.embed_size), completer, referee or models.OverlapReferee()
+        # Whoever asks a service for many texts is paced.
+        self.paced = self.embedder if isinstance(self.embedder, models.HashEmbedder) else models.Paced(self.embedder, self.settings.embed_batch, self.settings.embed_pause)
         self.actions = {a.name: a for a in actions}
         self._reward_log = reward_log
 
@@ -277,7 +287,7 @@ class Engine:
         found = files.scan(self.spark, path, old.where(F.col("corpus_id") == corpus)).withColumn("id", content_id(F.lit(corpus), F.col("path")))
         docs = found.select("id", F.lit(corpus).alias("corpus_id"), "path", F.col("stem").alias("title"), "content_hash", F.lit(now()).alias("ingested_at"))
         made = chunks.chunk(files.sections(found, corpus), self.settings.chunk_chars, self.settings.chunk_overlap).join(docs.select(F.col("id").alias("document_id"), "path", "corpus_id"), "document_id")
-        made = made.withColumnRenamed("path", "doc_path").withColumn("embedding", models.embedding(F.col("text"), self.embedder))
+        made = made.withColumnRenamed("path", "doc_path").withColumn("embedding", models.embedding(F.col("text"), self.paced))
         # A file that has changed loses the chunks of its old content.
         table = self._table("chunk")
         gone = self._held(table, "chunk").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
@@ -299,7 +309,7 @@ class Engine:
         todo = self.texts_to_embed(name, missing_only, corpus)
         n = todo.count()
         if n:
-            self._set(name, todo.select("id", models.embedding(F.col("text"), self.embedder).alias("embedding")))
+            self._set(name, todo.select("id", models.embedding(F.col("text"), self.paced).alias("embedding")))
         return n
 
     def reembed_in_bulk(self, names: list[str], corpus: str = "", service: models.BulkEmbedder | None = None, poll: float = 30.0) -> dict[str, int]:
@@ -365,7 +375,7 @@ class Engine:
             if self.completer and len(out) < k:
                 drawn = sample.select("id", "text").collect()
                 texts = "\n--\n".join(r.text[:300] for r in drawn)
-                gaps = models.parsed(self.completer.complete('Name what these passages leave open, as JSON: [{"gap", "score"}]', texts)) or []
+                gaps = models.parsed(models.json_from(self.completer, 'Name what these passages leave open, as JSON: [{"gap", "score"}]', texts)) or []
                 out += [{"score": max(0.0, min(1.0, float(g.get("score", 0.5)))), "text": g["gap"], "sources": [r.id for r in drawn[:5]]} for g in gaps if isinstance(g, dict) and g.get("gap")][: k - len(out)]
             return out[:k]
         numbered, ids = self._numbered(sample)
@@ -401,7 +411,7 @@ class Engine:
                 pair = tuple(sorted((text[a][0], text[b][0])))
                 if pair in seen:
                     continue
-                verdict = models.parsed(self.completer.complete('Do these contradict each other? JSON: {"contradicts", "why"}', f"{text[a][1][:800]}\n--\n{text[b][1][:800]}"))
+                verdict = models.parsed(models.json_from(self.completer, 'Do these contradict each other? JSON: {"contradicts", "why"}', f"{text[a][1][:800]}\n--\n{text[b][1][:800]}"))
                 if isinstance(verdict, dict) and verdict.get("contradicts"):
                     seen.add(pair)
                     out.append({"score": score, "text": f"{pair[0]} and {pair[1]} disagree: {verdict.get('why', '')}", "sources": [a, b]})
@@ -417,7 +427,7 @@ class Engine:
         if not chunk or not self.completer:
             return "unsupported", 0.0
         try:
-            got = models.parsed(self.completer.complete('Does the passage back the claim? JSON: {"verdict": "support"|"contradict"|"unsupported", "confidence"}', f"Claim: {finding['text'][:600]}\nPassage: {chunk[0][:800]}"))
+            got = models.parsed(models.json_from(self.completer, 'Does the passage back the claim? JSON: {"verdict": "support"|"contradict"|"unsupported", "confidence"}', f"Claim: {finding['text'][:600]}\nPassage: {chunk[0][:800]}"))
             verdict = got["verdict"] if got["verdict"] in ("support", "contradict") else "unsupported"
             return verdict, max(0.0, min(1.0, float(got.get("confidence", 0.0))))
         except (TypeError, KeyError, ValueError, OSError):
@@ -512,6 +522,8 @@ class Engine:
     # Extract
 
     def ontology(self, corpus: str) -> Ontology:
+        if not self.completer:
+            raise ValueError("an ontology needs a completer")
         rows = browse.in_corpus(self.read("insight"), corpus, or_none=True)
         best = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), "id"))
         findings: dict[str, list[dict]] = {}
@@ -530,30 +542,28 @@ class Engine:
         pending = self.read("chunk").where(F.col("corpus_id") == corpus).join(self.read("extraction_done"), "id", "left_anti").orderBy("doc_path", "position")
         pending = pending.limit(limit) if limit else pending
         completer, told = self.completer, self.settings.told(ontology.instructions())
-        attempts, wait = self.settings.attempts, self.settings.wait
-
-        def one(path: str, text: str) -> tuple:
-            try:
-                data = models.parsed(models.tried(lambda: completer.complete(told, f"From {path}:\n\n{text}"), attempts, wait))
-                return json.dumps(data if isinstance(data, dict) else {}), None, None, None
-            except Exception as e:  # told apart below
-                return "{}", *models.failure(e), f"{type(e).__name__}: {e}"
-
-        def call(frames):
-            for frame in frames:
-                made = pd.DataFrame([one(p, t) for p, t in zip(frame["doc_path"], frame["text"])], columns=["payload", "code", "kind", "error"])
-                yield pd.concat([frame[["id", "document_id", "position"]].reset_index(drop=True), made.astype({"code": "Int32"})], axis=1)
-
-        answers = pending.select("id", "document_id", "position", "doc_path", "text").mapInPandas(call, "id string, document_id string, position int, payload string, code int, kind string, error string")
-        path = f"{self.root}/extractions/{now().replace(':', '')}"
-        answers.write.parquet(path)
-        status = F.when(F.col("error").isNull(), "done").when(C.transient(F.col("code"), F.col("kind")), "again").otherwise("failed")
-        answers = self.spark.read.parquet(path).withColumn("status", status)
+
+        def ask(row: dict) -> str:
+            data = models.parsed(models.json_from(completer, told, f"From {row['doc_path']}:\n\n{row['text']}"))
+            return json.dumps(data if isinstance(data, dict) else {})
+
+        call = F.sha2(F.concat_ws("\0", F.lit(told), "doc_path", "text").cast("binary"), 256).alias("call")
         with scope(self.spark):  # what the folds write for themselves goes
+            asked = pinned(pending.select(call, "id", "document_id", "position", "doc_path", "text"))
+            ledger = self._ledger("extract")
+            lines = ledger.answered(asked.select("call", "doc_path", "text"), ask)
+            status = F.when(F.col("error").isNull(), "done").when(C.transient(F.col("code"), F.col("kind")), "again").otherwise("failed")
+            answers = pinned(asked.join(lines, "call").select("id", "document_id", "position", "call", F.coalesce("answer", F.lit("{}")).alias("payload"), status.alias("status")))
             entities, relations = self._fold(corpus, ontology, answers)
-        counts = {r.status: r.n for r in answers.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+            # What is in the tables needn't be known any more.
+            ledger.forget(answers.where("status <> 'again'"))
+            counts = {r.status: r.n for r in answers.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         return {"chunks": sum(counts.values()), "errors": counts.get("failed", 0), "again": counts.get("again", 0), "entities": entities, "relations": relations}
 
+    def _ledger(self, name: str) -> Ledger:
+        s = self.settings
+        return Ledger(self.spark, f"{self.root}/calls/{name}", s.call_batch, s.call_task, s.attempts, s.wait, s.retain)
+
     def _fold(self, corpus: str, ontology: Ontology, answers: DataFrame) -> tuple[int, int]:
         """Merges what the answers hold, and marks their chunks; the number of
         entities and of relations that there are then."""
@@ -561,13 +571,16 @@ class Engine:
         rows = kg.entity_rows(x, corpus, [c.name for c in ontology.classes])
         made = kg.entities(rows, corpus)
         # An entity of several documents comes several times: folded first.
-        one_of = made.groupBy("id").agg(*[F.min_by(c, "document").alias(c) for c in ("corpus_id", "name", "entity_type")], F.max_by("description", F.struct(F.length("description"), "description")).alias("description"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
+        # In the order of documents, whatever order rows come in.
+        in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("document", F.col(c).alias("v")))), lambda x: x["v"]))).alias(c)
+        longest = F.min_by("description", F.struct(-F.length("description"), "document")).alias("description")
+        one_of = made.groupBy("id").agg(*[F.min_by(c, "document").alias(c) for c in ("corpus_id", "name", "entity_type")], longest, in_order("aliases"))
         entities = self._merge("entity", one_of, merge_entities)
         told_of = self._full("mention", kg.mentions(rows).withColumn("created_at", F.lit(now())))
         told_of = require(require(told_of, "chunk_id", self.read("chunk")), "entity_id", self.read("entity"))
         self._add("mention", told_of)
         claims = kg.relations(x, rows, [r.name for r in ontology.relations])
-        claims = claims.groupBy("id", "source_id", "target_id", "type").agg(F.min_by("evidence", "document").alias("evidence"), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.collect_list("source_chunks"))).alias("source_chunks"))
+        claims = claims.groupBy("id", "source_id", "target_id", "type").agg(F.min_by("evidence", "document").alias("evidence"), F.max("confidence").alias("confidence"), in_order("source_chunks"))
         relations = self._merge("relation", claims, lambda old, new: merge_relations(old, new, self.read("entity")))
         self._add("extraction_done", answers.where("status <> 'again'"))
         return entities, relations
@@ -578,6 +591,10 @@ class Engine:
 
         A prompt holds a bounded number of mentions; an entity with more is
         merged part by part, and the parts like mentions."""
+        with scope(self.spark):
+            return self._synthesized(corpus, limit, budget)
+
+    def _synthesized(self, corpus: str, limit: int, budget: int | None) -> dict:
         budget = self.settings.synthesis_budget if budget is None else budget
         own = self.read("entity").where(F.col("corpus_id") == corpus)
         seen = self.read("mention").select(F.col("entity_id").alias("entity"), F.col("created_at").alias("at"))
@@ -586,15 +603,13 @@ class Engine:
         total = todo.count()
         picked = todo.select("id").limit(budget)
         ms = self.read("mention").select(F.col("entity_id").alias("id"), F.col("chunk_id").alias("key"), "name_as_extracted", "description", "aliases").join(picked, "id")
-        folder, rounds = f"{self.root}/syntheses/{now().replace(':', '')}", 0
-        finished = None
+        rounds, finished, calls = 0, None, []
         while True:
             parts = ms.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / self.settings.prompt_mentions).cast("int").alias("parts"))
             part = F.pmod(F.xxhash64("key", F.lit(rounds)), F.col("parts")).cast("int").alias("part")
             dealt = ms.join(parts, "id").select("*", part).groupBy("id", "part", "parts").agg(F.array_sort(F.collect_list(F.struct("key", "name_as_extracted", "description", "aliases"))).alias("ms"))
-            path = f"{folder}/{rounds}"
-            self._merged(dealt.join(own.select("id", "name", "entity_type"), "id")).write.parquet(path)
-            done = self.spark.read.parquet(path)
+            done = self._merged(dealt.join(own.select("id", "name", "entity_type"), "id"))
+            calls.append(done.select("call"))
             last = done.where("parts = 1 or error is not null")
             finished = last if finished is None else finished.unionByName(last)
             ms = done.where("parts > 1 and error is null").select("id", F.concat(F.lit("part "), F.col("part")).alias("key"), F.col("name").alias("name_as_extracted"), "description", "aliases")
@@ -606,32 +621,33 @@ class Engine:
         n = good.count()
         if n:
             rows = good.join(own.select("id", "name"), "id")
-            vectors = models.embedding(C.entity_text(F.col("name"), F.col("description")), self.embedder)
+            vectors = models.embedding(C.entity_text(F.col("name"), F.col("description")), self.paced)
             self._set("entity", rows.withColumn("embedding", vectors).drop("name"))
+        if self.completer:
+            self._ledger("synthesize").forget(functools.reduce(DataFrame.unionByName, calls))
         return {"dirty_total": total, "synthesized": n, "errors": bad.count(), "embedded": n, "remaining": total - n if total > budget else 0}
 
     def _merged(self, dealt: DataFrame) -> DataFrame:
-        """One description and alias list for each row of mentions (ms)."""
-        completer, attempts, wait = self.completer, self.settings.attempts, self.settings.wait
-        told = self.settings.told('Merge these mentions. JSON: {"description", "aliases"}')
-
-        def one(name: str, kind: str, ms: list) -> tuple:
-            try:
-                lines = f"{name} ({kind})\n" + "\n".join(f"- {m['name_as_extracted']}: {m['description']}" for m in ms)
-                got = models.parsed(models.tried(lambda: completer.complete(told, lines), attempts, wait)) if completer else None
-                got = got if isinstance(got, dict) else {}
-                text = (got.get("description") or "").strip() or max((m["description"] or "" for m in ms), key=len)
-                names = [a.strip() for a in got.get("aliases") or [] if isinstance(a, str) and a.strip()] or list(dict.fromkeys(a for m in ms for a in (m["aliases"] if m["aliases"] is not None else [])))
-                return text, names, None
-            except Exception as e:  # one entity that fails doesn't stop the others
-                return None, None, str(e)
-
-        def merge(frames):
-            for frame in frames:
-                made = [one(*x) for x in zip(frame["name"], frame["entity_type"], frame["ms"])]
-                yield pd.DataFrame({"id": frame["id"], "part": frame["part"], "parts": frame["parts"], "name": frame["name"], "description": [m[0] for m in made], "aliases": [m[1] for m in made], "error": [m[2] for m in made]})
-
-        return dealt.select("id", "part", "parts", "name", "entity_type", "ms").mapInPandas(merge, "id string, part int, parts int, name string, description string, aliases array<string>, error string")
+        """dealt with one description and alias list for each row's mentions
+        (ms), and call: from the model, or else from the mentions."""
+        completer, told = self.completer, self.settings.told('Merge these mentions. JSON: {"description", "aliases"}')
+        names = F.array_distinct(F.flatten(F.transform("ms", lambda m: F.coalesce(m["aliases"], F.array().cast("array<string>")))))
+        # The longest description, the first of several.
+        texts = F.transform("ms", lambda m, i: F.struct(F.length(F.coalesce(m["description"], F.lit(""))).alias("n"), (-i).alias("i"), F.coalesce(m["description"], F.lit("")).alias("d")))
+        lines = F.array_join(F.transform("ms", lambda m: F.concat(F.lit("- "), F.coalesce(m["name_as_extracted"], F.lit("None")), F.lit(": "), F.coalesce(m["description"], F.lit("None")))), "\n")
+        shown = F.concat("name", F.lit(" ("), F.coalesce("entity_type", F.lit("None")), F.lit(")\n"), lines)
+        rows = dealt.select("id", "part", "parts", "name", shown.alias("shown"), F.array_max(texts)["d"].alias("longest"), names.alias("names"))
+        rows = pinned(rows.withColumn("call", F.sha2(F.concat_ws("\0", F.lit(told), "id", "shown").cast("binary"), 256)))
+        if completer:
+            lines = self._ledger("synthesize").answered(rows.select("call", "shown"), lambda row: models.json_from(completer, told, row["shown"]), again=True)
+        else:
+            lines = rows.select("call", F.lit("{}").alias("answer"), F.lit(None).cast("string").alias("error"))
+        read = F.udf(_merged_answer, "description string, aliases array<string>")
+        got = rows.join(lines.select("call", "answer", "error"), "call").withColumn("got", F.when(F.col("error").isNull(), read("answer")))
+        text = F.when(F.coalesce("got.description", F.lit("")) == "", F.col("longest")).otherwise(F.col("got.description"))
+        aliases = F.when(F.size(F.coalesce("got.aliases", F.array().cast("array<string>"))) == 0, F.col("names")).otherwise(F.col("got.aliases"))
+        here = lambda c: F.when(F.col("error").isNull(), c)
+        return pinned(got.select("id", "part", "parts", "name", "call", here(text).alias("description"), here(aliases).alias("aliases"), "error"))
 
     # Tools
 

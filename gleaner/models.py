@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import json
 import math
 import re
@@ -96,6 +97,27 @@ class Completer(Protocol):
     def complete(self, system: str, user: str) -> str: ...
 
 
+def json_from(completer: Completer, system: str, user: str) -> str:
+    """An answer that should be JSON: from complete_json, if the client has that
+    mode, or as usual where the mode is refused."""
+    strict = getattr(completer, "complete_json", None)
+    if strict:
+        try:
+            return strict(system, user)
+        except Exception as e:
+            if passing(e):
+                raise
+    return completer.complete(system, user)
+
+
+def made_by(name: str):
+    """What the factory module:function returns; None for no name."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)()
+
+
 class HashEmbedder:
     """Unit vectors of hashed words; words that repeat count less and less."""
 

@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from .models import Completer, parsed
+from .models import Completer, json_from, parsed
 
 
 def type_name(raw: str) -> str:
@@ -69,7 +69,7 @@ def generated(corpus_id: str, findings: dict[str, list[dict]], completer: Comple
     Names that can't be made type names are left out; CONCEPT is always there.
     """
     user = "\n\n".join(f"{strategy} ({len(rows)} in all)\n" + "\n".join(f"- {r['score']:.2f}, layer {r['layer']}: {r['text'][:400]}" for r in rows[:10]) for strategy, rows in sorted(findings.items()))
-    data = parsed(completer.complete('Propose an ontology for these findings as JSON: {"classes": [{"name", "description", "parent", "examples"}], "relations": [{"name", "description", "domain", "range", "examples"}]}', user))
+    data = parsed(json_from(completer, 'Propose an ontology for these findings as JSON: {"classes": [{"name", "description", "parent", "examples"}], "relations": [{"name", "description", "domain", "range", "examples"}]}', user))
     if not isinstance(data, dict) or not data:
         raise ValueError("the answer holds no ontology")
     found: dict[str, list[Kind]] = {"classes": [], "relations": []}

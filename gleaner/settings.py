@@ -27,6 +27,17 @@ class Settings:
     #: Attempts and first wait (seconds) of a model call that fails for now.
     attempts: int = 3
     wait: float = 1.0
+    #: Model calls whose answers are committed at once, and those of a task.
+    call_batch: int = 2000
+    call_task: int = 20
+    #: Texts that an embedder is asked for at once, and the pause between
+    #: (seconds); the stand-in isn't paced.
+    embed_batch: int = 20
+    embed_pause: float = 1.0
+    #: For the command line: module:function that makes the completer, and the
+    #: embedder.
+    completer: str = ""
+    embedder: str = ""
     #: Entities that one run of synthesize works on at most.
     synthesis_budget: int = 500
     #: Mentions that one prompt of synthesize holds.

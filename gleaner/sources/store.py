@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import time
 import uuid
 
@@ -183,13 +184,14 @@ class Table(Folder):
 
     A change writes only the rows that it names.  Base and changes lie in
     buckets by key, so a look-up by key reads one of them.  When the changes are
-    more than ``share`` of the base in bytes, or more than ``most`` folders, the
-    next version is a new base; a byte is so written a bounded number of times.
+    more than ``share`` of the base in bytes, the next version is a new base;
+    when there are ``most`` folders of changes of about one size they become
+    one.  So a byte is written a bounded number of times, and folders are few.
 
     key: the columns that tell rows apart; none of them null.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = ("id",), keep: int = 2, grace: float = 3600.0, share: float = 0.25, most: int = 16, bucket_bytes: int = 128 << 20):
+    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = ("id",), keep: int = 2, grace: float = 3600.0, share: float = 0.25, most: int = 8, bucket_bytes: int = 128 << 20):
         super().__init__(spark, path, keep, grace)
         self.key, self._share, self._most, self._bucket_bytes = key, share, most, bucket_bytes
         self._seen: int | None = None
@@ -212,14 +214,17 @@ class Table(Folder):
         base = at(self._part(found["base"], schema))
         if not found["changes"]:
             return base.select(*schema.names)
-        wide = T.StructType([*schema.fields, T.StructField(GONE, T.BooleanType()), T.StructField(SINCE, T.LongType())])
-        parts = [at(self._part(f, wide)) for f in found["changes"]]
+        parts = [at(self._part(f, self._wide(found))) for f in found["changes"]]
         changes = functools.reduce(DataFrame.unionByName, parts)
         rest = [c for c in schema.names if c not in self.key]
         last = changes.groupBy(*self.key).agg(F.max_by(F.struct(*rest, GONE), SINCE).alias("last"))
         here = last.where(f"not last.{GONE}").select(*[F.col(c) if c in self.key else F.col(f"last.{c}").alias(c) for c in schema.names])
         return base.select(*schema.names).join(changes.select(*self.key).distinct(), list(self.key), "left_anti").select(*schema.names).unionByName(here)
 
+    def _wide(self, found: dict) -> T.StructType:
+        """The columns of change files."""
+        return T.StructType([*T.StructType.fromJson(found["schema"]).fields, T.StructField(GONE, T.BooleanType()), T.StructField(SINCE, T.LongType())])
+
     def _part(self, folder: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{self.path}/{folder}")
 
@@ -269,21 +274,49 @@ class Table(Folder):
         now = found | {"changes": [*found["changes"], folder], "folders": [*found["folders"], folder]}
         self.commit(v, now, [folder])
         self._seen = v
-        if len(now["changes"]) > self._most or self.bytes(now["changes"]) > self._share * self.bytes([now["base"]]):
-            self.compact()
+        self._tidy(now)
         return n
 
+    def _tidy(self, found: dict) -> None:
+        sizes = {f: self.bytes([f]) for f in found["changes"]}
+        if sum(sizes.values()) > self._share * self.bytes([found["base"]]):
+            self.compact()
+            return
+        tiers: dict[int, list[str]] = {}
+        for f, size in sizes.items():
+            tiers.setdefault(int(math.log(size + 1, 8)), []).append(f)
+        if full := [t for t in tiers.values() if len(t) >= self._most]:
+            self._join(found, full[0])
+
+    def _join(self, found: dict, folders: list[str]) -> None:
+        """One folder of changes in place of some; each row stays of its version."""
+        schema = self._wide(found)
+        rows = functools.reduce(DataFrame.unionByName, [self._part(f, schema) for f in folders])
+        rest = [c for c in schema.names if c not in self.key]
+        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), SINCE).alias("last"))
+        made, _ = self._written(last.select(*[F.col(c) if c in self.key else F.col(f"last.{c}").alias(c) for c in schema.names]), "change", found["buckets"])
+        changes = [f for f in found["changes"] if f not in folders] + [made]
+        self._try(found | {"changes": changes, "folders": [found["base"], *changes]}, made)
+
+    def _try(self, content: dict, made: str) -> None:
+        """Commits what has the same rows; if another writer comes first, that
+        is left to a later change."""
+        v = self.version() + 1
+        try:
+            if self._seen in (None, v - 1):
+                self.commit(v, content, [made])
+                self._seen = v
+            else:
+                self.drop(made)
+        except RuntimeError:
+            pass
+
     def compact(self) -> None:
-        """A new base in place of base and changes.  If another writer comes
-        first, that is left to a later change."""
-        last, found = self.latest()
+        """A new base in place of base and changes."""
+        self._seen, found = self.latest()
         if not found or not found["changes"]:
             return
         size = self.bytes(found["folders"])
         buckets = 1 << max(0, min(12, (size // self._bucket_bytes).bit_length()))
         base, _ = self._written(self._rows(found), "base", buckets)
-        try:
-            self.commit(last + 1, found | {"buckets": buckets, "base": base, "changes": [], "folders": [base]}, [base])
-            self._seen = last + 1
-        except RuntimeError:
-            pass
+        self._try(found | {"buckets": buckets, "base": base, "changes": [], "folders": [base]}, base)

@@ -13,8 +13,12 @@ A term that most texts hold is split by id, so no task writes all its postings.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
@@ -24,10 +28,23 @@ from .store import BUCKET, Folder
 K1, B = 1.2, 0.75
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, id, size, tf of each different word of rows (id, words, size)."""
+    for batch in batches:
+        words = batch.column("words")
+        # Words by number, so that rows and words are counted as one number.
+        coded = words.flatten().dictionary_encode()
+        row = pc.list_parent_indices(words).to_numpy()
+        each, tf = np.unique(row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+        row, word = np.divmod(each, max(1, len(coded.dictionary)))
+        row = pa.array(row)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word)), batch.column("id").take(row), batch.column("size").take(row), pa.array(tf.astype(np.int64))], names=["term", "id", "size", "tf"])
+
+
 class TextIndex(Folder):
     """texts are rows (id, text) whose ids are unique."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, most: int = 8, split_rows: int = 1_000_000, keep: int = 2, grace: float = 3600.0):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, most: int = 8, split_rows: int = 100_000, keep: int = 2, grace: float = 3600.0):
         super().__init__(spark, path, keep, grace)
         self._buckets, self._most, self._split_rows = buckets, most, split_rows
 
@@ -42,25 +59,25 @@ class TextIndex(Folder):
         rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         return folder
 
-    def _at_bucket(self, rows: DataFrame, n: int) -> DataFrame:
-        """Rows with a term, dealt by its bucket; by id too where they are many."""
-        splits = max(1, -(-n // self._split_rows))
-        return rows.withColumn(BUCKET, F.pmod(F.xxhash64("term"), F.lit(self._buckets)).cast("int")).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(splits))).repartition(BUCKET, "split")
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(self._buckets)).cast("int")
+
+    def _split(self, n: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // self._split_rows))))
 
     def _generation(self, added: DataFrame, removed: DataFrame | None, version: int) -> tuple[dict, int, int]:
         """The folders of a generation, and how the number of texts and of their
         words changes."""
         id_kind = added.schema["id"].dataType.simpleString()
         with scope(self.spark):
-            words = self._words(added)
-            sizes = pinned(words.select("size"))
-            n, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-            each = self._at_bucket(words.select("id", "size", F.explode("words").alias("term")), n)
-            # Dealt by bucket and id already, so this shuffles nothing.
-            rows = each.groupBy(BUCKET, "split", "term", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
-            postings = self._written(rows.drop("split").withColumn("since", F.lit(version).cast("long")).sortWithinPartitions(BUCKET, "term", "id"), "postings")
+            n = added.count()
+            each = self._words(added).mapInArrow(_counted, f"term string, id {id_kind}, size long, tf long")
+            dealt = each.repartition(self._bucket(), self._split(n)).withColumn("since", F.lit(version).cast("long")).withColumn(BUCKET, self._bucket())
+            postings = self._written(dealt.sortWithinPartitions(BUCKET, "term", "id"), "postings")
             made = {"postings": postings, "dead": None}
-            change = self._read("postings", postings, id_kind).groupBy(BUCKET, "term").agg(F.count(F.lit(1)).alias("df"))
+            written = self._read("postings", postings, id_kind)
+            size = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+            change = written.groupBy(BUCKET, "term").agg(F.count(F.lit(1)).alias("df"))
             if removed is not None:
                 gone = pinned(self._words(removed).select("id", "size", F.array_distinct("words").alias("words")))
                 n_gone, size_gone = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -69,7 +86,7 @@ class TextIndex(Folder):
                     made["dead"] = self.new("dead")
                     gone.select("id", F.lit(version).cast("long").alias("dead_since")).write.parquet(f"{self.path}/{made['dead']}")
                     less = gone.select(F.explode("words").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-                    change = change.unionByName(less.withColumn(BUCKET, F.pmod(F.xxhash64("term"), F.lit(self._buckets)).cast("int")))
+                    change = change.unionByName(less.withColumn(BUCKET, self._bucket()))
                     change = change.groupBy(BUCKET, "term").agg(F.sum("df").alias("df")).where("df <> 0")
             made["terms"] = self._written(change.repartition(BUCKET).sortWithinPartitions(BUCKET, "term"), "terms")
         return made, n, size
@@ -102,9 +119,9 @@ class TextIndex(Folder):
     def compact(self) -> None:
         """One generation in place of all."""
         last, found = self.latest()
-        live = self._live(found, self._parts(found, "postings")).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-found["n"] // self._split_rows)))))
+        live = self._live(found, self._parts(found, "postings")).repartition(F.col(BUCKET), self._split(found["n"]))
         made = {"dead": None}
-        made["postings"] = self._written(live.withColumn("since", F.lit(last + 1).cast("long")).repartition(BUCKET, "split").drop("split").sortWithinPartitions(BUCKET, "term", "id"), "postings")
+        made["postings"] = self._written(live.withColumn("since", F.lit(last + 1).cast("long")).sortWithinPartitions(BUCKET, "term", "id"), "postings")
         terms = self._parts(found, "terms").groupBy(BUCKET, "term").agg(F.sum("df").alias("df")).where("df > 0")
         made["terms"] = self._written(terms.repartition(BUCKET).sortWithinPartitions(BUCKET, "term"), "terms")
         self.commit(last + 1, found | self._named([made]), [made["postings"], made["terms"]])
