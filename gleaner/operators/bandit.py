@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import clamped, hash_order, uct
+from ..sources.staging import pinned
 
 
 def posteriors(log: DataFrame, arms: DataFrame, mode: str = "pseudo_count") -> DataFrame:
@@ -34,10 +35,23 @@ def bernoulli(log: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def running(log: DataFrame) -> DataFrame:
-    """The posterior after each event (id, arm, at, score) of an arm."""
-    w = Window.partitionBy("arm").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    """The posterior after each event (id, arm, at, score) of an arm.
+
+    Events are dealt by ranges of arm and time, so that an arm with most of them
+    lies in many parts: a part's sums begin where the totals of the arm's parts
+    before it end.  The totals are a row for each part and arm.
+    """
     s = clamped(F.col("score"))
-    return log.select("id", "arm", F.round(1 + F.sum(s).over(w), 6).alias("alpha"), F.round(1 + F.sum(1 - s).over(w), 6).alias("beta"))
+    dealt = log.select("id", "arm", "at", s.alias("won"), (1 - s).alias("lost")).repartitionByRange("arm", "at", "id")
+    # Written, so that a part is the same for its total and for its sums.
+    parts = pinned(dealt.withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("arm").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("arm", "part").agg(F.sum("won").alias("won"), F.sum("lost").alias("lost"))
+    starts = totals.select("arm", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_before") for c in ("won", "lost")])
+    own = Window.partitionBy("arm", "part").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.select("id", "arm", "part", *[F.sum(c).over(own).alias(c) for c in ("won", "lost")])
+    rows = sums.withColumnRenamed("arm", "of").withColumnRenamed("part", "of_part").join(starts, F.col("of").eqNullSafe(F.col("arm")) & (F.col("of_part") == F.col("part")))
+    return rows.select("id", F.col("of").alias("arm"), F.round(1 + F.col("won_before") + F.col("won"), 6).alias("alpha"), F.round(1 + F.col("lost_before") + F.col("lost"), 6).alias("beta"))
 
 
 def discounted(score: Column, evaluated: Column, supported: Column) -> Column:

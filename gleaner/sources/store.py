@@ -245,19 +245,21 @@ class Table(Folder):
         self.commit(v, {"schema": rows.schema.jsonValue(), "buckets": buckets, "base": base, "changes": [], "folders": [base]}, [base])
         return v
 
-    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None, note: dict | None = None) -> int:
         """Puts rows in place of those with their keys, and takes away those
         with the keys of gone that aren't in rows; how many rows this writes.
 
         What the rows were computed from is the version of the last read():
-        if another writer has made one since, it is an error."""
+        if another writer has made one since, it is an error.  note: what the
+        version says beside its rows, from now on."""
+        note = note or {}
         last, found = self.latest()
         v = (last if self._seen is None else self._seen) + 1
         if not found:
             if rows is None:
                 return 0
             base, n = self._written(rows, "base", 1)
-            self.commit(v, {"schema": rows.schema.jsonValue(), "buckets": 1, "base": base, "changes": [], "folders": [base]}, [base])
+            self.commit(v, {"schema": rows.schema.jsonValue(), "buckets": 1, "base": base, "changes": [], "folders": [base]} | note, [base])
             self._seen = v
             return n
         schema = T.StructType.fromJson(found["schema"])
@@ -268,10 +270,10 @@ class Table(Folder):
         one = functools.reduce(DataFrame.unionByName, parts).groupBy(*self.key).agg(F.min_by(F.struct(*rest, GONE), GONE).alias("one"))
         made = one.select(*[F.col(c) if c in self.key else F.col(f"one.{c}").alias(c) for c in schema.names], f"one.{GONE}", F.lit(v).cast("long").alias(SINCE))
         folder, n = self._written(made, "change", found["buckets"])
-        if not n:
+        if not n and not note:
             self.drop(folder)
             return 0
-        now = found | {"changes": [*found["changes"], folder], "folders": [*found["folders"], folder]}
+        now = found | {"changes": [*found["changes"], folder], "folders": [*found["folders"], folder]} | note
         self.commit(v, now, [folder])
         self._seen = v
         self._tidy(now)
