@@ -32,6 +32,7 @@ from .sources.vector_index import VectorIndex
 SCHEMAS = {
     "corpus": "id string, name string, description string, source_path string, created_at string",
     "document": "id string, corpus_id string, path string, title string, content_hash string, ingested_at string",
+    "ingested": "corpus_id string, path string, length long, modified long",
     "chunk": "id string, document_id string, corpus_id string, doc_path string, heading string, position int, text string, embedding array<float>",
     "insight": "id string, corpus_id string, text string, strategy string, score double, layer int, grounding string, human_score double, embedding array<float>, created_at string",
     "insight_source": "insight string, source string",
@@ -44,7 +45,7 @@ SCHEMAS = {
     "reward": "corpus string, mode string, arm string, score double, weight double, insight_id string, at string",
 }
 #: What tells rows apart, where it isn't the id.
-KEYS = {"insight_source": ("insight", "source"), "node_evidence": ("node", "evidence")}
+KEYS = {"ingested": ("corpus_id", "path"), "insight_source": ("insight", "source"), "node_evidence": ("node", "evidence")}
 #: The texts of the tables that have an index of words, and the tables that
 #: have one of vectors.
 TEXTS = {"chunk": lambda: F.col("text"), "entity": lambda: C.entity_text(F.col("name"), F.coalesce("description", F.lit("")))}
@@ -205,10 +206,12 @@ class Engine:
     def log(self, rows: list[dict]) -> None:
         """Appends to the reward logs; snapshots that are there move along."""
         rows = [{"weight": 1.0, "at": now()} | r for r in rows]
-        for corpus in sorted({r.get("corpus") or "" for r in rows}):
-            own = [r for r in rows if (r.get("corpus") or "") == corpus]
-            held = self._snapshot(corpus)
-            self._rows("reward", own).coalesce(1).write.mode("append").json(self._state(corpus))
+        of = lambda c: [r for r in rows if (r.get("corpus") or "") == c]
+        corpora = {c: self._snapshot(c) for c in sorted({r.get("corpus") or "" for r in rows})}
+        for corpus in corpora:
+            self._rows("reward", of(corpus)).coalesce(1).write.mode("append").json(self._state(corpus))
+        for corpus, held in corpora.items():
+            own = of(corpus)
             if held is not None:
                 # An arm that isn't there yet starts where all do.
                 for r in self._counted(self._rows("reward", own)).collect():
@@ -233,16 +236,21 @@ class Engine:
         s = C.clamped(F.coalesce("score", F.lit(0.5)))
         return rows.groupBy("arm").agg(F.sum(s * F.col("weight")).alias("won"), F.sum((1 - s) * F.col("weight")).alias("lost"))
 
+    def _log_files(self, corpus: str) -> int:
+        where, fs = self._file(self._state(corpus))
+        return sum(x.getPath().getName().startswith("part-") for x in fs.listStatus(where)) if fs.exists(where) else 0
+
     def _snapshot(self, corpus: str) -> dict[str, list[float]] | None:
         """alpha and beta by arm; None if there is no snapshot, if it can't be
-        read, or if it is of another version or mode."""
+        read, if it is of another version or mode, or if it doesn't cover the
+        log: its writer may have died after it wrote to that."""
         where, fs = self._file(f"{self._state(corpus)}.snapshot.{corpus or 'none'}.json")
         if not fs.exists(where):
             return None
         stream = fs.open(where)
         try:
             data = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            if (data["version"], data["mode"]) != (SNAPSHOT_VERSION, self.settings.bandit_mode):
+            if (data["version"], data["mode"], data["files"]) != (SNAPSHOT_VERSION, self.settings.bandit_mode, self._log_files(corpus)):
                 return None
             return {arm: [float(a), float(b)] for arm, (a, b) in data["arms"].items()}
         except (ValueError, KeyError, TypeError, AttributeError, Py4JJavaError):
@@ -253,7 +261,7 @@ class Engine:
     def _keep_snapshot(self, corpus: str, arms: dict[str, list[float]]) -> None:
         where, fs = self._file(f"{self._state(corpus)}.snapshot.{corpus or 'none'}.json")
         out = fs.create(where, True)
-        out.write(bytearray(json.dumps({"version": SNAPSHOT_VERSION, "mode": self.settings.bandit_mode, "arms": arms, "updated_at": now()}).encode()))
+        out.write(bytearray(json.dumps({"version": SNAPSHOT_VERSION, "mode": self.settings.bandit_mode, "files": self._log_files(corpus), "arms": arms, "updated_at": now()}).encode()))
         out.close()
 
     def posteriors(self, corpus: str = "", replay: bool = False) -> list[dict]:
@@ -281,10 +289,31 @@ class Engine:
         return found[0]
 
     def ingest(self, path: str, name: str, description: str = "") -> dict:
+        """Takes in the files below path, batch by batch.  A batch that is done
+        stays when a later one fails; a file that is done isn't opened again
+        while its length and its time stay."""
         corpus = self.spark.range(1).select(content_id(F.lit(name))).first()[0]
         self._put("corpus", [{"id": corpus, "name": name, "description": description, "source_path": path, "created_at": now()}])
+        todo = files.listed(self.spark, path).withColumn("corpus_id", F.lit(corpus))
+        todo = todo.join(self.read("ingested"), ["corpus_id", "path", "length", "modified"], "left_anti")
+        documents = 0
+        with scope(self.spark):
+            todo = pinned(todo)
+            batches = max(1, -(-todo.count() // self.settings.ingest_batch))
+            todo = todo.withColumn("batch", F.pmod(F.xxhash64("path"), F.lit(batches)))
+            for k in range(batches):
+                rows = todo.where(F.col("batch") == k)
+                paths = [r.path for r in rows.select("path").orderBy("path").collect()]
+                if paths:
+                    documents += self._ingested(corpus, path, paths)
+                    self._change(self._table("ingested"), "ingested", rows)
+        return {"chunks": self.read("chunk").count(), "documents": documents}
+
+    def _ingested(self, corpus: str, root: str, paths: list[str]) -> int:
+        """Takes in a batch of files; the number of documents that are new or
+        have changed."""
         old = self.read("document")
-        found = files.scan(self.spark, path, old.where(F.col("corpus_id") == corpus)).withColumn("id", content_id(F.lit(corpus), F.col("path")))
+        found = files.scan(self.spark, root, old.where(F.col("corpus_id") == corpus), paths).withColumn("id", content_id(F.lit(corpus), F.col("path")))
         docs = found.select("id", F.lit(corpus).alias("corpus_id"), "path", F.col("stem").alias("title"), "content_hash", F.lit(now()).alias("ingested_at"))
         made = chunks.chunk(files.sections(found, corpus), self.settings.chunk_chars, self.settings.chunk_overlap).join(docs.select(F.col("id").alias("document_id"), "path", "corpus_id"), "document_id")
         made = made.withColumnRenamed("path", "doc_path").withColumn("embedding", models.embedding(F.col("text"), self.paced))
@@ -292,9 +321,9 @@ class Engine:
         table = self._table("chunk")
         gone = self._held(table, "chunk").join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
         self._change(table, "chunk", made, gone)
-        counts = {"chunks": self.read("chunk").count(), "documents": docs.count()}
+        n = docs.count()
         self._change(self._table("document"), "document", require(docs.select(*old.columns), "corpus_id", self.read("corpus")))
-        return counts
+        return n
 
     def texts_to_embed(self, name: str, missing_only: bool = True, corpus: str = "") -> DataFrame:
         """id, text, embedding of the rows of chunk, insight or entity that lack

@@ -13,6 +13,8 @@ class Settings:
     #: Characters of a chunk, and those that it shares with the one before.
     chunk_chars: int = 2000
     chunk_overlap: int = 200
+    #: Files that one batch of an ingest takes in.
+    ingest_batch: int = 1000
     #: Size of the vectors of the stand-in embedder.
     embed_size: int = 768
     #: Paths that explore leaves out.

@@ -9,6 +9,7 @@ bytes; they would have no chunk.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,17 +22,30 @@ SUFFIXES = {".md": "markdown", ".markdown": "markdown", ".json": "json", ".txt":
 _HEADING = r"(?m)^(?=#{1,6}\s+.+$)"
 
 
-def scan(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame:
-    """path (below root), stem, suffix, content, content_hash of the files with
-    a known suffix; hidden names and .git are left out, and the files of done
-    (path, content_hash)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _chosen(files: DataFrame, root: str) -> DataFrame:
+    """files (path) with name, suffix and place (the path below root) of those
+    with a known suffix; hidden names and .git are left out."""
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^.*?" + "\\Q" + root.rstrip("/").split("://")[-1] + "/\\E", "")
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(rel.alias("path"), "content").withColumn("name", name)
+    rows = files.withColumn("place", rel).withColumn("name", F.element_at(F.split("place", "/"), -1))
     rows = rows.withColumn("suffix", F.lower(F.regexp_extract("name", r"(?<=.)(\.[^.]+)$", 1)))
-    rows = rows.where(F.col("suffix").isin(*SUFFIXES) & ~F.col("name").startswith(".") & ~F.array_contains(F.split("path", "/"), ".git"))
-    rows = rows.select("path", F.regexp_replace("name", r"(?<=.)\.[^.]+$", "").alias("stem"), "suffix", "content", F.left(F.sha2("content", 256), F.lit(16)).alias("content_hash"))
+    return rows.where(F.col("suffix").isin(*SUFFIXES) & ~F.col("name").startswith(".") & ~F.array_contains(F.split("place", "/"), ".git"))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (whole), length, modified of the files that scan reads; their
+    contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _chosen(files.select("path", "length", F.unix_micros("modificationTime").alias("modified")), root).select("path", "length", "modified")
+
+
+def scan(spark: SparkSession, root: str, done: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
+    """path (below root), stem, suffix, content, content_hash of the files with
+    a known suffix; hidden names and .git are left out, and the files of done
+    (path, content_hash).  paths: only these files are opened."""
+    names = [root] if paths is None else [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(names)
+    rows = _chosen(files.select("path", "content"), root)
+    rows = rows.select(F.col("place").alias("path"), F.regexp_replace("name", r"(?<=.)\.[^.]+$", "").alias("stem"), "suffix", "content", F.left(F.sha2("content", 256), F.lit(16)).alias("content_hash"))
     return rows if done is None else rows.join(done.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
 
 
