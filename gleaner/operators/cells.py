@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
+from ..sources.staging import package_on_workers
 
 #: Rows that cells are trained on, at most about so many.
 SAMPLE = 50_000
@@ -45,6 +46,7 @@ def centres(rows: DataFrame, k: int, n: int, sample: int = SAMPLE, rounds: int =
 
 def placed(rows: DataFrame, middle: np.ndarray) -> DataFrame:
     """rows (embedding) with cell and angle (to its centre)."""
+    package_on_workers(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(middle)
 
     @F.pandas_udf("cell int, angle double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import NOISE_PATTERNS, bridge_score, dot, entity_bridge_score, gap_kept, gap_score, hash_order, noisy, path_distance
+from ..sources.staging import package_on_workers
 from . import cells
 
 THRESHOLD = 0.65
@@ -67,6 +68,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, most: float
     """
     rows, pairs = _parts(vectors, threshold, block, cell_rows)
     spark = vectors.sparkSession
+    package_on_workers(spark)
     # For each cell the cells that it meets, with its side.
     sides = [(x, x, y, m, 0) for x, y, _, m in pairs] + [(y, x, y, n, 1) for x, y, n, _ in pairs if x != y] + [(x, x, x, n, 1) for x, y, n, _ in pairs if x == y]
     meets = spark.createDataFrame(sides, "cell int, x int, y int, parts int, side int")

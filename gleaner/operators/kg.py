@@ -8,12 +8,16 @@ confidence>>.  Everything is ordered by (chunk_ord, place in the array).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import clamped, content_id, entity_id, stripped, type_name
-from ..sources.staging import pinned
+from ..sources.staging import package_on_workers, pinned
 
 EVIDENCE_CHARS = 500
 
@@ -53,48 +57,98 @@ def mentions(rows: DataFrame) -> DataFrame:
     return out.withColumn("id", content_id(F.col("chunk_id"), F.col("entity_id")))
 
 
-def _known(rows: DataFrame) -> DataFrame:
-    """document, entity_id, known: an entity's names in a document (its first
-    name, and all aliases), each as written and in lower case, with the place
-    from which it counts."""
-    name = lambda n, canon: F.struct(F.lit(canon).alias("canon"), n.alias("name"))
-    named = rows.select("document", "entity_id", F.struct("chunk_ord", "place").alias("at"), F.explode(F.concat(F.array(name(F.col("name"), True)), F.transform("aliases", lambda a: name(a, False)))).alias("n"))
-    first = named.groupBy("document", "entity_id", "n").agg(F.min("at").alias("first"))
-    got = first.groupBy("document", "entity_id").agg(F.collect_list(F.struct("first", "n")).alias("all"))
-    # Of the names an entity is extracted by, the first one counts.
-    canon = F.array_min(F.filter("all", lambda x: x["n"]["canon"]))
-    kept = F.concat(F.filter("all", lambda x: ~x["n"]["canon"]), F.array(canon))
-    both = F.flatten(F.transform(kept, lambda x: F.transform(F.array_distinct(F.array(x["n"]["name"], F.lower(x["n"]["name"]))), lambda key: F.struct(x["first"].alias("first"), key.alias("key")))))
-    return got.select("document", "entity_id", both.alias("known"))
-
-
-def scopes(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """document, chunk_id, scope: struct<keys, ids>, by which a chunk's own
-    relations name its entities: at each place a name that is known up to the
-    chunk and its entity, those of later entities first.  If a chunk id comes
-    twice its last scope holds."""
-    at = rows.groupBy("document", "chunk_id", "entity_id").agg(F.max(F.struct("chunk_ord", "place")).alias("at"))
-    keys = F.transform(F.filter("known", lambda k: k["first"] <= F.col("at")), lambda k: k["key"])
-    named = at.join(known, ["document", "entity_id"]).select("document", "chunk_id", F.struct("at", "entity_id", keys.alias("keys")).alias("x"))
-    got = named.groupBy("document", "chunk_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    last = F.reverse(F.filter("xs", lambda x: x["at"]["chunk_ord"] == F.element_at("xs", -1)["at"]["chunk_ord"]))
-    got = got.select("document", "chunk_id", last.alias("xs"))
-    ids = F.flatten(F.transform("xs", lambda x: F.array_repeat(x["entity_id"], F.size(x["keys"]))))
-    return got.select("document", "chunk_id", F.struct(F.flatten(F.transform("xs", lambda x: x["keys"])).alias("keys"), ids.alias("ids")).alias("scope"))
-
-
-def _in_scope(scope: Column, name: Column) -> Column:
-    """The entity that a name stands for in a scope: as written, then in lower
-    case; of several the last one.  Null if there is none."""
-    first = lambda key: F.get(scope["ids"], (F.array_position(scope["keys"], key) - 1).cast("int"))
-    return F.coalesce(first(name), first(F.lower(name)))
-
-
-def _in_document(names: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+class _Names:
+    """The names of a document's entities so far, and those of its chunks at
+    one place in the order.  A chunk's entities count up to their last mention
+    in it, those mentioned later first."""
+
+    def __init__(self):
+        self._first: dict[str, dict[str, tuple]] = {}
+        self._ord, self._here = None, {}
+
+    def mention(self, ord_: int, place: int, chunk: str, entity: str, own: list[str], aliases: list[str], last: bool) -> None:
+        """last: whether the chunk isn't met again at a later place."""
+        self._at(ord_)
+        held = self._first.get(entity)
+        if held is None:
+            # Of the names an entity is extracted by, the first one counts.
+            held = self._first[entity] = dict.fromkeys(own, (ord_, place))
+        for name in aliases:
+            held.setdefault(name, (ord_, place))
+        if last:
+            self._here.setdefault(chunk, {})[entity] = place
+
+    def _at(self, ord_: int) -> None:
+        if ord_ != self._ord:
+            self._ord, self._here = ord_, {}
+
+    def entities(self, ord_: int, chunk: str, names: list[dict]) -> list[str | None]:
+        """What names stand for in a chunk: as written, then in lower case."""
+        self._at(ord_)
+        at = sorted(((place, entity) for entity, place in self._here.get(chunk, {}).items()), reverse=True)
+
+        def one(key: str) -> str | None:
+            for place, entity in at:
+                first = self._first[entity].get(key)
+                if first is not None and first <= (ord_, place):
+                    return entity
+            return None
+
+        return [one(n["name"]) or one(n["low"]) for n in names]
+
+
+def scoped(asks: DataFrame, rows: DataFrame) -> DataFrame:
+    """document, chunk_id, ids, carry for asks (document, chunk_id, names,
+    carry): for each of the names the entity that it stands for in its chunk,
+    by the names that are known up to there, or null.  If a chunk id comes twice
+    its last place holds.
+
+    One ordered pass: a document's entities and asks are dealt to one task and
+    sorted, by Spark, which spills; the task goes through them and holds the
+    different names of the document at hand.
+    """
+    keys = lambda n: F.array_distinct(F.array(n, F.lower(n)))
+    none = lambda of: F.lit(None).cast(of)
+    low = F.transform("names", lambda n: F.struct(n.alias("name"), F.lower(n).alias("low")))
+    carried = asks.schema["carry"].dataType
+    said = rows.select("document", "chunk_id", F.lit(0).alias("kind"), F.col("chunk_ord").cast("long").alias("ord"), "place", "entity_id", keys(F.col("name")).alias("own"), F.flatten(F.transform("aliases", keys)).alias("aliases"), none("array<struct<name: string, low: string>>").alias("names"), none(carried).alias("carry"))
+    asked = asks.select("document", "chunk_id", F.lit(1).alias("kind"), none("long").alias("ord"), F.lit(0).alias("place"), none("string").alias("entity_id"), none("array<string>").alias("own"), none("array<string>").alias("aliases"), low.alias("names"), "carry")
+    both = said.unionByName(asked).repartition("document")
+    last = F.max("ord").over(Window.partitionBy("document", "chunk_id"))
+    # Names of a chunk without entities stand for none; where they come is open.
+    both = both.withColumn("last", F.coalesce("ord", F.lit(-1)) == F.coalesce(last, F.lit(-1))).withColumn("ord", F.coalesce("ord", last, F.lit(-1)))
+    both = both.sortWithinPartitions("document", "ord", "kind", "place", F.element_at("own", 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, held = None, _Names()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("document", "chunk_id", "kind", "ord", "place", "entity_id", "own", "aliases", "names", "last")]
+            at, found = [], []
+            for i, (doc, chunk, kind, ord_, place, entity, own, aliases, names, is_last) in enumerate(zip(*columns)):
+                if doc != document:
+                    document, held = doc, _Names()
+                if kind:
+                    at.append(i)
+                    found.append(held.entities(ord_, chunk, names))
+                else:
+                    held.mention(ord_, place, chunk, entity, own, aliases, is_last)
+            if at:
+                here = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([here.column("document"), here.column("chunk_id"), pa.array(found, pa.list_(pa.string())), here.column("carry")], names=["document", "chunk_id", "ids", "carry"])
+
+    package_on_workers(rows.sparkSession)
+    kinds = T.StructType([rows.schema["document"], rows.schema["chunk_id"], T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("carry", carried)])
+    return both.mapInArrow(run, kinds)
+
+
+def _in_document(names: DataFrame, rows: DataFrame) -> DataFrame:
     """document, chunk_id, name, entity_id of names that no chunk's scope has:
     the only entity of the document with that name; of several the one that
     shares most chunks with the entities of this chunk (smallest id on a tie)."""
-    by_key = known.select("document", F.col("entity_id").alias("cand"), F.explode(F.array_distinct(F.transform("known", lambda k: k["key"]))).alias("low")).where(F.col("low") == F.lower("low"))
+    # An entity's first name, and all its aliases.
+    first = F.min(F.struct("chunk_ord", "place", "name")).over(Window.partitionBy("document", "entity_id"))
+    named = rows.withColumn("first", first["name"]).select("document", F.col("entity_id").alias("cand"), F.explode(F.concat(F.array("first"), "aliases")).alias("n"))
+    by_key = named.select("document", "cand", F.lower("n").alias("low")).distinct()
     cands = pinned(names.withColumn("low", F.lower("name")).join(by_key, ["document", "low"]).select("document", "chunk_id", "name", "cand"))
     counted = cands.groupBy("document", "chunk_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("cand").alias("only"))
     only = counted.where("n = 1").select("document", "chunk_id", "name", F.col("only").alias("entity_id"))
@@ -117,16 +171,15 @@ def _in_document(names: DataFrame, rows: DataFrame, known: DataFrame) -> DataFra
 
 def resolve(names: DataFrame, rows: DataFrame) -> DataFrame:
     """document, chunk_id, name, entity_id for the names that can be resolved:
-    in the chunk's scope, or else in the document (see _in_scope, _in_document)."""
+    in the chunk's scope, or else in the document (see scoped, _in_document)."""
     # What several steps read is written once, not computed for each.
     rows = pinned(rows.drop("description"))
-    known = pinned(_known(rows))
-    asked = names.groupBy("document", "chunk_id").agg(F.collect_set("name").alias("names"))
-    found = asked.join(scopes(rows, known), ["document", "chunk_id"], "left")
-    pairs = F.transform("names", lambda n: F.struct(n.alias("name"), _in_scope(F.col("scope"), n).alias("entity_id")))
+    asked = names.groupBy("document", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    found = scoped(asked.withColumn("carry", F.col("names")), rows)
+    pairs = F.arrays_zip(F.col("carry").alias("name"), F.col("ids").alias("entity_id"))
     found = pinned(found.select("document", "chunk_id", F.inline(pairs)))
     rest = found.where("entity_id is null").drop("entity_id")
-    return found.where("entity_id is not null").unionByName(_in_document(rest, rows, known))
+    return found.where("entity_id is not null").unionByName(_in_document(rest, rows))
 
 
 def evidence_fold(quotes: Column) -> Column:
@@ -143,18 +196,16 @@ def evidence_fold(quotes: Column) -> Column:
 def relations(extractions: DataFrame, rows: DataFrame, types: list[str]) -> DataFrame:
     """One row per document and claim (source, type, target)."""
     rows = pinned(rows.drop("description"))
-    known = pinned(_known(rows))
     claim = lambda r: F.struct(stripped(r["source"]).alias("source"), stripped(r["target"]).alias("target"), type_name(r["type"]).alias("type"), F.left(F.coalesce(r["evidence"], F.lit("")), F.lit(EVIDENCE_CHARS)).alias("evidence"), clamped(F.coalesce(r["confidence"], F.lit(0.5))).alias("confidence"))
     usable = lambda c: (F.coalesce(c["source"], F.lit("")) != "") & (F.coalesce(c["target"], F.lit("")) != "") & F.coalesce(c["type"].isin(*types), F.lit(False))
-    # Ends are looked up in a chunk's own row.
-    made = extractions.select("document", "chunk_ord", "chunk_id", F.transform("relations", lambda r, i: F.struct(i.alias("place"), claim(r).alias("c"))).alias("rs"))
-    made = made.withColumn("rs", F.filter("rs", lambda r: usable(r["c"]))).where(F.size("rs") > 0).join(scopes(rows, known), ["document", "chunk_id"], "left")
-    ends = F.transform("rs", lambda r: F.struct(r["place"].alias("place"), r["c"].alias("c"), _in_scope(F.col("scope"), r["c"]["source"]).alias("source_id"), _in_scope(F.col("scope"), r["c"]["target"]).alias("target_id")))
-    raw = pinned(made.select("document", "chunk_ord", "chunk_id", F.inline(ends)).select("document", "chunk_ord", "chunk_id", "place", "c.*", "source_id", "target_id"))
+    made = extractions.select("document", "chunk_id", F.struct("chunk_ord", F.filter(F.transform("relations", lambda r, i: F.struct(i.alias("place"), claim(r).alias("c"))), lambda r: usable(r["c"])).alias("rs")).alias("carry"))
+    made = made.where(F.size("carry.rs") > 0).withColumn("names", F.flatten(F.transform("carry.rs", lambda r: F.array(r["c"]["source"], r["c"]["target"]))))
+    ends = F.transform("carry.rs", lambda r, i: F.struct(r["place"].alias("place"), r["c"].alias("c"), F.get("ids", 2 * i).alias("source_id"), F.get("ids", 2 * i + 1).alias("target_id")))
+    raw = pinned(scoped(made, rows).select("document", F.col("carry.chunk_ord").alias("chunk_ord"), "chunk_id", F.inline(ends)).select("document", "chunk_ord", "chunk_id", "place", "c.*", "source_id", "target_id"))
     done = raw.where("source_id is not null and target_id is not null")
     open_ = raw.where("source_id is null or target_id is null")
     lost = open_.where("source_id is null").select("document", "chunk_id", F.col("source").alias("name")).unionByName(open_.where("target_id is null").select("document", "chunk_id", F.col("target").alias("name"))).distinct()
-    wide = _in_document(lost, rows, known)
+    wide = _in_document(lost, rows)
     end = lambda c: wide.select("document", "chunk_id", F.col("name").alias(c), F.col("entity_id").alias(f"{c}_wide"))
     for c in ("source", "target"):
         open_ = open_.join(end(c), ["document", "chunk_id", c], "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", f"{c}_wide")).where(f"{c}_id is not null")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import transient
 from ..models import failure, tried
-from .staging import forget_at_end, shared_dir
+from .staging import forget_at_end, package_on_workers, shared_dir
 from .store import Table
 
 KIND = "call string, answer string, code int, kind string, error string, attempts int"
@@ -60,6 +60,7 @@ class Ledger:
         return self.read().join(asked.select("call").distinct(), "call", "left_semi")
 
     def _made(self, rows: DataFrame, ask: Callable[[dict], str]) -> DataFrame:
+        package_on_workers(self._spark)
         attempts, wait = self._attempts, self._wait
 
         def one(row: dict) -> tuple:

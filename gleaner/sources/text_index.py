@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
-from .staging import pinned, scope
+from .staging import package_on_workers, pinned, scope
 from .store import BUCKET, Folder
 
 K1, B = 1.2, 0.75
@@ -68,6 +68,7 @@ class TextIndex(Folder):
     def _generation(self, added: DataFrame, removed: DataFrame | None, version: int) -> tuple[dict, int, int]:
         """The folders of a generation, and how the number of texts and of their
         words changes."""
+        package_on_workers(self.spark)
         id_kind = added.schema["id"].dataType.simpleString()
         with scope(self.spark):
             n = added.count()

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import cosine
 from ..operators import cells as C
-from .staging import pinned
+from .staging import package_on_workers, pinned
 from .store import Folder
 
 #: Vectors or queries that one task compares at once.
@@ -182,6 +182,7 @@ class VectorIndex(Folder):
     def _best(self, found: dict, asked: DataFrame, k: int, same: bool) -> DataFrame:
         """query, id, score of the k best of each cell's part for each query
         that asks for the cell (query, q, cell)."""
+        package_on_workers(self.spark)
         sizes: dict[int, int] = {}
         for g in found["generations"]:
             for r in self.spark.read.parquet(f"{self.path}/{g['cells']}").collect():
