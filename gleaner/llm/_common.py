@@ -5,18 +5,14 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import io
-import os
 import threading
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import is_local, pinned, scope, shared_dir  # noqa: F401  (some for the operators)
+from ..sources.staging import package_on_workers, pinned, scope, shared_dir  # noqa: F401  (some for the operators)
 
 #: White space of all contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
@@ -54,36 +50,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def package_on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package: by its place under a local
-    master, else from an archive in the shared folder."""
-    sc = spark.sparkContext
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if is_local(spark):
-        parts = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
-        if root not in parts:
-            sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, parts)])
-        return
-    package = __package__.split(".")[0]
-    if any(os.path.basename(x).startswith(f"{package}-") for x in sc._python_includes):
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for folder, _, names in os.walk(os.path.join(root, package)):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    archive.write(path, os.path.relpath(path, root))
-    path = f"{shared_dir(spark)}/{package}-{uuid.uuid4().hex}.zip"
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(sc._jsc.hadoopConfiguration())
-    out = files.create(where)
-    out.write(bytearray(packed.getvalue()))
-    out.close()
-    files.deleteOnExit(where)
-    sc.addPyFile(path)
-
-
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, and then the worker gives its free memory back to the system: it
     stays alive for later tasks, beside other workers."""
