@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +68,7 @@ class _Names:
         self._first: dict[str, dict[str, tuple]] = {}
         self._ord, self._here = None, {}
 
-    def mention(self, ord_: int, place: int, chunk: str, entity: str, own: list[str], aliases: list[str], last: bool) -> None:
+    def mention(self, ord_: int, place: int, chunk: str, entity: str, own: tuple[str, str], aliases: list[str], last: bool) -> None:
         """last: whether the chunk isn't met again at a later place."""
         self._at(ord_)
         held = self._first.get(entity)
@@ -82,7 +84,7 @@ class _Names:
         if ord_ != self._ord:
             self._ord, self._here = ord_, {}
 
-    def entities(self, ord_: int, chunk: str, names: list[dict]) -> list[str | None]:
+    def entities(self, ord_: int, chunk: str, names: list[str], low: list[str]) -> list[str | None]:
         """What names stand for in a chunk: as written, then in lower case."""
         self._at(ord_)
         at = sorted(((place, entity) for entity, place in self._here.get(chunk, {}).items()), reverse=True)
@@ -94,7 +96,13 @@ class _Names:
                     return entity
             return None
 
-        return [one(n["name"]) or one(n["low"]) for n in names]
+        return [one(n) or one(m) for n, m in zip(names, low)]
+
+
+def _flat(column: pa.Array) -> tuple[list, list[int]]:
+    """All values of a list column, and where each row's begin and end."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False).tolist(), np.append(0, np.cumsum(sizes)).tolist()
 
 
 def scoped(asks: DataFrame, rows: DataFrame) -> DataFrame:
@@ -109,29 +117,30 @@ def scoped(asks: DataFrame, rows: DataFrame) -> DataFrame:
     """
     keys = lambda n: F.array_distinct(F.array(n, F.lower(n)))
     none = lambda of: F.lit(None).cast(of)
-    low = F.transform("names", lambda n: F.struct(n.alias("name"), F.lower(n).alias("low")))
     carried = asks.schema["carry"].dataType
-    said = rows.select("document", "chunk_id", F.lit(0).alias("kind"), F.col("chunk_ord").cast("long").alias("ord"), "place", "entity_id", keys(F.col("name")).alias("own"), F.flatten(F.transform("aliases", keys)).alias("aliases"), none("array<struct<name: string, low: string>>").alias("names"), none(carried).alias("carry"))
-    asked = asks.select("document", "chunk_id", F.lit(1).alias("kind"), none("long").alias("ord"), F.lit(0).alias("place"), none("string").alias("entity_id"), none("array<string>").alias("own"), none("array<string>").alias("aliases"), low.alias("names"), "carry")
+    said = rows.select("document", "chunk_id", F.lit(0).alias("kind"), F.col("chunk_ord").cast("long").alias("ord"), "place", "entity_id", "name", F.lower("name").alias("low"), F.flatten(F.transform("aliases", keys)).alias("aliases"), none("array<string>").alias("lows"), none(carried).alias("carry"))
+    asked = asks.select("document", "chunk_id", F.lit(1).alias("kind"), none("long").alias("ord"), F.lit(0).alias("place"), *[none("string").alias(c) for c in ("entity_id", "name", "low")], F.col("names").alias("aliases"), F.transform("names", F.lower).alias("lows"), "carry")
     both = said.unionByName(asked).repartition("document")
     last = F.max("ord").over(Window.partitionBy("document", "chunk_id"))
     # Names of a chunk without entities stand for none; where they come is open.
     both = both.withColumn("last", F.coalesce("ord", F.lit(-1)) == F.coalesce(last, F.lit(-1))).withColumn("ord", F.coalesce("ord", last, F.lit(-1)))
-    both = both.sortWithinPartitions("document", "ord", "kind", "place", F.element_at("own", 1))
+    both = both.sortWithinPartitions("document", "ord", "kind", "place", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document, held = None, _Names()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("document", "chunk_id", "kind", "ord", "place", "entity_id", "own", "aliases", "names", "last")]
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).tolist()  # noqa: B023, E731
+            (names, ends), (lows, low_ends) = _flat(batch.column("aliases")), _flat(batch.column("lows"))
             at, found = [], []
-            for i, (doc, chunk, kind, ord_, place, entity, own, aliases, names, is_last) in enumerate(zip(*columns)):
+            for i, (doc, chunk, kind, ord_, place, entity, name, low, is_last) in enumerate(zip(*map(column, ("document", "chunk_id", "kind", "ord", "place", "entity_id", "name", "low", "last")))):
                 if doc != document:
                     document, held = doc, _Names()
+                own = names[ends[i] : ends[i + 1]]
                 if kind:
                     at.append(i)
-                    found.append(held.entities(ord_, chunk, names))
+                    found.append(held.entities(ord_, chunk, own, lows[low_ends[i] : low_ends[i + 1]]))
                 else:
-                    held.mention(ord_, place, chunk, entity, own, aliases, is_last)
+                    held.mention(ord_, place, chunk, entity, (name, low), own, is_last)
             if at:
                 here = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([here.column("document"), here.column("chunk_id"), pa.array(found, pa.list_(pa.string())), here.column("carry")], names=["document", "chunk_id", "ids", "carry"])
