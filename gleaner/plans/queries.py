@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import bandit, browse, chunks, discover, graph, kg, search
 from ..sources import bulk, store
-from ..sources.staging import forget_at_end, shared_dir
+from ..sources.staging import forget_at_end, pinned, shared_dir
 from ..sources.text_index import TextIndex
 from ..streaming import rewards
 from . import tables as T
@@ -330,8 +330,9 @@ def best_path(s, d):
     return graph.best_path(*T.tree(s, d))
 
 
-def _extracted(s, d):
-    x = T.extractions(s, d)
+def _extracted(s, d, twice=False):
+    """Extractions, written first if they are read twice, and their entities."""
+    x = pinned(T.extractions(s, d)) if twice else T.extractions(s, d)
     return x, kg.entity_rows(x, "c1", ["THING", "CONCEPT"])
 
 
@@ -349,7 +350,7 @@ def mention_fold(s, d):
 
 @query
 def alias_resolution(s, d):
-    x, rows = _extracted(s, d)
+    x, rows = _extracted(s, d, twice=True)
     names = x.select("document", "chunk_id", F.explode("relations").alias("r"))
     names = names.select("document", "chunk_id", F.col("r.source").alias("name")).unionByName(names.select("document", "chunk_id", F.col("r.target").alias("name")))
     return kg.resolve(names, rows)
@@ -357,7 +358,7 @@ def alias_resolution(s, d):
 
 @query
 def relation_fold(s, d):
-    x, rows = _extracted(s, d)
+    x, rows = _extracted(s, d, twice=True)
     out = kg.relations(x, rows, ["GOES_WITH"])
     return out.select("document", "source_id", "target_id", "id", F.array_join("source_chunks", ",").alias("source_chunks"), F.round("confidence", 6).alias("confidence"), "evidence")
 
