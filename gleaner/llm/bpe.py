@@ -17,7 +17,8 @@ characters), so that memory doesn't grow with the partition.
 Edge cases.  Null texts count as empty; empty texts have no ids, and no ids
 decode to an empty text; null ids decode to null.  Rows that repeat, tables
 without rows, and texts of any length need no special treatment: memory holds
-a block of rows, its new chunks and a cache of at most CACHE_BYTES.
+a block of rows, its new chunks and a cache of at most CACHE_BYTES.  Other
+columns are not read, so none can clash.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ at a time.  The second pass deals the texts by conversation in the same order,
 each conversation's edits before its rows, and digests the repaired rows as
 they stream by.
 
-A task holds some 30 bytes for each row of the conversation that it works on,
+A task holds some 100 bytes for each row of the conversation that it works on,
 which is of the order of its audit string, and no texts but those of a batch.
 A digest is sequential, so one task reads the texts of one conversation.
 

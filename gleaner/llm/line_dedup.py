@@ -14,7 +14,9 @@ Edge cases.  Null and empty texts are one empty line, and stay empty.  A text
 that loses all its lines becomes empty.  Rows that repeat an id count as one
 document; if it is the largest, all of them keep their lines.  Rows without id
 keep their lines and don't count.  A key that occurs several times in the
-document that keeps it stays there each time.  No rows give no rows.
+document that keeps it stays there each time.  Long texts are split whole.
+Columns that come along do so in a struct, others aren't read, so none can
+clash.  No rows give no rows.
 """
 
 from __future__ import annotations

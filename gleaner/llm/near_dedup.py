@@ -26,7 +26,8 @@ Edge cases.  Null and empty texts, and texts without words, have an empty set
 and are linked with nothing.  Texts of fewer words than a shingle are one
 shingle.  Rows that repeat an id count as one document, which has the links of
 all of them.  Rows without id are linked with nothing and have no component;
-they are kept.  No rows give no rows.
+they are kept.  Long texts are compared whole.  Other columns are not read, so
+none can clash.  No rows give no rows.
 """
 
 from __future__ import annotations

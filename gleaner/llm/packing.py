@@ -15,7 +15,9 @@ to hold as many of them as there are.
 Edge cases.  Null text counts as empty: one piece that holds the end id only.
 Texts longer than the capacity are cut into pieces of the capacity, the last
 may be shorter.  Rows that repeat an id are packed one by one.  Null ids are
-packed like others.  A table without rows gives no rows.
+packed like others.  Of bins that fit equally well any may be taken; the
+number of sequences doesn't depend on names.  Other columns are not read, so
+none can clash.  A table without rows gives no rows.
 """
 
 from __future__ import annotations

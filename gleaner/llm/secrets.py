@@ -12,7 +12,9 @@ each rule; then matches that are too short are dropped.
 
 Edge cases.  Null and empty texts have no spans.  Rows that repeat an id share
 their postings; each row is searched on its own, so the spans are those of its
-text.  Rows without id are searched with every rule.  No rows, no rows.
+text.  Rows without id are searched with every rule.  Long texts are searched
+whole.  Columns that come along do so in a struct, others aren't read, so none
+can clash.  No rows, no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ the shortest n-gram, get the intercept's probability.  Rows that repeat are
 scored alike, each on its own.  Labels that are null, or whose id is null,
 aren't learned from; if an id has several labels the largest counts.  Without
 both classes among the labels the score is the smoothed share of class 1
-everywhere (0.5 without labels).  An empty table gives an empty table.
+everywhere (0.5 without labels).  Long texts count whole.  Ids of equal hash
+rank are drawn by id, features of equal surety by their number.  Other columns are not read,
+so none can clash.  An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ empty.  Labels whose id or outcome is null, or whose page is unknown, don't
 count; if a page has several the worst counts.  Pages that repeat an id are
 judged one by one, and each counts as an outcome.  Where no member of a level
 has two outcomes, its correlation is ``unknown``.  Without labels all rates are
-1/2 with no evidence, so nothing is blocked.  No pages give no rows.
+1/2 with no evidence, so nothing is blocked.  Of rules of one length that fit
+the last by name holds; long urls need no special treatment.  Other columns are
+not read, so none can clash.  No pages give no rows.
 """
 
 from __future__ import annotations
