@@ -13,7 +13,6 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import actions as registry
 from . import models
@@ -554,9 +553,8 @@ class Engine:
         if not self.completer:
             raise ValueError("an ontology needs a completer")
         rows = browse.in_corpus(self.read("insight"), corpus, or_none=True)
-        best = F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), "id"))
         findings: dict[str, list[dict]] = {}
-        for r in rows.withColumn("place", best).where("place <= 20").orderBy("strategy", "place").select("strategy", "text", "score", "layer").collect():
+        for r in browse.best_of_each(rows, "strategy", 20).orderBy("strategy", "place").select("strategy", "text", "score", "layer").collect():
             findings.setdefault(r.strategy, []).append(r.asDict())
         return generated(corpus, findings, self.completer)
 
@@ -701,8 +699,9 @@ class Engine:
 
     def stats(self) -> dict:
         layers = {r.layer: r.n for r in self.read("insight").groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}
-        count = lambda n: self.read(n).count()
-        return {"corpora": count("corpus"), "documents": count("document"), "chunks": count("chunk"), "insights_l1": layers.get(1, 0), "insights_l2": layers.get(2, 0), "entities": count("entity"), "relations": count("relation")}
+        tables = {"corpora": "corpus", "documents": "document", "chunks": "chunk", "entities": "entity", "relations": "relation"}
+        n = browse.sizes(**{name: self.read(t) for name, t in tables.items()}).first()
+        return {"corpora": n.corpora, "documents": n.documents, "chunks": n.chunks, "insights_l1": layers.get(1, 0), "insights_l2": layers.get(2, 0), "entities": n.entities, "relations": n.relations}
 
     def insights(self, corpus: str = "", strategy: str = "", limit: int = 10) -> list[dict]:
         corpus = self.resolve_corpus(corpus)
@@ -714,7 +713,7 @@ class Engine:
     def entity_search(self, query: str, limit: int = 10) -> list[dict]:
         rows = self.read("entity")
         hits = self.words("entity", query, limit)
-        degree = self.read("mention").groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("mentions"))
+        degree = browse.mentioned(self.read("mention").select(F.col("entity_id").alias("entity"), F.col("chunk_id").alias("doc"))).select(F.col("entity").alias("id"), "mentions")
         return [r.asDict() for r in hits.join(rows.select("id", "name", "entity_type", "description"), "id").join(degree, "id", "left").fillna(0, ["mentions"]).orderBy(F.desc("score"), "id").collect()]
 
     def entity_graph(self, name: str) -> dict:

@@ -37,6 +37,34 @@ def chosen(rows: DataFrame, **equal: str) -> DataFrame:
     return rows
 
 
+def best_of_each(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows with the highest score of each value of a column, with their
+    place; ties go to the smaller id."""
+    best = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+    return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def sizes(**tables: DataFrame) -> DataFrame:
+    """One row: the number of rows of each table."""
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
+def mentioned(mentions: DataFrame) -> DataFrame:
+    """entity, mentions, docs of mentions (entity, doc)."""
+    return mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc").alias("docs"))
+
+
+def entity_counts(entities: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    """entity, mentions, docs, incoming of each of the entities (entity), 0 for
+    those that have none."""
+    incoming = relations.groupBy(F.col("target").alias("entity")).agg(F.count(F.lit(1)).alias("incoming"))
+    return entities.select("entity").join(mentioned(mentions), "entity", "left").join(incoming, "entity", "left").fillna(0)
+
+
 def to_embed(rows: DataFrame, missing_only: bool = True, limit: int | None = None) -> DataFrame:
     """The rows (id, embedding and more) without a vector, or all, by id."""
     rows = rows.where("embedding is null") if missing_only else rows

@@ -189,18 +189,13 @@ def dirty_entities(s, d):
 
 @query
 def graph_stats(s, d):
-    count = lambda name, df: df.agg(F.count(F.lit(1)).alias(name))
-    out = count("corpora", T.documents(s, d).select("corpus").distinct())
-    for name, df in (("documents", T.documents(s, d)), ("chunks", T.table(s, d, "embeddings")), ("entities", T.table(s, d, "part")), ("relations", T.relations(s, d))):
-        out = out.crossJoin(count(name, df))  # one row each
-    return out
+    docs = T.documents(s, d)
+    return browse.sizes(corpora=docs.select("corpus").distinct(), documents=docs, chunks=T.table(s, d, "embeddings"), entities=T.table(s, d, "part"), relations=T.relations(s, d))
 
 
 @query
 def entity_stats(s, d):
-    m = T.mentions(s, d).groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc").alias("docs"))
-    i = T.relations(s, d).groupBy(F.col("target").alias("entity")).agg(F.count(F.lit(1)).alias("incoming"))
-    return T.table(s, d, "part").select(F.col("p_partkey").alias("entity")).join(m, "entity", "left").join(i, "entity", "left").fillna(0)
+    return browse.entity_counts(T.table(s, d, "part").select(F.col("p_partkey").alias("entity")), T.mentions(s, d), T.relations(s, d))
 
 
 def _derived(s, d):
@@ -415,10 +410,7 @@ def lenient_json(s, d):
 
 @query
 def top_insights_per_strategy(s, d):
-    from pyspark.sql.window import Window
-
-    rows = T.insights(s, d).select("id", "strategy", "score")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), "id"))).where("place <= 20")
+    return browse.best_of_each(T.insights(s, d).select("id", "strategy", "score"), "strategy", 20)
 
 
 @query
@@ -431,8 +423,8 @@ def last_evidence(s, d):
 @query
 def typed_keys(s, d):
     key = F.concat(F.element_at(F.array(*map(F.lit, ("chunk", "insight", "entity"))), (F.col("vec_id") % 3 + 1).cast("int")), F.lit(":"), F.col("vec_id").cast("string"), F.lit(":x"))
-    parts = F.split(key, ":", 2)
-    return T.table(s, d, "embeddings").select("vec_id", parts[0].alias("kind"), parts[1].alias("key"))
+    kind, id_ = bulk.typed(key)
+    return T.table(s, d, "embeddings").select("vec_id", kind.alias("kind"), id_.alias("key"))
 
 
 # Listings and look-ups

@@ -33,12 +33,19 @@ def requests(tables: dict[str, DataFrame], size: int = 768) -> DataFrame:
     return out
 
 
+def typed(key: Column) -> tuple[Column, Column]:
+    """The kind and the id in a key kind:id; what follows the first colon is the
+    id."""
+    parts = F.split(key, ":", 2)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
 def results(lines: DataFrame) -> DataFrame:
     """kind, id, embedding of the result lines (value); lines that can't be
     read, or have no key or no vector, are left out."""
     r = lines.select(F.from_json("value", RESULT).alias("r")).select("r.key", F.get("r.response.embeddings", F.lit(0)).getField("values").alias("embedding"))
-    parts = F.split("key", ":", 2)
-    out = r.select(F.get(parts, F.lit(0)).alias("kind"), F.get(parts, F.lit(1)).alias("id"), "embedding")
+    kind, id_ = typed(F.col("key"))
+    out = r.select(kind.alias("kind"), id_.alias("id"), "embedding")
     return out.where((F.coalesce(F.col("id"), F.lit("")) != "") & (F.coalesce(F.size("embedding"), F.lit(0)) > 0))
 
 
