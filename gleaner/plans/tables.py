@@ -20,23 +20,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("corpus"), path.alias("path"), "text")
 
 
+def _built(spark: SparkSession, index, rows: DataFrame):
+    if index.of() is None:
+        forget_at_end(spark, index.path)
+        try:
+            index.build(rows)
+        except RuntimeError:  # another query built it meanwhile
+            if index.of() is None:
+                raise
+    return index
+
+
 def text_index(spark: SparkSession, sf_dir: str, name: str, texts: DataFrame) -> TextIndex:
     """The index of texts of a table, kept in the shared folder for as long as
     the table's files stay as they are and the driver lives."""
     index = TextIndex(spark, f"{shared_dir(spark)}/text-{name}-{fingerprint(spark, f'{sf_dir}/{name}.parquet')}")
-    if index.of() is None:
-        index.build(texts)
-        forget_at_end(spark, index.path)
-    return index
+    return _built(spark, index, texts)
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The index of all vectors, kept like text_index."""
     index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}")
-    if index.of() is None:
-        index.build(vectors(spark, sf_dir).select("id", "embedding", "doc_path"))
-        forget_at_end(spark, index.path)
-    return index
+    return _built(spark, index, vectors(spark, sf_dir).select("id", "embedding", "doc_path"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
