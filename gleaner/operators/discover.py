@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from ..functions.columns import NOISE_PATTERNS, bridge_score, dot, entity_bridge_score, gap_kept, gap_score, hash_order, noisy, path_distance
@@ -15,6 +19,12 @@ from ..sources.staging import package_on_workers
 from . import cells
 
 THRESHOLD = 0.65
+#: Groups of vectors in the similarity join, and the most rows of one.
+GROUPS, MOST = 24, 32_768
+#: Cosines that are computed at once.
+AT_ONCE = 2_000_000
+#: Sides of rows in a tile other than 0 and 1: of one group with itself; no vectors but pairs.
+WITHIN, PAIRS = 2, 3
 
 
 def sampled(chunks: DataFrame, raw: int, final: int, seed: int = 0, least_chars: int = 80, noise: tuple[str, ...] = NOISE_PATTERNS) -> DataFrame:
@@ -24,72 +34,191 @@ def sampled(chunks: DataFrame, raw: int, final: int, seed: int = 0, least_chars:
     return drawn.where(~noisy(F.col("doc_path"), noise) & (F.length("text") >= least_chars)).orderBy("o").limit(final).drop("o")
 
 
-def _parts(vectors: DataFrame, threshold: float, block: int, cell_rows: int) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """id, e, cell, part of the vectors that can be in a pair, and the pairs of
-    cells (x, y, parts of x, parts of y) that have to be compared."""
-    rows = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+class _Deal(NamedTuple):
+    """How vectors are dealt to groups, two of which meet in a tile."""
+
+    rows: DataFrame  # id, e, cell, group and what is carried
+    tiles: list[tuple[int, int]]
+    meets: np.ndarray | None  # which cells have to be compared; None: all
+    compared: int
+    by_id: Callable[[Column], Column] | None  # the group by the id alone, if it goes by that
+
+
+def _deal(vectors: DataFrame, threshold: float, block: int, cell_rows: int, carry: Iterable[str | Column] = ()) -> _Deal:
+    """Groups hold neighbouring cells, or parts of cells, of about equal numbers
+    of rows.  There are GROUPS of them at most, so that a vector is copied no
+    more often in a larger table, unless one had more than MOST rows."""
+    narrow = vectors.schema["embedding"].dataType == ArrayType(FloatType())
+    e = F.col("embedding") if narrow else F.col("embedding").cast("array<double>").alias("embedding")
+    rows = vectors.where("embedding is not null").select("id", e, *carry)
     n = rows.count()
-    if n <= max(block, 2 * cell_rows):
-        sizes, at = {0: n}, rows.withColumn("cell", F.lit(0))
-        pairs = [(0, 0)]
-    else:
+    counts, meets, compared, at = np.array([n]), None, n * (n - 1) // 2, rows.withColumn("cell", F.lit(0))
+    if n > max(block, 2 * cell_rows):
         middle = cells.centres(rows, min(1024, n // cell_rows), n)
-        at = cells.placed(rows, middle)
-        found = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
-        sizes = {r.cell: r.n for r in found if r.cell != cells.NOWHERE or threshold <= 0}
-        kept = np.array(sorted(c for c in sizes if c != cells.NOWHERE), np.int64)
-        radius = {r.cell: r.radius for r in found}
-        x, y = np.nonzero(cells.meeting(middle[kept], np.array([radius[c] for c in kept]), threshold)) if len(kept) else ([], [])
-        pairs = [(int(kept[i]), int(kept[j])) for i, j in zip(x, y) if i <= j]
-        # Vectors without a direction have cosine 0 with all.
-        pairs += [(cells.NOWHERE, c) for c in sorted(sizes)] if cells.NOWHERE in sizes else []
-    parts = {c: max(1, -(-k // block)) for c, k in sizes.items()}
-    shown = F.lit(0) if set(parts.values()) <= {1} else F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]), F.col("cell"))).cast("int")
-    at = at.where(F.col("cell").isin(list(parts))) if parts else at.limit(0)
-    return at.select("id", F.col("embedding").alias("e"), "cell", shown.alias("part")), [(x, y, parts[x], parts[y]) for x, y in pairs]
+        placed = cells.placed(rows, middle)
+        found = {r.cell: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect() if r.cell != cells.NOWHERE or threshold <= 0}
+        names = sorted(found)
+        kept = [c for c in names if c != cells.NOWHERE]
+        # Vectors without a direction have cosine 0 with all; theirs is the first cell.
+        near = np.ones((len(names), len(names)), bool)
+        if kept:
+            near[-len(kept) :, -len(kept) :] = cells.meeting(middle[kept], np.array([found[c].radius for c in kept]), threshold)
+        sizes = np.array([found[c].n for c in names], np.int64)
+        twice = int(sizes @ near @ sizes) - int(sizes[np.diag(near)].sum())
+        # Cells that rule out less than half aren't worth their bounds.
+        if twice // 2 <= compared // 2:
+            counts, meets, compared = sizes, near, twice // 2
+            known = vectors.sparkSession.createDataFrame([(c, i, int(o), int(k)) for i, (c, o, k) in enumerate(zip(names, np.cumsum(sizes) - sizes, sizes))], "cell int, at int, first long, size long")
+            at = placed.drop("angle").join(F.broadcast(known), "cell").drop("cell").withColumnRenamed("at", "cell")
+    total = int(counts.sum())
+    g = max(min(GROUPS, -(-total // block)), -(-total // MOST))
+    by_id = None
+    if meets is None:
+        by_id = lambda c: F.floor(F.pmod(F.xxhash64(c.cast("long")), F.lit(max(1, n))) * g / max(1, n)).cast("int")
+        at = at.withColumn("group", by_id(F.col("id")))
+    else:
+        at = at.withColumn("group", F.floor((F.col("first") + F.pmod(F.xxhash64("id"), F.col("size"))) * g / total).cast("int")).drop("first", "size")
+    tiles = [(x, y) for x in range(g) for y in range(x, g)]
+    if meets is not None and total:
+        first = np.cumsum(counts) - counts
+        low, high = first * g // total, (first + counts - 1) * g // total
+        holds = (low[None, :] <= np.arange(g)[:, None]) & (high[None, :] >= np.arange(g)[:, None])
+        some = holds.astype(np.int64) @ meets @ holds.T.astype(np.int64) > 0
+        tiles = [t for t in tiles if some[t]]
+    return _Deal(at.withColumnRenamed("embedding", "e"), tiles, meets, compared, by_id)
 
 
 def comparisons(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 1024, cell_rows: int = 256) -> tuple[int, int]:
     """How many pairs similar_pairs compares, and how many there are."""
-    rows, pairs = _parts(vectors, threshold, block, cell_rows)
-    size = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = vectors.where("embedding is not null").count()
-    return sum(size.get(x, 0) * (size.get(x, 0) - 1) // 2 if x == y else size.get(x, 0) * size.get(y, 0) for x, y, _, _ in pairs), n * (n - 1) // 2
+    return _deal(vectors, threshold, block, cell_rows).compared, n * (n - 1) // 2
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile, from batches that are sorted by it."""
+    held, at = [], None
+    for batch in batches:
+        tile = batch.column("tile").to_numpy()
+        cuts = (np.flatnonzero(np.diff(tile)) + 1).tolist()
+        for i, j in zip([0, *cuts], [*cuts, len(tile)]):
+            if i == j:
+                continue
+            if held and tile[i] != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = tile[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _hits(rows: pa.Table, meets: np.ndarray | None, threshold: float, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """p, q, similarity: places in a tile's rows of the pairs that pass, the
+    smaller id first.  Single precision finds them, double precision decides."""
+    e = rows["e"].combine_chunks()
+    sizes = pc.list_value_length(e).to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors have different lengths")
+    side, cell, ids = (rows[c].to_numpy() for c in ("side", "cell", "id"))
+    wide = cells.units(e.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1))
+    d = wide.shape[1]
+    order = np.lexsort((cell, side))
+    within = bool(len(side)) and side[0] == WITHIN
+    left, right = (order, order) if within else (order[side[order] == 0], order[side[order] == 1])
+    if not len(left) or not len(right):
+        return
+    x, y = (wide[k].astype(np.float32) for k in (left, right))
+    slack = 1e-6 + (d + 8) * 2.0**-23
+    cuts = [] if meets is None else (np.flatnonzero(np.diff(cell[left])) + 1).tolist()
+    for start, end in zip([0, *cuts], [*cuts, len(left)]):
+        near = np.arange(len(right)) if meets is None else np.flatnonzero(meets[cell[left[start]], cell[right]])
+        there = y if len(near) == len(right) else y[near]
+        i = start
+        while i < end:
+            # Within a group each two meet once.
+            skip = int(np.searchsorted(near, i)) if within else 0
+            width = len(near) - skip
+            if not width:
+                break
+            stop = min(end, i + max(1, min(256, AT_ONCE // width)))
+            sims = x[i:stop] @ there[skip:].T
+            fits = sims >= np.float32(threshold - slack)
+            if most < 1:
+                fits &= sims <= np.float32(most + slack)
+            at, to = np.divmod(np.flatnonzero(fits), width)
+            at, to = at + i, near[to + skip]
+            if within:
+                at, to = at[to > at], to[to > at]
+            p, q = left[at], right[to]
+            step = max(1, 4_000_000 // max(1, d))
+            exact = [np.einsum("ij,ij->i", wide[p[k : k + step]], wide[q[k : k + step]]) for k in range(0, len(p), step)]
+            if exact:
+                sim = np.round(np.concatenate(exact), 6)
+                keep = (sim >= threshold) & (sim <= most)
+                p, q, sim = p[keep], q[keep], sim[keep]
+                swap = ids[p] > ids[q]
+                if len(p):
+                    yield np.where(swap, q, p), np.where(swap, p, q), sim
+            i = stop
+
+
+def _tiled(deal: _Deal, threshold: float, most: float, fold: Callable, kinds: str, more: DataFrame | None = None) -> DataFrame:
+    """What fold(rows, hits) gives for each tile.  more: tile, a, b of pairs
+    that the fold gets with the tile's rows (side PAIRS)."""
+    spark = deal.rows.sparkSession
+    package_on_workers(spark)
+    number = {t: k for k, t in enumerate(deal.tiles)}
+    copies = [(x, number[x, y], WITHIN if x == y else 0) for x, y in deal.tiles] + [(y, number[x, y], 1) for x, y in deal.tiles if x < y]
+    dealt = deal.rows.join(F.broadcast(spark.createDataFrame(copies, "group int, tile int, side int")), "group").drop("group")
+    if more is not None:
+        dealt = dealt.unionByName(more.withColumn("side", F.lit(PAIRS)), allowMissingColumns=True)
+    meets, n = deal.meets, max(1, len(deal.tiles))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_tile(batches):
+            own, pairs = rows, None
+            if "a" in rows.column_names:
+                is_pair = pc.equal(rows["side"], PAIRS)
+                own, pairs = rows.filter(pc.invert(is_pair)), rows.filter(is_pair).select(["a", "b"])
+            if len(own):
+                hits = _hits(own, meets, threshold, most)
+                yield from fold(own, hits) if pairs is None else fold(own, hits, pairs)
+
+    # A tile is much work for little data, so it isn't put together with others.
+    return dealt.repartitionById(n, F.col("tile")).sortWithinPartitions("tile").mapInArrow(run, kinds)
+
+
+def _pairs_of(rows: pa.Table, hits: Iterator) -> Iterator[pa.RecordBatch]:
+    ids = rows["id"].to_numpy()
+    for p, q, sim in hits:
+        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(sim)], names=["a", "b", "similarity"])
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, most: float = 1.0, block: int = 1024, cell_rows: int = 256) -> DataFrame:
     """a, b, similarity of all pairs a < b of vectors (id long, embedding)
     whose cosine, to six places, is from threshold to most.
 
-    Vectors are dealt to cells by direction; two cells meet only if the angle
-    between their centres, less both radii, allows the threshold.  Cells that
-    meet are compared as matrices, in parts of bounded size; only the pairs
-    that pass come out.  Up to 1024 cells and their pairs are on the driver.
+    Vectors are dealt to cells by direction; two cells are compared only if the
+    angle between their centres, less both radii, allows the threshold.  Cells
+    are put together to a fixed number of groups; each two groups are compared
+    in a task, piece by piece, and only the pairs that pass come out.  Up to
+    1024 cells and which of them meet are on the driver.
     """
-    rows, pairs = _parts(vectors, threshold, block, cell_rows)
-    spark = vectors.sparkSession
-    package_on_workers(spark)
-    # For each cell the cells that it meets, with its side.
-    sides = [(x, x, y, m, 0) for x, y, _, m in pairs] + [(y, x, y, n, 1) for x, y, n, _ in pairs if x != y] + [(x, x, x, n, 1) for x, y, n, _ in pairs if x == y]
-    meets = spark.createDataFrame(sides, "cell int, x int, y int, parts int, side int")
-    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = rows.join(F.broadcast(meets), "cell").select("id", "e", "x", "y", "side", "part", each)
-    dealt = dealt.withColumn("i", F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("part")))
-    # Within a cell each two parts meet once.
-    dealt = dealt.where("x <> y or i <= j").select("id", "e", "side", "x", "y", "i", "j")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["side"] == 0], group[group["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        sims = np.round(cells.units(np.stack(left["e"])) @ cells.units(np.stack(right["e"])).T, 6)
-        i, j = np.nonzero((sims >= threshold) & (sims <= most))
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        within = group["x"].iloc[0] == group["y"].iloc[0] and group["i"].iloc[0] == group["j"].iloc[0]
-        keep = a < b if within else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[i, j][keep]})
-
-    return dealt.groupBy("x", "y", "i", "j").applyInPandas(compare, "a long, b long, similarity double")
+    return _tiled(_deal(vectors, threshold, block, cell_rows), threshold, most, _pairs_of, "a long, b long, similarity double")
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """A number for each different value, -1 for null, and the values."""
+    coded = column.combine_chunks().dictionary_encode()
+    return pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _apart(code: np.ndarray, hits: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The hits of two different values, neither of them null."""
+    for p, q, sim in hits:
+        keep = (code[p] != code[q]) & (code[p] >= 0) & (code[q] >= 0)
+        if keep.any():
+            yield p[keep], q[keep], sim[keep]
 
 
 def _with_sides(pairs: DataFrame, chunks: DataFrame) -> DataFrame:

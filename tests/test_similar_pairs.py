@@ -2,7 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from gleaner.functions import columns as C
 from gleaner.operators import cells, discover
 
 
@@ -53,3 +56,39 @@ def test_no_vectors(spark):
     assert discover.similar_pairs(frame(spark, [None, [1.0, 0.0]])).collect() == []
     zeros = frame(spark, [[0.0, 0.0]] * 40)
     assert discover.similar_pairs(zeros, 0.5, cell_rows=10, block=10).collect() == [] and discover.similar_pairs(zeros, 0.0, cell_rows=10, block=10).count() == 780
+
+
+def documents(spark, m, paths, lengths):
+    rows = [(k, [float(v) for v in x], p, None if n is None else "x" * n, ("bridge", "hub", "gap", None)[k % 4], (k % 17) / 17) for k, (x, p, n) in enumerate(zip(m, paths, lengths))]
+    return spark.createDataFrame(rows, "id long, embedding array<float>, doc_path string, text string, strategy string, score double")
+
+
+@pytest.fixture(scope="module", params=["clustered", "scattered"])
+def chunks(request, spark):
+    """More than one group's rows, with and without cells that rule others out."""
+    n = 2300
+    m = clustered(7, n) if request.param == "clustered" else np.float32(np.random.default_rng(8).normal(size=(n, 16)))
+    m[100:140] = m[99]
+    m[200] = 0
+    rng = np.random.default_rng(9)
+    paths = [None if k == 5 else f"d{k}/f{j}.md" for k, j in zip(rng.integers(0, 6, n), rng.integers(0, 7, n))]
+    rows = documents(spark, m, paths, [None if k % 50 == 1 else k % 450 for k in range(n)]).cache()
+    return rows, spark.createDataFrame([(a, b, float(v)) for (a, b), v in brute(list(m), 0.7, 1.0).items()], "a long, b long, similarity double").cache()
+
+
+def sides(rows, pairs):
+    side = lambda s: rows.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in ("id", "doc_path", "text", "strategy", "score")])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def same(got, need):
+    columns = sorted(need.columns)
+    x, y = (sorted((tuple(str(v) for v in r) for r in df.select(columns).collect())) for df in (got, need))
+    assert x == y and x
+
+
+def test_vectors_are_copied_no_more_often_in_larger_tables(spark):
+    few = lambda n, block: {(x, y) for x, y in discover._deal(spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding")), -1.0, block, 10**9).tiles}
+    for n in (3_000, 30_000):
+        tiles = few(n, 100)
+        assert max(x for x, _ in tiles) < discover.GROUPS and len(tiles) <= discover.GROUPS * (discover.GROUPS + 1) // 2
