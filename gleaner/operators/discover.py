@@ -332,11 +332,45 @@ def bridged_pairs(sources: DataFrame, among: DataFrame) -> DataFrame:
     return found.where(F.size("s") == 2).select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).distinct()
 
 
+def _not_bridged(rows: pa.Table, hits: Iterator, bridged: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs of different strategies that aren't among the bridged ones."""
+    ids, code = rows["id"].to_numpy(), _codes(rows["strategy"])[0]
+    strategy, score = rows["strategy"].combine_chunks(), rows["score"].combine_chunks()
+    by_id = np.argsort(ids)
+    places = [np.minimum(np.searchsorted(ids, bridged[c].to_numpy(), sorter=by_id), len(ids) - 1) for c in ("a", "b")]
+    known = np.ones(len(bridged), bool)
+    for c, at in zip(("a", "b"), places):
+        known &= ids[by_id[at]] == bridged[c].to_numpy()
+    done = np.unique(places[0][known] * len(ids) + places[1][known])
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    for p, q, sim in _apart(code, hits):
+        if len(done):
+            key = rank[p] * len(ids) + rank[q]
+            keep = done[np.minimum(np.searchsorted(done, key), len(done) - 1)] != key
+            p, q, sim = p[keep], q[keep], sim[keep]
+        at, to = pa.array(p), pa.array(q)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), strategy.take(at), strategy.take(to), pa.array(sim), score.take(at), score.take(to)], names=["a", "b", "strategy_a", "strategy_b", "similarity", "score_a", "score_b"])
+
+
 def meta_pairs(insights: DataFrame, bridged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Similar insights (id, strategy, score, embedding) of different
-    strategies that no insight bridges yet."""
-    side = lambda s: insights.select(F.col("id").alias(s), F.col("strategy").alias(f"strategy_{s}"), F.col("score").alias(f"score_{s}"))
-    rows = similar_pairs(insights, threshold).join(side("a"), "a").join(side("b"), "b").where("strategy_a <> strategy_b").join(bridged, ["a", "b"], "left_anti")
+    strategies that no insight bridges yet.
+
+    Bridged pairs are dealt to the tiles, so the similar pairs, of which there
+    may be many more, aren't moved at all.
+    """
+    deal = _deal(insights, threshold, 1024, 256, ["strategy", F.col("score").cast("double").alias("score")])
+    pairs = bridged.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    if deal.by_id is not None:
+        pairs = pairs.withColumn("group_a", deal.by_id(F.col("a"))).withColumn("group_b", deal.by_id(F.col("b")))
+    else:
+        for c in ("a", "b"):
+            pairs = pairs.join(deal.rows.select(F.col("id").alias(c), F.col("group").alias(f"group_{c}")), c)
+    tiles = insights.sparkSession.createDataFrame([(x, y, t) for t, (x, y) in enumerate(deal.tiles)], "x int, y int, tile int")
+    meet = (F.least("group_a", "group_b") == F.col("x")) & (F.greatest("group_a", "group_b") == F.col("y"))
+    pairs = pairs.where("a < b").join(F.broadcast(tiles), meet).select("tile", "a", "b")
+    rows = _tiled(deal, threshold, 1.0, _not_bridged, "a long, b long, strategy_a string, strategy_b string, similarity double, score_a double, score_b double", pairs)
     score = F.col("similarity") * (0.5 + 0.5 * (F.col("score_a") + F.col("score_b")) / 2)
     return rows.select("a", "b", "strategy_a", "strategy_b", "similarity", F.round(score, 6).alias("score"))
 

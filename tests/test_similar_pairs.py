@@ -92,3 +92,13 @@ def test_vectors_are_copied_no_more_often_in_larger_tables(spark):
     for n in (3_000, 30_000):
         tiles = few(n, 100)
         assert max(x for x, _ in tiles) < discover.GROUPS and len(tiles) <= discover.GROUPS * (discover.GROUPS + 1) // 2
+
+
+def test_bridged_pairs_are_left_out_group_by_group(spark, chunks):
+    rows, pairs = chunks
+    bridged = pairs.where("(a + b) % 3 = 0").select("a", "b").unionByName(spark.createDataFrame([(-1, 5), (7, 7), (9, 3)], "a long, b long"))
+    need = sides(rows, pairs.where("(a + b) % 3 <> 0")).where("strategy_a <> strategy_b")
+    score = F.col("similarity") * (0.5 + 0.5 * (F.col("score_a") + F.col("score_b")) / 2)
+    got = discover.meta_pairs(rows, bridged, 0.7)
+    same(got, need.select("a", "b", "strategy_a", "strategy_b", "similarity", F.round(score, 6).alias("score")))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
