@@ -231,9 +231,46 @@ def cross_document_pairs(chunks: DataFrame, threshold: float = THRESHOLD, most:
     return _with_sides(similar_pairs(chunks, threshold, most), chunks).select("a", "b", "similarity")
 
 
+def _best_of_documents(rows: pa.Table, hits: Iterator) -> Iterator[pa.RecordBatch]:
+    """Of each two documents the pairs that may be the best by bridge_score.
+
+    Between two documents the distance is one, so what is left of the score
+    decides; its rounding to six places isn't done here, so all pairs that come
+    that near to the best stay, of equal ones the first.
+    """
+    ids, (code, paths) = rows["id"].to_numpy(), _codes(rows["doc_path"])
+    length = rows["len"].cast(pa.float64()).to_numpy()
+    held, waiting, n = None, [], 0
+
+    def best(parts: list) -> list:
+        key, value, p, q, sim = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids[q], ids[p], -value, key))
+        key, value = key[order], value[order]
+        first = np.append(True, key[1:] != key[:-1])
+        top = value[first][np.cumsum(first) - 1]
+        keep = (value >= top - 3e-6) & (first | np.append(True, value[1:] != value[:-1]))
+        return [key[keep], value[keep], *[x[order[keep]] for x in (p, q, sim)]]
+
+    for p, q, sim in _apart(code, hits):
+        value = sim * (0.6 + 0.4 * np.fmin((length[p] + length[q]) / 2 / 400, 1.0))
+        key = np.minimum(code[p], code[q]) * len(paths) + np.maximum(code[p], code[q])
+        waiting.append(best([[key, value, p, q, sim]]))
+        n += len(waiting[-1][0])
+        # Merged when as much is new as is held.
+        if n > max(100_000, 0 if held is None else len(held[0])):
+            held, waiting, n = best([*([held] if held else []), *waiting]), [], 0
+    if held or waiting:
+        _, _, p, q, sim = best([*([held] if held else []), *waiting])
+        path, chars = rows["doc_path"].combine_chunks(), rows["len"].combine_chunks()
+        at, to = pa.array(p), pa.array(q)
+        out = [pa.array(ids[p]), pa.array(ids[q]), path.take(at), path.take(to), chars.take(at), chars.take(to), pa.array(sim)]
+        yield pa.RecordBatch.from_arrays(out, names=["a", "b", "path_a", "path_b", "len_a", "len_b", "similarity"])
+
+
 def bridges(chunks: DataFrame, threshold: float = THRESHOLD, k: int | None = 10) -> DataFrame:
     """Similar chunks of different documents, the best of each pair of documents."""
-    rows = _with_sides(similar_pairs(chunks, threshold), chunks)
+    deal = _deal(chunks, threshold, 1024, 256, ["doc_path", F.length("text").alias("len")])
+    rows = _tiled(deal, threshold, 1.0, _best_of_documents, "a long, b long, path_a string, path_b string, len_a int, len_b int, similarity double")
     score = bridge_score(F.col("similarity"), path_distance(F.col("path_a"), F.col("path_b")), (F.col("len_a") + F.col("len_b")) / 2)
     rows = rows.select("a", "b", F.least("path_a", "path_b").alias("doc_a"), F.greatest("path_a", "path_b").alias("doc_b"), "similarity", F.round(score, 6).alias("score"))
     best = Window.partitionBy("doc_a", "doc_b").orderBy(F.desc("score"), "a", "b")

@@ -102,3 +102,15 @@ def test_bridged_pairs_are_left_out_group_by_group(spark, chunks):
     got = discover.meta_pairs(rows, bridged, 0.7)
     same(got, need.select("a", "b", "strategy_a", "strategy_b", "similarity", F.round(score, 6).alias("score")))
     assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("k", [None, 25])
+def test_bridges_like_all_pairs(chunks, k):
+    rows, pairs = chunks
+    x = sides(rows, pairs).where("doc_path_a <> doc_path_b")
+    score = C.bridge_score(F.col("similarity"), C.path_distance(F.col("doc_path_a"), F.col("doc_path_b")), (F.length("text_a") + F.length("text_b")) / 2)
+    x = x.select("a", "b", F.least("doc_path_a", "doc_path_b").alias("doc_a"), F.greatest("doc_path_a", "doc_path_b").alias("doc_b"), "similarity", F.round(score, 6).alias("score"))
+    best = x.withColumn("r", F.row_number().over(Window.partitionBy("doc_a", "doc_b").orderBy(F.desc("score"), "a", "b"))).where("r = 1").drop("r")
+    got = discover.bridges(rows, 0.7, k)
+    same(got, best if k is None else best.orderBy(F.desc("score"), "a", "b").limit(k))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
