@@ -298,13 +298,43 @@ def outliers(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
+def _reach_of_chunks(rows: pa.Table, hits: Iterator) -> Iterator[pa.RecordBatch]:
+    """For each chunk the other documents that it reaches in a tile, and the
+    sum (in millionths) and the number of its similarities."""
+    code, paths = _codes(rows["doc_path"])
+    n, d = len(code), max(1, len(paths))
+    total, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    # Each chunk and document once: as a table, or sorted numbers where it would be large.
+    seen = np.zeros((n, d), bool) if n * d <= 1 << 26 else None
+    held, waiting, new = np.zeros(0, np.int64), [], 0
+    for p, q, sim in _apart(code, hits):
+        of, other = np.concatenate([p, q]), np.concatenate([code[q], code[p]])
+        micro = np.round(sim * 1e6)
+        # Sums of a piece are whole numbers far below 2^53.
+        total += np.bincount(of, np.concatenate([micro, micro]), n).astype(np.int64)
+        count += np.bincount(of, minlength=n)
+        if seen is not None:
+            seen[of, other] = True
+            continue
+        waiting.append(np.unique(of * d + other))
+        new += len(waiting[-1])
+        if new > max(1_000_000, len(held)):
+            held, waiting, new = np.unique(np.concatenate([held, *waiting])), [], 0
+    at = np.flatnonzero(count)
+    if not len(at):
+        return
+    of, other = np.nonzero(seen) if seen is not None else np.divmod(np.unique(np.concatenate([held, *waiting])), d)
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n)[at])).astype(np.int32))
+    others = pa.ListArray.from_arrays(ends, pa.array(paths, pa.string()).take(pa.array(other)))
+    yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks().take(pa.array(at)), rows["doc_path"].combine_chunks().take(pa.array(at)), others, pa.array(total[at]), pa.array(count[at])], names=["id", "doc_path", "others", "total", "n"])
+
+
 def hubs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The best connected chunk of each document: reach over documents times strength."""
-    pairs = _with_sides(similar_pairs(chunks, threshold), chunks)
-    both = pairs.select(F.col("a").alias("id"), F.col("path_a").alias("doc_path"), F.col("path_b").alias("other"), "similarity")
-    both = both.unionByName(pairs.select(F.col("b").alias("id"), F.col("path_b").alias("doc_path"), F.col("path_a").alias("other"), "similarity"))
+    found = _tiled(_deal(chunks, threshold, 1024, 256, ["doc_path"]), threshold, 1.0, _reach_of_chunks, "id long, doc_path string, others array<string>, total long, n long")
     docs = chunks.where("embedding is not null").agg(F.countDistinct("doc_path").alias("docs"))  # one row
-    stats = both.groupBy("id", "doc_path").agg(F.countDistinct("other").alias("reach"), (F.round(F.sum(F.round(F.col("similarity") * 1e6).cast("long")) / F.count(F.lit(1))) / 1e6).alias("strength")).crossJoin(F.broadcast(docs))
+    reach = F.size(F.array_distinct(F.flatten(F.collect_list("others")))).cast("long")
+    stats = found.groupBy("id", "doc_path").agg(reach.alias("reach"), (F.round(F.sum("total") / F.sum("n")) / 1e6).alias("strength")).crossJoin(F.broadcast(docs))
     score = F.col("reach") / F.greatest(F.col("docs") - 1, F.lit(1)) * (0.4 + 0.6 * F.col("strength"))
     rows = stats.select("id", "doc_path", "reach", "strength", F.round(score, 6).alias("score"))
     best = Window.partitionBy("doc_path").orderBy(F.desc("score"), "id")

@@ -114,3 +114,16 @@ def test_bridges_like_all_pairs(chunks, k):
     got = discover.bridges(rows, 0.7, k)
     same(got, best if k is None else best.orderBy(F.desc("score"), "a", "b").limit(k))
     assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_hubs_like_all_pairs(chunks):
+    rows, pairs = chunks
+    x = sides(rows, pairs).where("doc_path_a <> doc_path_b")
+    both = x.selectExpr("a id", "doc_path_a doc_path", "doc_path_b other", "similarity").unionByName(x.selectExpr("b id", "doc_path_b doc_path", "doc_path_a other", "similarity"))
+    stats = both.groupBy("id", "doc_path").agg(F.countDistinct("other").alias("reach"), (F.round(F.sum(F.round(F.col("similarity") * 1e6).cast("long")) / F.count(F.lit(1))) / 1e6).alias("strength"))
+    docs = rows.agg(F.countDistinct("doc_path")).first()[0]
+    stats = stats.withColumn("score", F.round(F.col("reach") / (docs - 1) * (0.4 + 0.6 * F.col("strength")), 6))
+    best = stats.withColumn("r", F.row_number().over(Window.partitionBy("doc_path").orderBy(F.desc("score"), "id"))).where("r = 1").drop("r")
+    got = discover.hubs(rows, 0.7)
+    same(got, best)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
