@@ -221,14 +221,28 @@ def _apart(code: np.ndarray, hits: Iterator) -> Iterator[tuple[np.ndarray, np.nd
             yield p[keep], q[keep], sim[keep]
 
 
-def _with_sides(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    side = lambda s: chunks.select(F.col("id").alias(s), F.col("doc_path").alias(f"path_{s}"), F.length("text").alias(f"len_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where("path_a <> path_b")
-
-
-def cross_document_pairs(chunks: DataFrame, threshold: float = THRESHOLD, most: float = 1.0) -> DataFrame:
-    """a, b, similarity of the similar pairs whose chunks have different paths (doc_path)."""
-    return _with_sides(similar_pairs(chunks, threshold, most), chunks).select("a", "b", "similarity")
+def cross_document_pairs(chunks: DataFrame, threshold: float = THRESHOLD, most: float = 1.0, k: int | None = None) -> DataFrame:
+    """a, b, similarity of the similar pairs whose chunks have different paths
+    (doc_path); with k the k most similar, ties by a and b."""
+
+    def fold(rows: pa.Table, hits: Iterator) -> Iterator[pa.RecordBatch]:
+        apart = _apart(_codes(rows["doc_path"])[0], hits)
+        if k is None:
+            yield from _pairs_of(rows, apart)
+            return
+        ids, best, least = rows["id"].to_numpy(), None, -np.inf
+        for p, q, sim in apart:
+            keep = sim >= least
+            new = [ids[p][keep], ids[q][keep], sim[keep]]
+            best = new if best is None else [np.concatenate(x) for x in zip(best, new)]
+            first = np.lexsort((best[1], best[0], -best[2]))[:k]
+            best = [x[first] for x in best]
+            least = best[2][-1] if len(first) == k and k else least
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["a", "b", "similarity"])
+
+    out = _tiled(_deal(chunks, threshold, 1024, 256, ["doc_path"]), threshold, most, fold, "a long, b long, similarity double")
+    return out if k is None else out.orderBy(F.desc("similarity"), "a", "b").limit(k)
 
 
 def _best_of_documents(rows: pa.Table, hits: Iterator) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,7 @@ def hub_connectivity(s, d):
 @query
 def contradiction_candidates(s, d):
     """Pairs of one entity have the score 0.85; similar pairs are of two documents."""
-    near = discover.cross_document_pairs(T.vectors(s, d), NEAR, 0.45).orderBy(F.desc("similarity"), "a", "b").limit(30)
+    near = discover.cross_document_pairs(T.vectors(s, d), NEAR, 0.45, k=30)
     near = near.select("a", "b", F.col("similarity").alias("score"), F.lit("embedding").alias("source"))
     shared = discover.cooccurrences(T.mentions(s, d), 20, seed=3).select("a", "b", F.lit(0.85).alias("score"), F.lit("entity").alias("source"))
     return near.unionByName(shared).orderBy(F.desc("score"), "a", "b", "source").limit(30)

@@ -127,3 +127,10 @@ def test_hubs_like_all_pairs(chunks):
     got = discover.hubs(rows, 0.7)
     same(got, best)
     assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_the_most_similar_pairs_of_two_documents(chunks):
+    rows, pairs = chunks
+    need = sides(rows, pairs).where("doc_path_a <> doc_path_b").select("a", "b", "similarity")
+    same(discover.cross_document_pairs(rows, 0.7), need)
+    same(discover.cross_document_pairs(rows, 0.7, k=33), need.orderBy(F.desc("similarity"), "a", "b").limit(33))
