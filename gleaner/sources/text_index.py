@@ -28,9 +28,24 @@ from .store import BUCKET, Folder
 K1, B = 1.2, 0.75
 
 
+#: Words that are counted at once, or those of one text.
+AT_ONCE = 200_000
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in a row with AT_ONCE words at most, or one row."""
+    total = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(total):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + AT_ONCE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, id, size, tf of each different word of rows (id, words, size)."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
         words = batch.column("words")
         # Words by number, so that rows and words are counted as one number.
         coded = words.flatten().dictionary_encode()

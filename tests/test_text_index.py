@@ -3,11 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.engine import Engine
 from gleaner.operators import search
+from gleaner.sources import text_index
 from gleaner.sources.text_index import TextIndex
 
 QUERY = "tea Acme, tea and the café 42"
@@ -109,3 +111,13 @@ def test_ingest_updates_the_index(spark, tmp_path, corpus):
     (docs / "a.md").write_text("# A\n" + "coffee from the coast " * 5)
     engine.ingest(str(docs), "demo")
     assert engine.fulltext("hills") == [] and len(engine.fulltext("coast")) == 1
+
+
+def test_words_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(text_index, "AT_ONCE", 7)
+    words = [["a", "b", "a"], [], ["c"] * 3, ["d", "e"] * 10, None, ["a"], ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(words, pa.list_(pa.string())), pa.array([len(w or []) for w in words])], names=["id", "words", "size"])
+    out = list(text_index._counted(iter([batch])))
+    assert len(out) == 3
+    got = sorted((r["id"], r["term"], r["size"], r["tf"]) for b in out for r in b.to_pylist())
+    assert got == sorted((k, t, len(w), w.count(t)) for k, w in enumerate(words) if w for t in set(w))
