@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,16 @@ PASSING_STATUS = (429, 500, 502, 503, 504)
 PASSING_KINDS = ("timeout", "connect", "read")
 CODE_TOKENS = ("MODULE", "COMPONENT", "METHOD", "FUNCTION", "CLASS", "ENGINE", "PIPELINE", "ALGORITHM")
 #: White space at the ends, as Python's strip sees it.
-ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+ENDS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, ENDS, "")
+    return F.btrim(text, F.lit(ENDS))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that it reads several times but that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -87,9 +94,11 @@ def entity_id(corpus: Column, kind: Column, name: Column) -> Column:
 
 def type_name(raw: Column) -> Column:
     """A name of A-Z, 0-9 and _ that begins with a letter; null if none is left."""
-    text = F.regexp_replace(F.translate(F.upper(raw), " -", "__"), "[^A-Z0-9_]", "")
-    text = F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_|_$", "")
-    return F.when(text == "", F.lit(None)).when(text.rlike("^[0-9]"), F.concat(F.lit("REL_"), text)).otherwise(text)
+    # Most names need no more than this.
+    text = F.translate(F.upper(raw), " -", "__")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[^A-Z0-9_]", ""), "_+", "_"), "^_|_$", "")
+    named = lambda t: F.when(t == "", F.lit(None)).when(t.rlike("^[0-9]"), F.concat(F.lit("REL_"), t)).otherwise(t)
+    return once(text, lambda t: F.when(t.rlike(r"\A[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\z"), t).otherwise(once(bare(t), named)))
 
 
 def lenient_json(text: Column) -> Column:

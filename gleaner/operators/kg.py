@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import clamped, content_id, entity_id, stripped, type_name
+from ..functions.columns import clamped, content_id, entity_id, once, stripped, type_name
 from ..sources.staging import package_on_workers, pinned
 
 EVIDENCE_CHARS = 500
@@ -28,8 +28,7 @@ def entity_rows(extractions: DataFrame, corpus: str, types: list[str]) -> DataFr
     """One row per extracted entity, with the id that its name and type give."""
     rows = extractions.select("document", "chunk_ord", "chunk_id", F.posexplode("entities").alias("place", "e"))
     name = stripped(F.col("e.name"))
-    kind = type_name(F.coalesce("e.type", F.lit("CONCEPT")))
-    kind = F.when(kind.isin(*types), kind).otherwise("CONCEPT")
+    kind = once(type_name(F.coalesce("e.type", F.lit("CONCEPT"))), lambda k: F.when(k.isin(*types), k).otherwise("CONCEPT"))
     aliases = F.filter(F.transform(F.coalesce("e.aliases", F.array().cast("array<string>")), lambda a: stripped(a)), lambda a: a.isNotNull() & (a != ""))
     rows = rows.select("document", "chunk_ord", "chunk_id", "place", name.alias("name"), kind.alias("type"), F.coalesce("e.description", F.lit("")).alias("description"), aliases.alias("aliases"))
     return rows.where("name is not null and name <> ''").withColumn("entity_id", entity_id(F.lit(corpus), F.col("type"), F.col("name")))

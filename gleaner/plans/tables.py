@@ -86,20 +86,16 @@ def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractions of chunks (orders) of documents (customers): parts as
-    entities with an alias that several parts share, claims between neighbours."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    entities with an alias that several parts share, claims between neighbours.
+
+    Numbers are dealt, by document; names are made from them in each chunk."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     lines = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    name = F.concat(F.lit(" part "), F.col("p_partkey").cast("string"))
-    alias = F.concat(F.lit("alias"), (F.col("p_partkey") % 7).cast("string"))
-    e = F.struct(name.alias("name"), F.when(F.col("p_size") % 2 == 0, "Thing").otherwise("odd-kind").alias("type"), F.repeat(F.lit("d"), (F.col("l_quantity") % 9).cast("int")).alias("description"), F.array(alias).alias("aliases"))
-    other = F.concat(F.lit("PART "), F.lead(F.col("p_partkey")).over(_line()).cast("string"))
-    r = F.struct(alias.alias("source"), F.coalesce(other, F.lit("nobody")).alias("target"), F.lit("goes with").alias("type"), F.concat(F.lit("quote "), F.col("l_returnflag")).alias("evidence"), (F.col("l_quantity") / 40).alias("confidence"))
-    rows = lines.select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("chunk_ord"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", e.alias("e"), r.alias("r")).alias("x"))
+    x = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_size", "l_returnflag").alias("x")
+    rows = lines.select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("chunk_ord"), x).repartition("document")
     got = rows.groupBy("document", "chunk_ord").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return got.select("document", "chunk_ord", F.col("chunk_ord").cast("string").alias("chunk_id"), F.transform("xs", lambda x: x["e"]).alias("entities"), F.transform("xs", lambda x: x["r"]).alias("relations"))
-
-
-def _line():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    alias = lambda x: F.concat(F.lit("alias"), (x["l_partkey"] % 7).cast("string"))
+    entity = lambda x: F.struct(F.concat(F.lit(" part "), x["l_partkey"].cast("string")).alias("name"), F.when(x["p_size"] % 2 == 0, "Thing").otherwise("odd-kind").alias("type"), F.repeat(F.lit("d"), (x["l_quantity"] % 9).cast("int")).alias("description"), F.array(alias(x)).alias("aliases"))
+    other = lambda i: F.concat(F.lit("PART "), F.get("xs", i + 1)["l_partkey"].cast("string"))
+    claim = lambda x, i: F.struct(alias(x).alias("source"), F.coalesce(other(i), F.lit("nobody")).alias("target"), F.lit("goes with").alias("type"), F.concat(F.lit("quote "), x["l_returnflag"]).alias("evidence"), (x["l_quantity"] / 40).alias("confidence"))
+    return got.select("document", "chunk_ord", F.col("chunk_ord").cast("string").alias("chunk_id"), F.transform("xs", entity).alias("entities"), F.transform("xs", claim).alias("relations"))
