@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import NOISE_PATTERNS, bridge_score, dot, entity_bridge_score, gap_kept, gap_score, hash_order, noisy, path_distance
 from ..sources.staging import package_on_workers
 from . import cells
+from .graph import dealt
 
 THRESHOLD = 0.65
 #: Groups of vectors in the similarity join, and the most rows of one.
@@ -355,7 +356,7 @@ def hubs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
-def cooccurrences(mentions: DataFrame, k: int | None = 50, seed: int = 0) -> DataFrame:
+def cooccurrences(mentions: DataFrame, k: int | None = 50, seed: int = 0, parts: int | None = None) -> DataFrame:
     """Chunks of different documents that mention one entity, k of them drawn
     at random, with the bridge score.  mentions: chunk, doc, path, entity.
 
@@ -364,7 +365,7 @@ def cooccurrences(mentions: DataFrame, k: int | None = 50, seed: int = 0) -> Dat
     these stands for as many as the entity has, and the draw goes by that
     weight.  Without k all pairs of chunks come out.
     """
-    m = mentions.select("chunk", "doc", "path", "entity").distinct()
+    m = dealt(mentions.select("chunk", "doc", "path", "entity"), parts, "entity").distinct()
     counts = m.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc").alias("docs"))
     if k is not None:
         most = math.ceil(0.5 + math.sqrt(0.25 + 2 * k))  # so many make k pairs
@@ -470,10 +471,11 @@ def spread_picks(candidates: list[dict], k: int, key: str = "pair") -> list[dict
     return picked + waiting[: k - len(picked)]
 
 
-def shared_entities(mentions: DataFrame, sources: DataFrame, a: Column, b: Column, pairs: DataFrame) -> DataFrame:
+def shared_entities(mentions: DataFrame, sources: DataFrame, a: Column, b: Column, pairs: DataFrame, parts: int | None = None) -> DataFrame:
     """The entities that the first three chunks of two insights both mention."""
     first = sources.withColumn("r", F.row_number().over(Window.partitionBy("insight").orderBy("chunk"))).where("r <= 3")
-    names = first.join(mentions.select("chunk", "entity").distinct(), "chunk").groupBy("insight").agg(F.collect_set("entity").alias("names"))
+    named = dealt(first, parts, "chunk").join(mentions.select("chunk", "entity").distinct(), "chunk")
+    names = dealt(named, parts, "insight").groupBy("insight").agg(F.collect_set("entity").alias("names"))
     x = names.select(F.col("insight").alias("x"), F.col("names").alias("names_x"))
     y = names.select(F.col("insight").alias("y"), F.col("names").alias("names_y"))
     rows = pairs.join(x, a == F.col("x")).join(y, b == F.col("y"))

@@ -13,6 +13,12 @@ def _first(rows: DataFrame, group: list[str], n: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows by key in so many tasks.  Without a number Spark chooses: by bytes as
+    they are moved, which are few for rows that take much room once sorted."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
 def undirected(relations: DataFrame) -> DataFrame:
     """seed, other, type, confidence, from_id, to_id: each relation (source,
     target, type, confidence) from both ends, a loop once."""
@@ -22,15 +28,15 @@ def undirected(relations: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def neighbors(relations: DataFrame, seeds: DataFrame, n: int = 20) -> DataFrame:
+def neighbors(relations: DataFrame, seeds: DataFrame, n: int = 20, parts: int | None = None) -> DataFrame:
     """The n surest relations of each seed (id), either way."""
-    rows = undirected(relations).join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
+    rows = dealt(undirected(relations), parts, "seed").join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
     return _first(rows, ["seed"], n, F.desc("confidence"), "other", "type", "from_id")
 
 
-def chunks_of(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+def chunks_of(mentions: DataFrame, entities: DataFrame, parts: int | None = None) -> DataFrame:
     """entity, chunk, doc of the chunks that mention the entities (id)."""
-    return mentions.join(entities.select(F.col("id").alias("entity")), "entity", "left_semi").select("entity", "chunk", "doc").distinct()
+    return dealt(mentions.select("entity", "chunk", "doc"), parts, "entity").join(entities.select(F.col("id").alias("entity")), "entity", "left_semi").select("entity", "chunk", "doc").distinct()
 
 
 def entities_of(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -50,14 +56,14 @@ def hops(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, per_chunk:
     return rows.select(F.col("chunk").alias("seed"), "entity", "type", "other", "found").distinct()
 
 
-def walk(mentions: DataFrame, relations: DataFrame, entities: DataFrame, own_chunks: int = 2, n: int = 5, per_neighbor: int = 1) -> DataFrame:
+def walk(mentions: DataFrame, relations: DataFrame, entities: DataFrame, own_chunks: int = 2, n: int = 5, per_neighbor: int = 1, parts: int | None = None) -> DataFrame:
     """Evidence around entities (id): their own chunks (step 0) and one chunk
     of each neighbour (step 1)."""
-    own = _first(chunks_of(mentions, entities), ["entity"], own_chunks, "doc", "chunk").select("entity", F.lit(0).alias("step"), "chunk")
-    near = neighbors(relations, entities, n)
-    there = _first(chunks_of(mentions, near.select(F.col("other").alias("id")).distinct()), ["entity"], per_neighbor, "doc", "chunk")
-    far = near.join(there.select(F.col("entity").alias("other"), "chunk"), "other").select(F.col("seed").alias("entity"), F.lit(1).alias("step"), "chunk")
-    return own.unionByName(far).distinct()
+    own = _first(chunks_of(mentions, entities, parts), ["entity"], own_chunks, "doc", "chunk").select("entity", F.lit(0).alias("step"), "chunk")
+    near = neighbors(relations, entities, n, parts)
+    there = _first(chunks_of(mentions, near.select(F.col("other").alias("id")).distinct(), parts), ["entity"], per_neighbor, "doc", "chunk")
+    far = dealt(near, parts, "other").join(there.select(F.col("entity").alias("other"), "chunk"), "other").select(F.col("seed").alias("entity"), F.lit(1).alias("step"), "chunk")
+    return dealt(own.unionByName(far), parts, "entity").distinct()
 
 
 def unprocessed(chunks: DataFrame, done: DataFrame) -> DataFrame:

@@ -125,13 +125,13 @@ def contradiction_candidates(s, d):
     """Pairs of one entity have the score 0.85; similar pairs are of two documents."""
     near = discover.cross_document_pairs(T.vectors(s, d), NEAR, 0.45, k=30)
     near = near.select("a", "b", F.col("similarity").alias("score"), F.lit("embedding").alias("source"))
-    shared = discover.cooccurrences(T.mentions(s, d), 20, seed=3).select("a", "b", F.lit(0.85).alias("score"), F.lit("entity").alias("source"))
+    shared = discover.cooccurrences(T.mentions(s, d), 20, seed=3, parts=T.parts(s, d)).select("a", "b", F.lit(0.85).alias("score"), F.lit("entity").alias("source"))
     return near.unionByName(shared).orderBy(F.desc("score"), "a", "b", "source").limit(30)
 
 
 @query
 def entity_cooccurrence_bridge(s, d):
-    return discover.cooccurrences(T.mentions(s, d), 50, seed=1)
+    return discover.cooccurrences(T.mentions(s, d), 50, seed=1, parts=T.parts(s, d))
 
 
 @query
@@ -154,7 +154,7 @@ def entity_neighbors(s, d):
 
 @query
 def chunks_for_entity(s, d):
-    return graph.chunks_of(T.mentions(s, d), T.table(s, d, "part").select(F.col("p_partkey").alias("id")))
+    return graph.chunks_of(T.mentions(s, d), T.table(s, d, "part").select(F.col("p_partkey").alias("id")), T.parts(s, d))
 
 
 @query
@@ -170,7 +170,7 @@ def follow_refs(s, d):
 
 @query
 def entity_walk(s, d):
-    return graph.walk(T.mentions(s, d), T.relations(s, d), T.table(s, d, "part").select(F.col("p_partkey").alias("id")))
+    return graph.walk(T.mentions(s, d), T.relations(s, d), T.table(s, d, "part").select(F.col("p_partkey").alias("id")), parts=T.parts(s, d))
 
 
 @query
@@ -227,7 +227,7 @@ def meta_pairs_anti(s, d):
 @query
 def shared_entities(s, d):
     pairs = T.table(s, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
-    out = discover.shared_entities(T.mentions(s, d), _derived(s, d), F.col("a"), F.col("b"), pairs)
+    out = discover.shared_entities(T.mentions(s, d), _derived(s, d), F.col("a"), F.col("b"), pairs, T.parts(s, d))
     return out.select("a", "b", F.concat_ws(",", F.transform("shared", lambda x: x.cast("string"))).alias("shared"))
 
 
@@ -490,7 +490,7 @@ def evaluation_context(s, d):
     texts = T.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
     names = T.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_size") % 2 == 0, "Type ").otherwise("type "), F.col("p_type")).alias("name"), F.col("p_brand").alias("entity_type"))
     names = names.unionByName(T.table(s, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("entity_type")))
-    out = browse.contexts(found, texts, T.mentions(s, d), T.relations(s, d), names, chars=8)
+    out = browse.contexts(found, texts, T.mentions(s, d), T.relations(s, d), names, chars=8, parts=T.parts(s, d))
     return out.select("id", *[F.array_join(c, ";").alias(c) for c in ("texts", "entities", "paths")])
 
 

@@ -51,9 +51,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", path.alias("doc_path"), text.alias("text"))
 
 
+#: Rows of lineitem in a task that goes by its keys.
+TASK_ROWS = 400_000
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for rows that come from lineitem: a number that grows with it, so
+    that a task's memory doesn't (the count is in the files' footers)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity (part), chunk (order), doc (customer), path."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
+    # By chunk, which the join goes by too: rows are moved once, and first.
+    lines = lines.repartition(parts(spark, sf_dir), "chunk").distinct()
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk"), F.col("o_custkey").alias("doc"))
     path = F.concat(F.lit("c"), (F.col("doc") % 10).cast("string"), F.lit("/"), F.col("doc").cast("string"))
     return lines.join(orders, "chunk").withColumn("path", path)
@@ -61,8 +73,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source (supplier, negative), target (part), type (return flag), confidence."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy((-F.col("l_suppkey")).alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("type")).agg(F.max("l_discount").alias("confidence"))
+    lines = table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey")).alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("type"), "l_discount")
+    lines = lines.repartition(parts(spark, sf_dir), "target")
+    return lines.groupBy("source", "target", "type").agg(F.max("l_discount").alias("confidence"))
 
 
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
