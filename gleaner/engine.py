@@ -595,7 +595,8 @@ class Engine:
         """Merges what the answers hold, and marks their chunks; the number of
         entities and of relations that there are then."""
         x = answers.withColumn("p", F.from_json("payload", PAYLOAD)).select(F.col("document_id").alias("document"), F.col("position").alias("chunk_ord"), F.col("id").alias("chunk_id"), "p.entities", "p.relations")
-        rows = kg.entity_rows(x, corpus, [c.name for c in ontology.classes])
+        kinds = [c.name for c in ontology.classes]
+        rows = kg.entity_rows(x, corpus, kinds)
         made = kg.entities(rows, corpus)
         # An entity of several documents comes several times: folded first.
         # In the order of documents, whatever order rows come in.
@@ -606,7 +607,7 @@ class Engine:
         told_of = self._full("mention", kg.mentions(rows).withColumn("created_at", F.lit(now())))
         told_of = require(require(told_of, "chunk_id", self.read("chunk")), "entity_id", self.read("entity"))
         self._add("mention", told_of)
-        claims = kg.relations(x, rows, [r.name for r in ontology.relations])
+        claims = kg.relations(kg.with_entities(x, corpus, kinds), rows, [r.name for r in ontology.relations])
         claims = claims.groupBy("id", "source_id", "target_id", "type").agg(F.min_by("evidence", "document").alias("evidence"), F.max("confidence").alias("confidence"), in_order("source_chunks"))
         relations = self._merge("relation", claims, lambda old, new: merge_relations(old, new, self.read("entity")))
         self._add("extraction_done", answers.where("status <> 'again'"))

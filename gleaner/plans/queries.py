@@ -325,10 +325,13 @@ def best_path(s, d):
     return graph.best_path(*T.tree(s, d))
 
 
+KINDS = ["THING", "CONCEPT"]
+
+
 def _extracted(s, d, twice=False):
     """Extractions, written first if they are read twice, and their entities."""
     x = pinned(T.extractions(s, d)) if twice else T.extractions(s, d)
-    return x, kg.entity_rows(x, "c1", ["THING", "CONCEPT"])
+    return x, kg.entity_rows(x, "c1", KINDS)
 
 
 @query
@@ -353,8 +356,8 @@ def alias_resolution(s, d):
 
 @query
 def relation_fold(s, d):
-    x, rows = _extracted(s, d, twice=True)
-    out = kg.relations(x, rows, ["GOES_WITH"])
+    x, rows = _extracted(s, d)
+    out = kg.relations(kg.with_entities(x, "c1", KINDS), rows, ["GOES_WITH"])
     return out.select("document", "source_id", "target_id", "id", F.array_join("source_chunks", ",").alias("source_chunks"), F.round("confidence", 6).alias("confidence"), "evidence")
 
 

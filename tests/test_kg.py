@@ -130,3 +130,26 @@ def test_names_go_as_if_chunk_by_chunk(spark):
 @pytest.mark.parametrize("bad", [rel(None, "A"), rel("A", " "), rel("A", "A", "?")])
 def test_bad_relations(spark, bad):
     assert fold(spark, ([ent("A")], [bad]))[2] == []
+
+
+def test_chunks_with_their_entities_fold_alike(spark):
+    rng = random.Random(5)
+    words = ["Al", "al", "Bo", "BO", "Cy", "Di", "Ed", "ed"]
+    chunks = [(f"d{rng.randrange(3)}", rng.randrange(12), f"ch{rng.randrange(9)}", [ent(rng.choice(words), rng.choice(TYPES[:2]), aliases=rng.sample(words, rng.randrange(3))) for _ in range(rng.randrange(4))] or None, [rel(rng.choice(words), rng.choice(words), quote=f"q{i}") for _ in range(rng.randrange(3))] or None) for i in range(90)]
+    x = spark.createDataFrame(chunks, DDL).dropDuplicates(["document", "chunk_ord", "chunk_id"]).localCheckpoint()
+    rows = kg.entity_rows(x, "c1", TYPES)
+    kept = lambda df: sorted((r.document, r.source_id, r.type, r.target_id, sorted(set(r.source_chunks)), r.confidence) for r in df.collect())
+    got, need = kept(kg.relations(kg.with_entities(x, "c1", TYPES), rows, RELS)), kept(kg.relations(x, rows, RELS))
+    assert got == need and got
+
+
+def test_extractions_that_are_dealt_by_document_are_not_moved_again(spark, small_dir, monkeypatch):
+    from gleaner.plans import queries
+
+    written = []
+    pinned = kg.pinned
+    for module in (kg, queries):
+        monkeypatch.setattr(module, "pinned", lambda df: written.append(df) or pinned(df))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (queries.relation_fold(spark, small_dir), *written)]
+    assert len(written) == 1
+    assert sum(plan.count("Exchange hashpartitioning(document") for plan in plans) == 2
