@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +25,8 @@ THRESHOLD = 0.65
 GROUPS, MOST = 24, 32_768
 #: Cosines that are computed at once.
 AT_ONCE = 2_000_000
+#: Pairs that are sorted by tile at once, to be packed.
+PACKED = 500_000
 #: Sides of rows in a tile other than 0 and 1: of one group with itself; no vectors but pairs.
 WITHIN, PAIRS = 2, 3
 
@@ -164,8 +167,8 @@ def _hits(rows: pa.Table, meets: np.ndarray | None, threshold: float, most: floa
 
 
 def _tiled(deal: _Deal, threshold: float, most: float, fold: Callable, kinds: str, more: DataFrame | None = None) -> DataFrame:
-    """What fold(rows, hits) gives for each tile.  more: tile, a, b of pairs
-    that the fold gets with the tile's rows (side PAIRS)."""
+    """What fold(rows, hits) gives for each tile.  more: tile, a, b of pairs,
+    packed, that the fold gets with the tile's rows (side PAIRS)."""
     spark = deal.rows.sparkSession
     package_on_workers(spark)
     number = {t: k for k, t in enumerate(deal.tiles)}
@@ -180,7 +183,8 @@ def _tiled(deal: _Deal, threshold: float, most: float, fold: Callable, kinds: st
             own, pairs = rows, None
             if "a" in rows.column_names:
                 is_pair = pc.equal(rows["side"], PAIRS)
-                own, pairs = rows.filter(pc.invert(is_pair)), rows.filter(is_pair).select(["a", "b"])
+                own, packed = rows.filter(pc.invert(is_pair)), rows.filter(is_pair)
+                pairs = pa.table({c: pc.list_flatten(packed[c]) for c in ("a", "b")})
             if len(own):
                 hits = _hits(own, meets, threshold, most)
                 yield from fold(own, hits) if pairs is None else fold(own, hits, pairs)
@@ -189,6 +193,48 @@ def _tiled(deal: _Deal, threshold: float, most: float, fold: Callable, kinds: st
     return dealt.repartitionById(n, F.col("tile")).sortWithinPartitions("tile").mapInArrow(run, kinds)
 
 
+def _packed(pairs: DataFrame) -> DataFrame:
+    """tile, a, b of pairs (tile, a, b), many of a tile in one row: a and b are
+    lists.  A pair by itself would take the room of a row with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def lists() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            tile = rows["tile"].to_numpy()
+            order = np.argsort(tile, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(tile[order]) != 0))
+            ends = pa.array(np.append(first, len(tile)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(tile[order][first]), *[pa.ListArray.from_arrays(ends, pa.array(rows[c].to_numpy()[order])) for c in ("a", "b")]], names=["tile", "a", "b"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= PACKED:
+                yield lists()
+                held, n = [], 0
+        if held:
+            yield lists()
+
+    package_on_workers(pairs.sparkSession)
+    return pairs.select("tile", "a", "b").mapInArrow(run, "tile int, a array<long>, b array<long>")
+
+
+def _six_places(x: np.ndarray) -> np.ndarray:
+    """Numbers to six places as Spark's round gives them: half up, by the
+    digits that a number is written with."""
+    scaled = np.abs(x) * 1e6
+    whole = np.floor(scaled)
+    part = scaled - whole
+    out = np.copysign((whole + (part >= 0.5)) / 1e6, x)
+    # Rounding errors of the product decide these few.
+    for i in np.flatnonzero(np.abs(part - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return np.where(scaled < 1e9, out + 0.0, x)
+
+
 def _pairs_of(rows: pa.Table, hits: Iterator) -> Iterator[pa.RecordBatch]:
     ids = rows["id"].to_numpy()
     for p, q, sim in hits:
@@ -418,6 +464,7 @@ def _not_bridged(rows: pa.Table, hits: Iterator, bridged: pa.Table) -> Iterator[
     """The pairs of different strategies that aren't among the bridged ones."""
     ids, code = rows["id"].to_numpy(), _codes(rows["strategy"])[0]
     strategy, score = rows["strategy"].combine_chunks(), rows["score"].combine_chunks()
+    unknown, score = score.is_null().to_numpy(zero_copy_only=False), pc.fill_null(score, 0.0).to_numpy()
     by_id = np.argsort(ids)
     places = [np.minimum(np.searchsorted(ids, bridged[c].to_numpy(), sorter=by_id), len(ids) - 1) for c in ("a", "b")]
     known = np.ones(len(bridged), bool)
@@ -432,7 +479,9 @@ def _not_bridged(rows: pa.Table, hits: Iterator, bridged: pa.Table) -> Iterator[
             keep = done[np.minimum(np.searchsorted(done, key), len(done) - 1)] != key
             p, q, sim = p[keep], q[keep], sim[keep]
         at, to = pa.array(p), pa.array(q)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), strategy.take(at), strategy.take(to), pa.array(sim), score.take(at), score.take(to)], names=["a", "b", "strategy_a", "strategy_b", "similarity", "score_a", "score_b"])
+        # As numbers, here: a decimal for each pair is what takes longest in a plan.
+        value = pa.array(_six_places(sim * (0.5 + 0.5 * (score[p] + score[q]) / 2)), mask=unknown[p] | unknown[q])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), strategy.take(at), strategy.take(to), pa.array(sim), value], names=["a", "b", "strategy_a", "strategy_b", "similarity", "score"])
 
 
 def meta_pairs(insights: DataFrame, bridged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -452,9 +501,7 @@ def meta_pairs(insights: DataFrame, bridged: DataFrame, threshold: float = THRES
     tiles = insights.sparkSession.createDataFrame([(x, y, t) for t, (x, y) in enumerate(deal.tiles)], "x int, y int, tile int")
     meet = (F.least("group_a", "group_b") == F.col("x")) & (F.greatest("group_a", "group_b") == F.col("y"))
     pairs = pairs.where("a < b").join(F.broadcast(tiles), meet).select("tile", "a", "b")
-    rows = _tiled(deal, threshold, 1.0, _not_bridged, "a long, b long, strategy_a string, strategy_b string, similarity double, score_a double, score_b double", pairs)
-    score = F.col("similarity") * (0.5 + 0.5 * (F.col("score_a") + F.col("score_b")) / 2)
-    return rows.select("a", "b", "strategy_a", "strategy_b", "similarity", F.round(score, 6).alias("score"))
+    return _tiled(deal, threshold, 1.0, _not_bridged, "a long, b long, strategy_a string, strategy_b string, similarity double, score double", _packed(pairs))
 
 
 def spread_picks(candidates: list[dict], k: int, key: str = "pair") -> list[dict]:

@@ -134,3 +134,25 @@ def test_the_most_similar_pairs_of_two_documents(chunks):
     need = sides(rows, pairs).where("doc_path_a <> doc_path_b").select("a", "b", "similarity")
     same(discover.cross_document_pairs(rows, 0.7), need)
     same(discover.cross_document_pairs(rows, 0.7, k=33), need.orderBy(F.desc("similarity"), "a", "b").limit(33))
+
+
+def test_six_places_as_spark_rounds(spark):
+    rng = np.random.default_rng(3)
+    sims = np.round(rng.uniform(-1, 1, 4000), 6)
+    x = np.concatenate([sims * (0.5 + 0.5 * np.round(rng.integers(0, 17, 4000) / 17, 6) / 2), sims * 0.5, sims * 0.75, [0.0, -1e-9, 1e-7, 0.0617285, 1.0000005, np.nan, 3e12]])
+    need = [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    np.testing.assert_array_equal(discover._six_places(x), np.array(need))
+
+
+def test_bridged_pairs_go_to_their_tiles_packed(spark):
+    pairs = spark.range(0, 3000, 1, 2).select((F.col("id") % 3).cast("int").alias("tile"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    rows = discover._packed(pairs).collect()
+    assert len(rows) == 6
+    assert sorted((r.tile, a, b) for r in rows for a, b in zip(r.a, r.b)) == sorted((k % 3, k, k + 1) for k in range(3000))
+
+
+def test_pairs_of_unknown_score(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.0], s, v) for k, (s, v) in enumerate([("a", 0.5), ("b", None), ("b", 0.25), ("a", 1.0)])], "id long, embedding array<float>, strategy string, score double")
+    bridged = spark.createDataFrame([(0, 2)], "a long, b long")
+    assert sorted((r.a, r.b, r.score) for r in discover.meta_pairs(rows, bridged, 0.9).collect() if r.score is not None) == [(2, 3, 0.8125)]
+    assert sorted((r.a, r.b) for r in discover.meta_pairs(rows, bridged, 0.9).collect()) == [(0, 1), (1, 3), (2, 3)]
